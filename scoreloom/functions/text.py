@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.paths import _col
 
-_UNIT = 1 << 62  # doubles up to 1.0, scaled by this power of two, are whole numbers that fit a bigint
+_UNIT = 1 << 56  # a percentage scaled by this power of two is a whole number that fits a bigint
 
 
 def base64_text(content: Column | str) -> Column:
@@ -20,15 +20,16 @@ def base64_bytes(text: Column | str) -> Column:
 
 
 def percent_tenths(score: Column | str) -> Column:
-    """``score * 1000`` rounded as Python's ``.1%`` rounds it, as a whole number.
+    """``score`` in tenths of a percent, rounded as Python's ``.1%`` rounds it.
 
-    Python rounds the exact binary value, half to even. Scaling by 2**62 is exact for a score in [0, 1],
-    so the comparison with one half can be made in whole numbers.
+    Python multiplies by 100 and then rounds the exact binary value, half to even. Scaling by 2**56 loses
+    nothing for a score in [0, 1], so the comparison with one half can be made in whole numbers.
     """
-    scaled = (_col(score) * F.lit(float(_UNIT))).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(5,0)")
+    scaled = (_col(score) * 100.0 * F.lit(float(_UNIT))).cast("bigint").cast("decimal(20,0)")
+    tenfold = scaled * F.lit(10).cast("decimal(5,0)")
     unit = F.lit(str(_UNIT)).cast("decimal(20,0)")
-    whole = F.call_function("div", scaled, unit)
-    rest = scaled % unit
+    whole = F.call_function("div", tenfold, unit)
+    rest = tenfold % unit
     up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
     return whole + up.cast("bigint")
 

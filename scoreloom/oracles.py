@@ -81,9 +81,9 @@ _DOCUMENT = "'/vol/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 6, '0') ||
 
 
 def _caption(label: str, score: str) -> str:
-    """``label (12.3%)`` from whole numbers: the exact binary score, rounded half to even."""
-    n = f"CAST({score} * 4611686018427387904 AS HUGEINT) * 1000"
-    unit = "CAST(4611686018427387904 AS HUGEINT)"
+    """``label (12.3%)`` from whole numbers: the exact binary percentage, rounded half to even."""
+    n = f"CAST({score} * 100 * 72057594037927936 AS HUGEINT) * 10"
+    unit = "CAST(72057594037927936 AS HUGEINT)"
     whole, rest = f"(({n}) // {unit})", f"(({n}) % {unit})"
     tenths = f"({whole} + CASE WHEN {rest} * 2 > {unit} OR ({rest} * 2 = {unit} AND {whole} % 2 = 1) THEN 1 ELSE 0 END)"
     return f"{label} || ' (' || CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) || '%)'"

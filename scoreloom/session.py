@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -83,6 +84,22 @@ def make_namespace(spark: SparkSession, schema: str, location: str | None = None
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_name(schema)}{where}")
 
 
+@contextmanager
+def session_conf(spark: SparkSession, values: Mapping[str, object]) -> Iterator[None]:
+    """Set configuration for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for key, value in values.items():
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -34,7 +34,7 @@ def binary_scan(spark: SparkSession, folder: str, glob: str | None = None, recur
     """Files as ``path, modificationTime, length, content``.
 
     The name filter acts while listing. Columns nobody selects are not read, and without ``content`` no
-    file is opened.
+    file is opened. Spark leaves out empty files and names that start with ``_`` or ``.``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:

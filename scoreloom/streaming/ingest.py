@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from scoreloom.operators.compare import missing
 from scoreloom.operators.scoring import classify_content
-from scoreloom.session import materialise
+from scoreloom.session import materialise, session_conf
 from scoreloom.sources.models import Scorer
 
 # Fixed schema of Spark's binary file source: nothing is inferred, so no schema location is needed.
@@ -49,13 +49,17 @@ def ingest(
     bound = _bound_checkpoint(spark, table)
     if bound not in (None, checkpoint):
         raise ValueError(f"{table} is fed by the checkpoint {bound}")
+    # A micro-batch lists each of its files again, by default in a task of its own. The source looks the
+    # setting up in this session while it runs.
+    listing = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}
     writer = (
         file_stream(spark, folder, glob, files_per_batch=files_per_batch)
         .writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
     if location is not None:
         writer = writer.option("path", location)
-    writer.toTable(table).awaitTermination()
+    with session_conf(spark, listing):
+        writer.toTable(table).awaitTermination()
     if bound is None:
         text = checkpoint.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_CHECKPOINT}' = '{text}')")
