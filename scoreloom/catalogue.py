@@ -17,6 +17,7 @@ from scoreloom.functions import paths as P
 from scoreloom.functions import tensors, text
 from scoreloom.operators import artifacts, compare, scoring
 from scoreloom.plans import patterns, reports, runlog
+from scoreloom.plans.jobs import register_bench_models
 from scoreloom.session import DEFAULT_N_IMAGES, RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package
 from scoreloom.sources import files
 from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, label_map, stage_model
@@ -87,12 +88,8 @@ class Inputs:
 
         tensors_ = scoring.picture_tensors(self.pictures(), PICTURE_PREP, batch_size=64)
         weights = centroid_weights(tensors_, "tensor", "label")
-        base = store.register("pictures", weights, names, prep=PICTURE_PREP)
-        store.set_alias("pictures", "prod", base)
-        one = store.weights().where((F.col("name") == "pictures") & (F.col("version") == base))
-        tag = {"source_model": f"pictures@prod v{base}"}
-        served = store.register("pictures_serving", one, names, prep=PICTURE_PREP, tags=tag)
-        store.set_alias("pictures_serving", "prod", served)
+        store.register("picture_centroids", weights, prep=PICTURE_PREP)
+        register_bench_models(store, "picture_centroids", names, "pictures", "pictures_serving")
         return store
 
     @cached_property
@@ -544,7 +541,7 @@ def scaling_report(x: Inputs) -> DataFrame:
 
 @query
 def cold_warm(x: Inputs) -> DataFrame:
-    return reports.cold_warm(x.table("events"), "user_id", ["ts", "event_id"], "value")
+    return reports.cold_warm(x.table("events"), "user_id", reports.time_order("ts", "event_id"), "value")
 
 
 @query

@@ -15,7 +15,7 @@ from scoreloom.operators.ordinals import with_ordinal
 from scoreloom.operators.scoring import check_mode, classify_pictures, map_rows
 from scoreloom.session import DEFAULT_MICRO_BATCH, shared_uri
 from scoreloom.sources.models import Scorer
-from scoreloom.sources.storage import read_file, write_file
+from scoreloom.sources.storage import io_map, read_file, write_file
 
 NAMINGS = ("ordinal", "basename", "relative")
 
@@ -91,16 +91,19 @@ def score_and_write(
             sources = part.column("path").to_pylist()
             targets = part.column("_target").to_pylist()
             if content is None:
-                bodies = [read_file(_with_scheme(p, base)) for p in sources]
+                bodies = io_map(read_file, [_with_scheme(p, base) for p in sources])
             else:
                 bodies = part.column(content).to_pylist()
             pictures, rows = classify_pictures(bodies, ready, prep, mode)
-            done = []
-            for picture, (_, label, score, error), target in zip(pictures, rows, targets):
-                if error is None:
-                    _write(picture, label, score, _with_scheme(target, base), form)
-                done.append(target if error is None else None)
-            return [*zip(*rows), done] if rows else [[], [], [], [], []]
+
+            def write(picture, row: tuple, target: str) -> str | None:
+                _, label, score, error = row
+                if error is not None:
+                    return None
+                _write(picture, label, score, _with_scheme(target, base), form)
+                return target
+
+            return [*zip(*rows), io_map(write, pictures, rows, targets)]
 
         return run
 
@@ -119,14 +122,14 @@ def annotate_and_write(
     base = shared_uri(df.sparkSession, "/")
 
     def make() -> Callable:
+        def write(body: bytes, label: str | None, score: float | None, target: str) -> str | None:
+            if label is None:
+                return None
+            _write(pixels.decode_image(body), label, score, _with_scheme(target, base), form)
+            return target
+
         def run(part: pa.RecordBatch) -> list:
-            done = []
-            columns = [part.column(c).to_pylist() for c in (content, "label", "score", "_target")]
-            for body, label, score, target in zip(*columns):
-                if label is not None:
-                    _write(pixels.decode_image(body), label, score, _with_scheme(target, base), form)
-                done.append(target if label is not None else None)
-            return [done]
+            return [io_map(write, *[part.column(c).to_pylist() for c in (content, "label", "score", "_target")])]
 
         return run
 

@@ -49,8 +49,12 @@ class Output:
     shards: int = 0
     mode: str = "FAILFAST"
 
+    def name_only(self, df: DataFrame, root: str) -> DataFrame:
+        return with_output_path(df, self.folder, self.naming, root, self.extension, self.shards)
+
     def name(self, df: DataFrame, root: str) -> DataFrame:
-        named = with_output_path(df, self.folder, self.naming, root, self.extension, self.shards)
+        """Add output paths, and refuse two inputs for one of them."""
+        named = self.name_only(df, root)
         if self.naming == "basename":
             require_unique(named)
         return named
@@ -112,11 +116,16 @@ def ingest_then_score(
         ingest(spark, params.image_dir, binary, checkpoint, params.file_glob)
     ingested = spark.table(binary).count()
     with clock.phase("inference"):
-        paths = first_n(spark.table(binary).select("path"), params.n_images)
-        chosen = output.name(paths, params.image_dir)
-        rows_in = chosen.join(spark.table(binary).select("path", "content"), "path")
-        if params.n_images is not None and params.num_partitions is not None:
-            rows_in = rows_in.repartition(params.num_partitions)
+        files = spark.table(binary).select("path", "content")
+        if params.n_images is None and output.naming != "ordinal":
+            # Every row is wanted and named by its own path: the bytes need not move at all.
+            output.name(files.select("path"), params.image_dir)
+            rows_in = output.name_only(files, params.image_dir)
+        else:
+            chosen = output.name(first_n(files.select("path"), params.n_images), params.image_dir)
+            rows_in = chosen.join(files, "path")
+            if params.n_images is not None and params.num_partitions is not None:
+                rows_in = rows_in.repartition(params.num_partitions)
         scored = score_and_write(rows_in, model, params.micro_batch, output.mode, output.form, content="content")
         table = output_table(params, pattern, "predictions")
         rows = save_table(scored.withColumn("path", normalise_path("path")), table)

@@ -50,8 +50,8 @@ def phase_breakdown(phases: DataFrame, run: str, phase: str, seconds: str) -> Da
 
 def phase_columns(phases: DataFrame, run: str, phase: str, seconds: str, names: Sequence[str]) -> DataFrame:
     """The wide form: one row per run, one column per phase."""
-    wide = phases.groupBy(run).pivot(phase, list(names)).agg(F.sum(exact(seconds)))
-    return wide.select(run, *[_double(F.coalesce(n, F.lit(0))).alias(f"{n}_s") for n in names])
+    spent = [F.sum(F.when(F.col(phase) == n, exact(seconds))).alias(n) for n in names]
+    return phases.groupBy(run).agg(*spent).select(run, *[_double(F.coalesce(n, F.lit(0))).alias(f"{n}_s") for n in names])
 
 
 def throughput(rows: DataFrame, run: str, seconds: str) -> DataFrame:
@@ -100,14 +100,22 @@ def scaling_report(rows: DataFrame, pattern: str, is_second: Column, seconds: st
     )
 
 
-def cold_warm(rows: DataFrame, pattern: str, order: Sequence[str], seconds: str) -> DataFrame:
+def time_order(ts: str, tie: str) -> Column:
+    """Time, then ``tie``, as one number: a struct would make Spark sort all rows to aggregate by it."""
+    t = F.col(ts)
+    whole = F.unix_date(t.cast("date")).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    seconds = whole.cast("decimal(13,0)") + F.extract(F.lit("SECOND"), t)
+    return (seconds * 1_000_000).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col(tie)
+
+
+def cold_warm(rows: DataFrame, pattern: str, order: Column, seconds: str) -> DataFrame:
     """The first (cold) run of each pattern against the mean of its later (warm) ones, and the extreme swing.
 
-    ``order`` tells which run came first. It is a minimum, so the runs of a pattern are never sorted.
+    ``order`` is a number telling which run came first. It is a minimum, so runs are never sorted.
     """
     s = exact(seconds)
     parts = rows.groupBy(pattern).agg(
-        F.count(F.lit(1)).alias("n_runs"), F.min_by(s, F.struct(*order)).alias("_cold"), F.sum(s).alias("_all"),
+        F.count(F.lit(1)).alias("n_runs"), F.min_by(s, order).alias("_cold"), F.sum(s).alias("_all"),
         F.min(s).alias("_min"), F.max(s).alias("_max"),
     )
     warm = _double(F.col("_all") - F.col("_cold")) / F.nullif(F.col("n_runs") - 1, F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from scoreloom.functions.paths import normalise_path, origin_path, relative_path
 from scoreloom.operators.ordinals import with_ordinal
 from scoreloom.session import materialise, shared_uri
-from scoreloom.sources.storage import list_folder, read_file, write_file
+from scoreloom.sources.storage import IO_THREADS, io_map, list_folder, read_file, write_file
 
 PATH_SCHEMA = T.StructType([T.StructField("path", T.StringType())])
 
@@ -141,16 +141,14 @@ def read_bytes(paths: DataFrame, column: str = "path") -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uris = batch.column(column).to_pylist()
-            start, held, size = 0, [], 0
-            for i, uri in enumerate(uris):
-                held.append(read_file(uri))
-                size += len(held[-1])
-                if size >= _BATCH_BYTES or i == len(uris) - 1:
+            start, held = 0, []
+            for i in range(0, batch.num_rows, IO_THREADS):
+                held += io_map(read_file, batch.column(column).slice(i, IO_THREADS).to_pylist())
+                if sum(map(len, held)) >= _BATCH_BYTES or start + len(held) == batch.num_rows:
                     part = batch.slice(start, len(held))
                     arrays = [*part.columns, pa.array(held, pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "content"])
-                    start, held, size = i + 1, [], 0
+                    start, held = start + len(held), []
 
     return paths.mapInArrow(fill, out)
 
@@ -160,12 +158,11 @@ def write_bytes(files: DataFrame) -> DataFrame:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = []
-            for uri, body in zip(batch.column("path").to_pylist(), batch.column("content")):
-                body = body.as_py()
-                write_file(uri, body)
-                sizes.append(len(body))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "length"])
+            bodies = batch.column("content").to_pylist()
+            io_map(write_file, batch.column("path").to_pylist(), bodies)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array([len(b) for b in bodies], pa.int64())], ["path", "length"]
+            )
 
     return materialise(files.select("path", "content").mapInArrow(put, _LISTED_FILES), "written")
 

@@ -19,7 +19,8 @@ from scoreloom.session import shared_uri
 from scoreloom.sources.storage import read_file, write_file
 
 # A model is the one thing that goes to every task; this bounds what may be brought to the driver for it.
-MAX_MODEL_VALUES = 50_000_000
+# Larger networks stay in the shared folder (``OnnxModel``) and are loaded there by the workers.
+MAX_MODEL_VALUES = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -265,6 +266,10 @@ class ModelStore:
             version = row["version"]
         return name, version
 
+    def prep(self, name: str, version: str) -> Preprocess:
+        spec = self.versions(name).where(F.col("version") == version).first()
+        return Preprocess(spec["size"], tuple(spec["mean"]), tuple(spec["std"]))
+
     def load_versions(self, name: str) -> Checkpoints:
         """Every version of a model, stacked. The total size is checked before anything is fetched."""
         weights = self.weights().where(F.col("name") == name)
@@ -292,8 +297,7 @@ class ModelStore:
             if "PATH_NOT_FOUND" not in str(err):
                 raise
             texts = {}
-        spec = self.versions(name).where(F.col("version") == version).first()
-        prep = Preprocess(spec["size"], tuple(spec["mean"]), tuple(spec["std"]))
+        prep = self.prep(name, version)
         labels = {i: texts[r["class_id"]] for i, r in enumerate(rows) if r["class_id"] in texts}
         return LinearModel(
             np.array([r["weights"] for r in rows]), np.array([r["bias"] for r in rows]), labels, prep, name, version

@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 from pyarrow import fs
 
+IO_THREADS = 8  # requests a task keeps open at once; it waits for the store more than it computes
+
+
+@lru_cache(maxsize=1)
+def _pool() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(IO_THREADS)
+
+
+def io_map(call: Callable, *columns: Iterable) -> list:
+    """Call a function that waits for the store on several rows of a micro-batch at once, in order."""
+    return list(_pool().map(call, *columns))
+
+
+@lru_cache(maxsize=64)
+def _store(root: str) -> fs.FileSystem:
+    return fs.FileSystem.from_uri(root)[0]
+
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of ``uri`` (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfss:``).
@@ -21,7 +40,7 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     if scheme in ("s3a", "s3n"):
         scheme = "s3"
     host = rest.lstrip("/").split("/", 1)[0]
-    store, _ = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    store = _store(f"{scheme}://{host}/")
     path = rest.lstrip("/") if scheme in ("s3", "gs") else "/" + rest.lstrip("/").partition("/")[2]
     return store, path
 
@@ -43,9 +62,13 @@ def write_file(uri: str, content: bytes) -> None:
             f.write(content)
         return
     folder, _, name = path.rpartition("/")
-    store.create_dir(folder, recursive=True)
     temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temp) as f:
+    try:
+        out = store.open_output_stream(temp)
+    except FileNotFoundError:
+        store.create_dir(folder, recursive=True)
+        out = store.open_output_stream(temp)
+    with out as f:
         f.write(content)
     store.move(temp, path)
 

@@ -17,7 +17,7 @@ BINARY_FILE = T.StructType([
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
 ])
 
-FILES_PER_BATCH = 100_000
+FILES_PER_BATCH = 500_000
 _CHECKPOINT = "scoreloom.checkpoint"
 
 

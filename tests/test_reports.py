@@ -48,7 +48,7 @@ def test_cold_and_warm(spark):
         [("p2", t, 1, 358.0), ("p2", t, 2, 150.0), ("p2", t + dt.timedelta(1), 0, 160.0), ("p3", t, 1, 5.0)],
         "p string, ts timestamp_ntz, id int, s double",
     )
-    assert rows(reports.cold_warm(df, "p", ["ts", "id"], "s")) == [
+    assert rows(reports.cold_warm(df, "p", reports.time_order("ts", "id"), "s")) == [
         ("p2", 3, 358.0, 155.0, 2.309677, 2.386667), ("p3", 1, 5.0, None, None, 1.0)
     ]
 
