@@ -22,6 +22,7 @@ BOX_CORNER = (2, 2)
 BOX_PAD = 10
 TEXT_CORNER = (6, 4)
 JPEG_QUALITY = 90
+FIXED_BITS = 22  # fraction bits of the resize weights
 GLYPH = (6, 11)  # size of one character of the default bitmap font
 
 _NETPBM = re.compile(rb"^P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s", re.DOTALL)
@@ -57,27 +58,44 @@ def bgr_rows_to_rgb(data: bytes, height: int, width: int, channels: int) -> np.n
 
 
 @lru_cache(maxsize=256)
-def _axis_weights(size_in: int, size_out: int) -> np.ndarray:
-    """Triangle filter from ``size_in`` to ``size_out`` samples, widened when shrinking (antialiasing)."""
+def _taps(size_in: int, size_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and whole-number weights of every output sample along one axis.
+
+    A triangle filter, widened when shrinking so that no input is skipped.
+    """
     scale = size_in / size_out
     reach = max(scale, 1.0)
     centre = (np.arange(size_out) + 0.5) * scale
     away = np.abs(np.arange(size_in)[None, :] + 0.5 - centre[:, None]) / reach
     weight = np.clip(1.0 - away, 0.0, None)
-    return weight / weight.sum(axis=1, keepdims=True)
+    weight /= weight.sum(axis=1, keepdims=True)
+    count = int((weight > 0).sum(axis=1).max())
+    first = np.minimum((weight > 0).argmax(axis=1), size_in - count)
+    places = first[:, None] + np.arange(count)
+    whole = np.floor(np.take_along_axis(weight, places, axis=1) * (1 << FIXED_BITS) + 0.5)
+    return places, whole.astype(np.int32)
+
+
+def _shrink_rows(grid: np.ndarray, size: int) -> np.ndarray:
+    """Resample the first axis of a two-dimensional grid of bytes, rounded to bytes again."""
+    if grid.shape[0] == size:
+        return grid
+    places, weights = _taps(grid.shape[0], size)
+    total = np.full((size, grid.shape[1]), 1 << (FIXED_BITS - 1), np.int32)
+    for tap in range(places.shape[1]):
+        total += grid[places[:, tap]] * weights[:, tap, None]
+    return total >> FIXED_BITS
 
 
 def resize(picture: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear resize to a fixed size; the aspect ratio is not kept. Both passes round to bytes."""
-    def to_bytes(x: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor(x + 0.5), 0, 255)
-
-    across = picture.astype(np.float64)
-    if picture.shape[1] != width:
-        across = to_bytes(np.einsum("ow,hwc->hoc", _axis_weights(picture.shape[1], width), across))
-    if picture.shape[0] != height:
-        across = to_bytes(np.einsum("oh,hwc->owc", _axis_weights(picture.shape[0], height), across))
-    return across.astype(np.uint8)
+    """Bilinear resize to a fixed size; the aspect ratio is not kept.
+
+    Columns first, then rows, each pass rounded to bytes in fixed-point arithmetic, so results are exact.
+    """
+    rows, columns, _ = picture.shape
+    wide = picture.transpose(1, 0, 2).reshape(columns, rows * 3).astype(np.int32)
+    across = _shrink_rows(wide, width).reshape(width, rows, 3).transpose(1, 0, 2).reshape(rows, width * 3)
+    return _shrink_rows(across, height).reshape(height, width, 3).astype(np.uint8)
 
 
 def to_tensor(picture: np.ndarray, size: int, mean: tuple, std: tuple) -> np.ndarray:

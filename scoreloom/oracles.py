@@ -42,12 +42,12 @@ _SMALL = _PIXELS + """
 tri AS (
   SELECT o, i, greatest(0.0, 1 - abs(CAST(i AS DOUBLE) + 0.5 - (o + 0.5) * 2) / 2) AS g
   FROM range(4) AS ro(o), range(8) AS ri(i)),
-axis AS (SELECT o, i, g / sum(g) OVER (PARTITION BY o) AS g FROM tri),
+axis AS (SELECT o, i, CAST(floor(g / sum(g) OVER (PARTITION BY o) * 4194304 + 0.5) AS BIGINT) AS g FROM tri),
 across AS (
-  SELECT px.vec_id, px.label, px.y, axis.o AS x, floor(sum(px.p * axis.g) + 0.5) AS p
+  SELECT px.vec_id, px.label, px.y, axis.o AS x, CAST((2097152 + sum(px.p * axis.g)) // 4194304 AS INT) AS p
   FROM px JOIN axis ON px.x = axis.i GROUP BY 1, 2, 3, 4),
 small AS (
-  SELECT a.vec_id, a.label, axis.o AS y, a.x, CAST(floor(sum(a.p * axis.g) + 0.5) AS INT) AS p
+  SELECT a.vec_id, a.label, axis.o AS y, a.x, CAST((2097152 + sum(a.p * axis.g)) // 4194304 AS INT) AS p
   FROM across a JOIN axis ON a.y = axis.i GROUP BY 1, 2, 3, 4),
 """
 _TENSORS = _SMALL + """

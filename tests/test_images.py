@@ -74,8 +74,8 @@ def brute_resize(picture, height, width):
         for o in range(size):
             centre = (o + 0.5) * scale
             weights = [max(0.0, 1 - abs(i + 0.5 - centre) / max(scale, 1.0)) for i in range(n)]
-            total = sum(weights)
-            out.append(min(255, max(0, int(np.floor(sum(w * v for w, v in zip(weights, values)) / total + 0.5)))))
+            whole = [int(w / sum(weights) * 2**22 + 0.5) for w in weights]
+            out.append((2**21 + sum(w * v for w, v in zip(whole, values))) >> 22)
         return out
 
     across = np.array([[axis(row[:, c].tolist(), width) for c in range(3)] for row in picture.astype(int)])
@@ -83,12 +83,17 @@ def brute_resize(picture, height, width):
     return np.array([[axis(across[:, x, c].tolist(), height) for c in range(3)] for x in range(width)]).transpose(2, 0, 1)
 
 
-@pytest.mark.parametrize("shape, size", [((9, 7), (4, 5)), ((8, 8), (4, 4)), ((5, 6), (11, 13)), ((3, 3), (3, 3))])
+@pytest.mark.parametrize("shape, size", [((9, 7), (4, 5)), ((8, 8), (4, 4)), ((5, 6), (11, 13)), ((3, 3), (3, 3)), ((1, 40), (7, 1)), ((48, 64), (22, 23))])
 def test_resize(shape, size):
     picture = random_picture(4, *shape)
     assert (pixels.resize(picture, *size) == brute_resize(picture, *size)).all()
 
 
+def test_flat_colours_survive_resizing():
+    for value in (0, 1, 127, 254, 255):
+        assert (pixels.resize(np.full((31, 57, 3), value, np.uint8), 22, 23) == value).all()
+
+
 def test_tensor_is_scaled_and_normalised():
     picture = np.full((5, 5, 3), 51, np.uint8)
     tensor = pixels.to_tensor(picture, 2, (0.2, 0.1, 0.0), (1.0, 0.5, 0.25))
