@@ -22,6 +22,7 @@ from scoreloom.functions import pixels
 from scoreloom.functions.tensors import best_class, confidence, linear_logits
 from scoreloom.session import DEFAULT_MICRO_BATCH, DEFAULT_MODEL_BATCH
 from scoreloom.sources.models import Checkpoints, LinearModel, Preprocess, Scorer
+from scoreloom.sources.storage import io_map, read_file
 
 PREDICTION = "struct<class_id:int,label:string,score:double,error:string>"
 SERVED = "label string, score double"
@@ -82,23 +83,28 @@ def _spread(rows: pa.Array, found: pa.Array) -> pa.Array:
 
 
 def score_batches(df: DataFrame, features: str, model: Scorer, width: int, batch_size: int = DEFAULT_MODEL_BATCH) -> DataFrame:
-    """Fixed-size mini-batches through ``predict_batch_udf``; the model is loaded once per worker."""
+    """Fixed-size mini-batches through ``predict_batch_udf``: adds ``class_id``, ``label`` and ``score``.
+
+    The model is loaded once per worker. ``width`` is the length of ``features``.
+    """
 
     def make() -> Callable:
         ready = model.load()
 
         def predict(batch: np.ndarray) -> dict[str, np.ndarray]:
             classes, scores = pick(ready.logits(batch))
-            return {"class_id": classes, "score": scores}
+            labels = np.array([ready.label(c) for c in classes], dtype=object)
+            return {"class_id": classes, "label": labels, "score": scores}
 
         return predict
 
+    fields = [("class_id", T.IntegerType()), ("label", T.StringType()), ("score", T.DoubleType())]
     call = predict_batch_udf(
-        make, return_type=T.StructType([T.StructField("class_id", T.IntegerType()), T.StructField("score", T.DoubleType())]),
+        make, return_type=T.StructType([T.StructField(*f) for f in fields]),
         batch_size=batch_size, input_tensor_shapes=[[width]],
     )
     kept = df.columns
-    return df.withColumn("_p", call(features)).select(*kept, "_p.class_id", "_p.score")
+    return df.withColumn("_p", call(features)).select(*kept, "_p.class_id", "_p.label", "_p.score")
 
 
 def ensemble_logits(df: DataFrame, features: str, checkpoints: Checkpoints) -> DataFrame:
@@ -197,19 +203,27 @@ def map_rows(
 
 
 def picture_tensors(
-    df: DataFrame, prep: Preprocess, content: str = "content", batch_size: int = DEFAULT_MICRO_BATCH
+    df: DataFrame, prep: Preprocess, content: str | None = "content", batch_size: int = DEFAULT_MICRO_BATCH,
+    precision: str = "double",
 ) -> DataFrame:
-    """Replace image bytes by ``tensor``: decoded, resized, normalised, flattened channels first."""
+    """Replace image bytes by ``tensor``: decoded, resized, normalised, flattened channels first.
+
+    Without ``content`` the task opens ``path``, and only the tensor leaves it.
+    ``precision="float"`` halves what travels on, for networks that compute in single precision anyway.
+    """
+    number = {"double": T.DoubleType(), "float": T.FloatType()}[precision]
+    kind = {"double": np.float64, "float": np.float32}[precision]
 
     def make() -> Callable:
         def tensors(part: pa.RecordBatch) -> list:
-            bodies = part.column(content).to_pylist()
-            return [[pixels.to_tensor(pixels.decode_image(c), prep.size, prep.mean, prep.std).ravel() for c in bodies]]
+            bodies = part.column(content).to_pylist() if content else io_map(read_file, part.column("path").to_pylist())
+            made = (pixels.to_tensor(pixels.decode_image(c), prep.size, prep.mean, prep.std) for c in bodies)
+            return [[tensor.ravel().astype(kind, copy=False) for tensor in made]]
 
         return tensors
 
-    added = T.StructType([T.StructField("tensor", T.ArrayType(T.DoubleType()))])
-    return map_rows(df, added, make, batch_size, drop=[content])
+    added = T.StructType([T.StructField("tensor", T.ArrayType(number))])
+    return map_rows(df, added, make, batch_size, drop=[content] if content else [])
 
 
 def picture_bytes(

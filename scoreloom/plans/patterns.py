@@ -19,11 +19,11 @@ from scoreloom.functions.paths import normalise_path
 from scoreloom.functions.text import base64_bytes, base64_text
 from scoreloom.operators.artifacts import annotate_and_write, require_unique, score_and_write, with_output_path
 from scoreloom.operators.compare import join_payload
-from scoreloom.operators.scoring import picture_tensors, score_batches, with_label
+from scoreloom.operators.scoring import picture_tensors, score_batches
 from scoreloom.plans.runlog import Clock, rate
 from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, output_table, quote_name
 from scoreloom.sources.files import binary_scan, first_n, list_files, list_tree, read_bytes
-from scoreloom.sources.models import LinearModel, Scorer
+from scoreloom.sources.models import Scorer
 from scoreloom.streaming.ingest import ingest
 
 
@@ -82,16 +82,22 @@ def _width(files: DataFrame, wanted: int | None) -> int:
 
 
 def direct(
-    spark: SparkSession, params: RunParams, model: Scorer, output: Output, pattern: str = "p3", tree: bool = False
+    spark: SparkSession, params: RunParams, model: Scorer, output: Output, pattern: str = "p3", tree: bool = False,
+    manifest: DataFrame | None = None,
 ) -> Run:
     """List, cut, spread the paths, then read, score and write each picture in one pass.
 
     Only paths are shuffled. With ``naming="ordinal"`` artifacts are numbered in path order and spread over
-    ``write_workers`` tasks. ``tree`` lists in tasks, for collections too large for the driver.
+    ``write_workers`` tasks. ``tree`` lists in tasks, for collections too large for the driver; a ``manifest``
+    (``path, length``, a store inventory say) needs no listing at all.
     """
     clock = Clock()
     with clock.phase("dataset_prep"):
-        files = output.name(_listed(spark, params, tree), params.image_dir)
+        if manifest is None:
+            files = _listed(spark, params, tree)
+        else:
+            files = first_n(manifest.select("path", "length"), params.n_images)
+        files = output.name(files, params.image_dir)
         width = params.write_workers if output.naming == "ordinal" else _width(files, params.num_partitions)
         paths = files.drop("length").repartition(width)
     with clock.phase("inference_write"):
@@ -137,8 +143,8 @@ def ingest_then_score(
 
 
 def staged(
-    spark: SparkSession, params: RunParams, model: LinearModel, output: Output, folder: str,
-    batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5",
+    spark: SparkSession, params: RunParams, model: Scorer, output: Output, folder: str,
+    batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5", precision: str = "double",
 ) -> Run:
     """Decode, score and write as three steps; the result is a Parquet folder.
 
@@ -149,9 +155,11 @@ def staged(
     with clock.phase("stages"):
         files = output.name(_listed(spark, params), params.image_dir)
         paths = files.drop("length").repartition(_width(files, params.num_partitions))
-        tensors = picture_tensors(read_bytes(paths), model.prep, batch_size=params.micro_batch)
+        tensors = picture_tensors(
+            paths, model.prep, content=None, batch_size=params.micro_batch, precision=precision
+        )
         width = 3 * model.prep.size**2
-        scored = with_label(score_batches(tensors, "tensor", model, width, batch_size), model.labels).drop("tensor")
+        scored = score_batches(tensors, "tensor", model, width, batch_size).drop("tensor")
         scored.write.mode("overwrite").parquet(f"{folder}/scored")
         done = spark.read.schema(scored.schema).parquet(f"{folder}/scored")
         written = annotate_and_write(read_bytes(done), batch_size=params.micro_batch, form=output.form)

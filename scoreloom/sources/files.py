@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.functions.paths import normalise_path, origin_path, relative_path
+from scoreloom.functions.text import base64_text
 from scoreloom.operators.ordinals import with_ordinal
 from scoreloom.session import materialise, shared_uri
 from scoreloom.sources.storage import IO_THREADS, io_map, list_folder, read_file, write_file
@@ -87,6 +88,11 @@ def list_files(
     return first_n(listed, n)
 
 
+def example_input(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """The first file as a one-row serving input (base64 ``image``); no row when there is no file."""
+    return read_bytes(list_files(spark, folder, glob, n=1)).select(base64_text("content").alias("image"))
+
+
 def path_table(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A given list of paths as a table; an empty list gives an empty table."""
     return spark.createDataFrame([(p,) for p in paths], PATH_SCHEMA)
@@ -97,7 +103,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch.column("path").to_pylist():
             rows: list[tuple] = []
-            for path, is_folder, size, _ in list_folder(folder):
+            for path, is_folder, size in list_folder(folder):
                 if path.rsplit("/", 1)[-1].startswith(("_", ".")):
                     continue
                 rows.append((path, is_folder, size))
@@ -113,7 +119,8 @@ def list_tree(spark: SparkSession, folder: str, glob: str | None = None, partiti
 
     ``binaryFile`` keeps the status of every file on the driver. Here each level is written to the scratch
     folder and only the depth of the tree is a driver loop, so a collection of many folders can outgrow the
-    driver. One folder is still listed by one task, because stores offer no way to split a listing.
+    driver. One folder is still listed by one task, because stores offer no way to split a listing; for a
+    flat collection beyond that, start from the store's own inventory as a table of paths.
     """
     width = partitions or spark.sparkContext.defaultParallelism
     frontier = path_table(spark, [shared_uri(spark, folder)])

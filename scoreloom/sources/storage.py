@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -73,10 +74,16 @@ def write_file(uri: str, content: bytes) -> None:
     store.move(temp, path)
 
 
-def list_folder(uri: str) -> Iterator[tuple[str, bool, int, object]]:
-    """Entries directly below ``uri``: path, is-folder, bytes, time of change."""
+def list_folder(uri: str) -> Iterator[tuple[str, bool, int]]:
+    """Entries directly below ``uri``: path, is-folder, bytes. Local and mounted folders are streamed."""
     store, path = open_store(uri)
     prefix = uri[: len(uri.rstrip("/")) - len(path.rstrip("/"))]
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(path) as entries:
+            for entry in entries:
+                is_folder = entry.is_dir()
+                yield prefix + entry.path, is_folder, 0 if is_folder else entry.stat().st_size
+        return
     for info in store.get_file_info(fs.FileSelector(path)):
         is_folder = info.type == fs.FileType.Directory
-        yield prefix + info.path, is_folder, 0 if is_folder else info.size, info.mtime
+        yield prefix + info.path, is_folder, 0 if is_folder else info.size

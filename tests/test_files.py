@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import glob
 import hashlib
 
@@ -64,6 +65,12 @@ def test_nothing_matches(spark, tree):
     assert files.read_bytes(files.path_table(spark, [])).collect() == []
 
 
+def test_example_input(spark, tree):
+    row = files.example_input(spark, str(tree), "*/*.jpg").first()
+    assert base64.b64decode(row.image) == (tree / "dir.jpg/inner.jpg").read_bytes()
+    assert files.example_input(spark, str(tree), "*.gif").collect() == []
+
+
 def test_tasks_read_the_same_bytes(spark, tree):
     listed = files.list_files(spark, str(tree), "*", any_depth=True).select("path")
     rows = files.read_bytes(listed.repartition(3)).collect()

@@ -56,7 +56,7 @@ def run_all(spark, data, folder, n, naming="basename", mode="FAILFAST"):
         "direct": patterns.direct(spark, params(), staged_model, output()),
         "tree": patterns.direct(spark, params(), MODEL, output(), tree=True),
         "ingest": patterns.ingest_then_score(spark, params(), MODEL, output(), scratch_path(spark, "c")),
-        "staged": patterns.staged(spark, params(), MODEL, output(), scratch_path(spark, "s"), batch_size=4),
+        "staged": patterns.staged(spark, params(), staged_model, output(), scratch_path(spark, "s"), batch_size=4),
         "served": patterns.served(spark, params(), "patterns_query", output()),
     }
 
@@ -83,6 +83,16 @@ def test_no_files(spark, data, tmp_path):
         assert run.summary["num_images"] == 0
 
 
+def test_a_manifest_needs_no_listing(spark, data, folder):
+    want = truth(folder)
+    paths = [(p, 1) for p in want]
+    manifest = spark.createDataFrame(paths, "path string, length bigint")
+    params = data.params(image_dir="/absent", n_images=10)
+    run = patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "a"), form="netpbm"), manifest=manifest)
+    got = {r.path: (r.label, round(r.score, 9)) for r in run.table.collect()}
+    assert got == {p: want[p] for p in sorted(want)[:10]}
+
+
 def test_ordinal_names(spark, data, folder):
     params = data.params(image_dir=str(folder), image_glob="*/*.ppm", n_images=7, write_workers=2)
     output = patterns.Output(scratch_path(spark, "annotated"), "ordinal", ".ppm", "netpbm")
