@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import paths as P
 from scoreloom.functions import tensors, text
+from scoreloom.functions.numbers import rounded
 from scoreloom.operators import artifacts, compare, scoring
 from scoreloom.plans import patterns, reports, runlog
 from scoreloom.plans.jobs import register_bench_models
@@ -137,7 +138,7 @@ def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]
 
 
 def _score(column: Column | str = "score") -> Column:
-    return F.round(column, 6).alias("score")
+    return rounded(column).alias("score")
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -232,14 +233,14 @@ def resize_pool(x: Inputs) -> DataFrame:
 @query
 def picture_tensor(x: Inputs) -> DataFrame:
     made = scoring.picture_tensors(x.pictures().select("vec_id", "content"), PICTURE_PREP, batch_size=64)
-    return made.select("vec_id", F.posexplode("tensor").alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("v"))
+    return made.select("vec_id", F.posexplode("tensor").alias("pos", "v")).select("vec_id", "pos", rounded("v").alias("v"))
 
 
 @query
 def normalise_tensor(x: Inputs) -> DataFrame:
     scaled = tensors.scale_and_normalise("embedding", 0.5, 0.5)
     return x.table("embeddings").select("vec_id", F.posexplode(scaled).alias("pos", "v")).select(
-        "vec_id", "pos", F.round("v", 6).alias("v")
+        "vec_id", "pos", rounded("v").alias("v")
     )
 
 
@@ -252,7 +253,7 @@ def model_by_alias(x: Inputs) -> DataFrame:
     aliases = x.store.aliases().where("name = 'vector_checkpoints' AND alias = 'prod'")
     return aliases.join(x.store.weights(), ["name", "version"]).select(
         "name", "alias", "version", "class_id", F.posexplode("weights").alias("dim", "w")
-    ).withColumn("w", F.round("w", 6))
+    ).withColumn("w", rounded("w"))
 
 
 @query
@@ -269,7 +270,7 @@ def model_lineage(x: Inputs) -> DataFrame:
     """The serving model, what it was made from, and whether both hold the same weights."""
     total = x.store.weights().groupBy("name", "version").agg(
         F.count(F.lit(1)).alias("n_classes"),
-        F.round(F.sum(F.aggregate("weights", F.lit(0.0), lambda acc, v: acc + v)), 6).alias("weight_sum"),
+        rounded(F.sum(F.aggregate("weights", F.lit(0.0), lambda acc, v: acc + v)), 6).alias("weight_sum"),
     )
     tagged = x.store.versions("pictures_serving").join(x.store.aliases(), ["name", "version"]).select(
         "name", "version", "alias", F.col("tags")["source_model"].alias("source_model")
@@ -289,7 +290,7 @@ def label_map_codes(x: Inputs) -> DataFrame:
 def weight_soup(x: Inputs) -> DataFrame:
     checkpoints = x.store.weights().where("name = 'vector_checkpoints'")
     return average_weights(checkpoints).select("class_id", F.posexplode("weights").alias("dim", "w")).withColumn(
-        "w", F.round("w", 6)
+        "w", rounded("w")
     )
 
 
@@ -317,7 +318,7 @@ def served_score(x: Inputs) -> DataFrame:
     """The model called from SQL, struct in and struct out, then flattened."""
     scoring.register_served(x.spark, "vector_query", scoring.ServedVectors(x.vector_model))
     called = x.table("embeddings").selectExpr("vec_id", "vector_query(named_struct('features', embedding)) AS prediction")
-    return called.selectExpr("vec_id", "prediction.label AS label", "round(prediction.score, 6) AS score")
+    return called.selectExpr("vec_id", "prediction.label AS label", "prediction.score AS score").withColumn("score", rounded("score"))
 
 
 @query
@@ -343,7 +344,7 @@ def logit_ensemble(x: Inputs) -> DataFrame:
     checkpoints = x.store.load_versions("vector_checkpoints")
     rows = x.table("embeddings").select("vec_id", "embedding")
     mean = scoring.ensemble_logits(rows, "embedding", checkpoints)
-    return mean.select("vec_id", F.posexplode("logits").alias("class_id", "z")).withColumn("z", F.round("z", 6))
+    return mean.select("vec_id", F.posexplode("logits").alias("class_id", "z")).withColumn("z", rounded("z"))
 
 
 @query

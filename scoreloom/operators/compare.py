@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions.numbers import rounded
+
 
 def join_payload(predictions: DataFrame, payload: DataFrame, key: str = "path") -> DataFrame:
     """Inner join of narrow predictions with wide payloads.
@@ -47,5 +49,5 @@ def agreement_columns(same: str) -> list:
     n, equal = F.count(F.lit(1)), F.count_if(F.col(same))
     return [
         n.alias("n"), equal.alias("n_agree"), (n - equal).alias("n_flips"),
-        F.round(equal.cast("double") / F.when(n > 0, n), 6).alias("agreement"),
+        rounded(equal.cast("double") / F.when(n > 0, n)).alias("agreement"),
     ]

@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+
+
+def _spell_rounding(sql: str) -> str:
+    """Write ``round(x, d)`` as ``floor(x * 10^d + 0.5) / 10^d``: halves upwards, in plain double arithmetic."""
+    while (start := sql.find("round(")) >= 0:
+        depth, comma, end = 0, -1, start + 5
+        for end in range(start + 5, len(sql)):
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 0:
+                break
+            if depth == 1 and sql[end] == ",":
+                comma = end
+        value, factor = sql[start + 6 : comma], f"1e{sql[comma + 1 : end].strip()}"
+        sql = f"{sql[:start]}(floor(CAST({value} AS DOUBLE) * {factor} + 0.5) / {factor}){sql[end + 1 :]}"
+    return sql
+
+
 # ---- shared pieces --------------------------------------------------------------------------------------
 
 # Elements of every embedding, with the class means as a linear model over them.
@@ -100,7 +117,7 @@ _SECONDS = "CAST(value AS DECIMAL(12,2))"
 
 # ---- one entry per query --------------------------------------------------------------------------------
 
-ORACLES: dict[str, str] = {
+_QUERIES: dict[str, str] = {
     # files
     "list_files": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages ORDER BY path LIMIT 3925",
     "list_tree": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages",
@@ -260,3 +277,5 @@ SELECT lang, count(*) AS n_inputs, count(l.doc_id) AS n_scored, count(*) - count
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1""",
     "missing_inputs": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
+
+ORACLES: dict[str, str] = {name: _spell_rounding(sql) for name, sql in _QUERIES.items()}

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.numbers import rounded
 from scoreloom.operators.ordinals import with_rank
 from scoreloom.session import materialise
 
@@ -27,7 +28,7 @@ def _double(c: Column | str) -> Column:
 
 
 def per_second(rows: Column, seconds: Column) -> Column:
-    return F.round(rows.cast("double") / F.greatest(_double(seconds), F.lit(1e-9)), 2)
+    return rounded(rows.cast("double") / F.greatest(_double(seconds), F.lit(1e-9)), 2)
 
 
 def size_profile(files: DataFrame, by: str, length: str = "length") -> DataFrame:
@@ -35,7 +36,7 @@ def size_profile(files: DataFrame, by: str, length: str = "length") -> DataFrame
     size = F.col(length).cast("bigint")
     return files.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.round(F.sum(size).cast("double") / F.count(size) / 1024, 3).alias("avg_kb"),
+        rounded(F.sum(size).cast("double") / F.count(size) / 1024, 3).alias("avg_kb"),
         F.min(size).alias("min_bytes"), F.max(size).alias("max_bytes"),
     )
 
@@ -45,7 +46,7 @@ def phase_breakdown(phases: DataFrame, run: str, phase: str, seconds: str) -> Da
     spent = phases.groupBy(run, phase).agg(F.sum(exact(seconds)).alias("_s"))
     wall = F.sum("_s").over(Window.partitionBy(run))
     share = F.when(wall != 0, _double("_s") / _double(wall))
-    return spent.select(run, phase, _double("_s").alias("seconds"), F.round(share, 6).alias("share"))
+    return spent.select(run, phase, _double("_s").alias("seconds"), rounded(share).alias("share"))
 
 
 def phase_columns(phases: DataFrame, run: str, phase: str, seconds: str, names: Sequence[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def run_ranking(rows: DataFrame, run: str, seconds: str) -> DataFrame:
     best = walls.agg(F.min("wall").cast("double").alias("best")).first()["best"]
     ratio = F.when(F.lit(best) != 0, _double("wall") / F.lit(best))
     return with_rank(walls, "wall").select(
-        run, _double("wall").alias("wall_s"), "rank", F.round(ratio, 6).alias("ratio_to_best")
+        run, _double("wall").alias("wall_s"), "rank", rounded(ratio).alias("ratio_to_best")
     )
 
 
@@ -81,8 +82,8 @@ def dataset_delta(rows: DataFrame, pattern: str, is_second: Column, seconds: str
     a, b = (_double(f"_s{i}") / F.nullif(F.col(f"_n{i}"), F.lit(0)) for i in (1, 2))
     change = (b / F.nullif(a, F.lit(0.0)) - 1) * 100
     return sums.select(
-        pattern, F.round(a, 6).alias("mean_first_s"), F.round(b, 6).alias("mean_second_s"),
-        F.round(change, 3).alias("change_pct"),
+        pattern, rounded(a).alias("mean_first_s"), rounded(b).alias("mean_second_s"),
+        rounded(change, 3).alias("change_pct"),
     )
 
 
@@ -95,8 +96,8 @@ def scaling_report(rows: DataFrame, pattern: str, is_second: Column, seconds: st
     )
     a, b = (F.col(n).cast("double") / F.greatest(_double(s), F.lit(1e-9)) for n, s in (("n_first", "_s1"), ("n_second", "_s2")))
     return sums.select(
-        pattern, "n_first", "n_second", F.round(a, 6).alias("rate_first"), F.round(b, 6).alias("rate_second"),
-        F.round(b / F.nullif(a, F.lit(0.0)), 6).alias("scaling"),
+        pattern, "n_first", "n_second", rounded(a).alias("rate_first"), rounded(b).alias("rate_second"),
+        rounded(b / F.nullif(a, F.lit(0.0))).alias("scaling"),
     )
 
 
@@ -120,9 +121,9 @@ def cold_warm(rows: DataFrame, pattern: str, order: Column, seconds: str) -> Dat
     )
     warm = _double(F.col("_all") - F.col("_cold")) / F.nullif(F.col("n_runs") - 1, F.lit(0))
     return parts.select(
-        pattern, "n_runs", _double("_cold").alias("cold_s"), F.round(warm, 6).alias("warm_s"),
-        F.round(_double("_cold") / F.nullif(warm, F.lit(0.0)), 6).alias("cold_to_warm"),
-        F.round(_double("_max") / F.nullif(_double("_min"), F.lit(0.0)), 6).alias("swing"),
+        pattern, "n_runs", _double("_cold").alias("cold_s"), rounded(warm).alias("warm_s"),
+        rounded(_double("_cold") / F.nullif(warm, F.lit(0.0))).alias("cold_to_warm"),
+        rounded(_double("_max") / F.nullif(_double("_min"), F.lit(0.0))).alias("swing"),
     )
 
 
@@ -132,7 +133,7 @@ def best_by_scale(rows: DataFrame, size: str, pattern: str, seconds: str) -> Dat
         (F.sum(exact(seconds)).cast("double") / F.count(F.lit(1))).alias("_mean")
     )
     best = means.groupBy(size).agg(F.min(F.struct("_mean", pattern)).alias("_b"))
-    return best.select(size, F.col(f"_b.{pattern}").alias("best"), F.round("_b._mean", 6).alias("mean_s"))
+    return best.select(size, F.col(f"_b.{pattern}").alias("best"), rounded("_b._mean").alias("mean_s"))
 
 
 def billed_time(rows: DataFrame, run: str, phase: str, seconds: str, startup: str, queue: str) -> DataFrame:
@@ -165,5 +166,5 @@ def cost_report(
     )
     cost = F.sum(F.col("_units").cast("decimal(20,2)") * F.col("_price"))
     return priced.groupBy(sku, by).agg(
-        _double(F.sum("_units")).alias("units"), F.round(_double(cost), 2).alias("cost")
+        _double(F.sum("_units")).alias("units"), rounded(_double(cost), 2).alias("cost")
     )

@@ -73,9 +73,10 @@ class LinearModel:
 
     def rounded(self, digits: int) -> LinearModel:
         """The same model at lower precision."""
-        return LinearModel(
-            np.round(self.weights, digits), np.round(self.bias, digits), self.labels, self.prep, self.name, self.version
-        )
+        def cut(x: np.ndarray) -> np.ndarray:
+            return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+        return LinearModel(cut(self.weights), cut(self.bias), self.labels, self.prep, self.name, self.version)
 
 
 @lru_cache(maxsize=4)
