@@ -272,8 +272,9 @@ def model_lineage(x: Inputs) -> DataFrame:
         F.count(F.lit(1)).alias("n_classes"),
         rounded(F.sum(F.aggregate("weights", F.lit(0.0), lambda acc, v: acc + v)), 6).alias("weight_sum"),
     )
-    tagged = x.store.versions("pictures_serving").join(x.store.aliases(), ["name", "version"]).select(
-        "name", "version", "alias", F.col("tags")["source_model"].alias("source_model")
+    origin = x.store.tags().where("name = 'pictures_serving' AND key = 'source_model'")
+    tagged = origin.join(x.store.aliases(), ["name", "version"]).select(
+        "name", "version", "alias", F.col("value").alias("source_model")
     )
     return tagged.join(total, ["name", "version"])
 

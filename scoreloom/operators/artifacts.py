@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from scoreloom.functions import pixels
 from scoreloom.functions.paths import base_name, join_path, normalise_path, ordinal_name, relative_path
 from scoreloom.operators.ordinals import with_ordinal
-from scoreloom.operators.scoring import check_mode, classify_pictures, map_rows
+from scoreloom.operators.scoring import check_mode, classify_decoded, classify_pictures, map_rows
 from scoreloom.session import DEFAULT_MICRO_BATCH, shared_uri
 from scoreloom.sources.models import Scorer
 from scoreloom.sources.storage import io_map, read_file, write_file
@@ -25,6 +26,9 @@ _PREDICTED = [
 ]
 
 
+_DECODED = ("height", "width", "channels", "data", "error")  # what ``spark_images`` gives
+
+
 class NameClash(ValueError):
     """Two inputs would be written to the same artifact."""
 
@@ -64,6 +68,12 @@ def require_unique(df: DataFrame, column: str = "output_path") -> None:
         raise NameClash("several inputs for: " + ", ".join(r[column] for r in clash))
 
 
+def _from_struct(height: int, width: int, channels: int, data: bytes | None, error: str | None) -> tuple:
+    if data is None:
+        return None, error or "no picture"
+    return pixels.bgr_rows_to_rgb(data, height, width, channels), None
+
+
 def _write(picture, label: str, score: float, target: str, form: str) -> None:
     text = f"{label} ({score:.1%})"
     write_file(target, pixels.encode_image(pixels.annotate(picture, text), text, form))
@@ -71,12 +81,12 @@ def _write(picture, label: str, score: float, target: str, form: str) -> None:
 
 def score_and_write(
     df: DataFrame, model: Scorer, batch_size: int = DEFAULT_MICRO_BATCH, mode: str = "FAILFAST",
-    form: str = "auto", content: str | None = None,
+    form: str = "auto", content: str | None = None, decoded: bool = False, profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Decode, score, annotate and write in one pass over ``path, output_path``.
 
     Each picture is decoded once. With ``content`` the bytes come from that column; without, the task opens
-    ``path`` itself and the bytes never leave it. The output adds ``class_id, label, score, error``; rows
+    ``path`` itself and the bytes never leave it. ``decoded`` rows come from ``spark_images`` instead. The output adds ``class_id, label, score, error``; rows
     that could not be decoded have no artifact and a null ``output_path``.
     """
     check_mode(mode)
@@ -88,13 +98,16 @@ def score_and_write(
         ready = model.load()
 
         def run(part: pa.RecordBatch) -> list:
-            sources = part.column("path").to_pylist()
             targets = part.column("_target").to_pylist()
-            if content is None:
-                bodies = io_map(read_file, [_with_scheme(p, base) for p in sources])
+            if decoded:
+                found = [_from_struct(*row) for row in zip(*[part.column(c).to_pylist() for c in _DECODED])]
+                pictures, rows = classify_decoded(found, ready, prep)
             else:
-                bodies = part.column(content).to_pylist()
-            pictures, rows = classify_pictures(bodies, ready, prep, mode)
+                if content is None:
+                    bodies = io_map(read_file, [_with_scheme(p, base) for p in part.column("path").to_pylist()])
+                else:
+                    bodies = part.column(content).to_pylist()
+                pictures, rows = classify_pictures(bodies, ready, prep, mode)
 
             def write(picture, row: tuple, target: str) -> str | None:
                 _, label, score, error = row
@@ -108,8 +121,8 @@ def score_and_write(
         return run
 
     added = T.StructType([*_PREDICTED, T.StructField("output_path", T.StringType())])
-    drop = ["_target"] + ([content] if content else [])
-    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop)
+    drop = ["_target", *([content] if content else []), *(_DECODED if decoded else [])]
+    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop, profile)
 
 
 def annotate_and_write(

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,7 +140,13 @@ def classify_pictures(
     contents: Sequence[bytes | None], model: Scorer, prep: Preprocess, mode: str
 ) -> tuple[list, list[tuple]]:
     """Decoded pictures and ``(class_id, label, score, error)`` of one micro-batch."""
-    decoded = [_decode(c, mode) for c in contents]
+    return classify_decoded([_decode(c, mode) for c in contents], model, prep)
+
+
+def classify_decoded(
+    decoded: Sequence[tuple[np.ndarray | None, str | None]], model: Scorer, prep: Preprocess
+) -> tuple[list, list[tuple]]:
+    """The same for pictures that are decoded already, each with the error that prevented it or None."""
     rows: list[tuple] = [(None, None, None, err) for _, err in decoded]
     good = [i for i, (picture, _) in enumerate(decoded) if picture is not None]
     if good:
@@ -177,12 +184,14 @@ def classify_content(
 
 
 def map_rows(
-    df: DataFrame, added: T.StructType, make: Callable[[], Callable], batch_size: int, drop: Sequence[str] = ()
+    df: DataFrame, added: T.StructType, make: Callable[[], Callable], batch_size: int, drop: Sequence[str] = (),
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Add columns computed per micro-batch. ``make`` runs once per task and returns the batch function.
 
     The function takes a record batch of at most ``batch_size`` rows and returns one list per added column.
     Results leave in micro-batches too, so a task holds few pictures at a time however small their files are.
+    A ``profile`` asks for special executors (accelerators, say) for this step.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     out = T.StructType([*kept, *added.fields])
@@ -199,7 +208,7 @@ def map_rows(
                     [*[part.column(n) for n in names], *new], names=[*names, *schema.names]
                 )
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(run, out, profile=profile)
 
 
 def picture_tensors(
@@ -300,20 +309,31 @@ class ServedVectors:
         return pd.DataFrame({"label": [ready.label(c) for c in classes], "score": scores})
 
 
-def register_served(spark: SparkSession, name: str, served, attempts: int = 5, wait: float = 0.2) -> None:
+def register_served(
+    spark: SparkSession, name: str, served, attempts: int = 5, wait: float = 0.2,
+    batch_size: int = DEFAULT_MODEL_BATCH, errors: bool = False,
+) -> None:
     """Make a served model callable from SQL: ``name(named_struct(...))`` gives ``label, score``.
 
-    A batch that stays throttled after the last attempt gives null structs, so that the job goes on and a
-    completeness check can find the rows.
+    The model is called for ``batch_size`` rows at a time, and each call is repeated while it is throttled. Rows
+    whose call stays throttled get nulls, so that the job goes on and a completeness check can find them;
+    ``errors`` adds the reason to the struct.
     """
 
-    @F.pandas_udf(SERVED)
+    def answer(ready, part: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return call_with_retry(ready.predict, part, attempts, wait).assign(error=None)
+        except Throttled as err:
+            rows = len(part)
+            return pd.DataFrame({"label": [None] * rows, "score": np.full(rows, np.nan), "error": [f"throttled: {err}"] * rows})
+
+    columns = ["label", "score", "error"] if errors else ["label", "score"]
+
+    @F.pandas_udf(SERVED + (", error string" if errors else ""))
     def model_query(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready = served.load()
         for frame in batches:
-            try:
-                yield call_with_retry(ready.predict, frame, attempts, wait)
-            except Throttled:
-                yield pd.DataFrame({"label": [None] * len(frame), "score": [None] * len(frame)}).astype({"score": "float64"})
+            parts = [answer(ready, frame.iloc[i : i + batch_size]) for i in range(0, len(frame), batch_size)]
+            yield pd.concat(parts, ignore_index=True)[columns] if len(parts) > 1 else parts[0][columns]
 
     spark.udf.register(name, model_query)

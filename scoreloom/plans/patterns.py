@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from scoreloom.operators.compare import join_payload
 from scoreloom.operators.scoring import picture_tensors, score_batches
 from scoreloom.plans.runlog import Clock, rate
 from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, output_table, quote_name
-from scoreloom.sources.files import binary_scan, first_n, list_files, list_tree, read_bytes
+from scoreloom.sources.files import binary_scan, first_n, list_files, list_tree, read_bytes, spark_images
 from scoreloom.sources.models import Scorer
 from scoreloom.streaming.ingest import ingest
 
@@ -83,13 +84,14 @@ def _width(files: DataFrame, wanted: int | None) -> int:
 
 def direct(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, pattern: str = "p3", tree: bool = False,
-    manifest: DataFrame | None = None,
+    manifest: DataFrame | None = None, jvm_decode: bool = False, profile: ResourceProfile | None = None,
 ) -> Run:
     """List, cut, spread the paths, then read, score and write each picture in one pass.
 
     Only paths are shuffled. With ``naming="ordinal"`` artifacts are numbered in path order and spread over
     ``write_workers`` tasks. ``tree`` lists in tasks, for collections too large for the driver; a ``manifest``
-    (``path, length``, a store inventory say) needs no listing at all.
+    (``path, length``, a store inventory say) needs no listing at all. ``jvm_decode`` leaves decoding to Spark's image
+    reader (JPEG, PNG, GIF, BMP without Pillow), which then also opens the files.
     """
     clock = Clock()
     with clock.phase("dataset_prep"):
@@ -99,9 +101,16 @@ def direct(
             files = first_n(manifest.select("path", "length"), params.n_images)
         files = output.name(files, params.image_dir)
         width = params.write_workers if output.naming == "ordinal" else _width(files, params.num_partitions)
-        paths = files.drop("length").repartition(width)
+        paths = files.drop("length")
+        if jvm_decode:
+            images = spark_images(spark, params.image_dir, output.mode, params.image_glob.rsplit("/", 1)[-1])
+            rows_in = images.join(paths.withColumn("path", normalise_path("path")), "path")
+        else:
+            rows_in = paths.repartition(width)
     with clock.phase("inference_write"):
-        scored = score_and_write(paths, model, params.micro_batch, output.mode, output.form)
+        scored = score_and_write(
+            rows_in, model, params.micro_batch, output.mode, output.form, decoded=jvm_decode, profile=profile
+        )
         table = output_table(params, pattern, "predictions")
         rows = save_table(scored.withColumn("path", normalise_path("path")), table)
     summary = {"pattern": pattern, "dataset": params.dataset, "num_partitions": width, "num_images": rows}
@@ -144,12 +153,13 @@ def ingest_then_score(
 
 def staged(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, folder: str,
-    batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5", precision: str = "double",
+    batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5", precision: str = "double", write_tasks: int | None = None,
 ) -> Run:
     """Decode, score and write as three steps; the result is a Parquet folder.
 
     Tensors pass from the first step to the second inside one task. Predictions are written out before the
-    last step, so writing never holds up or repeats the model's work.
+    last step, so writing never holds up or repeats the model's work, and ``write_tasks`` can spread it over
+    another number of tasks; only narrow rows move for that.
     """
     clock = Clock()
     with clock.phase("stages"):
@@ -162,6 +172,8 @@ def staged(
         scored = score_batches(tensors, "tensor", model, width, batch_size).drop("tensor")
         scored.write.mode("overwrite").parquet(f"{folder}/scored")
         done = spark.read.schema(scored.schema).parquet(f"{folder}/scored")
+        if write_tasks is not None:
+            done = done.repartition(write_tasks)
         written = annotate_and_write(read_bytes(done), batch_size=params.micro_batch, form=output.form)
         seen = Observation()
         final = written.withColumn("path", normalise_path("path")).observe(seen, F.count(F.lit(1)).alias("n"))

@@ -174,13 +174,18 @@ def write_bytes(files: DataFrame) -> DataFrame:
     return materialise(files.select("path", "content").mapInArrow(put, _LISTED_FILES), "written")
 
 
-def spark_images(spark: SparkSession, folder: str, mode: str = "FAILFAST") -> DataFrame:
-    """Images decoded by Spark's own reader: ``path, height, width, channels, data`` (BGR bytes).
+def spark_images(
+    spark: SparkSession, folder: str, mode: str = "FAILFAST", glob: str = "*", recursive: bool = True
+) -> DataFrame:
+    """Images decoded by Spark's own reader: ``path, height, width, channels, data`` (BGR bytes), ``error``.
 
     An unreadable file gives a placeholder row. ``FAILFAST`` raises on it, ``PERMISSIVE`` keeps it with an
     ``error`` text, ``DROPMALFORMED`` drops it.
     """
-    raw = spark.read.format("image").option("dropInvalid", str(mode == "DROPMALFORMED").lower())
+    raw = (
+        spark.read.format("image").option("dropInvalid", str(mode == "DROPMALFORMED").lower())
+        .option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    )
     bad = F.col("image.mode") < 0
     text = F.concat(F.lit("not an image: "), F.col("image.origin"))
     error = F.when(bad, F.raise_error(text) if mode == "FAILFAST" else text)

@@ -6,7 +6,7 @@ import io
 import re
 import time
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from typing import Protocol
 
@@ -76,7 +76,13 @@ class LinearModel:
         def cut(x: np.ndarray) -> np.ndarray:
             return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
-        return LinearModel(cut(self.weights), cut(self.bias), self.labels, self.prep, self.name, self.version)
+        return replace(self, weights=cut(self.weights), bias=cut(self.bias))
+
+    def half(self) -> LinearModel:
+        """The same model with half-precision weights."""
+        return replace(
+            self, weights=self.weights.astype(np.float16).astype(np.float64), bias=self.bias.astype(np.float16).astype(np.float64)
+        )
 
 
 @lru_cache(maxsize=4)
@@ -168,15 +174,16 @@ def label_map(codes: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-_VERSIONS = "name string, version string, tags map<string,string>, size int, mean array<double>, std array<double>, logged_at bigint"
+_VERSIONS = "name string, version string, size int, mean array<double>, std array<double>, logged_at bigint"
 _ALIASES = "name string, alias string, version string, set_at bigint"
+_TAGS = "name string, version string, key string, value string, set_at bigint"
 _LABELS = "name string, version string, class_id int, label string"
 _WEIGHTS = "name string, version string, class_id int, weights array<double>, bias double"
 
 
 @dataclass(frozen=True)
 class ModelStore:
-    """Named, versioned, aliased models as four append-only tables below one folder.
+    """Named, versioned, aliased models as append-only tables below one folder.
 
     Nothing is overwritten: moving an alias appends a row and the newest row counts, so a reader never
     meets a half-replaced table.
@@ -214,9 +221,12 @@ class ModelStore:
 
     def register(
         self, name: str, weights: DataFrame, labels: DataFrame | None = None, version: str | None = None,
-        prep: Preprocess = Preprocess(), tags: Mapping[str, str] | None = None,
+        prep: Preprocess | None = None, tags: Mapping[str, str] | None = None,
     ) -> str:
-        """Add a version from ``class_id, weights, bias`` and ``class_id, label``; returns its number."""
+        """Add a version from ``class_id, weights, bias`` and ``class_id, label``; returns its number.
+
+        A version without ``prep`` of its own falls back to the defaults.
+        """
         if version is None:
             try:
                 found = self.latest(name).first()
@@ -229,7 +239,10 @@ class ModelStore:
         self._append(weights.select(*stamp, F.col("class_id").cast("int"), "weights", "bias"), "weights")
         if labels is not None:
             self._append(labels.select(*stamp, F.col("class_id").cast("int"), "label"), "labels")
-        row = (name, version, dict(tags or {}), prep.size, list(prep.mean), list(prep.std), time.time_ns())
+        for key, value in (tags or {}).items():
+            self.set_tag(name, version, key, value)
+        own = (None, None, None) if prep is None else (prep.size, list(prep.mean), list(prep.std))
+        row = (name, version, *own, time.time_ns())
         # The version row comes last: a version is visible only when its parts are there.
         self._append(self.spark.createDataFrame([row], _VERSIONS), "versions")
         return version
@@ -244,7 +257,7 @@ class ModelStore:
         rows = self.weights().where(F.col("name") == name).select("name", "version").distinct()
         self._append(
             rows.select(
-                "name", "version", F.create_map().cast("map<string,string>").alias("tags"), F.lit(prep.size).alias("size"),
+                "name", "version", F.lit(prep.size).alias("size"),
                 F.array(*map(F.lit, prep.mean)).alias("mean"), F.array(*map(F.lit, prep.std)).alias("std"),
                 F.lit(time.time_ns()).alias("logged_at"),
             ),
@@ -254,6 +267,13 @@ class ModelStore:
     def set_alias(self, name: str, alias: str, version: str) -> None:
         self._append(self.spark.createDataFrame([(name, alias, version, time.time_ns())], _ALIASES), "aliases")
 
+    def set_tag(self, name: str, version: str, key: str, value: str) -> None:
+        self._append(self.spark.createDataFrame([(name, version, key, value, time.time_ns())], _TAGS), "tags")
+
+    def tags(self) -> DataFrame:
+        rows = self._read("tags", _TAGS)
+        return rows.groupBy("name", "version", "key").agg(F.max_by("value", "set_at").alias("value"))
+
     def resolve(self, uri: str) -> tuple[str, str]:
         """``models:/name@alias`` or ``models:/name/3`` as name and version."""
         parts = re.fullmatch(r"models:/([^@]+?)(?:@([^@/]+)|/(\d+))", uri)
@@ -269,7 +289,10 @@ class ModelStore:
 
     def prep(self, name: str, version: str) -> Preprocess:
         spec = self.versions(name).where(F.col("version") == version).first()
-        return Preprocess(spec["size"], tuple(spec["mean"]), tuple(spec["std"]))
+        default = Preprocess()
+        return Preprocess(
+            spec["size"] or default.size, tuple(spec["mean"] or default.mean), tuple(spec["std"] or default.std)
+        )
 
     def load_versions(self, name: str) -> Checkpoints:
         """Every version of a model, stacked. The total size is checked before anything is fetched."""

@@ -37,7 +37,8 @@ def test_set_up(spark, root):
     served = store.load("models:/bench_vit_serving@prod")
     direct = store.load("models:/bench_vit@prod")
     assert served.weights.tolist() == direct.weights.tolist() and served.labels == {0: "tench", 1: "church", 2: "gas pump"}
-    assert store.versions("bench_vit_serving").first()["tags"] == {"source_model": "bench_vit@prod v1"}
+    tags = store.tags().where("name = 'bench_vit_serving'").collect()
+    assert [(r["version"], r["key"], r["value"]) for r in tags] == [("1", "source_model", "bench_vit@prod v1")]
 
 
 def test_all_six_patterns_agree_and_are_logged(spark, root):

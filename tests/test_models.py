@@ -65,8 +65,20 @@ def test_size_is_checked_before_loading(spark, store, monkeypatch):
 
 def test_tags(spark, store):
     version = store.register("served", weights(spark, 1.0), tags={"source_model": "m@prod v1"})
-    assert store.versions("served").first()["tags"] == {"source_model": "m@prod v1"}
-    assert version == "1"
+    store.set_tag("served", version, "stage", "old")
+    store.set_tag("served", version, "stage", "new")
+    assert {r["key"]: r["value"] for r in store.tags().collect()} == {"source_model": "m@prod v1", "stage": "new"}
+
+
+def test_missing_preprocessing_falls_back(spark, store):
+    store.register("m", weights(spark, 1.0))
+    assert store.load("models:/m/1").prep == Preprocess()
+
+
+def test_lower_precision():
+    model = models.LinearModel(np.array([[0.1, 1 / 3]]), np.array([2.5005]))
+    assert model.half().weights.tolist() == [[float(np.float16(0.1)), float(np.float16(1 / 3))]]
+    assert model.rounded(2).weights.tolist() == [[0.1, 0.33]] and model.rounded(3).bias.tolist() == [2.501]
 
 
 def test_staged_model_is_the_same(spark, store, tmp_path):

@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from test_images import jvm_image
+
 from scoreloom.functions import pixels
 from scoreloom.operators import scoring
 from scoreloom.operators.artifacts import NameClash
@@ -56,7 +58,7 @@ def run_all(spark, data, folder, n, naming="basename", mode="FAILFAST"):
         "direct": patterns.direct(spark, params(), staged_model, output()),
         "tree": patterns.direct(spark, params(), MODEL, output(), tree=True),
         "ingest": patterns.ingest_then_score(spark, params(), MODEL, output(), scratch_path(spark, "c")),
-        "staged": patterns.staged(spark, params(), staged_model, output(), scratch_path(spark, "s"), batch_size=4),
+        "staged": patterns.staged(spark, params(), staged_model, output(), scratch_path(spark, "s"), batch_size=4, write_tasks=3),
         "served": patterns.served(spark, params(), "patterns_query", output()),
     }
 
@@ -93,6 +95,29 @@ def test_a_manifest_needs_no_listing(spark, data, folder):
     assert got == {p: want[p] for p in sorted(want)[:10]}
 
 
+def test_decoding_by_sparks_image_reader(spark, data, tmp_path):
+    want = {}
+    for i in range(6):
+        target = tmp_path / "png" / f"s{i % 2}" / f"{i} a+b.png"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        jvm_image(spark, target, picture(i, 9), "png")
+        z = MODEL.logits(pixels.to_tensor(picture(i, 9), 2, MODEL.prep.mean, MODEL.prep.std)[None])[0]
+        want[str(target)] = (MODEL.label(int(z.argmax())), round(float(1 / np.exp(z - z.max()).sum()), 9))
+    (tmp_path / "png" / "s0" / "bad.png").write_bytes(b"no image")
+
+    def go(mode, n=None):
+        params = data.params(image_dir=str(tmp_path / "png"), image_glob="*/*.png", n_images=n)
+        output = patterns.Output(scratch_path(spark, "a"), extension=".ppm", form="netpbm", mode=mode)
+        return patterns.direct(spark, params, MODEL, output, jvm_decode=True).table.collect()
+
+    rows = go("PERMISSIVE")
+    assert {r.path: (r.label, round(r.score, 9)) for r in rows if r.error is None} == want
+    assert [r.path for r in rows if r.error] == [str(tmp_path / "png" / "s0" / "bad.png")]
+    assert len(go("PERMISSIVE", 3)) == 3
+    with pytest.raises(Exception, match="not an image"):
+        go("FAILFAST")
+
+
 def test_ordinal_names(spark, data, folder):
     params = data.params(image_dir=str(folder), image_glob="*/*.ppm", n_images=7, write_workers=2)
     output = patterns.Output(scratch_path(spark, "annotated"), "ordinal", ".ppm", "netpbm")

@@ -117,6 +117,9 @@ def test_throttled_rows_are_found_by_completeness(spark, rows, model):
     served = flaky(model, 2)
     scoring.register_served(spark, "served_flaky", served, attempts=3, wait=0.001)
     scoring.register_served(spark, "served_dead", flaky(model, -1), attempts=2, wait=0.001)
+    scoring.register_served(spark, "served_why", flaky(model, -1), attempts=2, wait=0.001, batch_size=7, errors=True)
+    why = rows.selectExpr("served_why(named_struct('features', x)) AS p").select("p.*").distinct().collect()
+    assert [tuple(r) for r in why] == [(None, None, "throttled: later")]
     for name, lost in (("served_flaky", 0), ("served_dead", 300)):
         flat = rows.selectExpr("i", f"{name}(named_struct('features', x)) AS p").selectExpr("i", "p.label", "p.score")
         assert compare.missing(rows.select("i"), flat, "i").count() == lost
