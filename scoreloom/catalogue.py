@@ -548,7 +548,7 @@ def cold_warm(x: Inputs) -> DataFrame:
 
 @query
 def best_by_scale(x: Inputs) -> DataFrame:
-    rows = x.table("events").withColumn("size", F.date_format("ts", "yyyy-MM-dd"))
+    rows = x.table("events").withColumn("size", F.col("ts").cast("date").cast("string"))
     return reports.best_by_scale(rows, "size", "event_type", "value")
 
 

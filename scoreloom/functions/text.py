@@ -45,7 +45,7 @@ def caption(label: Column | str, score: Column | str) -> Column:
 
 def run_stamp(ts: Column | str) -> Column:
     """A time to the second, fit for a file name: ``2024-01-31T23-59-58``."""
-    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH-mm-ss")
+    return F.translate(F.substring(_col(ts).cast("string"), 1, 19), " :", "T-")
 
 
 def results_name(ts: Column | str) -> Column:

@@ -23,12 +23,13 @@ from scoreloom.operators.compare import join_payload
 from scoreloom.operators.scoring import picture_tensors, score_batches
 from scoreloom.plans.runlog import Clock, rate
 from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, output_table, quote_name
-from scoreloom.sources.files import binary_scan, first_n, list_files, list_tree, read_bytes, spark_images
+from scoreloom.sources.files import (
+    TOP_K_ROWS, at_depth, binary_scan, first_n, list_files, list_tree, read_bytes, spark_images,
+)
 from scoreloom.sources.models import Scorer
 from scoreloom.streaming.ingest import ingest
 
-
-TASK_BYTES = 512 << 20
+TASK_BYTES = 512 << 20  # input of one task where the number of tasks is not given
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,25 @@ def _width(files: DataFrame, wanted: int | None) -> int:
     return max(1, -(-total // TASK_BYTES))
 
 
+def _wanted(rows: DataFrame, paths: DataFrame, params: RunParams, output: Output) -> DataFrame:
+    """Rows with payload, cut to the first N by path, with output paths.
+
+    The cut and the checks look at ``paths`` only. Where every row is wanted and named by its own path, the
+    payload does not move at all; otherwise it is joined to the chosen paths, which Spark broadcasts while they
+    are few.
+    """
+    if params.n_images is None and output.naming != "ordinal":
+        output.name(paths, params.image_dir)
+        return output.name_only(rows, params.image_dir)
+    chosen = output.name(first_n(paths, params.n_images), params.image_dir).join(rows, "path")
+    return chosen.repartition(params.num_partitions) if _few(params) else chosen
+
+
+def _few(params: RunParams) -> bool:
+    """Whether the payload is a small cut, worth another shuffle to give every task some of it."""
+    return params.n_images is not None and params.n_images <= TOP_K_ROWS and params.num_partitions is not None
+
+
 def direct(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, pattern: str = "p3", tree: bool = False,
     manifest: DataFrame | None = None, jvm_decode: bool = False, profile: ResourceProfile | None = None,
@@ -99,14 +119,13 @@ def direct(
             files = _listed(spark, params, tree)
         else:
             files = first_n(manifest.select("path", "length"), params.n_images)
-        files = output.name(files, params.image_dir)
         width = params.write_workers if output.naming == "ordinal" else _width(files, params.num_partitions)
-        paths = files.drop("length")
         if jvm_decode:
             images = spark_images(spark, params.image_dir, output.mode, params.image_glob.rsplit("/", 1)[-1])
-            rows_in = images.join(paths.withColumn("path", normalise_path("path")), "path")
+            images = at_depth(images, params.image_dir, params.image_glob)
+            rows_in = _wanted(images, files.select(normalise_path("path").alias("path")), params, output)
         else:
-            rows_in = paths.repartition(width)
+            rows_in = output.name(files, params.image_dir).drop("length").repartition(width)
     with clock.phase("inference_write"):
         scored = score_and_write(
             rows_in, model, params.micro_batch, output.mode, output.form, decoded=jvm_decode, profile=profile
@@ -132,15 +151,7 @@ def ingest_then_score(
     ingested = spark.table(binary).count()
     with clock.phase("inference"):
         files = spark.table(binary).select("path", "content")
-        if params.n_images is None and output.naming != "ordinal":
-            # Every row is wanted and named by its own path: the bytes need not move at all.
-            output.name(files.select("path"), params.image_dir)
-            rows_in = output.name_only(files, params.image_dir)
-        else:
-            chosen = output.name(first_n(files.select("path"), params.n_images), params.image_dir)
-            rows_in = chosen.join(files, "path")
-            if params.n_images is not None and params.num_partitions is not None:
-                rows_in = rows_in.repartition(params.num_partitions)
+        rows_in = _wanted(files, files.select("path"), params, output)
         scored = score_and_write(rows_in, model, params.micro_batch, output.mode, output.form, content="content")
         table = output_table(params, pattern, "predictions")
         rows = save_table(scored.withColumn("path", normalise_path("path")), table)
@@ -217,7 +228,7 @@ def served(
         flat = spark.table(pred).selectExpr("path", "prediction.label AS label", "prediction.score AS score")
         named = output.name(flat, params.image_dir)
         rows_in = join_payload(named, spark.table(b64))
-        if params.n_images is not None and params.num_partitions is not None:
+        if _few(params):
             rows_in = rows_in.repartition(params.num_partitions)
         with_bytes = rows_in.withColumn("content", base64_bytes("image_b64")).drop("image_b64")
         rows = save_table(annotate_and_write(with_bytes, batch_size=params.micro_batch, form=output.form), out)

@@ -100,6 +100,9 @@ def session_conf(spark: SparkSession, values: Mapping[str, object]) -> Iterator[
                 spark.conf.set(key, value)
 
 
+_OWN_SCRATCH: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -111,8 +114,10 @@ def scratch_root(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="scoreloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_SCRATCH:
+            _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="scoreloom-")
+        root = _OWN_SCRATCH[app]
     return root.rstrip("/")
 
 

@@ -19,8 +19,9 @@ from scoreloom.sources.storage import IO_THREADS, io_map, list_folder, read_file
 
 PATH_SCHEMA = T.StructType([T.StructField("path", T.StringType())])
 
-# Above this many rows, "the first N" is cut by a distributed ordinal instead of a top-k on the driver.
-TOP_K_ROWS = 100_000
+# Up to this many rows, "the first N" is a top-k: every partition sends its first N to one task. Beyond, the
+# cut is made by a distributed ordinal.
+TOP_K_ROWS = 10_000
 
 _LISTED = T.StructType([
     T.StructField("path", T.StringType()),
@@ -74,18 +75,27 @@ def list_files(
     Without ``any_depth`` the pattern is relative to ``folder`` and fixes the depth: ``*.jpg`` is flat,
     ``*/*`` exactly one level down. With it the pattern is on the file name, at any depth.
     """
-    *folders, name = glob.split("/")
     listed = _or_empty(
-        lambda: binary_scan(spark, folder, name).select("path", "length"), _LISTED_FILES, spark
+        lambda: binary_scan(spark, folder, glob.rsplit("/", 1)[-1]).select("path", "length"), _LISTED_FILES, spark
     )
-    if not any_depth:
-        # One listing of the tree. Wildcards in the load path would make every match a root of its own.
-        parts = F.split(relative_path("path", folder), "/")
-        listed = listed.where(F.size(parts) == len(folders) + 1)
-        for i, pattern in enumerate(folders):
-            if pattern != "*":
-                listed = listed.where(parts[i].rlike(fnmatch.translate(pattern)))
-    return first_n(listed, n)
+    # The scan plans tasks for reading contents, some thirty files each; here there is nothing to read.
+    listed = listed.coalesce(4 * spark.sparkContext.defaultParallelism)
+    return first_n(listed if any_depth else at_depth(listed, folder, glob), n)
+
+
+def at_depth(files: DataFrame, folder: str, glob: str) -> DataFrame:
+    """Keep the files that lie as deep below ``folder`` as ``glob`` says, in folders that match it.
+
+    The name itself is left to the reader's filter. With wildcards in the load path instead, Spark would make
+    every match a root of its own and list it again.
+    """
+    folders = glob.split("/")[:-1]
+    parts = F.split(relative_path("path", folder), "/")
+    files = files.where(F.size(parts) == len(folders) + 1)
+    for i, pattern in enumerate(folders):
+        if pattern != "*":
+            files = files.where(parts[i].rlike(fnmatch.translate(pattern)))
+    return files
 
 
 def example_input(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

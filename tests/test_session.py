@@ -45,6 +45,25 @@ def test_scratch_follows_the_session(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
 
 
+class Session:
+    """Just enough of a session to ask for its scratch folder."""
+
+    def __init__(self, master, app="app-1", **conf):
+        values = {"spark.master": master, **conf}
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: values.get(key, default))})
+        self.sparkContext = type("Context", (), {"applicationId": app})
+
+
+def test_own_scratch_only_in_a_local_session(monkeypatch, tmp_path):
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    root = scratch_root(Session("local[2]"))
+    assert root.startswith(str(tmp_path)) and scratch_root(Session("local[2]")) == root
+    assert scratch_root(Session("local[2]", app="app-2")) != root
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(Session("spark://host:7077"))
+    assert scratch_root(Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://h/c/"})) == "hdfs://h/c"
+
+
 def test_shared_uri(spark):
     assert shared_uri(spark, "/a/b") == "file:///a/b"
     assert shared_uri(spark, "s3://b/c") == "s3://b/c"
