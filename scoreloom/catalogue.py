@@ -469,6 +469,20 @@ def ingest_stream(x: Inputs) -> DataFrame:
     return _relative(rows, x.page_folder, "length", F.md5("content").alias("md5"))
 
 
+@query
+def ingest_manifest(x: Inputs) -> DataFrame:
+    """The same files, named by manifests instead of found by listing; they arrive in two steps."""
+    params, checkpoint, folder = x.params(), scratch_path(x.spark, "checkpoint"), scratch_path(x.spark, "manifests")
+    table = quote_name(params.schema, "bench_pages_binary")
+    listed = files.list_files(x.spark, x.page_folder, "*/*").select("path")
+    for secure in (True, False):
+        found = listed.where(F.endswith("path", F.lit(".html")) == F.lit(secure))
+        found.write.mode("append").parquet(folder)
+        streaming.ingest_manifests(x.spark, folder, table, checkpoint)
+    rows = x.spark.table(table)
+    return _relative(rows, x.page_folder, "length", F.md5("content").alias("md5"))
+
+
 @query
 def incremental_score(x: Inputs) -> DataFrame:
     """Files arrive twice; each time they are ingested and scored, and what is scored already is left alone."""

@@ -208,6 +208,7 @@ SELECT l.doc_id, CAST(l.quality AS VARCHAR) AS label, length(d.text) AS n, md5(d
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     # streams
     "ingest_stream": f"SELECT {_PAGE} AS path, strlen(html) AS length, md5(html) AS md5 FROM pages",
+    "ingest_manifest": f"SELECT {_PAGE} AS path, strlen(html) AS length, md5(html) AS md5 FROM pages",
     "incremental_score": _PICTURES + f"""
 SELECT {_FILE} AS path, 'class_' || pred AS label, round(score, 6) AS score
 FROM best JOIN embeddings e ON best.vec_id = e.vec_id""",

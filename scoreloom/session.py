@@ -34,7 +34,7 @@ class RunParams:
     image_dir: str
     image_glob: str = "*"  # relative to image_dir, fixes the depth
     file_glob: str = "*"  # on the file name, at any depth
-    model_name: str = "bench_vit"
+    model_name: str = "classifier"
     model_alias: str = "prod"
     n_images: int | None = DEFAULT_N_IMAGES
     num_partitions: int | None = DEFAULT_PARTITIONS  # None: by the bytes to read

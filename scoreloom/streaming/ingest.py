@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from scoreloom.operators.compare import missing
 from scoreloom.operators.scoring import classify_content
 from scoreloom.session import materialise, session_conf
+from scoreloom.sources.files import PATH_SCHEMA, read_bytes
 from scoreloom.sources.models import Scorer
 
 # Fixed schema of Spark's binary file source: nothing is inferred, so no schema location is needed.
@@ -18,6 +19,7 @@ BINARY_FILE = T.StructType([
 ])
 
 FILES_PER_BATCH = 500_000
+MANIFESTS_PER_BATCH = 1000
 _CHECKPOINT = "scoreloom.checkpoint"
 
 
@@ -36,30 +38,55 @@ def file_stream(
     return reader.load(folder)
 
 
+def manifest_stream(spark: SparkSession, folder: str, manifests_per_batch: int = MANIFESTS_PER_BATCH) -> DataFrame:
+    """Stream of the files named by arriving manifests: Parquet files with a ``path`` column.
+
+    For collections whose listing would not fit the driver. A store's change feed, written as Parquet, names the
+    new files; the checkpoint remembers manifests, and tasks open the files.
+    """
+    named = spark.readStream.schema(PATH_SCHEMA).option("maxFilesPerTrigger", manifests_per_batch).parquet(folder)
+    # One manifest may name very many files.
+    spread = named.repartition(4 * spark.sparkContext.defaultParallelism)
+    return read_bytes(spread).select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
+
+
 def ingest(
     spark: SparkSession, folder: str, table: str, checkpoint: str, glob: str | None = None,
     files_per_batch: int = FILES_PER_BATCH, location: str | None = None,
 ) -> None:
-    """Drain everything that has arrived into ``table``, then stop. Each file lands once, across restarts.
+    """Drain the files that have arrived in ``folder`` into ``table``, then stop.
 
     A backlog is taken in bounded micro-batches, each committed on its own, so a lost run resumes there.
+    """
+    # A micro-batch lists each of its files again, by default in a task of its own. The source looks the
+    # setting up in this session while it runs.
+    listing = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}
+    with session_conf(spark, listing):
+        drain(file_stream(spark, folder, glob, files_per_batch=files_per_batch), table, checkpoint, location)
+
+
+def ingest_manifests(
+    spark: SparkSession, folder: str, table: str, checkpoint: str,
+    manifests_per_batch: int = MANIFESTS_PER_BATCH, location: str | None = None,
+) -> None:
+    """The same for the files named by the manifests that have arrived in ``folder``."""
+    drain(manifest_stream(spark, folder, manifests_per_batch), table, checkpoint, location)
+
+
+def drain(stream: DataFrame, table: str, checkpoint: str, location: str | None = None) -> None:
+    """Write everything that has arrived into ``table``, then stop. Each row lands once, across restarts.
+
     Table and checkpoint belong together: a table counts the batches of its checkpoint, and would take those
     of another one for repeats and drop them. So a second checkpoint is refused.
     """
+    spark = stream.sparkSession
     bound = _bound_checkpoint(spark, table)
     if bound not in (None, checkpoint):
         raise ValueError(f"{table} is fed by the checkpoint {bound}")
-    # A micro-batch lists each of its files again, by default in a task of its own. The source looks the
-    # setting up in this session while it runs.
-    listing = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}
-    writer = (
-        file_stream(spark, folder, glob, files_per_batch=files_per_batch)
-        .writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    )
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if location is not None:
         writer = writer.option("path", location)
-    with session_conf(spark, listing):
-        writer.toTable(table).awaitTermination()
+    writer.toTable(table).awaitTermination()
     if bound is None:
         text = checkpoint.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_CHECKPOINT}' = '{text}')")

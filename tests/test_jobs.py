@@ -28,17 +28,17 @@ def root(spark, tmp_path_factory):
     labels = spark.createDataFrame([(0, "tench"), (1, "church"), (2, "gas pump")], "class_id int, label string")
     for _ in range(2):
         store.register("soup", weights, prep=Preprocess(2))
-    assert register_bench_models(store, "soup", labels, "bench_vit", "bench_vit_serving") == ("1", "1")
+    assert register_bench_models(store, "soup", labels, "classifier", "classifier_serving") == ("1", "1")
     return base
 
 
 def test_set_up(spark, root):
     store = ModelStore(spark, f"{root}/models")
-    served = store.load("models:/bench_vit_serving@prod")
-    direct = store.load("models:/bench_vit@prod")
+    served = store.load("models:/classifier_serving@prod")
+    direct = store.load("models:/classifier@prod")
     assert served.weights.tolist() == direct.weights.tolist() and served.labels == {0: "tench", 1: "church", 2: "gas pump"}
-    tags = store.tags().where("name = 'bench_vit_serving'").collect()
-    assert [(r["version"], r["key"], r["value"]) for r in tags] == [("1", "source_model", "bench_vit@prod v1")]
+    tags = store.tags().where("name = 'classifier_serving'").collect()
+    assert [(r["version"], r["key"], r["value"]) for r in tags] == [("1", "source_model", "classifier@prod v1")]
 
 
 def test_all_six_patterns_agree_and_are_logged(spark, root):

@@ -14,7 +14,7 @@ def test_parameters_are_cast_once():
     assert (p.n_images, p.num_partitions, p.micro_batch, p.write_workers) == (12, 3, 4, 32)
     assert RunParams.from_text(BASE).n_images == 3925
     assert RunParams.from_text(BASE | {"n_images": ""}).n_images is None
-    assert p.model_uri == "models:/bench_vit@prod"
+    assert p.model_uri == "models:/classifier@prod"
     for bad in ({"n_images": "many"}, {"num_partitions": "1.5"}, {"unknown": "1"}):
         with pytest.raises(ValueError):
             RunParams.from_text(BASE | bad)

@@ -44,6 +44,20 @@ def test_a_second_checkpoint_is_refused(spark, place, tmp_path):
         S.ingest(spark, str(folder), table, str(tmp_path / "another"))
 
 
+def test_manifests_name_the_files(spark, place, tmp_path):
+    folder, table, checkpoint = place
+    for i in range(6):
+        put(folder, f"{i}.jpg", bytes([i]) * (i + 1))
+    manifests = str(tmp_path / "manifests")
+    for names, expected in ((range(4), 4), ((), 4), (range(4, 6), 6)):
+        rows = [(f"file:{folder}/{i}.jpg",) for i in names]
+        if rows:
+            spark.createDataFrame(rows, "path string").repartition(2).write.mode("append").parquet(manifests)
+        S.ingest_manifests(spark, manifests, table, checkpoint, manifests_per_batch=1)
+        got = {r.path[-5]: (r.length, bytes(r.content)) for r in spark.table(table).collect()}
+        assert got == {str(i): (i + 1, bytes([i]) * (i + 1)) for i in range(expected)}
+
+
 def test_listing_setting_is_put_back(spark, place):
     folder, table, checkpoint = place
     key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
