@@ -29,7 +29,7 @@ from scoreloom.sources.files import (
 from scoreloom.sources.models import Scorer
 from scoreloom.streaming.ingest import ingest
 
-TASK_BYTES = 512 << 20  # input of one task where the number of tasks is not given
+TASK_BYTES = 512 << 20  # most input bytes of one task
 
 
 @dataclass(frozen=True)
@@ -75,12 +75,15 @@ def _listed(spark: SparkSession, params: RunParams, tree: bool = False) -> DataF
     return list_files(spark, params.image_dir, params.image_glob, params.n_images)
 
 
-def _width(files: DataFrame, wanted: int | None) -> int:
-    """How many tasks to spread files over: as asked, or one per ``TASK_BYTES``."""
-    if wanted is not None:
+def _width(files: DataFrame, params: RunParams, wanted: int | None) -> int:
+    """How many tasks to spread files over: as asked, but enough that none reads more than ``TASK_BYTES``.
+
+    The bytes are added up only where the files may be too many for the asked number.
+    """
+    if wanted is not None and params.n_images is not None and params.n_images <= TOP_K_ROWS:
         return wanted
     total = files.agg(F.sum("length").alias("n")).first()["n"] or 0
-    return max(1, -(-total // TASK_BYTES))
+    return max(wanted or 1, -(-total // TASK_BYTES))
 
 
 def _wanted(rows: DataFrame, paths: DataFrame, params: RunParams, output: Output) -> DataFrame:
@@ -119,7 +122,7 @@ def direct(
             files = _listed(spark, params, tree)
         else:
             files = first_n(manifest.select("path", "length"), params.n_images)
-        width = params.write_workers if output.naming == "ordinal" else _width(files, params.num_partitions)
+        width = _width(files, params, params.write_workers if output.naming == "ordinal" else params.num_partitions)
         if jvm_decode:
             images = spark_images(spark, params.image_dir, output.mode, params.image_glob.rsplit("/", 1)[-1])
             images = at_depth(images, params.image_dir, params.image_glob)
@@ -175,7 +178,7 @@ def staged(
     clock = Clock()
     with clock.phase("stages"):
         files = output.name(_listed(spark, params), params.image_dir)
-        paths = files.drop("length").repartition(_width(files, params.num_partitions))
+        paths = files.drop("length").repartition(_width(files, params, params.num_partitions))
         tensors = picture_tensors(
             paths, model.prep, content=None, batch_size=params.micro_batch, precision=precision
         )

@@ -37,7 +37,7 @@ class RunParams:
     model_name: str = "classifier"
     model_alias: str = "prod"
     n_images: int | None = DEFAULT_N_IMAGES
-    num_partitions: int | None = DEFAULT_PARTITIONS  # None: by the bytes to read
+    num_partitions: int | None = DEFAULT_PARTITIONS  # at least; None: by the bytes to read
     write_workers: int = DEFAULT_WRITERS
     micro_batch: int = DEFAULT_MICRO_BATCH
 

@@ -158,10 +158,11 @@ def test_clashing_names_write_nothing(spark, data, folder):
 
 def test_tasks_by_bytes(spark, data, folder, monkeypatch):
     monkeypatch.setattr(patterns, "TASK_BYTES", 3000)
-    params = data.params(image_dir=str(folder), image_glob="*/*.ppm", num_partitions=None)
-    run = patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "a"), form="netpbm"))
     size = sum(p.stat().st_size for p in folder.rglob("*.ppm"))
-    assert run.summary["num_partitions"] == -(-size // 3000) and run.summary["num_images"] == 12
+    for n, wanted, tasks in ((None, None, -(-size // 3000)), (None, 2, -(-size // 3000)), (None, 40, 40), (100, 2, 2)):
+        params = data.params(image_dir=str(folder), image_glob="*/*.ppm", n_images=n, num_partitions=wanted)
+        run = patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "a"), form="netpbm"))
+        assert run.summary["num_partitions"] == tasks and run.summary["num_images"] == 12
 
 
 def test_summary_is_logged_and_exported(spark, tmp_path):
