@@ -21,7 +21,8 @@ from scoreloom.plans import patterns, reports, runlog
 from scoreloom.plans.jobs import register_bench_models
 from scoreloom.session import DEFAULT_N_IMAGES, RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package
 from scoreloom.sources import files
-from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, label_map, stage_model
+from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, stage_model
+from scoreloom.sources.models import label_map as map_labels
 from scoreloom.streaming import ingest as streaming
 
 # Fixed values of the picture model: input size, channel means and deviations.
@@ -118,7 +119,7 @@ class Inputs:
 
     def output(self, naming: str = "basename") -> patterns.Output:
         folder = scratch_path(self.spark, "annotated")
-        return patterns.Output(folder, naming, extension=".ppm", form="netpbm")
+        return patterns.Output(folder, naming, form="netpbm")
 
 
 def inputs(spark: SparkSession, folder: str) -> Inputs:
@@ -280,11 +281,11 @@ def model_lineage(x: Inputs) -> DataFrame:
 
 
 @query
-def label_map_codes(x: Inputs) -> DataFrame:
+def label_map(x: Inputs) -> DataFrame:
     code = F.concat(F.lit("n"), F.lpad(F.col("label").cast("string"), 4, "0"))
     rows = x.table("embeddings").select(code.alias("code"), "label").distinct()
     names = rows.select("code", F.concat(F.lit("class_"), "label").alias("label"))
-    return label_map(rows.agg(F.sort_array(F.collect_set("code")).alias("codes")), names)
+    return map_labels(rows.agg(F.sort_array(F.collect_set("code")).alias("codes")), names)
 
 
 @query

@@ -22,6 +22,7 @@ BOX_CORNER = (2, 2)
 BOX_PAD = 10
 TEXT_CORNER = (6, 4)
 JPEG_QUALITY = 90
+EXTENSIONS = {"jpeg": ".jpg", "netpbm": ".ppm"}
 FIXED_BITS = 22  # fraction bits of the resize weights
 GLYPH = (6, 11)  # size of one character of the default bitmap font
 
@@ -119,9 +120,16 @@ def annotate(picture: np.ndarray, text: str) -> np.ndarray:
     return boxed
 
 
-def encode_image(picture: np.ndarray, text: str, form: str = "auto") -> bytes:
-    """``jpeg`` needs Pillow; ``netpbm`` always works; ``auto`` takes the first that does."""
-    if form == "jpeg" or (form == "auto" and Image is not None):
+def settle_form(form: str) -> str:
+    """``auto`` is JPEG where Pillow is installed, else netpbm. Settled once per run, so that tasks agree."""
+    if form not in EXTENSIONS and form != "auto":
+        raise ValueError(f"form must be auto or one of {sorted(EXTENSIONS)}")
+    return form if form != "auto" else "netpbm" if Image is None else "jpeg"
+
+
+def encode_image(picture: np.ndarray, text: str, form: str) -> bytes:
+    """``jpeg`` needs Pillow and shows the caption in the picture; ``netpbm`` also carries it as a comment."""
+    if form == "jpeg":
         if Image is None:
             raise RuntimeError("writing JPEG needs Pillow on every executor")
         out = io.BytesIO()

@@ -97,9 +97,9 @@ def score_and_write(
     that could not be decoded have no artifact and a null ``output_path``.
     """
     check_mode(mode)
+    form = pixels.settle_form(form)
     prep = model.prep
-    spark = df.sparkSession
-    base = shared_uri(spark, "/")
+    base = shared_uri(df.sparkSession, "/")
 
     def make() -> Callable:
         ready = model.load()
@@ -139,6 +139,7 @@ def annotate_and_write(
 
     Rows without a label are passed on without an artifact.
     """
+    form = pixels.settle_form(form)
     base = shared_uri(df.sparkSession, "/")
 
     def make() -> Callable:

@@ -155,7 +155,7 @@ FROM w WHERE version = (SELECT max(version) FROM w) GROUP BY 2""",
     "model_lineage": "WITH " + _TENSORS.rstrip().rstrip(",") + """
 SELECT 'pictures_serving' AS name, '1' AS version, 'prod' AS alias, 'pictures@prod v1' AS source_model,
        count(DISTINCT class_id) AS n_classes, round(sum(w), 6) AS weight_sum FROM w""",
-    "label_map_codes": """
+    "label_map": """
 SELECT CAST(row_number() OVER (ORDER BY code) - 1 AS INT) AS class_id, code, label
 FROM (SELECT DISTINCT 'n' || lpad(CAST(label AS VARCHAR), 4, '0') AS code, 'class_' || label AS label FROM embeddings)""",
     "weight_soup": "WITH " + _FOLDS.rstrip().rstrip(",") + """

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.paths import normalise_path
+from scoreloom.functions.pixels import EXTENSIONS, settle_form
 from scoreloom.functions.text import base64_bytes, base64_text
 from scoreloom.operators.artifacts import annotate_and_write, require_unique, score_and_write, with_output_path
 from scoreloom.operators.compare import join_payload
@@ -46,13 +47,14 @@ class Output:
 
     folder: str
     naming: str = "basename"
-    extension: str = ".jpg"
+    extension: str | None = None  # by form
     form: str = "auto"
     shards: int = 0
     mode: str = "FAILFAST"
 
     def name_only(self, df: DataFrame, root: str) -> DataFrame:
-        return with_output_path(df, self.folder, self.naming, root, self.extension, self.shards)
+        extension = self.extension or EXTENSIONS[settle_form(self.form)]
+        return with_output_path(df, self.folder, self.naming, root, extension, self.shards)
 
     def name(self, df: DataFrame, root: str) -> DataFrame:
         """Add output paths, and refuse two inputs for one of them."""

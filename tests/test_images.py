@@ -101,6 +101,16 @@ def test_tensor_is_scaled_and_normalised():
     assert np.allclose(tensor[:, 0, 0], [0.0, 0.2, 0.8])
 
 
+def test_forms():
+    assert pixels.settle_form("netpbm") == "netpbm"
+    assert pixels.settle_form("auto") == ("netpbm" if pixels.Image is None else "jpeg")
+    with pytest.raises(ValueError):
+        pixels.settle_form("png")
+    if pixels.Image is None:
+        with pytest.raises(RuntimeError):
+            pixels.encode_image(random_picture(0), "x", "jpeg")
+
+
 def test_annotation_draws_a_box():
     picture = np.full((60, 300, 3), 200, np.uint8)
     boxed = pixels.annotate(picture, "golf ball (99.0%)")

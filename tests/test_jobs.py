@@ -48,7 +48,7 @@ def test_all_six_patterns_agree_and_are_logged(spark, root):
     }
     seen = {}
     for pattern in PATTERNS:
-        run = run_job(spark, pattern, values, str(root), form="netpbm", extension=".ppm")
+        run = run_job(spark, pattern, values, str(root), form="netpbm")
         seen[pattern] = sorted((r.path, r.label, round(r.score, 9)) for r in run.table.collect())
         folder = root / f"bench_out_{pattern}" / "tiny"
         assert len(list((folder / "annotated").glob("*.ppm"))) == 7

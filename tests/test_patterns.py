@@ -50,7 +50,7 @@ def run_all(spark, data, folder, n, naming="basename", mode="FAILFAST"):
         )
 
     def output():
-        return patterns.Output(scratch_path(spark, "annotated"), naming, ".ppm", "netpbm", mode=mode)
+        return patterns.Output(scratch_path(spark, "annotated"), naming, form="netpbm", mode=mode)
 
     scoring.register_served(spark, "patterns_query", scoring.ServedImages(MODEL, 5))
     staged_model = stage_model(spark, MODEL, scratch_path(spark, "m"))
@@ -107,7 +107,7 @@ def test_decoding_by_sparks_image_reader(spark, data, tmp_path):
 
     def go(mode, n=None):
         params = data.params(image_dir=str(tmp_path / "png"), image_glob="*/*.png", n_images=n)
-        output = patterns.Output(scratch_path(spark, "a"), extension=".ppm", form="netpbm", mode=mode)
+        output = patterns.Output(scratch_path(spark, "a"), form="netpbm", mode=mode)
         return patterns.direct(spark, params, MODEL, output, jvm_decode=True).table.collect()
 
     rows = go("PERMISSIVE")
@@ -120,7 +120,7 @@ def test_decoding_by_sparks_image_reader(spark, data, tmp_path):
 
 def test_ordinal_names(spark, data, folder):
     params = data.params(image_dir=str(folder), image_glob="*/*.ppm", n_images=7, write_workers=2)
-    output = patterns.Output(scratch_path(spark, "annotated"), "ordinal", ".ppm", "netpbm")
+    output = patterns.Output(scratch_path(spark, "annotated"), "ordinal", form="netpbm")
     run = patterns.direct(spark, params, MODEL, output, "p1")
     got = {r.path: r.output_path.rsplit("/", 1)[1] for r in run.table.collect()}
     assert got == {p: f"{i:06d}.ppm" for i, p in enumerate(sorted(truth(folder))[:7])}
@@ -128,7 +128,7 @@ def test_ordinal_names(spark, data, folder):
 
 def test_repeating_a_run_changes_nothing(spark, data, folder):
     params = data.params(image_dir=str(folder), image_glob="*/*.ppm", num_partitions=2)
-    output = patterns.Output(scratch_path(spark, "annotated"), "relative", ".ppm", "netpbm")
+    output = patterns.Output(scratch_path(spark, "annotated"), "relative", form="netpbm")
     states = []
     for _ in range(2):
         run = patterns.direct(spark, params, MODEL, output)
