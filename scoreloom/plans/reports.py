@@ -15,7 +15,7 @@ from scoreloom.functions.numbers import rounded
 from scoreloom.operators.ordinals import with_rank
 from scoreloom.session import materialise
 
-SECONDS = "decimal(12,2)"
+SECONDS = "decimal(14,3)"
 
 
 def exact(column: str) -> Column:
@@ -164,7 +164,7 @@ def cost_report(
     priced = used.join(
         prices.select(F.col(price_key).alias(key), by, F.col(price).cast("decimal(12,4)").alias("_price")), key
     )
-    cost = F.sum(F.col("_units").cast("decimal(20,2)") * F.col("_price"))
+    cost = F.sum(F.col("_units").cast("decimal(20,3)") * F.col("_price"))
     return priced.groupBy(sku, by).agg(
         _double(F.sum("_units")).alias("units"), rounded(_double(cost), 2).alias("cost")
     )

@@ -87,6 +87,17 @@ class RunLog:
     def metrics(self) -> DataFrame:
         return self.spark.read.schema(METRICS).parquet(f"{self.root}/run_metrics")
 
+    def phases(self) -> DataFrame:
+        """``run_id, run_name, pattern, dataset, logged_at, phase, seconds``: what the reports read."""
+        timed = self.metrics().where(F.endswith("key", F.lit("_s")) & (F.col("key") != "total_wall_s"))
+        phase = F.regexp_replace("key", "_s$", "").alias("phase")
+        return self.runs().join(timed.select("run_id", phase, F.col("value").alias("seconds")), "run_id")
+
+    def walls(self) -> DataFrame:
+        """One row per run with ``num_images``, ``total_wall_s`` and ``images_per_sec``."""
+        keys = ("num_images", "total_wall_s", "images_per_sec")
+        wide = self.metrics().groupBy("run_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+        return self.runs().join(wide, "run_id")
 
 def export_summary(spark: SparkSession, summary: Mapping, folder: str, now: datetime | None = None) -> str:
     """Write the summary as a JSON list of one object, named by the UTC time to the second."""

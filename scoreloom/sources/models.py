@@ -198,6 +198,11 @@ class ModelStore:
     def _append(self, df: DataFrame, table: str) -> None:
         df.write.mode("append").parquet(f"{self.root}/{table}")
 
+    def _append_row(self, row: tuple, schema: str, table: str) -> None:
+        fields = T.StructType.fromDDL(schema).fields
+        values = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]
+        self._append(self.spark.range(0, 1, 1, 1).select(*values), table)
+
     def versions(self, name: str | None = None) -> DataFrame:
         rows = self._read("versions", _VERSIONS)
         return rows if name is None else rows.where(F.col("name") == name)
@@ -244,7 +249,7 @@ class ModelStore:
         own = (None, None, None) if prep is None else (prep.size, list(prep.mean), list(prep.std))
         row = (name, version, *own, time.time_ns())
         # The version row comes last: a version is visible only when its parts are there.
-        self._append(self.spark.createDataFrame([row], _VERSIONS), "versions")
+        self._append_row(row, _VERSIONS, "versions")
         return version
 
     def register_all(self, name: str, weights: DataFrame, prep: Preprocess = Preprocess()) -> None:
@@ -265,10 +270,10 @@ class ModelStore:
         )
 
     def set_alias(self, name: str, alias: str, version: str) -> None:
-        self._append(self.spark.createDataFrame([(name, alias, version, time.time_ns())], _ALIASES), "aliases")
+        self._append_row((name, alias, version, time.time_ns()), _ALIASES, "aliases")
 
     def set_tag(self, name: str, version: str, key: str, value: str) -> None:
-        self._append(self.spark.createDataFrame([(name, version, key, value, time.time_ns())], _TAGS), "tags")
+        self._append_row((name, version, key, value, time.time_ns()), _TAGS, "tags")
 
     def tags(self) -> DataFrame:
         rows = self._read("tags", _TAGS)

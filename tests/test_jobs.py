@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from scoreloom.functions import pixels
+from scoreloom.plans import reports
 from scoreloom.plans.jobs import PATTERNS, register_bench_models, run_job
 from scoreloom.plans.runlog import RunLog
 from scoreloom.sources.models import ModelStore, Preprocess
@@ -57,6 +58,10 @@ def test_all_six_patterns_agree_and_are_logged(spark, root):
     assert all(rows == seen["p1"] for rows in seen.values()) and len(seen["p1"]) == 7
     log = RunLog(spark, f"{root}/runs")
     assert {r.run_name for r in log.runs().collect()} == {f"{p}_tiny" for p in PATTERNS}
+    shares = reports.phase_breakdown(log.phases(), "run_name", "phase", "seconds").collect()
+    assert {r["phase"] for r in shares if r["run_name"] == "p6_tiny"} == {"img_to_b64", "model_call", "annotate_write"}
+    ranks = reports.run_ranking(log.walls(), "run_name", "total_wall_s").collect()
+    assert sorted(r["rank"] for r in ranks)[0] == 1 and len(ranks) == 6
     assert log.metrics().where("key = 'num_images'").agg({"value": "min"}).first()[0] == 7.0
 
 
