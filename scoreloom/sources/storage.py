@@ -10,6 +10,7 @@ from functools import lru_cache
 
 from pyarrow import fs
 
+OBJECT_STORES = ("s3", "gcs", "abfs")
 IO_THREADS = 8  # requests a task keeps open at once; it waits for the store more than it computes
 
 
@@ -24,26 +25,24 @@ def io_map(call: Callable, *columns: Iterable) -> list:
 
 
 @lru_cache(maxsize=64)
-def _store(root: str) -> fs.FileSystem:
-    return fs.FileSystem.from_uri(root)[0]
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """File system of a bucket or host, and the path of its root; opened once per process."""
+    return fs.FileSystem.from_uri(root)
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of ``uri`` (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfss:``).
 
-    Everything after the scheme is taken as it stands, so names with blanks, ``%`` or ``#`` work.
+    Everything after the host is taken as it stands, so names with blanks, ``%`` or ``#`` work.
     """
     scheme, _, rest = uri.partition(":")
     if not rest or "/" in scheme:
         return fs.LocalFileSystem(), uri
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    if scheme in ("s3a", "s3n"):
-        scheme = "s3"
-    host = rest.lstrip("/").split("/", 1)[0]
-    store = _store(f"{scheme}://{host}/")
-    path = rest.lstrip("/") if scheme in ("s3", "gs") else "/" + rest.lstrip("/").partition("/")[2]
-    return store, path
+    host, _, path = rest.removeprefix("//").partition("/")
+    store, root = _store(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{host}/")
+    return store, f"{root.rstrip('/')}/{path}"
 
 
 def read_file(uri: str) -> bytes:
@@ -58,7 +57,7 @@ def write_file(uri: str, content: bytes) -> None:
     Object stores put a whole object at once; elsewhere a temporary name is moved over the final one.
     """
     store, path = open_store(uri)
-    if store.type_name in ("s3", "gcs", "abfs"):
+    if store.type_name in OBJECT_STORES:
         with store.open_output_stream(path) as f:
             f.write(content)
         return
@@ -77,13 +76,13 @@ def write_file(uri: str, content: bytes) -> None:
 def list_folder(uri: str) -> Iterator[tuple[str, bool, int]]:
     """Entries directly below ``uri``: path, is-folder, bytes. Local and mounted folders are streamed."""
     store, path = open_store(uri)
-    prefix = uri[: len(uri.rstrip("/")) - len(path.rstrip("/"))]
+    below = len(path.rstrip("/"))
     if isinstance(store, fs.LocalFileSystem):
         with os.scandir(path) as entries:
             for entry in entries:
                 is_folder = entry.is_dir()
-                yield prefix + entry.path, is_folder, 0 if is_folder else entry.stat().st_size
+                yield f"{uri.rstrip('/')}/{entry.name}", is_folder, 0 if is_folder else entry.stat().st_size
         return
     for info in store.get_file_info(fs.FileSelector(path)):
         is_folder = info.type == fs.FileType.Directory
-        yield prefix + info.path, is_folder, 0 if is_folder else info.size
+        yield uri.rstrip("/") + "/" + info.path[below:].lstrip("/"), is_folder, 0 if is_folder else info.size

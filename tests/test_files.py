@@ -5,10 +5,11 @@ import glob
 import hashlib
 
 import pytest
+from pyarrow import fs
 
 from scoreloom.functions.paths import normalise_path
 from scoreloom.operators.artifacts import NameClash, require_unique, with_output_path
-from scoreloom.sources import files
+from scoreloom.sources import files, storage
 from scoreloom.sources.storage import open_store, read_file, write_file
 
 
@@ -127,6 +128,33 @@ def test_write_replaces_whole_files(tmp_path):
     assert [p.name for p in (tmp_path / "deep/er").iterdir()] == ["x y#z%20.bin"]
 
 
-def test_store_addresses():
+def test_local_addresses():
     for uri in ("/a/b c", "file:/a/b c", "file:///a/b c"):
         assert open_store(uri)[1] == "/a/b c"
+
+
+@pytest.mark.parametrize(
+    "uri, opened, root, path",
+    [
+        ("s3a://bucket/a b/c%20.jpg", "s3://bucket/", "bucket", "bucket/a b/c%20.jpg"),
+        ("hdfs://host:8020/a/b#c.jpg", "hdfs://host:8020/", "/", "/a/b#c.jpg"),
+        ("abfss://box@account/a.jpg", "abfss://box@account/", "box", "box/a.jpg"),
+    ],
+)
+def test_remote_addresses(monkeypatch, uri, opened, root, path):
+    asked = []
+    monkeypatch.setattr(storage, "_store", lambda u: (asked.append(u), ("store", root))[1])
+    assert open_store(uri) == ("store", path)
+    assert asked == [opened]
+
+
+def test_remote_listing_keeps_the_address(monkeypatch, tmp_path):
+    """Names come back below the address that was asked for, whatever the store calls its root."""
+    (tmp_path / "bucket" / "d" / "e").mkdir(parents=True)
+    (tmp_path / "bucket" / "d" / "a b.jpg").write_bytes(b"123")
+    shared = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(storage, "_store", lambda u: (shared, "bucket"))
+    assert sorted(storage.list_folder("s3://bucket/d/")) == [("s3://bucket/d/a b.jpg", False, 3), ("s3://bucket/d/e", True, 0)]
+    monkeypatch.setattr(storage, "OBJECT_STORES", (shared.type_name,))
+    write_file("s3://bucket/d/new.jpg", b"4567")
+    assert read_file("s3://bucket/d/new.jpg") == b"4567"
