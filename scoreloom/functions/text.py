@@ -11,8 +11,8 @@ _UNIT = 1 << 56  # a percentage scaled by this power of two is a whole number th
 
 
 def base64_text(content: Column | str) -> Column:
-    """Base64 on one line. Spark breaks the text every 76 characters; ``translate`` takes the breaks out."""
-    return F.translate(F.base64(_col(content)), "\r\n", "")
+    """Base64 on one line; Spark breaks the text every 76 characters."""
+    return F.replace(F.base64(_col(content)), F.lit("\r\n"), F.lit(""))
 
 
 def base64_bytes(text: Column | str) -> Column:
