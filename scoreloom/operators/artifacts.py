@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from scoreloom.functions import pixels
 from scoreloom.functions.paths import base_name, join_path, normalise_path, ordinal_name, relative_path
 from scoreloom.operators.ordinals import with_ordinal
-from scoreloom.operators.scoring import check_mode, classify_decoded, classify_pictures, map_rows
+from scoreloom.operators.scoring import check_mode, classify_decoded, classify_pictures, map_rows, read_files
 from scoreloom.session import DEFAULT_MICRO_BATCH, shared_uri
 from scoreloom.sources.models import Scorer
-from scoreloom.sources.storage import io_map, read_file, write_file
+from scoreloom.sources.storage import io_map, write_file
 
 NAMINGS = ("ordinal", "basename", "relative")
 
@@ -111,7 +111,7 @@ def score_and_write(
                 pictures, rows = classify_decoded(found, ready, prep)
             else:
                 if content is None:
-                    bodies = io_map(read_file, [_with_scheme(p, base) for p in part.column("path").to_pylist()])
+                    bodies = read_files([_with_scheme(p, base) for p in part.column("path").to_pylist()], mode)
                 else:
                     bodies = part.column(content).to_pylist()
                 pictures, rows = classify_pictures(bodies, ready, prep, mode)

@@ -131,6 +131,20 @@ def _decode(content: bytes | None, mode: str) -> tuple[np.ndarray | None, str |
         return None, str(err)
 
 
+def read_files(uris: Sequence[str], mode: str) -> list[bytes | None]:
+    """Contents of a micro-batch; with ``PERMISSIVE`` a file that is gone is None."""
+
+    def read(uri: str) -> bytes | None:
+        try:
+            return read_file(uri)
+        except FileNotFoundError:
+            if mode == "FAILFAST":
+                raise
+            return None
+
+    return io_map(read, uris)
+
+
 def check_mode(mode: str) -> None:
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"mode must be FAILFAST or PERMISSIVE, not {mode!r}")
@@ -213,25 +227,34 @@ def map_rows(
 
 def picture_tensors(
     df: DataFrame, prep: Preprocess, content: str | None = "content", batch_size: int = DEFAULT_MICRO_BATCH,
-    precision: str = "double",
+    precision: str = "double", mode: str = "FAILFAST",
 ) -> DataFrame:
-    """Replace image bytes by ``tensor``: decoded, resized, normalised, flattened channels first.
+    """Replace image bytes by ``tensor`` and ``error``: decoded, resized, normalised, flattened channels first.
 
-    Without ``content`` the task opens ``path``, and only the tensor leaves it.
+    Without ``content`` the task opens ``path``, and only the tensor leaves it. What cannot be decoded gets a
+    tensor of zeros and an error, or stops the job.
     ``precision="float"`` halves what travels on, for networks that compute in single precision anyway.
     """
     number = {"double": T.DoubleType(), "float": T.FloatType()}[precision]
     kind = {"double": np.float64, "float": np.float32}[precision]
 
+    check_mode(mode)
+    blank = np.zeros(3 * prep.size**2, kind)
+
+    def tensor(picture: np.ndarray | None) -> np.ndarray:
+        if picture is None:
+            return blank
+        return pixels.to_tensor(picture, prep.size, prep.mean, prep.std).ravel().astype(kind, copy=False)
+
     def make() -> Callable:
         def tensors(part: pa.RecordBatch) -> list:
-            bodies = part.column(content).to_pylist() if content else io_map(read_file, part.column("path").to_pylist())
-            made = (pixels.to_tensor(pixels.decode_image(c), prep.size, prep.mean, prep.std) for c in bodies)
-            return [[tensor.ravel().astype(kind, copy=False) for tensor in made]]
+            bodies = part.column(content).to_pylist() if content else read_files(part.column("path").to_pylist(), mode)
+            decoded = [_decode(c, mode) for c in bodies]
+            return [[tensor(picture) for picture, _ in decoded], [error for _, error in decoded]]
 
         return tensors
 
-    added = T.StructType([T.StructField("tensor", T.ArrayType(number))])
+    added = T.StructType([T.StructField("tensor", T.ArrayType(number)), T.StructField("error", T.StringType())])
     return map_rows(df, added, make, batch_size, drop=[content] if content else [])
 
 
@@ -277,9 +300,11 @@ def call_with_retry(call: Callable, batch, attempts: int = 5, wait: float = 0.2)
 class ServedImages:
     """The serving contract for images: a frame with base64 ``image`` in, a frame ``label, score`` out."""
 
-    def __init__(self, model: Scorer, batch_size: int = DEFAULT_MICRO_BATCH):
+    def __init__(self, model: Scorer, batch_size: int = DEFAULT_MICRO_BATCH, mode: str = "FAILFAST"):
+        check_mode(mode)
         self.model = model
         self.batch_size = batch_size
+        self.mode = mode
 
     def load(self) -> ServedImages:
         self.model.load()
@@ -289,8 +314,9 @@ class ServedImages:
         ready, texts, rows = self.model.load(), frame["image"].tolist(), []
         for start in range(0, len(texts), self.batch_size):
             part = [base64.b64decode(t) for t in texts[start : start + self.batch_size]]
-            rows += classify_pictures(part, ready, self.model.prep, "FAILFAST")[1]
-        return pd.DataFrame({"label": [r[1] for r in rows], "score": [r[2] for r in rows]})
+            rows += classify_pictures(part, ready, self.model.prep, self.mode)[1]
+        scores = np.array([r[2] for r in rows], dtype=np.float64)
+        return pd.DataFrame({"label": [r[1] for r in rows], "score": scores})
 
 
 class ServedVectors:

@@ -62,11 +62,11 @@ def run_job(
     naming = "ordinal" if pattern in ("p1", "p2") else "basename"
     where = patterns.Output(f"{folder}/annotated", **{"naming": naming, **output})
     if pattern == "p4":
-        run = patterns.ingest_then_score(spark, params, model, where, f"{folder}/_ingest")
+        run = patterns.ingest_then_score(spark, params, model, where, f"{folder}/_ingest", location=f"{folder}/_binary")
     elif pattern == "p5":
         run = patterns.staged(spark, params, model, where, folder)
     elif pattern == "p6":
-        register_served(spark, SERVED_FUNCTION, ServedImages(model, params.micro_batch))
+        register_served(spark, SERVED_FUNCTION, ServedImages(model, params.micro_batch, where.mode))
         run = patterns.served(spark, params, SERVED_FUNCTION, where)
     else:
         run = patterns.direct(spark, params, model, where, pattern)

@@ -72,7 +72,7 @@ def save_table(df: DataFrame, table: str) -> int:
 
 
 def _listed(spark: SparkSession, params: RunParams, tree: bool = False) -> DataFrame:
-    if tree:
+    if tree:  # at any depth
         return first_n(list_tree(spark, params.image_dir, params.file_glob), params.n_images)
     return list_files(spark, params.image_dir, params.image_glob, params.n_images)
 
@@ -118,6 +118,8 @@ def direct(
     (``path, length``, a store inventory say) needs no listing at all. ``jvm_decode`` leaves decoding to Spark's image
     reader (JPEG, PNG, GIF, BMP without Pillow), which then also opens the files.
     """
+    if jvm_decode and manifest is not None:
+        raise ValueError("Spark's image reader lists for itself: give either jvm_decode or a manifest")
     clock = Clock()
     with clock.phase("dataset_prep"):
         if manifest is None:
@@ -142,17 +144,21 @@ def direct(
 
 
 def ingest_then_score(
-    spark: SparkSession, params: RunParams, model: Scorer, output: Output, checkpoint: str, pattern: str = "p4"
+    spark: SparkSession, params: RunParams, model: Scorer, output: Output, checkpoint: str, pattern: str = "p4",
+    location: str | None = None,
 ) -> Run:
     """Stream every file into a byte table, then score the first N rows of the table by path.
 
+    With a ``location`` the table's files lie there, beside the checkpoint, and outlive a catalog that is kept
+    in memory only.
+
     The cut looks at paths only. The chosen rows are joined back to their bytes, which are not sorted, and
     not shuffled while the chosen paths are few enough to broadcast.
     """
     clock = Clock()
     binary = output_table(params, "", "binary")
     with clock.phase("ingest"):
-        ingest(spark, params.image_dir, binary, checkpoint, params.file_glob)
+        ingest(spark, params.image_dir, binary, checkpoint, params.file_glob, location=location)
     ingested = spark.table(binary).count()
     with clock.phase("inference"):
         files = spark.table(binary).select("path", "content")
@@ -182,10 +188,12 @@ def staged(
         files = output.name(_listed(spark, params), params.image_dir)
         paths = files.drop("length").repartition(_width(files, params, params.num_partitions))
         tensors = picture_tensors(
-            paths, model.prep, content=None, batch_size=params.micro_batch, precision=precision
+            paths, model.prep, content=None, batch_size=params.micro_batch, precision=precision, mode=output.mode
         )
         width = 3 * model.prep.size**2
         scored = score_batches(tensors, "tensor", model, width, batch_size).drop("tensor")
+        for column in ("class_id", "label", "score"):
+            scored = scored.withColumn(column, F.when(F.col("error").isNull(), F.col(column)))
         scored.write.mode("overwrite").parquet(f"{folder}/scored")
         done = spark.read.schema(scored.schema).parquet(f"{folder}/scored")
         if write_tasks is not None:
@@ -207,7 +215,8 @@ def base64_rows(spark: SparkSession, params: RunParams) -> DataFrame:
     if params.n_images is None:
         files = binary_scan(spark, params.image_dir, params.file_glob)
     else:
-        files = read_bytes(list_files(spark, params.image_dir, params.file_glob, params.n_images, any_depth=True))
+        listed = list_files(spark, params.image_dir, params.file_glob, params.n_images, any_depth=True)
+        files = read_bytes(listed.repartition(_width(listed, params, params.num_partitions)))
     return files.select(normalise_path("path").alias("path"), base64_text("content").alias("image_b64"))
 
 
@@ -216,7 +225,7 @@ def served(
 ) -> Run:
     """Base64 table, then the registered SQL ``function`` on it, then join back and write.
 
-    Each step is a table, so a lost run resumes at the last one that was finished.
+    Each step is a table, so what a later step loses does not bring the model's work back.
     """
     clock = Clock()
     b64, pred, out = (

@@ -65,6 +65,21 @@ def test_all_six_patterns_agree_and_are_logged(spark, root):
     assert log.metrics().where("key = 'num_images'").agg({"value": "min"}).first()[0] == 7.0
 
 
+def test_ingest_goes_on_in_a_later_session(spark, root):
+    """A rerun finds nothing new, also when the catalog has forgotten the table."""
+    values = {
+        "catalog": "", "schema": f"jobs_{uuid.uuid4().hex[:8]}", "dataset": "again", "image_dir": f"{root}/images",
+        "file_glob": "*.ppm", "n_images": "", "num_partitions": "2",
+    }
+    counts = []
+    for forget in (False, True, True):
+        if forget:
+            spark.sql(f"DROP TABLE {values['schema']}.bench_again_binary")
+        run = run_job(spark, "p4", values, str(root), log=False, form="netpbm")
+        counts.append((run.summary["num_ingested"], run.summary["num_images"], run.table.count()))
+    assert counts == [(9, 9, 9)] * 3
+
+
 def test_unknown_pattern(spark, root):
     with pytest.raises(ValueError):
         run_job(spark, "p7", {}, str(root))

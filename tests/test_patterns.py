@@ -52,7 +52,7 @@ def run_all(spark, data, folder, n, naming="basename", mode="FAILFAST"):
     def output():
         return patterns.Output(scratch_path(spark, "annotated"), naming, form="netpbm", mode=mode)
 
-    scoring.register_served(spark, "patterns_query", scoring.ServedImages(MODEL, 5))
+    scoring.register_served(spark, "patterns_query", scoring.ServedImages(MODEL, 5, mode))
     staged_model = stage_model(spark, MODEL, scratch_path(spark, "m"))
     return {
         "direct": patterns.direct(spark, params(), staged_model, output()),
@@ -137,15 +137,39 @@ def test_repeating_a_run_changes_nothing(spark, data, folder):
 
 
 def test_a_bad_file(spark, data, folder):
+    want = truth(folder)
+    bad = str(folder / "s0" / "bad.ppm")
     (folder / "s0" / "bad.ppm").write_bytes(b"nothing")
+    for name, run in run_all(spark, data, folder, None, mode="PERMISSIVE").items():
+        rows = {r.path: r for r in run.table.collect()}
+        assert {p: (r.label, round(r.score, 9)) for p, r in rows.items() if p != bad} == want, name
+        assert rows[bad].label is None and rows[bad].score is None and rows[bad].output_path is None, name
+        if name != "served":
+            assert rows[bad].error, name
     params = data.params(image_dir=str(folder), image_glob="*/*.ppm", num_partitions=2)
-    output = patterns.Output(scratch_path(spark, "annotated"), form="netpbm", mode="PERMISSIVE")
-    rows = patterns.direct(spark, params, MODEL, output).table.collect()
-    bad = [r for r in rows if r.error]
-    assert len(rows) == 13 and [r.path for r in bad] == [str(folder / "s0" / "bad.ppm")]
-    assert bad[0].label is None and bad[0].output_path is None
-    with pytest.raises(Exception, match="unknown image format"):
-        patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "annotated"), form="netpbm"))
+    output = patterns.Output(scratch_path(spark, "annotated"), form="netpbm")
+    for run in (
+        lambda: patterns.direct(spark, params, MODEL, output),
+        lambda: patterns.staged(spark, params, MODEL, output, scratch_path(spark, "s")),
+    ):
+        with pytest.raises(Exception, match="unknown image format"):
+            run()
+
+
+def test_a_file_that_is_gone(spark, data, folder):
+    gone = str(folder / "s0" / "gone.ppm")
+    manifest = spark.createDataFrame([(p, 1) for p in [*truth(folder), gone]], "path string, length bigint")
+    params = data.params(image_dir="/absent")
+
+    def go(mode):
+        output = patterns.Output(scratch_path(spark, "a"), form="netpbm", mode=mode)
+        return patterns.direct(spark, params, MODEL, output, manifest=manifest).table.collect()
+
+    assert [r.path for r in go("PERMISSIVE") if r.error == "no content"] == [gone]
+    with pytest.raises(Exception, match="gone.ppm"):
+        go("FAILFAST")
+    with pytest.raises(ValueError):
+        patterns.direct(spark, params, MODEL, patterns.Output("/o"), manifest=manifest, jvm_decode=True)
 
 
 def test_clashing_names_write_nothing(spark, data, folder):
