@@ -56,8 +56,10 @@ class Inputs:
 
     def write_files(self, rows: DataFrame, folder: str) -> str:
         prefix = F.lit(shared_uri(self.spark, folder) + "/")
-        spread = rows.repartition(self.spark.sparkContext.defaultParallelism)
-        files.write_bytes(spread.select(F.concat(prefix, "path").alias("path"), "content"))
+        tasks = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < tasks:  # one small input file would be one task
+            rows = rows.repartition(tasks)
+        files.write_bytes(rows.select(F.concat(prefix, "path").alias("path"), "content"))
         return folder
 
     @cached_property
@@ -184,8 +186,9 @@ def binary_scan(x: Inputs) -> DataFrame:
 def read_paths(x: Inputs) -> DataFrame:
     """Bytes read by the tasks that hold the paths."""
     folder = x.page_folder
-    listed = files.list_files(x.spark, folder, "*/*").select("path")
-    body = files.read_bytes(listed.repartition(x.spark.sparkContext.defaultParallelism))
+    listed = files.list_files(x.spark, folder, "*/*")
+    tasks = files.tasks_for(listed, x.spark.sparkContext.defaultParallelism)
+    body = files.read_bytes(listed.select("path").repartition(tasks))
     return _relative(body, folder, F.md5("content").alias("md5"))
 
 
@@ -336,8 +339,10 @@ def label_lookup(x: Inputs) -> DataFrame:
     rows = x.table("embeddings")
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     mean = sizes.agg(F.avg("n").alias("m")).first()["m"]
-    named = {r["label"]: f"class_{r['label']}" for r in sizes.where(F.col("n") >= mean).limit(10_000).collect()}
-    scored = scoring.score_arrow(rows.select("vec_id", "embedding"), "embedding", x.vector_model)
+    model = x.vector_model
+    large = sizes.where(F.col("n") >= mean).select("label")  # no more rows than the model has classes
+    named = {r["label"]: model.label(r["label"]) for r in large.collect()}
+    scored = scoring.score_arrow(rows.select("vec_id", "embedding"), "embedding", model)
     return scoring.with_label(scored, named).select("vec_id", F.col("class_id").alias("pred"), "label")
 
 

@@ -25,13 +25,11 @@ from scoreloom.operators.scoring import picture_tensors, score_batches
 from scoreloom.plans.runlog import Clock, rate
 from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, output_table, quote_name
 from scoreloom.sources.files import (
-    TOP_K_ROWS, at_depth, binary_scan, first_n, list_files, list_tree, read_bytes, spark_images,
+    TOP_K_ROWS, at_depth, binary_scan, first_n, list_files, list_tree, read_bytes, spark_images, tasks_for,
 )
 from scoreloom.sources.models import Scorer
 from scoreloom.streaming.ingest import ingest
 
-TASK_BYTES = 512 << 20  # most input bytes of one task
-
 
 @dataclass(frozen=True)
 class Run:
@@ -78,14 +76,10 @@ def _listed(spark: SparkSession, params: RunParams, tree: bool = False) -> DataF
 
 
 def _width(files: DataFrame, params: RunParams, wanted: int | None) -> int:
-    """How many tasks to spread files over: as asked, but enough that none reads more than ``TASK_BYTES``.
-
-    The bytes are added up only where the files may be too many for the asked number.
-    """
+    """How many tasks to spread files over: as asked, or more where the files may be too many for that."""
     if wanted is not None and params.n_images is not None and params.n_images <= TOP_K_ROWS:
         return wanted
-    total = files.agg(F.sum("length").alias("n")).first()["n"] or 0
-    return max(wanted or 1, -(-total // TASK_BYTES))
+    return tasks_for(files, wanted or 1)
 
 
 def _wanted(rows: DataFrame, paths: DataFrame, params: RunParams, output: Output) -> DataFrame:

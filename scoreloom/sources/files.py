@@ -23,6 +23,8 @@ PATH_SCHEMA = T.StructType([T.StructField("path", T.StringType())])
 # cut is made by a distributed ordinal.
 TOP_K_ROWS = 10_000
 
+TASK_BYTES = 512 << 20  # most input bytes of one task
+
 _LISTED = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("is_folder", T.BooleanType()),
@@ -149,6 +151,12 @@ def list_tree(spark: SparkSession, folder: str, glob: str | None = None, partiti
     return listed
 
 
+def tasks_for(files: DataFrame, at_least: int = 1) -> int:
+    """Number of tasks at which none has to read more than ``TASK_BYTES`` of ``path, length`` files."""
+    total = files.agg(F.sum("length").alias("n")).first()["n"] or 0
+    return max(at_least, -(-total // TASK_BYTES))
+
+
 def read_bytes(paths: DataFrame, column: str = "path") -> DataFrame:
     """Add ``content`` to a table of paths; each task opens the files of its own rows.
 

@@ -321,7 +321,8 @@ class ModelStore:
         _check_size(f"{name} v{version}", weights)
         rows = weights.orderBy("class_id").collect()
         try:
-            texts = {r["class_id"]: r["label"] for r in self.labels().where(one).limit(len(rows) + 1).collect()}
+            named = self.labels().where(one).join(weights.select("class_id"), "class_id", "left_semi")
+            texts = {r["class_id"]: r["label"] for r in named.collect()}  # as many as there are classes
         except Exception as err:  # no model of this store has labels
             if "PATH_NOT_FOUND" not in str(err):
                 raise

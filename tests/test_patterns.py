@@ -13,6 +13,7 @@ from scoreloom.operators import scoring
 from scoreloom.operators.artifacts import NameClash
 from scoreloom.plans import patterns
 from scoreloom.session import scratch_path
+from scoreloom.sources import files
 from scoreloom.sources.models import LinearModel, Preprocess, stage_model
 
 MODEL = LinearModel(
@@ -181,7 +182,7 @@ def test_clashing_names_write_nothing(spark, data, folder):
 
 
 def test_tasks_by_bytes(spark, data, folder, monkeypatch):
-    monkeypatch.setattr(patterns, "TASK_BYTES", 3000)
+    monkeypatch.setattr(files, "TASK_BYTES", 3000)
     size = sum(p.stat().st_size for p in folder.rglob("*.ppm"))
     for n, wanted, tasks in ((None, None, -(-size // 3000)), (None, 2, -(-size // 3000)), (None, 40, 40), (100, 2, 2)):
         params = data.params(image_dir=str(folder), image_glob="*/*.ppm", n_images=n, num_partitions=wanted)
