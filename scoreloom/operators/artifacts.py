@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from scoreloom.functions import pixels
 from scoreloom.functions.paths import base_name, join_path, normalise_path, ordinal_name, relative_path
 from scoreloom.operators.ordinals import with_ordinal
-from scoreloom.operators.scoring import check_mode, classify_decoded, classify_pictures, map_rows, read_files
+from scoreloom.operators.scoring import check_mode, classify_decoded, classify_pictures, file_reader, map_rows
 from scoreloom.session import DEFAULT_MICRO_BATCH, shared_uri
 from scoreloom.sources.models import Scorer
 from scoreloom.sources.storage import io_map, write_file
@@ -104,16 +104,13 @@ def score_and_write(
     def make() -> Callable:
         ready = model.load()
 
-        def run(part: pa.RecordBatch) -> list:
+        def run(part: pa.RecordBatch, bodies: list | None = None) -> list:
             targets = part.column("_target").to_pylist()
             if decoded:
                 found = [_from_struct(*row) for row in zip(*[part.column(c).to_pylist() for c in _DECODED])]
                 pictures, rows = classify_decoded(found, ready, prep)
             else:
-                if content is None:
-                    bodies = read_files([_with_scheme(p, base) for p in part.column("path").to_pylist()], mode)
-                else:
-                    bodies = part.column(content).to_pylist()
+                bodies = part.column(content).to_pylist() if content else bodies
                 pictures, rows = classify_pictures(bodies, ready, prep, mode)
 
             def write(picture, row: tuple, target: str) -> str | None:
@@ -129,7 +126,8 @@ def score_and_write(
 
     added = T.StructType([*_PREDICTED, T.StructField("output_path", T.StringType())])
     drop = ["_target", *([content] if content else []), *(_DECODED if decoded else [])]
-    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop, profile)
+    fetch = None if content or decoded else file_reader("path", mode, lambda p: _with_scheme(p, base))
+    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop, fetch, profile)
 
 
 def annotate_and_write(

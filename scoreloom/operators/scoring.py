@@ -23,7 +23,7 @@ from scoreloom.functions import pixels
 from scoreloom.functions.tensors import best_class, confidence, linear_logits
 from scoreloom.session import DEFAULT_MICRO_BATCH, DEFAULT_MODEL_BATCH
 from scoreloom.sources.models import Checkpoints, LinearModel, Preprocess, Scorer
-from scoreloom.sources.storage import io_map, read_file
+from scoreloom.sources.storage import io_start, read_file
 
 PREDICTION = "struct<class_id:int,label:string,score:double,error:string>"
 SERVED = "label string, score double"
@@ -131,8 +131,11 @@ def _decode(content: bytes | None, mode: str) -> tuple[np.ndarray | None, str |
         return None, str(err)
 
 
-def read_files(uris: Sequence[str], mode: str) -> list[bytes | None]:
-    """Contents of a micro-batch; with ``PERMISSIVE`` a file that is gone is None."""
+def file_reader(column: str, mode: str, address: Callable[[str], str] = str) -> Callable:
+    """A ``fetch`` for ``map_rows``: starts reading the files of a micro-batch.
+
+    With ``PERMISSIVE`` a file that is gone is None.
+    """
 
     def read(uri: str) -> bytes | None:
         try:
@@ -142,7 +145,7 @@ def read_files(uris: Sequence[str], mode: str) -> list[bytes | None]:
                 raise
             return None
 
-    return io_map(read, uris)
+    return lambda part: io_start(read, [address(p) for p in part.column(column).to_pylist()])
 
 
 def check_mode(mode: str) -> None:
@@ -199,13 +202,14 @@ def classify_content(
 
 def map_rows(
     df: DataFrame, added: T.StructType, make: Callable[[], Callable], batch_size: int, drop: Sequence[str] = (),
-    profile: ResourceProfile | None = None,
+    fetch: Callable | None = None, profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Add columns computed per micro-batch. ``make`` runs once per task and returns the batch function.
 
     The function takes a record batch of at most ``batch_size`` rows and returns one list per added column.
     Results leave in micro-batches too, so a task holds few pictures at a time however small their files are.
-    A ``profile`` asks for special executors (accelerators, say) for this step.
+    ``fetch`` starts reading what a micro-batch needs while the one before it is computed; the function gets the
+    results as a second argument. A ``profile`` asks for special executors (accelerators, say) for this step.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     out = T.StructType([*kept, *added.fields])
@@ -214,17 +218,30 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
-        for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                new = [pa.array(values, field.type) for values, field in zip(call(part), schema)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], *new], names=[*names, *schema.names]
-                )
+        parts = (b.slice(start, batch_size) for b in batches for start in range(0, b.num_rows, batch_size))
+        for part, started in _ahead(parts, fetch):
+            lists = call(part) if fetch is None else call(part, [f.result() for f in started])
+            new = [pa.array(values, field.type) for values, field in zip(lists, schema)]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *new], names=[*names, *schema.names])
 
     return df.mapInArrow(run, out, profile=profile)
 
 
+def _ahead(parts: Iterator[pa.RecordBatch], fetch: Callable | None) -> Iterator[tuple]:
+    """Each part with what ``fetch`` started for it, which happens one part before it is used."""
+    if fetch is None:
+        yield from ((part, None) for part in parts)
+        return
+    waiting = None
+    for part in parts:
+        started = part, fetch(part)
+        if waiting is not None:
+            yield waiting
+        waiting = started
+    if waiting is not None:
+        yield waiting
+
+
 def picture_tensors(
     df: DataFrame, prep: Preprocess, content: str | None = "content", batch_size: int = DEFAULT_MICRO_BATCH,
     precision: str = "double", mode: str = "FAILFAST",
@@ -247,15 +264,17 @@ def picture_tensors(
         return pixels.to_tensor(picture, prep.size, prep.mean, prep.std).ravel().astype(kind, copy=False)
 
     def make() -> Callable:
-        def tensors(part: pa.RecordBatch) -> list:
-            bodies = part.column(content).to_pylist() if content else read_files(part.column("path").to_pylist(), mode)
+        def tensors(part: pa.RecordBatch, bodies: list | None = None) -> list:
+            bodies = part.column(content).to_pylist() if content else bodies
             decoded = [_decode(c, mode) for c in bodies]
             return [[tensor(picture) for picture, _ in decoded], [error for _, error in decoded]]
 
         return tensors
 
     added = T.StructType([T.StructField("tensor", T.ArrayType(number)), T.StructField("error", T.StringType())])
-    return map_rows(df, added, make, batch_size, drop=[content] if content else [])
+    if content:
+        return map_rows(df, added, make, batch_size, drop=[content])
+    return map_rows(df, added, make, batch_size, fetch=file_reader("path", mode))
 
 
 def picture_bytes(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import lru_cache
 
 from pyarrow import fs
@@ -24,6 +24,11 @@ def io_map(call: Callable, *columns: Iterable) -> list:
     return list(_pool().map(call, *columns))
 
 
+def io_start(call: Callable, values: Iterable) -> list[Future]:
+    """Start the same for values that are needed a little later."""
+    return [_pool().submit(call, value) for value in values]
+
+
 @lru_cache(maxsize=64)
 def _store(root: str) -> tuple[fs.FileSystem, str]:
     """File system of a bucket or host, and the path of its root; opened once per process."""
