@@ -131,29 +131,33 @@ def score_and_write(
 
 
 def annotate_and_write(
-    df: DataFrame, content: str = "content", batch_size: int = DEFAULT_MICRO_BATCH, form: str = "auto"
+    df: DataFrame, content: str | None = "content", batch_size: int = DEFAULT_MICRO_BATCH, form: str = "auto",
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Write the artifact of rows that are already scored (``label, score, output_path`` and the bytes).
 
-    Rows without a label are passed on without an artifact.
+    Without ``content`` the task opens ``path``. Rows without a label are passed on without an artifact.
     """
     form = pixels.settle_form(form)
     base = shared_uri(df.sparkSession, "/")
 
     def make() -> Callable:
-        def write(body: bytes, label: str | None, score: float | None, target: str) -> str | None:
-            if label is None:
+        def write(body: bytes | None, label: str | None, score: float | None, target: str) -> str | None:
+            if label is None or body is None:
                 return None
             _write(pixels.decode_image(body), label, score, _with_scheme(target, base), form)
             return target
 
-        def run(part: pa.RecordBatch) -> list:
-            return [io_map(write, *[part.column(c).to_pylist() for c in (content, "label", "score", "_target")])]
+        def run(part: pa.RecordBatch, bodies: list | None = None) -> list:
+            bodies = part.column(content).to_pylist() if content else bodies
+            return [io_map(write, bodies, *[part.column(c).to_pylist() for c in ("label", "score", "_target")])]
 
         return run
 
     added = T.StructType([T.StructField("output_path", T.StringType())])
-    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, ["_target", content])
+    drop = ["_target", *([content] if content else [])]
+    fetch = None if content else file_reader("path", mode, lambda p: _with_scheme(p, base))
+    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop, fetch)
 
 
 def _with_scheme(path: str, base: str) -> str:

@@ -192,7 +192,7 @@ def staged(
         done = spark.read.schema(scored.schema).parquet(f"{folder}/scored")
         if write_tasks is not None:
             done = done.repartition(write_tasks)
-        written = annotate_and_write(read_bytes(done), batch_size=params.micro_batch, form=output.form)
+        written = annotate_and_write(done, None, params.micro_batch, output.form, output.mode)
         seen = Observation()
         final = written.withColumn("path", normalise_path("path")).observe(seen, F.count(F.lit(1)).alias("n"))
         final.write.mode("overwrite").parquet(f"{folder}/predictions")
