@@ -39,6 +39,7 @@ def register_bench_models(
 
 
 def output_folder(root: str, pattern: str, dataset: str) -> str:
+    # Fixed format of the output folders.
     return f"{root.rstrip('/')}/bench_out_{pattern}/{dataset}"
 
 

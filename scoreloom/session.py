@@ -74,6 +74,7 @@ def quote_name(*parts: str) -> str:
 
 def output_table(params: RunParams, pattern: str, kind: str) -> str:
     """Table name of one pattern's output for one dataset, e.g. ``bench_p3_coco_predictions``."""
+    # Fixed format of the table names.
     stem = "_".join(x for x in ("bench", pattern, params.dataset, kind) if x)
     return quote_name(params.catalog, params.schema, stem)
 
