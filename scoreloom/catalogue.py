@@ -19,7 +19,9 @@ from scoreloom.functions.numbers import rounded
 from scoreloom.operators import artifacts, compare, scoring
 from scoreloom.plans import patterns, reports, runlog
 from scoreloom.plans.jobs import register_bench_models
-from scoreloom.session import DEFAULT_N_IMAGES, RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package
+from scoreloom.session import (
+    DEFAULT_N_IMAGES, RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package,
+)
 from scoreloom.sources import files
 from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, stage_model
 from scoreloom.sources.models import label_map as map_labels
@@ -72,7 +74,8 @@ class Inputs:
         site = F.regexp_extract("url", r"\.example\.([a-z]+)/", 1)
         ending = F.when(F.col("url").startswith("https"), ".html").otherwise(".htm")
         name = F.concat_ws("/", site, P.ordinal_name("page_id", ""))
-        pages = self.table("pages").select(F.concat(name, ending).alias("path"), F.encode("html", "UTF-8").alias("content"))
+        body = F.encode("html", "UTF-8")
+        pages = self.table("pages").select(F.concat(name, ending).alias("path"), body.alias("content"))
         return self.write_files(pages, scratch_path(self.spark, "pages"))
 
     @cached_property
@@ -80,7 +83,8 @@ class Inputs:
         """Models as tables: one over vectors, its ten checkpoints, one over pictures, and its serving form."""
         store = ModelStore(self.spark, scratch_path(self.spark, "models"))
         rows = self.table("embeddings")
-        names = rows.select(F.col("label").alias("class_id"), F.concat(F.lit("class_"), "label").alias("label")).distinct()
+        text_of = F.concat(F.lit("class_"), "label").alias("label")
+        names = rows.select(F.col("label").alias("class_id"), text_of).distinct()
 
         version = store.register("vectors", centroid_weights(rows, "embedding", "label"), names)
         store.set_alias("vectors", "prod", version)
@@ -237,7 +241,7 @@ def resize_pool(x: Inputs) -> DataFrame:
 @query
 def picture_tensor(x: Inputs) -> DataFrame:
     made = scoring.picture_tensors(x.pictures().select("vec_id", "content"), PICTURE_PREP, batch_size=64)
-    return made.select("vec_id", F.posexplode("tensor").alias("pos", "v")).select("vec_id", "pos", rounded("v").alias("v"))
+    return made.select("vec_id", F.posexplode("tensor").alias("pos", "v")).withColumn("v", rounded("v"))
 
 
 @query
@@ -323,7 +327,8 @@ def served_score(x: Inputs) -> DataFrame:
     """The model called from SQL, struct in and struct out, then flattened."""
     scoring.register_served(x.spark, "vector_query", scoring.ServedVectors(x.vector_model))
     called = x.table("embeddings").selectExpr("vec_id", "vector_query(named_struct('features', embedding)) AS prediction")
-    return called.selectExpr("vec_id", "prediction.label AS label", "prediction.score AS score").withColumn("score", rounded("score"))
+    flat = called.selectExpr("vec_id", "prediction.label AS label", "prediction.score AS score")
+    return flat.withColumn("score", rounded("score"))
 
 
 @query
@@ -580,7 +585,8 @@ def billed_time(x: Inputs) -> DataFrame:
 @query
 def cost_report(x: Inputs) -> DataFrame:
     return reports.cost_report(
-        x.table("lineitem"), x.table("part"), "l_returnflag", "l_partkey", "p_partkey", "l_quantity", "p_retailprice", "p_brand"
+        x.table("lineitem"), x.table("part"), sku="l_returnflag", key="l_partkey", price_key="p_partkey",
+        units="l_quantity", price="p_retailprice", by="p_brand",
     )
 
 

@@ -93,8 +93,9 @@ def score_and_write(
     """Decode, score, annotate and write in one pass over ``path, output_path``.
 
     Each picture is decoded once. With ``content`` the bytes come from that column; without, the task opens
-    ``path`` itself and the bytes never leave it. ``decoded`` rows come from ``spark_images`` instead. The output adds ``class_id, label, score, error``; rows
-    that could not be decoded have no artifact and a null ``output_path``.
+    ``path`` itself and the bytes never leave it. ``decoded`` rows come from ``spark_images`` instead. The
+    output adds ``class_id, label, score, error``; rows that could not be decoded have no artifact and a null
+    ``output_path``.
     """
     check_mode(mode)
     form = pixels.settle_form(form)

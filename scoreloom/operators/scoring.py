@@ -68,9 +68,10 @@ def score_arrow(df: DataFrame, features: str, model: Scorer) -> DataFrame:
         ready = model.load()
         for column in batches:
             found = column.is_valid()
-            classes, scores = pick(ready.logits(_matrix(column.filter(found)))) if found.true_count else pick(np.empty((0, 1)))
+            given = column.filter(found)
+            classes, scores = pick(ready.logits(_matrix(given)) if len(given) else np.empty((0, 1)))
             rows = pa.StructArray.from_arrays([pa.array(classes), pa.array(scores)], ["class_id", "score"])
-            yield rows if found.true_count == len(column) else _spread(rows, found)
+            yield rows if len(given) == len(column) else _spread(rows, found)
 
     kept = df.columns
     return df.withColumn("_p", predict(features)).select(*kept, "_p.class_id", "_p.score")
@@ -83,7 +84,9 @@ def _spread(rows: pa.Array, found: pa.Array) -> pa.Array:
     return rows.take(pa.array(places, mask=~mask))
 
 
-def score_batches(df: DataFrame, features: str, model: Scorer, width: int, batch_size: int = DEFAULT_MODEL_BATCH) -> DataFrame:
+def score_batches(
+    df: DataFrame, features: str, model: Scorer, width: int, batch_size: int = DEFAULT_MODEL_BATCH
+) -> DataFrame:
     """Fixed-size mini-batches through ``predict_batch_udf``: adds ``class_id``, ``label`` and ``score``.
 
     The model is loaded once per worker. ``width`` is the length of ``features``.
@@ -370,7 +373,8 @@ def register_served(
             return call_with_retry(ready.predict, part, attempts, wait).assign(error=None)
         except Throttled as err:
             rows = len(part)
-            return pd.DataFrame({"label": [None] * rows, "score": np.full(rows, np.nan), "error": [f"throttled: {err}"] * rows})
+            reason = [f"throttled: {err}"] * rows
+            return pd.DataFrame({"label": [None] * rows, "score": np.full(rows, np.nan), "error": reason})
 
     columns = ["label", "score", "error"] if errors else ["label", "score"]
 

@@ -72,7 +72,10 @@ def run_job(
     else:
         run = patterns.direct(spark, params, model, where, pattern)
     if log:
-        used = {"pattern": pattern, "dataset": params.dataset, "model_uri": params.model_uri, "num_partitions": params.num_partitions}
+        used = {
+            "pattern": pattern, "dataset": params.dataset, "model_uri": params.model_uri,
+            "num_partitions": params.num_partitions,
+        }
         RunLog(spark, f"{root.rstrip('/')}/runs").log(run.summary, used)
         export_summary(spark, run.summary, f"{folder}/results")
     return run

@@ -94,7 +94,9 @@ def scaling_report(rows: DataFrame, pattern: str, is_second: Column, seconds: st
         F.count(first).alias("n_first"), F.coalesce(F.sum(first), F.lit(0)).alias("_s1"),
         F.count(second).alias("n_second"), F.coalesce(F.sum(second), F.lit(0)).alias("_s2"),
     )
-    a, b = (F.col(n).cast("double") / F.greatest(_double(s), F.lit(1e-9)) for n, s in (("n_first", "_s1"), ("n_second", "_s2")))
+    a, b = (
+        _double(n) / F.greatest(_double(s), F.lit(1e-9)) for n, s in (("n_first", "_s1"), ("n_second", "_s2"))
+    )
     return sums.select(
         pattern, "n_first", "n_second", rounded(a).alias("rate_first"), rounded(b).alias("rate_second"),
         rounded(b / F.nullif(a, F.lit(0.0))).alias("scaling"),
@@ -143,7 +145,8 @@ def billed_time(rows: DataFrame, run: str, phase: str, seconds: str, startup: st
 
     p = F.col(phase)
     sums = rows.groupBy(run).agg(
-        total(~p.isin(startup, queue)).alias("_work"), total(p == startup).alias("_startup"), total(p == queue).alias("_queue")
+        total(~p.isin(startup, queue)).alias("_work"), total(p == startup).alias("_startup"),
+        total(p == queue).alias("_queue"),
     )
     work, start, wait = F.col("_work"), F.col("_startup"), F.col("_queue")
     return sums.select(

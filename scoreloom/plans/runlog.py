@@ -96,7 +96,8 @@ class RunLog:
     def walls(self) -> DataFrame:
         """One row per run with ``num_images``, ``total_wall_s`` and ``images_per_sec``."""
         keys = ("num_images", "total_wall_s", "images_per_sec")
-        wide = self.metrics().groupBy("run_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+        value = lambda k: F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
+        wide = self.metrics().groupBy("run_id").agg(*map(value, keys))
         return self.runs().join(wide, "run_id")
 
 def export_summary(spark: SparkSession, summary: Mapping, folder: str, now: datetime | None = None) -> str:

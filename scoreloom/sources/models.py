@@ -80,9 +80,10 @@ class LinearModel:
 
     def half(self) -> LinearModel:
         """The same model with half-precision weights."""
-        return replace(
-            self, weights=self.weights.astype(np.float16).astype(np.float64), bias=self.bias.astype(np.float16).astype(np.float64)
-        )
+        def cut(x: np.ndarray) -> np.ndarray:
+            return x.astype(np.float16).astype(np.float64)
+
+        return replace(self, weights=cut(self.weights), bias=cut(self.bias))
 
 
 @lru_cache(maxsize=4)
@@ -156,7 +157,8 @@ def stage_model(spark: SparkSession, model: LinearModel, folder: str) -> StagedM
     np.savez(
         out, weights=model.weights, bias=model.bias, size=model.prep.size,
         mean=np.array(model.prep.mean), std=np.array(model.prep.std),
-        label_ids=np.array(list(model.labels), dtype=np.int64), label_texts=np.array(list(model.labels.values()), dtype=str),
+        label_ids=np.array(list(model.labels), dtype=np.int64),
+        label_texts=np.array(list(model.labels.values()), dtype=str),
     )
     write_file(uri, out.getvalue())
     return StagedModel(uri, model.prep)

@@ -100,12 +100,12 @@ def _bound_checkpoint(spark: SparkSession, table: str) -> str | None:
 
 
 def unscored(binary: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Rows of the byte table that have no prediction yet.
+    """Rows of the byte table that have no prediction yet; one that failed counts as done.
 
     The paths are compared first, without content. Only then is content read, and it is shuffled only when
     the new paths are too many to broadcast.
     """
-    todo = materialise(missing(binary.select("path"), predictions), "unscored")
+    todo = materialise(missing(binary.select("path"), predictions.select("path")), "unscored")
     return binary.join(todo, "path", "left_semi")
 
 

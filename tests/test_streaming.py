@@ -67,6 +67,17 @@ def test_listing_setting_is_put_back(spark, place):
     assert spark.conf.get(key, None) == before
 
 
+def test_bad_rows_are_not_tried_again(spark, place):
+    folder, table, checkpoint = place
+    put(folder, "bad.ppm", b"nothing")
+    model = LinearModel(np.zeros((2, 12)), np.zeros(2), {}, Preprocess(2))
+    S.ingest(spark, str(folder), table, checkpoint)
+    for _ in range(2):
+        S.score_new(spark, table, table + "_predictions", model, mode="PERMISSIVE")
+        rows = spark.table(table + "_predictions").collect()
+        assert [(r.label, bool(r.error)) for r in rows] == [(None, True)]
+
+
 def test_only_new_rows_are_scored(spark, place):
     folder, table, checkpoint = place
     predictions = table + "_predictions"
