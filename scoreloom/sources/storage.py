@@ -75,7 +75,13 @@ def write_file(uri: str, content: bytes) -> None:
         out = store.open_output_stream(temp)
     with out as f:
         f.write(content)
-    store.move(temp, path)
+    try:
+        store.move(temp, path)
+    except OSError:
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(path)  # some stores do not move over a file that is there
+        store.move(temp, path)
 
 
 def list_folder(uri: str) -> Iterator[tuple[str, bool, int]]:

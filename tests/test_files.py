@@ -128,6 +128,31 @@ def test_write_replaces_whole_files(tmp_path):
     assert [p.name for p in (tmp_path / "deep/er").iterdir()] == ["x y#z%20.bin"]
 
 
+class Strict:
+    """A store that refuses to move over an existing file."""
+
+    type_name = "hdfs"
+
+    def __init__(self):
+        self.inner = fs.LocalFileSystem()
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def move(self, source, target):
+        if self.inner.get_file_info(target).type != fs.FileType.NotFound:
+            raise OSError("target exists")
+        self.inner.move(source, target)
+
+
+def test_write_on_a_strict_store(monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "_store", lambda u: (Strict(), str(tmp_path)))
+    for body in (b"first", b"second"):
+        write_file("hdfs://host/d/x.bin", body)
+        assert read_file("hdfs://host/d/x.bin") == body
+    assert [p.name for p in (tmp_path / "d").iterdir()] == ["x.bin"]
+
+
 def test_local_addresses():
     for uri in ("/a/b c", "file:/a/b c", "file:///a/b c"):
         assert open_store(uri)[1] == "/a/b c"
