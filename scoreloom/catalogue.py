@@ -499,7 +499,8 @@ def incremental_score(x: Inputs) -> DataFrame:
     """Files arrive twice; each time they are ingested and scored, and what is scored already is left alone."""
     params, folder, checkpoint = x.params(), scratch_path(x.spark, "arrivals"), scratch_path(x.spark, "checkpoint")
     binary, predictions = (quote_name(params.schema, t) for t in ("bench_pictures_binary", "predictions"))
-    for arrived in (F.col("label") < 5, F.col("label") >= 5):
+    early = F.coalesce(F.col("label") < 5, F.lit(False))
+    for arrived in (early, ~early):
         x.write_files(x.pictures().where(arrived), folder)
         streaming.ingest(x.spark, folder, binary, checkpoint, "*.pgm")
         streaming.score_new(x.spark, binary, predictions, x.picture_model)
