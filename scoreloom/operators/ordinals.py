@@ -10,7 +10,7 @@ from scoreloom.session import materialise
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
-def _running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over all rows with a smaller ``key``; ``key`` is unique.
 
     The table is range-sorted and written once, so sampled range limits cannot differ between two readings.
@@ -52,6 +52,6 @@ def with_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
     ``df`` is read twice: pass a written table when its keys are computed.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = _running_total(counts, key, "_n", "_before")
+    ranks = running_total(counts, key, "_n", "_before")
     ranks = ranks.select(F.col(key).alias("_key"), (F.col("_before") + 1).alias(out))
     return df.join(ranks, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
