@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, dedup, pii, shards
+from scoreloom.llm import bpe, chat, dedup, pii, shards, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +23,19 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER))
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Pack all conversations and a probe into prefix trees, and read every conversation back from them."""
+    return chat.read_back(*chat.pack(chat.with_probe(_table(spark, folder, "conversations"))))
+
+
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.report(_table(spark, folder, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_documents(_table(spark, folder, "documents"))
 
@@ -37,11 +50,16 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_chat": op2_chat,
+    "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op9_exact_dedup": dedup.ORACLE,
 }

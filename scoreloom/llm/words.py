@@ -15,8 +15,8 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 #: Everything but space and the control characters 9 to 13.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -52,6 +52,16 @@ class Words:
     hash: np.ndarray
     first: np.ndarray
 
+    def stems(self, n: int, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the first n bytes of each word as if they were a word, and whether the word is longer."""
+        longer = self.end - self.start > n
+        total = np.full(int(longer.sum()), n, dtype=np.uint64)
+        for j, p in enumerate(powers(_BASE, n)):
+            total += (fold[self.data[self.start[longer] + j]].astype(np.uint64) + np.uint64(1)) * p
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        out[longer] = mix(total)
+        return out, longer
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether they lie in one row."""
         m = len(self.hash)
@@ -67,6 +77,11 @@ class Words:
         return out, whole
 
 
+def word_hashes(texts: list[str], table: np.ndarray = NOT_SPACE, fold: np.ndarray = LOWER) -> np.ndarray:
+    """Hashes of the words of a few texts."""
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *(w.hash for w in words(pa.array(texts, pa.string()), table, fold))])
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,8 +108,8 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[range, n
         at = to
 
 
-def words(column: pa.Array, table: np.ndarray = NOT_SPACE, size: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of a string column, in slices of rows. Hashes are of the bytes with A-Z lowered."""
+def words(column: pa.Array, table: np.ndarray = NOT_SPACE, fold: np.ndarray = LOWER, size: int = SLICE_BYTES) -> Iterator[Words]:
+    """The words of a string column, in slices of rows. Hashes are of the bytes after ``fold`` (A-Z lowered)."""
     for rows, offsets, data in slices(column, size):
         inside = table[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
@@ -111,7 +126,7 @@ def words(column: pa.Array, table: np.ndarray = NOT_SPACE, size: int = SLICE_BYT
             length = end - start
             at = np.cumsum(length) - length
             power = powers(_BASE, int(length.max()) + 1)
-            value = (_LOWER[data[inside]].astype(np.uint64) + np.uint64(1)) * power[np.arange(int(length.sum())) - np.repeat(at, length)]
+            value = (fold[data[inside]].astype(np.uint64) + np.uint64(1)) * power[np.arange(int(length.sum())) - np.repeat(at, length)]
             hashed = mix(np.add.reduceat(value, at) + length.astype(np.uint64))
         else:
             hashed = np.zeros(0, dtype=np.uint64)
