@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, chat, dedup, pii, shards, toxicity, warc
+from scoreloom.llm import bpe, chat, dedup, jaccard, pii, shards, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, folder, "documents"), n=3, percent=90)
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_documents(_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
