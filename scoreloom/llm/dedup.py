@@ -24,6 +24,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # a store would set aside megabytes before it has rows
     "spark.sql.streaming.metricsEnabled": "false",
 }
 BUCKETS = 1024  # of 32768 bits each: what marks the digests met more than once, 4 MB whatever the table
