@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, chat, dedup, jaccard, pii, shards, toxicity, warc
+from scoreloom.llm import bpe, chat, decontaminate, dedup, jaccard, passages, pii, shards, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,10 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(*chat.pack(chat.with_probe(_table(spark, folder, "conversations"))))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.report(_table(spark, folder, "pages"))
 
@@ -36,6 +40,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, folder, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"), n=3, percent=90)
 
@@ -55,8 +63,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
+    "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
