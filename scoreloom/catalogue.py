@@ -17,10 +17,11 @@ from scoreloom.functions import paths as P
 from scoreloom.functions import tensors, text
 from scoreloom.functions.numbers import rounded
 from scoreloom.operators import artifacts, compare, scoring
+from scoreloom.operators.ordinals import with_ordinal
 from scoreloom.plans import patterns, reports, runlog
 from scoreloom.plans.jobs import register_bench_models
 from scoreloom.session import (
-    DEFAULT_N_IMAGES, RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package,
+    RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package,
 )
 from scoreloom.sources import files
 from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, stage_model
@@ -161,9 +162,15 @@ def _relative(df: DataFrame, folder: str, *more) -> DataFrame:
 
 @query
 def list_files(x: Inputs) -> DataFrame:
-    """The first 3,925 files by path, the usual size of a run."""
     folder = x.page_folder
-    return _relative(files.list_files(x.spark, folder, "*/*", n=DEFAULT_N_IMAGES), folder, "length")
+    return _relative(files.list_files(x.spark, folder, "*/*"), folder, "length")
+
+
+@query
+def first_files(x: Inputs) -> DataFrame:
+    """The first hundred files by path, of all there are: a report whose limit is its point."""
+    folder = x.page_folder
+    return _relative(files.list_files(x.spark, folder, "*/*.{html,htm}", n=100), folder, "length")
 
 
 @query
@@ -292,7 +299,7 @@ def label_map(x: Inputs) -> DataFrame:
     code = F.concat(F.lit("n"), F.lpad(F.col("label").cast("string"), 4, "0"))
     rows = x.table("embeddings").select(code.alias("code"), "label").distinct()
     names = rows.select("code", F.concat(F.lit("class_"), "label").alias("label"))
-    return map_labels(rows.agg(F.sort_array(F.collect_set("code")).alias("codes")), names)
+    return map_labels(with_ordinal(rows.select("code"), "code", "class_id"), names)
 
 
 @query
@@ -343,12 +350,12 @@ def label_lookup(x: Inputs) -> DataFrame:
     """Names exist for the classes of at least average size; the others fall back to their index."""
     rows = x.table("embeddings")
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    mean = sizes.agg(F.avg("n").alias("m")).first()["m"]
-    model = x.vector_model
-    large = sizes.where(F.col("n") >= mean).select("label")  # no more rows than the model has classes
-    named = {r["label"]: model.label(r["label"]) for r in large.collect()}
-    scored = scoring.score_arrow(rows.select("vec_id", "embedding"), "embedding", model)
-    return scoring.with_label(scored, named).select("vec_id", F.col("class_id").alias("pred"), "label")
+    mean = sizes.agg(F.avg("n").alias("m"))
+    large = sizes.where(F.col("n") >= mean.scalar()).select(F.col("label").alias("class_id"))
+    named = x.store.labels().where("name = 'vectors'").join(large, "class_id").select("class_id", "label")
+    scored = scoring.score_arrow(rows.select("vec_id", "embedding"), "embedding", x.vector_model)
+    label = F.coalesce("label", F.col("class_id").cast("string")).alias("label")
+    return scored.join(named, "class_id", "left").select("vec_id", F.col("class_id").alias("pred"), label)
 
 
 @query
@@ -356,7 +363,7 @@ def logit_ensemble(x: Inputs) -> DataFrame:
     checkpoints = x.store.load_versions("vector_checkpoints")
     rows = x.table("embeddings").select("vec_id", "embedding")
     mean = scoring.ensemble_logits(rows, "embedding", checkpoints)
-    return mean.select("vec_id", F.posexplode("logits").alias("class_id", "z")).withColumn("z", rounded("z"))
+    return mean.select("vec_id", F.inline_outer("logits")).withColumn("z", rounded("z"))
 
 
 @query
@@ -378,7 +385,7 @@ def _document_paths(x: Inputs) -> DataFrame:
     """Every document as a nested file path with a mount scheme."""
     name = P.ordinal_name("doc_id", ".txt")
     return x.table("documents").select(
-        "doc_id", "lang", F.concat(F.lit("dbfs:/vol/"), F.concat_ws("/", "lang", name)).alias("path")
+        "doc_id", "lang", F.concat(F.lit("file:/vol/"), F.concat_ws("/", "lang", name)).alias("path")
     )
 
 
@@ -413,7 +420,7 @@ def written_artifacts(x: Inputs) -> DataFrame:
     """The files a run leaves behind, read back from its folder."""
     output = x.output("relative")
     patterns.direct(x.spark, x.params(), x.picture_model, output)
-    written = files.binary_scan(x.spark, output.folder, "*.pgm").select("path", "length", "content")
+    written = files.binary_scan(x.spark, output.folder, "*.pgm")
     note = F.regexp_extract(F.decode(F.substring("content", 1, 200), "ISO-8859-1"), "# ([^\n]*)\n", 1)
     return _relative(written, output.folder, "length", note.alias("caption"))
 
@@ -459,6 +466,35 @@ def run_served(x: Inputs) -> DataFrame:
     return _run_rows(x, patterns.served(x.spark, x.params(), "model_query", output), output)
 
 
+@query
+def run_direct_first(x: Inputs) -> DataFrame:
+    """A run over the first hundred pictures by path, which is what was asked for."""
+    output = x.output()
+    return _run_rows(x, patterns.direct(x.spark, x.params(n_images=100), x.picture_model, output, "p3"), output)
+
+
+@query
+def run_ingest_first(x: Inputs) -> DataFrame:
+    """Every file is ingested, the first hundred by path are scored."""
+    output, params = x.output(), x.params(n_images=100)
+    checkpoint = scratch_path(x.spark, "ingest-checkpoint")
+    return _run_rows(x, patterns.ingest_then_score(x.spark, params, x.picture_model, output, checkpoint), output)
+
+
+@query
+def score_class_gap(x: Inputs) -> DataFrame:
+    """A model that lacks a class, by all three scorers: class ids are those it was trained on."""
+    rows = x.table("embeddings")
+    weights = centroid_weights(rows.where("label <> 3"), "embedding", "label")
+    if "gapped" not in [r["name"] for r in x.store.versions("gapped").select("name").collect()]:
+        x.store.register("gapped", weights)
+    model, kept = x.store.load("models:/gapped/1"), rows.select("vec_id", "embedding")
+    out = scoring.score_arrow(kept, "embedding", model).withColumnRenamed("class_id", "arrow")
+    out = scoring.score_native(out.drop("score"), "embedding", model).withColumnRenamed("class_id", "native")
+    out = scoring.score_batches(out.drop("score"), "embedding", model, SIDE * SIDE)
+    return out.select("vec_id", F.col("arrow").cast("int"), F.col("native").cast("int"), F.col("class_id").cast("int").alias("batches"), "label", _score())
+
+
 @query
 def join_payload(x: Inputs) -> DataFrame:
     predictions = x.table("labels").select("doc_id", F.col("quality").cast("string").alias("label"))
@@ -521,7 +557,7 @@ def run_log(x: Inputs) -> DataFrame:
             entry("k", F.get_json_object("props", "$.k")),
         )),
     )
-    amount = F.col("value").cast("decimal(18,2)")
+    amount = F.col("value").cast(reports.SECONDS)
     return runlog.numeric_entries(entries).groupBy("run", "key").agg(
         F.count(F.lit(1)).alias("n"), F.sum(amount).cast("double").alias("total")
     )
@@ -539,8 +575,15 @@ def phase_breakdown(x: Inputs) -> DataFrame:
 
 @query
 def phase_columns(x: Inputs) -> DataFrame:
-    names = ("click", "error", "purchase", "signup", "view")
-    return reports.phase_columns(x.table("events"), "user_id", "event_type", "value", names)
+    """Three phases by name; the two others are not lost."""
+    return reports.phase_columns(x.table("events"), "user_id", "event_type", "value", ("click", "error", "purchase"))
+
+
+@query
+def short_phases(x: Inputs) -> DataFrame:
+    """The same phases as they would be if a second took a microsecond's tenth of a thousandth part."""
+    tiny = F.floor(F.col("value") * 100 + 0.5) * F.lit(0.000001)
+    return reports.phase_breakdown(x.table("events").withColumn("value", tiny), "user_id", "event_type", "value")
 
 
 @query
@@ -607,6 +650,22 @@ def completeness(x: Inputs) -> DataFrame:
     return compare.completeness(x.table("documents"), x.table("labels").select("doc_id"), "lang", "doc_id")
 
 
+@query
+def failed_predictions(x: Inputs) -> DataFrame:
+    """Predictions without a label are missing, not scored."""
+    label = F.when(F.col("quality") == 1, F.lit("good")).alias("label")
+    return compare.completeness(x.table("documents"), x.table("labels").select("doc_id", label), "lang", "doc_id")
+
+
+@query
+def partial_agreement(x: Inputs) -> DataFrame:
+    """Two sets of predictions, with nulls, of which each lacks rows of the other."""
+    rows = x.table("labels")
+    a = rows.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("quality") == 1, F.lit("good")).alias("label"))
+    b = rows.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("toxic") == 0, F.lit("good")).alias("label"))
+    return compare.agreement(a, b, key="doc_id")
+
+
 @query
 def missing_inputs(x: Inputs) -> DataFrame:
     inputs_ = x.table("documents").select("doc_id", "lang")

@@ -7,17 +7,21 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: schemes that only say "a mounted or local path".
-MOUNT_SCHEMES = r"^(dbfs|file):(//)?"
+# Schemes that only say "a mounted or local path".
+MOUNT_SCHEMES = ("file",)
+
+
+def _scheme(schemes: tuple[str, ...]) -> str:
+    return r"^(" + "|".join(map(re.escape, schemes)) + r"):(//)?"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def normalise_path(path: Column | str) -> Column:
-    """Drop a mount scheme, so ``file:/a``, ``file:///a`` and ``dbfs:/a`` all become ``/a``."""
-    return F.regexp_replace(_col(path), MOUNT_SCHEMES, "")
+def normalise_path(path: Column | str, schemes: tuple[str, ...] = MOUNT_SCHEMES) -> Column:
+    """Drop a mount scheme, so that ``file:/a`` and ``file:///a`` both become ``/a``."""
+    return F.regexp_replace(_col(path), _scheme(schemes), "")
 
 
 def origin_path(origin: Column | str) -> Column:
@@ -35,7 +39,7 @@ def base_name(path: Column | str) -> Column:
 
 def relative_path(path: Column | str, root: str) -> Column:
     """``path`` below ``root``, whichever of the two carries a scheme."""
-    bare = re.sub(MOUNT_SCHEMES, "", root).rstrip("/")
+    bare = re.sub(_scheme(MOUNT_SCHEMES), "", root).rstrip("/")
     return F.regexp_replace(_col(path), r"^([a-z][a-z0-9+.-]*:(//[^/]*)?)?\Q" + bare + r"\E/+", "")
 
 

@@ -17,10 +17,15 @@ def join_payload(predictions: DataFrame, payload: DataFrame, key: str = "path")
     return predictions.join(payload, key)
 
 
-def missing(inputs: DataFrame, predictions: DataFrame, key: str = "path") -> DataFrame:
-    """Inputs that have no prediction. Only the key of the predictions is read."""
+def scored(predictions: DataFrame, key: str) -> DataFrame:
+    """Keys that have a prediction: a row whose label is null (the call failed) is none."""
     done = predictions.where(F.col("label").isNotNull()) if "label" in predictions.columns else predictions
-    return inputs.join(done.select(key), key, "left_anti")
+    return done.select(key)
+
+
+def missing(inputs: DataFrame, predictions: DataFrame, key: str = "path") -> DataFrame:
+    """Inputs that have no prediction. Only key and label of the predictions are read."""
+    return inputs.join(scored(predictions, key), key, "left_anti")
 
 
 def completeness(inputs: DataFrame, predictions: DataFrame, by: str, key: str = "path") -> DataFrame:
@@ -28,7 +33,7 @@ def completeness(inputs: DataFrame, predictions: DataFrame, by: str, key: str =
 
     The groups are counted before and after one join on the key, so a large group is never one task's work.
     """
-    done = predictions.select(key).distinct().withColumn("_scored", F.lit(1))
+    done = scored(predictions, key).distinct().withColumn("_scored", F.lit(1))
     return (
         inputs.select(key, by).join(done, key, "left").groupBy(by)
         .agg(
@@ -40,13 +45,21 @@ def completeness(inputs: DataFrame, predictions: DataFrame, by: str, key: str =
 
 
 def agreement(left: DataFrame, right: DataFrame, key: str = "path", column: str = "label") -> DataFrame:
-    """One row: rows compared, equal labels, flips, rate. Two null labels count as equal."""
-    both = left.select(key, F.col(column).alias("_a")).join(right.select(key, F.col(column).alias("_b")), key)
-    return both.select(F.col("_a").eqNullSafe(F.col("_b")).alias("same")).agg(*agreement_columns("same"))
+    """One row: rows compared, equal labels, flips, rate, and the rows that only one side has.
+
+    Two null labels count as equal.
+    """
+    a = left.select(key, F.col(column).alias("_a"), F.lit(True).alias("_left"))
+    b = right.select(key, F.col(column).alias("_b"), F.lit(True).alias("_right"))
+    same = F.when(F.col("_left") & F.col("_right"), F.col("_a").eqNullSafe(F.col("_b"))).alias("same")
+    rows = a.join(b, key, "full").select(same, "_left", "_right")
+    return rows.agg(
+        *agreement_columns("same"), F.count_if(F.col("_right").isNull()).alias("n_left_only"), F.count_if(F.col("_left").isNull()).alias("n_right_only")
+    )
 
 
 def agreement_columns(same: str) -> list:
-    n, equal = F.count(F.lit(1)), F.count_if(F.col(same))
+    n, equal = F.count(same), F.count_if(F.col(same))
     return [
         n.alias("n"), equal.alias("n_agree"), (n - equal).alias("n_flips"),
         rounded(equal.cast("double") / F.when(n > 0, n)).alias("agreement"),

@@ -6,7 +6,6 @@ Every scorer is a narrow step: rows stay where they are and the model goes to th
 from __future__ import annotations
 
 import base64
-import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -29,6 +28,13 @@ PREDICTION = "struct<class_id:int,label:string,score:double,error:string>"
 SERVED = "label string, score double"
 
 
+def choose(model, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class id and softmax value of every row; models that know fewer classes say which in ``classes``."""
+    places, scores = pick(model.logits(batch))
+    classes = getattr(model, "classes", None)
+    return (places if classes is None else np.asarray(classes, dtype=np.int32)[places]), scores
+
+
 def pick(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best class (the first on a tie) and its softmax value, per row."""
     if not len(logits):
@@ -49,9 +55,12 @@ def with_label(df: DataFrame, labels: dict[int, str], class_column: str = "class
 def score_native(df: DataFrame, features: str, model: LinearModel) -> DataFrame:
     """Linear model as built-in expressions only: adds ``class_id`` and ``score``."""
     kept = df.columns
+    place = best_class("_logits")
+    if model.classes is not None:
+        place = F.get(F.array(*[F.lit(int(c)) for c in model.classes]), place)
     return (
         df.withColumn("_logits", linear_logits(features, model.weights, model.bias))
-        .select(*kept, best_class("_logits").alias("class_id"), confidence("_logits").alias("score"))
+        .select(*kept, place.alias("class_id"), confidence("_logits").alias("score"))
     )
 
 
@@ -69,7 +78,7 @@ def score_arrow(df: DataFrame, features: str, model: Scorer) -> DataFrame:
         for column in batches:
             found = column.is_valid()
             given = column.filter(found)
-            classes, scores = pick(ready.logits(_matrix(given)) if len(given) else np.empty((0, 1)))
+            classes, scores = choose(ready, _matrix(given)) if len(given) else pick(np.empty((0, 1)))
             rows = pa.StructArray.from_arrays([pa.array(classes), pa.array(scores)], ["class_id", "score"])
             yield rows if len(given) == len(column) else _spread(rows, found)
 
@@ -96,7 +105,7 @@ def score_batches(
         ready = model.load()
 
         def predict(batch: np.ndarray) -> dict[str, np.ndarray]:
-            classes, scores = pick(ready.logits(batch))
+            classes, scores = choose(ready, batch)
             labels = np.array([ready.label(c) for c in classes], dtype=object)
             return {"class_id": classes, "label": labels, "score": scores}
 
@@ -108,17 +117,30 @@ def score_batches(
         batch_size=batch_size, input_tensor_shapes=[[width]],
     )
     kept = df.columns
-    return df.withColumn("_p", call(features)).select(*kept, "_p.class_id", "_p.label", "_p.score")
+    # a null vector goes in as zeros, and what comes out for it is dropped
+    given = F.coalesce(features, F.array_repeat(F.lit(0.0), width).cast(df.schema[features].dataType))
+    there = F.col(features).isNotNull()
+    out = [F.when(there, F.col(f"_p.{name}")).alias(name) for name, _ in fields]
+    return df.withColumn("_p", call(given)).select(*kept, *out)
 
 
 def ensemble_logits(df: DataFrame, features: str, checkpoints: Checkpoints) -> DataFrame:
-    """Mean logits over N checkpoints, per row: adds ``logits``. Rows are neither multiplied nor grouped."""
+    """Mean logits over N checkpoints, per row: adds ``logits``, an array of ``class_id, z``. Rows are neither multiplied
+    nor grouped; a null vector gives null. To unfold it, use ``inline_outer``: from a plain ``inline`` Spark infers a
+    filter on the array, and evaluates the function once more for it.
+    """
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("array<struct<class_id:int,z:double>>")
     def mean_logits(column: pa.Array) -> pa.Array:
-        means = checkpoints.mean_logits(_matrix(column))
-        offsets = np.arange(len(means) + 1, dtype=np.int32) * means.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.ravel()))
+        found = column.is_valid()
+        given = column.filter(found)
+        classes = checkpoints.classes
+        means = checkpoints.mean_logits(_matrix(given)) if len(given) else np.empty((0, len(classes)))
+        offsets = np.arange(len(means) + 1, dtype=np.int32) * len(classes)
+        ids = np.tile(np.asarray(classes, dtype=np.int32), len(means))
+        pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(means.ravel())], ["class_id", "z"])
+        rows = pa.ListArray.from_arrays(pa.array(offsets), pairs)
+        return rows if len(given) == len(column) else _spread(rows, found)
 
     return df.withColumn("logits", mean_logits(features))
 
@@ -171,7 +193,7 @@ def classify_decoded(
     good = [i for i, (picture, _) in enumerate(decoded) if picture is not None]
     if good:
         batch = np.stack([pixels.to_tensor(decoded[i][0], prep.size, prep.mean, prep.std) for i in good])
-        classes, scores = pick(model.logits(batch))
+        classes, scores = choose(model, batch)
         for i, c, s in zip(good, classes.tolist(), scores.tolist()):
             rows[i] = (c, model.label(c), s, None)
     return [picture for picture, _ in decoded], rows
@@ -304,19 +326,11 @@ def picture_bytes(
     return map_rows(df, added, make, batch_size, drop=[content])
 
 
-class Throttled(RuntimeError):
-    """The model asks to be called again later."""
-
-
-def call_with_retry(call: Callable, batch, attempts: int = 5, wait: float = 0.2):
-    """Call again after a throttling answer, waiting longer each time; the last answer stands."""
-    for turn in range(attempts):
-        try:
-            return call(batch)
-        except Throttled:
-            if turn == attempts - 1:
-                raise
-            time.sleep(wait * 2**turn)
+def served_frame(rows: Sequence[tuple]) -> pd.DataFrame:
+    """What a served model answers: ``class_id, label, score, error``, nulls where a row failed."""
+    ids = pd.array([r[0] for r in rows], dtype="Int32")
+    scores = np.array([r[2] for r in rows], dtype=np.float64)
+    return pd.DataFrame({"class_id": ids, "label": [r[1] for r in rows], "score": scores, "error": [r[3] for r in rows]})
 
 
 class ServedImages:
@@ -335,10 +349,9 @@ class ServedImages:
     def predict(self, frame: pd.DataFrame) -> pd.DataFrame:
         ready, texts, rows = self.model.load(), frame["image"].tolist(), []
         for start in range(0, len(texts), self.batch_size):
-            part = [base64.b64decode(t) for t in texts[start : start + self.batch_size]]
+            part = [None if t is None else base64.b64decode(t) for t in texts[start : start + self.batch_size]]
             rows += classify_pictures(part, ready, self.model.prep, self.mode)[1]
-        scores = np.array([r[2] for r in rows], dtype=np.float64)
-        return pd.DataFrame({"label": [r[1] for r in rows], "score": scores})
+        return served_frame(rows)
 
 
 class ServedVectors:
@@ -352,37 +365,31 @@ class ServedVectors:
         return self
 
     def predict(self, frame: pd.DataFrame) -> pd.DataFrame:
-        ready = self.model.load()
-        classes, scores = pick(ready.logits(np.stack(frame["features"].to_list())))
-        return pd.DataFrame({"label": [ready.label(c) for c in classes], "score": scores})
+        ready, given = self.model.load(), frame["features"].to_list()
+        rows: list[tuple] = [(None, None, None, "no vector")] * len(given)
+        good = [i for i, v in enumerate(given) if v is not None]
+        if good:
+            classes, scores = choose(ready, np.stack([given[i] for i in good]))
+            for i, c, s in zip(good, classes.tolist(), scores.tolist()):
+                rows[i] = (c, ready.label(c), s, None)
+        return served_frame(rows)
 
 
 def register_served(
-    spark: SparkSession, name: str, served, attempts: int = 5, wait: float = 0.2,
-    batch_size: int = DEFAULT_MODEL_BATCH, errors: bool = False,
+    spark: SparkSession, name: str, served, batch_size: int = DEFAULT_MODEL_BATCH, errors: bool = False
 ) -> None:
     """Make a served model callable from SQL: ``name(named_struct(...))`` gives ``label, score``.
 
-    The model is called for ``batch_size`` rows at a time, and each call is repeated while it is throttled. Rows
-    whose call stays throttled get nulls, so that the job goes on and a completeness check can find them;
-    ``errors`` adds the reason to the struct.
+    The model is called for ``batch_size`` rows at a time. Rows that it cannot score have nulls, so that a completeness
+    check finds them; ``errors`` adds ``class_id`` and the reason (``error``) to the struct.
     """
+    columns = ["label", "score", "class_id", "error"] if errors else ["label", "score"]
 
-    def answer(ready, part: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return call_with_retry(ready.predict, part, attempts, wait).assign(error=None)
-        except Throttled as err:
-            rows = len(part)
-            reason = [f"throttled: {err}"] * rows
-            return pd.DataFrame({"label": [None] * rows, "score": np.full(rows, np.nan), "error": reason})
-
-    columns = ["label", "score", "error"] if errors else ["label", "score"]
-
-    @F.pandas_udf(SERVED + (", error string" if errors else ""))
+    @F.pandas_udf(SERVED + (", class_id int, error string" if errors else ""))
     def model_query(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready = served.load()
         for frame in batches:
-            parts = [answer(ready, frame.iloc[i : i + batch_size]) for i in range(0, len(frame), batch_size)]
-            yield pd.concat(parts, ignore_index=True)[columns] if len(parts) > 1 else parts[0][columns]
+            parts = [ready.predict(frame.iloc[i : i + batch_size]) for i in range(0, len(frame), batch_size)]
+            yield pd.concat(parts, ignore_index=True)[columns] if parts else served_frame([])[columns]
 
     spark.udf.register(name, model_query)

@@ -38,7 +38,7 @@ br AS (SELECT class_id, round(b, 2) AS b FROM b),
 def _best(inputs: str = "x", weights: str = "w", bias: str = "b", out: str = "best") -> str:
     """Best class (the first on a tie) and softmax score of every row of ``inputs``."""
     return f"""
-z_{out} AS (
+z_{out} AS MATERIALIZED (
   SELECT s.vec_id, s.class_id, s.z + {bias}.b AS z
   FROM (SELECT i.vec_id, m.class_id, sum(i.v * m.w) AS z FROM {inputs} i JOIN {weights} m ON i.dim = m.dim GROUP BY 1, 2) s
   JOIN {bias} ON s.class_id = {bias}.class_id),
@@ -109,17 +109,18 @@ def _caption(label: str, score: str) -> str:
 _HALVES = """
 SELECT event_type,
   count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS n1, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS n2,
-  CAST(sum(CAST(value AS DECIMAL(12,2))) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS DOUBLE) AS s1,
-  CAST(sum(CAST(value AS DECIMAL(12,2))) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS DOUBLE) AS s2
+  CAST(sum(CAST(value AS DECIMAL(28,9))) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS DOUBLE) AS s1,
+  CAST(sum(CAST(value AS DECIMAL(28,9))) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS DOUBLE) AS s2
 FROM events GROUP BY 1"""
 
-_SECONDS = "CAST(value AS DECIMAL(12,2))"
+_SECONDS = "CAST(value AS DECIMAL(28,9))"
 
 # ---- one entry per query --------------------------------------------------------------------------------
 
 _QUERIES: dict[str, str] = {
     # files
-    "list_files": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages ORDER BY path LIMIT 3925",
+    "list_files": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages",
+    "first_files": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages ORDER BY path LIMIT 100",
     "list_tree": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages",
     "glob_filter": f"SELECT {_PAGE} AS path, strlen(html) AS length FROM pages WHERE starts_with(url, 'https')",
     "binary_scan": f"SELECT {_PAGE} AS path, strlen(html) AS length, md5(html) AS md5 FROM pages",
@@ -183,7 +184,7 @@ SELECT vec_id, 'class_' || pred AS label, round(score, 6) AS score, count(*) OVE
     # artifacts
     "caption": f"SELECT doc_id, {_caption('lang', '(n_chars / CAST(n_chars + 2000 AS DOUBLE))')} AS caption FROM documents",
     "artifact_by_ordinal": f"""
-SELECT 'dbfs:' || path AS path, ordinal, '/out/annotated/' || lpad(CAST(ordinal AS VARCHAR), CAST(greatest(6, length(CAST(ordinal AS VARCHAR))) AS INT), '0') || '.jpg' AS output_path
+SELECT 'file:' || path AS path, ordinal, '/out/annotated/' || lpad(CAST(ordinal AS VARCHAR), CAST(greatest(6, length(CAST(ordinal AS VARCHAR))) AS INT), '0') || '.jpg' AS output_path
 FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal FROM (SELECT {_DOCUMENT} AS path FROM documents))""",
     "artifact_by_basename": """
 SELECT doc_id, '/out/annotated/' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.txt' AS output_path FROM documents""",
@@ -201,6 +202,10 @@ named AS (SELECT {_FILE} AS path, 'class_' || pred AS label, round(score, 6) AS
 SELECT path, label, score, lpad(CAST(row_number() OVER (ORDER BY path) - 1 AS VARCHAR), 6, '0') || '.ppm' AS artifact FROM named""",
     "run_direct": _run("lpad(CAST(e.vec_id AS VARCHAR), 6, '0') || '.pgm'"),
     "run_ingest": _run("lpad(CAST(e.vec_id AS VARCHAR), 6, '0') || '.pgm'"),
+    "run_direct_first": _run("lpad(CAST(e.vec_id AS VARCHAR), 6, '0') || '.pgm'") + " ORDER BY path LIMIT 100",
+    "run_ingest_first": _run("lpad(CAST(e.vec_id AS VARCHAR), 6, '0') || '.pgm'") + " ORDER BY path LIMIT 100",
+    "score_class_gap": "WITH " + _VECTORS.replace("FROM x GROUP BY 1, 2)", "FROM x WHERE label <> 3 GROUP BY 1, 2)", 1) + _best()
+    + "\nSELECT vec_id, pred AS arrow, pred AS native, pred AS batches, CAST(pred AS VARCHAR) AS label, round(score, 6) AS score FROM best",
     "run_staged": _run("lpad(CAST(e.vec_id AS VARCHAR), 6, '0') || '.pgm'"),
     "run_served": _run("lpad(CAST(e.vec_id AS VARCHAR), 6, '0') || '.pgm'"),
     "join_payload": """
@@ -214,7 +219,7 @@ SELECT {_FILE} AS path, 'class_' || pred AS label, round(score, 6) AS score
 FROM best JOIN embeddings e ON best.vec_id = e.vec_id""",
     # run log and reports
     "run_log": """
-SELECT run, key, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (
+SELECT run, key, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,9))) AS DOUBLE) AS total FROM (
   SELECT user_id AS run, 'pattern' AS key, TRY_CAST(event_type AS DOUBLE) AS value FROM events
   UNION ALL SELECT user_id, 'seconds', value FROM events
   UNION ALL SELECT user_id, 'k', TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) FROM events)
@@ -226,8 +231,12 @@ SELECT user_id, event_type, CAST(s AS DOUBLE) AS seconds,
 FROM (SELECT user_id, event_type, sum({_SECONDS}) AS s FROM events GROUP BY 1, 2)""",
     "phase_columns": "SELECT user_id, " + ", ".join(
         f"CAST(coalesce(sum({_SECONDS}) FILTER (WHERE event_type = '{p}'), 0) AS DOUBLE) AS {p}_s"
-        for p in ("click", "error", "purchase", "signup", "view")
-    ) + " FROM events GROUP BY 1",
+        for p in ("click", "error", "purchase")
+    ) + f""", CAST(coalesce(sum({_SECONDS}) FILTER (WHERE event_type NOT IN ('click', 'error', 'purchase') OR event_type IS NULL), 0) AS DOUBLE) AS other_s,
+       CAST(coalesce(sum({_SECONDS}), 0) AS DOUBLE) AS total_s FROM events GROUP BY 1""",
+    "short_phases": """
+SELECT user_id, event_type, CAST(s AS DOUBLE) AS seconds, round(CAST(s AS DOUBLE) / CAST(sum(s) OVER (PARTITION BY user_id) AS DOUBLE), 6) AS share
+FROM (SELECT user_id, event_type, sum(CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) * 0.000001 AS DECIMAL(28,9))) AS s FROM events GROUP BY 1, 2)""",
     "throughput": f"""
 SELECT user_id, count(*) AS n_rows, CAST(sum({_SECONDS}) AS DOUBLE) AS wall_s,
        round(count(*) / greatest(CAST(sum({_SECONDS}) AS DOUBLE), 1e-9), 2) AS rows_per_sec FROM events GROUP BY 1""",
@@ -265,14 +274,26 @@ FROM (
          coalesce(sum({_SECONDS}) FILTER (WHERE event_type = 'error'), 0) AS wait
   FROM events GROUP BY 1)""",
     "cost_report": """
-SELECT l_returnflag, p_brand, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS units,
-       round(CAST(sum(CAST(l_quantity AS DECIMAL(12,2)) * CAST(p_retailprice AS DECIMAL(12,4))) AS DOUBLE), 2) AS cost
+SELECT l_returnflag, p_brand, CAST(sum(CAST(l_quantity AS DECIMAL(18,6))) AS DOUBLE) AS units,
+       round(CAST(sum(CAST(l_quantity AS DECIMAL(18,6)) * CAST(p_retailprice AS DECIMAL(14,6))) AS DOUBLE), 2) AS cost
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "scorer_agreement": "WITH " + _VECTORS + _ROUNDED + _best() + "," + _best("x", "wr", "br", "low") + """
 SELECT count(*) AS n, count(*) FILTER (WHERE best.pred = low.pred) AS n_agree,
        count(*) FILTER (WHERE best.pred <> low.pred) AS n_flips,
-       round(count(*) FILTER (WHERE best.pred = low.pred) / CAST(count(*) AS DOUBLE), 6) AS agreement
+       round(count(*) FILTER (WHERE best.pred = low.pred) / CAST(count(*) AS DOUBLE), 6) AS agreement,
+       CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only
 FROM best JOIN low ON best.vec_id = low.vec_id""",
+    "partial_agreement": """
+WITH a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' END AS label FROM labels WHERE doc_id % 3 <> 0),
+b AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 'good' END AS label FROM labels WHERE doc_id % 5 <> 0),
+f AS (SELECT a.doc_id AS l, b.doc_id AS r, a.label IS NOT DISTINCT FROM b.label AS same FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+SELECT count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS n, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL AND same) AS n_agree,
+       count(*) FILTER (l IS NOT NULL AND r IS NOT NULL AND NOT same) AS n_flips,
+       round(count(*) FILTER (l IS NOT NULL AND r IS NOT NULL AND same) / CAST(count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS DOUBLE), 6) AS agreement,
+       count(*) FILTER (r IS NULL) AS n_left_only, count(*) FILTER (l IS NULL) AS n_right_only FROM f""",
+    "failed_predictions": """
+SELECT lang, count(*) AS n_inputs, count(l.doc_id) AS n_scored, count(*) - count(l.doc_id) AS n_missing
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id GROUP BY 1""",
     "completeness": """
 SELECT lang, count(*) AS n_inputs, count(l.doc_id) AS n_scored, count(*) - count(l.doc_id) AS n_missing
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1""",

@@ -45,32 +45,36 @@ def output_folder(root: str, pattern: str, dataset: str) -> str:
 
 def run_job(
     spark: SparkSession, pattern: str, values: Mapping[str, str], root: str, model: Scorer | None = None,
-    log: bool = True, **output,
+    log: bool = True, manifests: str | None = None, **output,
 ) -> patterns.Run:
     """Run one pattern from text parameters, with its outputs, run log and results below ``root``.
 
     Without ``model`` the address in the parameters is looked up in the model store at ``root/models``.
+    A folder of ``manifests`` (Parquet files of ``path, length``) takes the place of a listing in every pattern.
     ``output`` passes on naming, form, extension, shards or mode of the artifacts.
     """
     if pattern not in PATTERNS:
         raise ValueError(f"pattern must be one of {PATTERNS}")
     ship_package(spark)
     params = RunParams.from_text(values)
-    make_namespace(spark, params.schema)
+    make_namespace(spark, params.schema, catalog=params.catalog)
     if model is None:
         model = ModelStore(spark, f"{root.rstrip('/')}/models").load(params.model_uri)
     folder = output_folder(root, pattern, params.dataset)
     naming = "ordinal" if pattern in ("p1", "p2") else "basename"
+    manifest = None if manifests is None else spark.read.schema("path string, length long").parquet(manifests)
     where = patterns.Output(f"{folder}/annotated", **{"naming": naming, **output})
     if pattern == "p4":
-        run = patterns.ingest_then_score(spark, params, model, where, f"{folder}/_ingest", location=f"{folder}/_binary")
+        run = patterns.ingest_then_score(
+            spark, params, model, where, f"{folder}/_ingest", location=f"{folder}/_binary", manifests=manifests
+        )
     elif pattern == "p5":
-        run = patterns.staged(spark, params, model, where, folder)
+        run = patterns.staged(spark, params, model, where, folder, manifest=manifest)
     elif pattern == "p6":
-        register_served(spark, SERVED_FUNCTION, ServedImages(model, params.micro_batch, where.mode))
-        run = patterns.served(spark, params, SERVED_FUNCTION, where)
+        register_served(spark, SERVED_FUNCTION, ServedImages(model, params.micro_batch, where.mode), errors=True)
+        run = patterns.served(spark, params, SERVED_FUNCTION, where, manifest=manifest)
     else:
-        run = patterns.direct(spark, params, model, where, pattern)
+        run = patterns.direct(spark, params, model, where, pattern, manifest=manifest)
     if log:
         used = {
             "pattern": pattern, "dataset": params.dataset, "model_uri": params.model_uri,

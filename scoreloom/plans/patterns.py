@@ -23,12 +23,12 @@ from scoreloom.operators.artifacts import annotate_and_write, require_unique, sc
 from scoreloom.operators.compare import join_payload
 from scoreloom.operators.scoring import picture_tensors, score_batches
 from scoreloom.plans.runlog import Clock, rate
-from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, output_table, quote_name
+from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, materialise, output_table, quote_name
 from scoreloom.sources.files import (
-    TOP_K_ROWS, at_depth, binary_scan, first_n, list_files, list_tree, read_bytes, spark_images, tasks_for,
+    at_depth, first_n, list_files, read_bytes, spark_images, tasks_for,
 )
 from scoreloom.sources.models import Scorer
-from scoreloom.streaming.ingest import ingest
+from scoreloom.streaming.ingest import ingest, ingest_manifests
 
 
 @dataclass(frozen=True)
@@ -69,16 +69,17 @@ def save_table(df: DataFrame, table: str) -> int:
     return seen.get["n"]
 
 
-def _listed(spark: SparkSession, params: RunParams, tree: bool = False) -> DataFrame:
-    if tree:  # at any depth
-        return first_n(list_tree(spark, params.image_dir, params.file_glob), params.n_images)
-    return list_files(spark, params.image_dir, params.image_glob, params.n_images)
+def _listed(spark: SparkSession, params: RunParams, any_depth: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+    """``path, length`` of the first N files, written once: sizes, names and reading all look at the same rows."""
+    if manifest is not None:
+        found = first_n(manifest.select("path", "length"), params.n_images)
+    else:
+        found = list_files(spark, params.image_dir, params.file_glob if any_depth else params.image_glob, params.n_images, any_depth)
+    return materialise(found, "paths")
 
 
-def _width(files: DataFrame, params: RunParams, wanted: int | None) -> int:
+def _width(files: DataFrame, wanted: int | None) -> int:
     """How many tasks to spread files over: as asked, or more where the files may be too many for that."""
-    if wanted is not None and params.n_images is not None and params.n_images <= TOP_K_ROWS:
-        return wanted
     return tasks_for(files, wanted or 1)
 
 
@@ -93,12 +94,7 @@ def _wanted(rows: DataFrame, paths: DataFrame, params: RunParams, output: Output
         output.name(paths, params.image_dir)
         return output.name_only(rows, params.image_dir)
     chosen = output.name(first_n(paths, params.n_images), params.image_dir).join(rows, "path")
-    return chosen.repartition(params.num_partitions) if _few(params) else chosen
-
-
-def _few(params: RunParams) -> bool:
-    """Whether the payload is a small cut, worth another shuffle to give every task some of it."""
-    return params.n_images is not None and params.n_images <= TOP_K_ROWS and params.num_partitions is not None
+    return chosen
 
 
 def direct(
@@ -108,7 +104,7 @@ def direct(
     """List, cut, spread the paths, then read, score and write each picture in one pass.
 
     Only paths are shuffled. With ``naming="ordinal"`` artifacts are numbered in path order and spread over
-    ``write_workers`` tasks. ``tree`` lists in tasks, for collections too large for the driver; a ``manifest``
+    ``write_workers`` tasks. ``tree`` lists names that match ``file_glob`` at any depth; a ``manifest``
     (``path, length``, a store inventory say) needs no listing at all. ``jvm_decode`` leaves decoding to Spark's image
     reader (JPEG, PNG, GIF, BMP without Pillow), which then also opens the files.
     """
@@ -116,11 +112,8 @@ def direct(
         raise ValueError("Spark's image reader lists for itself: give either jvm_decode or a manifest")
     clock = Clock()
     with clock.phase("dataset_prep"):
-        if manifest is None:
-            files = _listed(spark, params, tree)
-        else:
-            files = first_n(manifest.select("path", "length"), params.n_images)
-        width = _width(files, params, params.write_workers if output.naming == "ordinal" else params.num_partitions)
+        files = _listed(spark, params, tree, manifest)
+        width = _width(files, params.write_workers if output.naming == "ordinal" else params.num_partitions)
         if jvm_decode:
             images = spark_images(spark, params.image_dir, output.mode, params.image_glob.rsplit("/", 1)[-1])
             images = at_depth(images, params.image_dir, params.image_glob)
@@ -139,10 +132,12 @@ def direct(
 
 def ingest_then_score(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, checkpoint: str, pattern: str = "p4",
-    location: str | None = None,
+    location: str | None = None, manifests: str | None = None,
 ) -> Run:
     """Stream every file into a byte table, then score the first N rows of the table by path.
 
+    A folder of ``manifests`` (Parquet files with a ``path`` column) takes the place of a listing.
+
     With a ``location`` the table's files lie there, beside the checkpoint, and outlive a catalog that is kept
     in memory only.
 
@@ -152,7 +147,10 @@ def ingest_then_score(
     clock = Clock()
     binary = output_table(params, "", "binary")
     with clock.phase("ingest"):
-        ingest(spark, params.image_dir, binary, checkpoint, params.file_glob, location=location)
+        if manifests is None:
+            ingest(spark, params.image_dir, binary, checkpoint, params.file_glob, location=location)
+        else:
+            ingest_manifests(spark, manifests, binary, checkpoint, location=location)
     ingested = spark.table(binary).count()
     with clock.phase("inference"):
         files = spark.table(binary).select("path", "content")
@@ -170,6 +168,7 @@ def ingest_then_score(
 def staged(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, folder: str,
     batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5", precision: str = "double", write_tasks: int | None = None,
+    manifest: DataFrame | None = None,
 ) -> Run:
     """Decode, score and write as three steps; the result is a Parquet folder.
 
@@ -179,8 +178,8 @@ def staged(
     """
     clock = Clock()
     with clock.phase("stages"):
-        files = output.name(_listed(spark, params), params.image_dir)
-        paths = files.drop("length").repartition(_width(files, params, params.num_partitions))
+        files = output.name(_listed(spark, params, manifest=manifest), params.image_dir)
+        paths = files.drop("length").repartition(_width(files, params.num_partitions))
         tensors = picture_tensors(
             paths, model.prep, content=None, batch_size=params.micro_batch, precision=precision, mode=output.mode
         )
@@ -204,18 +203,16 @@ def staged(
     )
 
 
-def base64_rows(spark: SparkSession, params: RunParams) -> DataFrame:
-    """``path, image_b64`` of the first N files. Without a cut the files are scanned in place."""
-    if params.n_images is None:
-        files = binary_scan(spark, params.image_dir, params.file_glob)
-    else:
-        listed = list_files(spark, params.image_dir, params.file_glob, params.n_images, any_depth=True)
-        files = read_bytes(listed.repartition(_width(listed, params, params.num_partitions)))
+def base64_rows(spark: SparkSession, params: RunParams, manifest: DataFrame | None = None) -> DataFrame:
+    """``path, image_b64`` of the first N files, read by the tasks that hold the paths."""
+    listed = _listed(spark, params, manifest=manifest, any_depth=True)
+    files = read_bytes(listed.repartition(_width(listed, params.num_partitions)))
     return files.select(normalise_path("path").alias("path"), base64_text("content").alias("image_b64"))
 
 
 def served(
-    spark: SparkSession, params: RunParams, function: str, output: Output, pattern: str = "p6"
+    spark: SparkSession, params: RunParams, function: str, output: Output, pattern: str = "p6",
+    manifest: DataFrame | None = None,
 ) -> Run:
     """Base64 table, then the registered SQL ``function`` on it, then join back and write.
 
@@ -226,18 +223,17 @@ def served(
         output_table(params, p, k) for p, k in (("", "b64"), (pattern, "predictions"), (pattern, "written"))
     )
     with clock.phase("img_to_b64"):
-        save_table(base64_rows(spark, params), b64)
+        save_table(base64_rows(spark, params, manifest), b64)
     with clock.phase("model_call"):
         called = spark.sql(
             f"SELECT path, {quote_name(function)}(named_struct('image', image_b64)) AS prediction FROM {b64}"
         )
         n_pred = save_table(called, pred)
     with clock.phase("annotate_write"):
-        flat = spark.table(pred).selectExpr("path", "prediction.label AS label", "prediction.score AS score")
+        # every field the function answers with: class and reason too, where it was registered with ``errors``
+        flat = spark.table(pred).select("path", "prediction.*")
         named = output.name(flat, params.image_dir)
         rows_in = join_payload(named, spark.table(b64))
-        if _few(params):
-            rows_in = rows_in.repartition(params.num_partitions)
         with_bytes = rows_in.withColumn("content", base64_bytes("image_b64")).drop("image_b64")
         rows = save_table(annotate_and_write(with_bytes, batch_size=params.micro_batch, form=output.form), out)
     summary = {

@@ -15,7 +15,7 @@ from scoreloom.functions.numbers import rounded
 from scoreloom.operators.ordinals import with_rank
 from scoreloom.session import materialise
 
-SECONDS = "decimal(14,3)"
+SECONDS = "decimal(28,9)"  # nanoseconds: what a clock gives is added up whole and rounded only in the result
 
 
 def exact(column: str) -> Column:
@@ -50,9 +50,12 @@ def phase_breakdown(phases: DataFrame, run: str, phase: str, seconds: str) -> Da
 
 
 def phase_columns(phases: DataFrame, run: str, phase: str, seconds: str, names: Sequence[str]) -> DataFrame:
-    """The wide form: one row per run, one column per phase."""
-    spent = [F.sum(F.when(F.col(phase) == n, exact(seconds))).alias(n) for n in names]
-    return phases.groupBy(run).agg(*spent).select(run, *[_double(F.coalesce(n, F.lit(0))).alias(f"{n}_s") for n in names])
+    """The wide form: one row per run, one column per named phase, ``other_s`` for all other phases, and ``total_s``."""
+    known = F.coalesce(F.col(phase).isin(*names), F.lit(False))
+    spent = [F.sum(F.when(F.col(phase) == n, exact(seconds))).alias(f"{n}_s") for n in names]
+    spent += [F.sum(F.when(~known, exact(seconds))).alias("other_s"), F.sum(exact(seconds)).alias("total_s")]
+    columns = [*(f"{n}_s" for n in names), "other_s", "total_s"]
+    return phases.groupBy(run).agg(*spent).select(run, *[_double(F.coalesce(c, F.lit(0))).alias(c) for c in columns])
 
 
 def throughput(rows: DataFrame, run: str, seconds: str) -> DataFrame:
@@ -66,8 +69,8 @@ def throughput(rows: DataFrame, run: str, seconds: str) -> DataFrame:
 def run_ranking(rows: DataFrame, run: str, seconds: str) -> DataFrame:
     """Runs ranked by wall time, with the ratio to the fastest; equal times share a rank."""
     walls = materialise(rows.groupBy(run).agg(F.sum(exact(seconds)).alias("wall")), "walls")
-    best = walls.agg(F.min("wall").cast("double").alias("best")).first()["best"]
-    ratio = F.when(F.lit(best) != 0, _double("wall") / F.lit(best))
+    best = walls.agg(F.min("wall").cast("double")).scalar()
+    ratio = F.when(best != 0, _double("wall") / best)
     return with_rank(walls, "wall").select(
         run, _double("wall").alias("wall_s"), "rank", rounded(ratio).alias("ratio_to_best")
     )
@@ -163,11 +166,11 @@ def cost_report(
     Usage is added up per SKU and price key before the join, so a key that holds a third of all usage reaches
     the join as one row per SKU.
     """
-    used = usage.groupBy(sku, key).agg(F.sum(exact(units)).alias("_units"))
+    used = usage.groupBy(sku, key).agg(F.sum(F.col(units).cast("decimal(18,6)")).alias("_units"))
     priced = used.join(
-        prices.select(F.col(price_key).alias(key), by, F.col(price).cast("decimal(12,4)").alias("_price")), key
+        prices.select(F.col(price_key).alias(key), by, F.col(price).cast("decimal(14,6)").alias("_price")), key
     )
-    cost = F.sum(F.col("_units").cast("decimal(20,3)") * F.col("_price"))
+    cost = F.sum(F.col("_units").cast("decimal(20,6)") * F.col("_price"))
     return priced.groupBy(sku, by).agg(
         _double(F.sum("_units")).alias("units"), rounded(_double(cost), 2).alias("cost")
     )

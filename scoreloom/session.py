@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from scoreloom.sources.storage import write_file
 
 # The defaults every run starts from.
-DEFAULT_N_IMAGES = 3925
 DEFAULT_PARTITIONS = 128
 DEFAULT_MICRO_BATCH = 8
 DEFAULT_MODEL_BATCH = 64
@@ -36,7 +35,7 @@ class RunParams:
     file_glob: str = "*"  # on the file name, at any depth
     model_name: str = "classifier"
     model_alias: str = "prod"
-    n_images: int | None = DEFAULT_N_IMAGES
+    n_images: int | None = None  # the first so many by path; None: all
     num_partitions: int | None = DEFAULT_PARTITIONS  # at least; None: by the bytes to read
     write_workers: int = DEFAULT_WRITERS
     micro_batch: int = DEFAULT_MICRO_BATCH
@@ -79,10 +78,10 @@ def output_table(params: RunParams, pattern: str, kind: str) -> str:
     return quote_name(params.catalog, params.schema, stem)
 
 
-def make_namespace(spark: SparkSession, schema: str, location: str | None = None) -> None:
-    """Create the output schema when it is missing."""
+def make_namespace(spark: SparkSession, schema: str, location: str | None = None, catalog: str = "") -> None:
+    """Create the output schema when it is missing, in ``catalog`` or else in the current one."""
     where = "" if location is None else " LOCATION '" + location.replace("'", "\\'") + "'"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_name(schema)}{where}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_name(catalog, schema)}{where}")
 
 
 @contextmanager
@@ -113,7 +112,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):  # one process; local-cluster is several
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         app = spark.sparkContext.applicationId
         if app not in _OWN_SCRATCH:

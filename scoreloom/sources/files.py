@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import fnmatch
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +13,11 @@ from pyspark.sql import types as T
 from scoreloom.functions.paths import normalise_path, origin_path, relative_path
 from scoreloom.functions.text import base64_text
 from scoreloom.operators.ordinals import with_ordinal
-from scoreloom.session import materialise, shared_uri
+from scoreloom.session import materialise, shared_uri, ship_package
 from scoreloom.sources.storage import IO_THREADS, io_map, list_folder, read_file, write_file
 
 PATH_SCHEMA = T.StructType([T.StructField("path", T.StringType())])
 
-# Up to this many rows, "the first N" is a top-k: every partition sends its first N to one task. Beyond, the
-# cut is made by a distributed ordinal.
-TOP_K_ROWS = 10_000
-
 TASK_BYTES = 512 << 20  # most input bytes of one task
 
 _LISTED = T.StructType([
@@ -35,36 +30,22 @@ _BATCH_BYTES = 32 << 20
 
 
 def binary_scan(spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files as ``path, modificationTime, length, content``.
+    """Files as ``path, length, content``, listed like everywhere else and read by the tasks that hold the paths.
 
-    The name filter acts while listing. Columns nobody selects are not read, and without ``content`` no
-    file is opened. Spark leaves out empty files and names that start with ``_`` or ``.``.
+    Where only names and lengths are wanted, ``list_files`` opens nothing.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
-
-
-def _or_empty(load, schema: T.StructType, spark: SparkSession) -> DataFrame:
-    """A folder that is not there is an empty collection, not an error."""
-    try:
-        return load()
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    listed = list_files(spark, folder, glob or "*", any_depth=recursive)
+    return read_bytes(listed.repartition(tasks_for(listed, spark.sparkContext.defaultParallelism)))
 
 
 def first_n(df: DataFrame, n: int | None, key: str = "path") -> DataFrame:
     """The first ``n`` rows by ``key``; fewer rows are all kept, ``None`` keeps everything.
 
-    Call it on narrow rows, and join payloads back to what is left.
+    The cut is made by a distributed ordinal, whatever ``n`` is. Call it on narrow rows, and join payloads back to
+    what is left.
     """
     if n is None:
         return df
-    if n <= TOP_K_ROWS:
-        return df.orderBy(key).limit(n)
     ranked = with_ordinal(df, key, "_ordinal")
     return ranked.where(F.col("_ordinal") < n).drop("_ordinal")
 
@@ -77,27 +58,40 @@ def list_files(
     Without ``any_depth`` the pattern is relative to ``folder`` and fixes the depth: ``*.jpg`` is flat,
     ``*/*`` exactly one level down. With it the pattern is on the file name, at any depth.
     """
-    listed = _or_empty(
-        lambda: binary_scan(spark, folder, glob.rsplit("/", 1)[-1]).select("path", "length"), _LISTED_FILES, spark
-    )
-    # The scan plans tasks for reading contents, some thirty files each; here there is nothing to read.
-    listed = listed.coalesce(4 * spark.sparkContext.defaultParallelism)
-    return first_n(listed if any_depth else at_depth(listed, folder, glob), n)
+    if any_depth:
+        return first_n(list_tree(spark, folder, glob), n)
+    return first_n(at_depth(list_tree(spark, folder), folder, glob), n)
 
 
 def at_depth(files: DataFrame, folder: str, glob: str) -> DataFrame:
-    """Keep the files that lie as deep below ``folder`` as ``glob`` says, in folders that match it.
-
-    The name itself is left to the reader's filter. With wildcards in the load path instead, Spark would make
-    every match a root of its own and list it again.
-    """
-    folders = glob.split("/")[:-1]
-    parts = F.split(relative_path("path", folder), "/")
-    files = files.where(F.size(parts) == len(folders) + 1)
-    for i, pattern in enumerate(folders):
-        if pattern != "*":
-            files = files.where(parts[i].rlike(fnmatch.translate(pattern)))
-    return files
+    """Keep the files that lie as deep below ``folder`` as ``glob`` says, and match it part by part."""
+    return files.where(relative_path("path", folder).rlike(f"^{glob_pattern(glob)}$"))
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a pattern of ``*``, ``?``, ``[abc]``, ``[^a-c]``, ``{a,b}`` and ``\\x``; none of them but a
+    literal slash matches one."""
+    out, depth, i = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "[" and (end := glob.find("]", i + 2)) > 0:
+            inner = glob[i + 1 : end]
+            negated = inner[0] in "!^"
+            body = inner[negated:].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, i = out + ("[^/" if negated else "[") + body + "]", end
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        elif c == "\\" and i + 1 < len(glob):
+            i += 1
+            out += re.escape(glob[i])
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        i += 1
+    return out
 
 
 def example_input(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -116,7 +110,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for folder in batch.column("path").to_pylist():
             rows: list[tuple] = []
             for path, is_folder, size in list_folder(folder):
-                if path.rsplit("/", 1)[-1].startswith(("_", ".")):
+                if path.rsplit("/", 1)[-1].startswith("."):  # also what a task is still writing
                     continue
                 rows.append((path, is_folder, size))
                 if len(rows) == 10_000:
@@ -127,13 +121,14 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def list_tree(spark: SparkSession, folder: str, glob: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Like ``list_files``, but tasks list the folders, one level per job.
+    """``path, length`` of every file below ``folder`` whose name matches; the one listing that all readers use.
 
-    ``binaryFile`` keeps the status of every file on the driver. Here each level is written to the scratch
-    folder and only the depth of the tree is a driver loop, so a collection of many folders can outgrow the
-    driver. One folder is still listed by one task, because stores offer no way to split a listing; for a
-    flat collection beyond that, start from the store's own inventory as a table of paths.
+    Empty files count, and names that start with ``_``; only names that start with a dot are left out. A folder that is not
+    there is empty. Tasks list the folders, one level per job: each level is written to the scratch folder and only the
+    depth of the tree is a driver loop. One folder is listed by one task, because stores offer no way to split a
+    listing; for a flat collection beyond that, start from the store's own inventory as a table of paths.
     """
+    ship_package(spark)
     width = partitions or spark.sparkContext.defaultParallelism
     frontier = path_table(spark, [shared_uri(spark, folder)])
     levels = []
@@ -147,7 +142,7 @@ def list_tree(spark: SparkSession, folder: str, glob: str | None = None, partiti
     for level in levels[1:]:
         listed = listed.unionByName(level)
     if glob:
-        listed = listed.where(F.regexp_extract("path", "[^/]+$", 0).rlike(fnmatch.translate(glob)))
+        listed = listed.where(F.substring_index("path", "/", -1).rlike(f"^{glob_pattern(glob)}$"))
     return listed
 
 

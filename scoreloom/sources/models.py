@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import time
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
@@ -19,7 +20,6 @@ from scoreloom.session import shared_uri
 from scoreloom.sources.storage import read_file, write_file
 
 # A model is the one thing that goes to every task; this bounds what may be brought to the driver for it.
-# Larger networks stay in the shared folder (``OnnxModel``) and are loaded there by the workers.
 MAX_MODEL_VALUES = 10_000_000
 
 
@@ -60,6 +60,7 @@ class LinearModel:
     prep: Preprocess = Preprocess()
     name: str = ""
     version: str = ""
+    classes: tuple[int, ...] | None = None  # class id of every row of ``weights``; None: 0, 1, 2, ...
 
     def load(self) -> LinearModel:
         return self
@@ -91,16 +92,7 @@ def _staged(uri: str) -> LinearModel:
     with np.load(io.BytesIO(read_file(uri)), allow_pickle=False) as parts:
         labels = dict(zip(parts["label_ids"].tolist(), parts["label_texts"].tolist()))
         prep = Preprocess(int(parts["size"]), tuple(parts["mean"].tolist()), tuple(parts["std"].tolist()))
-        return LinearModel(parts["weights"], parts["bias"], labels, prep)
-
-
-@lru_cache(maxsize=4)
-def _onnx_session(uri: str):
-    import onnxruntime
-
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = 1  # one task is one core
-    return onnxruntime.InferenceSession(read_file(uri), options, providers=["CPUExecutionProvider"])
+        return LinearModel(parts["weights"], parts["bias"], labels, prep, classes=tuple(parts["classes"].tolist()))
 
 
 @dataclass(frozen=True)
@@ -114,33 +106,13 @@ class StagedModel:
         return _staged(self.uri)
 
 
-@dataclass(frozen=True)
-class OnnxModel:
-    """An exported network (a vision transformer, say) in the shared folder, run by ONNX Runtime."""
-
-    uri: str
-    labels: dict[int, str] = field(default_factory=dict, hash=False)
-    prep: Preprocess = Preprocess()
-
-    def load(self) -> OnnxModel:
-        _onnx_session(self.uri)
-        return self
-
-    def logits(self, batch: np.ndarray) -> np.ndarray:
-        session = _onnx_session(self.uri)
-        feed = {session.get_inputs()[0].name: batch.astype(np.float32)}
-        return np.asarray(session.run(None, feed)[0], dtype=np.float64)
-
-    def label(self, index: int) -> str:
-        return label_or_index(self.labels, index)
-
-
 @dataclass(frozen=True)
 class Checkpoints:
     """N linear models over the same classes; a class unknown to a checkpoint is NaN there."""
 
     weights: np.ndarray  # checkpoint, class, dimension
     bias: np.ndarray  # checkpoint, class
+    classes: tuple[int, ...]  # class ids, in the order of the class axis
 
     def mean_logits(self, batch: np.ndarray) -> np.ndarray:
         """Mean logit per row and class, over the checkpoints that know the class."""
@@ -159,6 +131,7 @@ def stage_model(spark: SparkSession, model: LinearModel, folder: str) -> StagedM
         mean=np.array(model.prep.mean), std=np.array(model.prep.std),
         label_ids=np.array(list(model.labels), dtype=np.int64),
         label_texts=np.array(list(model.labels.values()), dtype=str),
+        classes=np.array(range(len(model.weights)) if model.classes is None else model.classes, dtype=np.int64),
     )
     write_file(uri, out.getvalue())
     return StagedModel(uri, model.prep)
@@ -167,20 +140,19 @@ def stage_model(spark: SparkSession, model: LinearModel, folder: str) -> StagedM
 def label_map(codes: DataFrame, names: DataFrame) -> DataFrame:
     """``class_id, code, label``: class order to readable name, the index as text where there is none.
 
-    ``codes`` is one row holding the ordered array ``codes``; ``names`` is ``code, label``. Read from label to
-    ``class_id`` the same table is the inverse.
+    ``codes`` is ``class_id, code``; ``names`` is ``code, label``. Read from label to ``class_id`` the same table is the inverse.
     """
-    order = codes.select(F.posexplode("codes").alias("class_id", "code"))
+    order = codes.select(F.col("class_id").cast("int"), "code")
     return order.join(names, "code", "left").select(
         "class_id", "code", F.coalesce("label", F.col("class_id").cast("string")).alias("label")
     )
 
 
-_VERSIONS = "name string, version string, size int, mean array<double>, std array<double>, logged_at bigint"
+_VERSIONS = "name string, version string, size int, mean array<double>, std array<double>, logged_at bigint, attempt string"
 _ALIASES = "name string, alias string, version string, set_at bigint"
 _TAGS = "name string, version string, key string, value string, set_at bigint"
-_LABELS = "name string, version string, class_id int, label string"
-_WEIGHTS = "name string, version string, class_id int, weights array<double>, bias double"
+_LABELS = "name string, version string, class_id int, label string, attempt string"
+_WEIGHTS = "name string, version string, class_id int, weights array<double>, bias double, attempt string"
 
 
 @dataclass(frozen=True)
@@ -188,7 +160,8 @@ class ModelStore:
     """Named, versioned, aliased models as append-only tables below one folder.
 
     Nothing is overwritten: moving an alias appends a row and the newest row counts, so a reader never
-    meets a half-replaced table.
+    meets a half-replaced table. Parts carry the attempt that wrote them, and a version's row names the attempt that was
+    finished: what a failed registration left behind belongs to no version.
     """
 
     spark: SparkSession
@@ -206,18 +179,25 @@ class ModelStore:
         self._append(self.spark.range(0, 1, 1, 1).select(*values), table)
 
     def versions(self, name: str | None = None) -> DataFrame:
+        """One row per version; of versions registered twice the first one counts."""
         rows = self._read("versions", _VERSIONS)
-        return rows if name is None else rows.where(F.col("name") == name)
+        rows = rows if name is None else rows.where(F.col("name") == name)
+        first = rows.groupBy("name", "version").agg(F.min_by(F.struct("size", "mean", "std", "logged_at", "attempt"), F.struct("logged_at", "attempt")).alias("r"))
+        return first.select("name", "version", "r.*")
+
+    def _finished(self, parts: DataFrame) -> DataFrame:
+        """The parts whose attempt a version names; versions are few."""
+        return parts.join(self.versions().select("name", "version", "attempt"), ["name", "version", "attempt"], "left_semi").drop("attempt")
 
     def aliases(self) -> DataFrame:
         rows = self._read("aliases", _ALIASES)
         return rows.groupBy("name", "alias").agg(F.max_by("version", "set_at").alias("version"))
 
     def weights(self) -> DataFrame:
-        return self._read("weights", _WEIGHTS)
+        return self._finished(self._read("weights", _WEIGHTS))
 
     def labels(self) -> DataFrame:
-        return self._read("labels", _LABELS)
+        return self._finished(self._read("labels", _LABELS))
 
     def latest(self, name: str) -> DataFrame:
         """Newest version: the largest number, although versions are text ('10' follows '9')."""
@@ -242,31 +222,34 @@ class ModelStore:
                     raise
                 found = None
             version = str(1 if found is None else found["version"] + 1)
-        stamp = [F.lit(name).alias("name"), F.lit(version).alias("version")]
-        self._append(weights.select(*stamp, F.col("class_id").cast("int"), "weights", "bias"), "weights")
+        attempt = uuid.uuid4().hex
+        stamp, mark = [F.lit(name).alias("name"), F.lit(version).alias("version")], F.lit(attempt).alias("attempt")
+        self._append(weights.select(*stamp, F.col("class_id").cast("int"), "weights", "bias", mark), "weights")
         if labels is not None:
-            self._append(labels.select(*stamp, F.col("class_id").cast("int"), "label"), "labels")
+            self._append(labels.select(*stamp, F.col("class_id").cast("int"), "label", mark), "labels")
         for key, value in (tags or {}).items():
             self.set_tag(name, version, key, value)
         own = (None, None, None) if prep is None else (prep.size, list(prep.mean), list(prep.std))
-        row = (name, version, *own, time.time_ns())
+        row = (name, version, *own, time.time_ns(), attempt)
         # The version row comes last: a version is visible only when its parts are there.
         self._append_row(row, _VERSIONS, "versions")
         return version
 
     def register_all(self, name: str, weights: DataFrame, prep: Preprocess = Preprocess()) -> None:
-        """Add many versions at once (the checkpoints of one training run) from rows that carry ``version``."""
+        """Add many versions at once (the checkpoints of one training run) from rows that carry ``version``. Versions that
+        are there already stay as they are."""
+        attempt = uuid.uuid4().hex
         named = weights.select(
             F.lit(name).alias("name"), F.col("version").cast("string").alias("version"),
-            F.col("class_id").cast("int"), "weights", "bias",
+            F.col("class_id").cast("int"), "weights", "bias", F.lit(attempt).alias("attempt"),
         )
         self._append(named, "weights")
-        rows = self.weights().where(F.col("name") == name).select("name", "version").distinct()
+        rows = self._read("weights", _WEIGHTS).where(F.col("attempt") == attempt).select("name", "version").distinct()
         self._append(
             rows.select(
                 "name", "version", F.lit(prep.size).alias("size"),
                 F.array(*map(F.lit, prep.mean)).alias("mean"), F.array(*map(F.lit, prep.std)).alias("std"),
-                F.lit(time.time_ns()).alias("logged_at"),
+                F.lit(time.time_ns()).alias("logged_at"), F.lit(attempt).alias("attempt"),
             ),
             "versions",
         )
@@ -313,7 +296,7 @@ class ModelStore:
         for r in rows:
             at = versions.index(int(r["version"])), classes.index(r["class_id"])
             w[at], b[at] = r["weights"], r["bias"]
-        return Checkpoints(w, b)
+        return Checkpoints(w, b, tuple(classes))
 
     def load(self, uri: str) -> LinearModel:
         """The model behind an address. Only one model is brought to the driver, and its size is checked."""
@@ -330,10 +313,9 @@ class ModelStore:
                 raise
             texts = {}
         prep = self.prep(name, version)
-        labels = {i: texts[r["class_id"]] for i, r in enumerate(rows) if r["class_id"] in texts}
-        return LinearModel(
-            np.array([r["weights"] for r in rows]), np.array([r["bias"] for r in rows]), labels, prep, name, version
-        )
+        classes = tuple(r["class_id"] for r in rows)
+        weights_, bias = (np.array([r[c] for r in rows]) for c in ("weights", "bias"))
+        return LinearModel(weights_, bias, texts, prep, name, version, classes)
 
 
 def _check_size(what: str, weights: DataFrame) -> None:

@@ -85,15 +85,18 @@ def write_file(uri: str, content: bytes) -> None:
 
 
 def list_folder(uri: str) -> Iterator[tuple[str, bool, int]]:
-    """Entries directly below ``uri``: path, is-folder, bytes. Local and mounted folders are streamed."""
+    """Entries directly below ``uri``: path, is-folder, bytes; none where there is no such folder. Local and mounted
+    folders are streamed."""
     store, path = open_store(uri)
     below = len(path.rstrip("/"))
     if isinstance(store, fs.LocalFileSystem):
+        if not os.path.isdir(path):
+            return
         with os.scandir(path) as entries:
             for entry in entries:
                 is_folder = entry.is_dir()
                 yield f"{uri.rstrip('/')}/{entry.name}", is_folder, 0 if is_folder else entry.stat().st_size
         return
-    for info in store.get_file_info(fs.FileSelector(path)):
+    for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         is_folder = info.type == fs.FileType.Directory
         yield uri.rstrip("/") + "/" + info.path[below:].lstrip("/"), is_folder, 0 if is_folder else info.size

@@ -8,34 +8,14 @@ from pyspark.sql import types as T
 
 from scoreloom.operators.compare import missing
 from scoreloom.operators.scoring import classify_content
-from scoreloom.session import materialise, session_conf
-from scoreloom.sources.files import PATH_SCHEMA, read_bytes
+from scoreloom.session import materialise, quote_name
+from scoreloom.sources.files import PATH_SCHEMA, list_tree, read_bytes
 from scoreloom.sources.models import Scorer
 
-# Fixed schema of Spark's binary file source: nothing is inferred, so no schema location is needed.
-BINARY_FILE = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
-    T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
-])
-
-FILES_PER_BATCH = 500_000
+FILES_PER_MANIFEST = 100_000
 MANIFESTS_PER_BATCH = 1000
 _CHECKPOINT = "scoreloom.checkpoint"
-
-
-def file_stream(
-    spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = True,
-    files_per_batch: int = FILES_PER_BATCH,
-) -> DataFrame:
-    """Stream of new files; the checkpoint of the writing query remembers those already seen."""
-    reader = (
-        spark.readStream.format("binaryFile").schema(BINARY_FILE)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .option("maxFilesPerTrigger", files_per_batch)
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
+INGESTED = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
 def manifest_stream(spark: SparkSession, folder: str, manifests_per_batch: int = MANIFESTS_PER_BATCH) -> DataFrame:
@@ -44,7 +24,11 @@ def manifest_stream(spark: SparkSession, folder: str, manifests_per_batch: int =
     For collections whose listing would not fit the driver. A store's change feed, written as Parquet, names the
     new files; the checkpoint remembers manifests, and tasks open the files.
     """
-    named = spark.readStream.schema(PATH_SCHEMA).option("maxFilesPerTrigger", manifests_per_batch).parquet(folder)
+    # By default a file that is a week older than the newest one seen is passed over; none may be.
+    named = (
+        spark.readStream.schema(PATH_SCHEMA).option("maxFilesPerTrigger", manifests_per_batch)
+        .option("maxFileAge", "36500d").parquet(folder)
+    )
     # One manifest may name very many files.
     spread = named.repartition(4 * spark.sparkContext.defaultParallelism)
     return read_bytes(spread).select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
@@ -52,17 +36,22 @@ def manifest_stream(spark: SparkSession, folder: str, manifests_per_batch: int =
 
 def ingest(
     spark: SparkSession, folder: str, table: str, checkpoint: str, glob: str | None = None,
-    files_per_batch: int = FILES_PER_BATCH, location: str | None = None,
+    files_per_manifest: int = FILES_PER_MANIFEST, location: str | None = None,
 ) -> None:
     """Drain the files that have arrived in ``folder`` into ``table``, then stop.
 
-    A backlog is taken in bounded micro-batches, each committed on its own, so a lost run resumes there.
+    What the listing has and no manifest names yet is written as manifests beside the checkpoint, however old it is; the
+    stream takes them in. A start that was lost between the two finds its manifests there.
     """
-    # A micro-batch lists each of its files again, by default in a task of its own. The source looks the
-    # setting up in this session while it runs.
-    listing = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}
-    with session_conf(spark, listing):
-        drain(file_stream(spark, folder, glob, files_per_batch=files_per_batch), table, checkpoint, location)
+    manifests = f"{checkpoint.rstrip('/')}-manifests"
+    listed = list_tree(spark, folder, glob).select("path")
+    known = spark.createDataFrame([], PATH_SCHEMA)
+    if not list_tree(spark, manifests, "*.parquet").isEmpty():
+        known = spark.read.schema(PATH_SCHEMA).parquet(manifests)
+    fresh = materialise(listed.join(known, "path", "left_anti"), "arrived")
+    if not fresh.isEmpty():
+        fresh.write.mode("append").option("maxRecordsPerFile", files_per_manifest).parquet(manifests)
+    ingest_manifests(spark, manifests, table, checkpoint, location=location)
 
 
 def ingest_manifests(
@@ -70,6 +59,9 @@ def ingest_manifests(
     manifests_per_batch: int = MANIFESTS_PER_BATCH, location: str | None = None,
 ) -> None:
     """The same for the files named by the manifests that have arrived in ``folder``."""
+    if list_tree(spark, folder, "*.parquet").isEmpty():
+        _bind(spark, table, INGESTED, checkpoint, location)
+        return
     drain(manifest_stream(spark, folder, manifests_per_batch), table, checkpoint, location)
 
 
@@ -79,17 +71,22 @@ def drain(stream: DataFrame, table: str, checkpoint: str, location: str | None =
     Table and checkpoint belong together: a table counts the batches of its checkpoint, and would take those
     of another one for repeats and drop them. So a second checkpoint is refused.
     """
-    spark = stream.sparkSession
+    _bind(stream.sparkSession, table, stream.schema, checkpoint, location)
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(table).awaitTermination()
+
+
+def _bind(spark: SparkSession, table: str, schema: T.StructType, checkpoint: str, location: str | None) -> None:
+    """Create the table with its checkpoint's name, before the first batch: no crash leaves one without the other."""
     bound = _bound_checkpoint(spark, table)
     if bound not in (None, checkpoint):
         raise ValueError(f"{table} is fed by the checkpoint {bound}")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if location is not None:
-        writer = writer.option("path", location)
-    writer.toTable(table).awaitTermination()
     if bound is None:
-        text = checkpoint.replace("\\", "\\\\").replace("'", "\\'")
-        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_CHECKPOINT}' = '{text}')")
+        text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        columns = ", ".join(f"{quote_name(f.name)} {f.dataType.simpleString()}" for f in schema)
+        where = "" if location is None else f" LOCATION {text(location)}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet{where} TBLPROPERTIES ({text(_CHECKPOINT)} = {text(checkpoint)})")
+        if _bound_checkpoint(spark, table) != checkpoint:
+            raise ValueError(f"{table} is there already and fed by no checkpoint of its own")
 
 
 def _bound_checkpoint(spark: SparkSession, table: str) -> str | None:

@@ -31,7 +31,7 @@ def names(df, root):
 
 
 def test_flat_and_one_level_patterns(spark, tree):
-    assert names(files.list_files(spark, str(tree), "*.jpg"), tree) == ["a.jpg"]
+    assert names(files.list_files(spark, str(tree), "*.jpg"), tree) == ["_hidden.jpg", "a.jpg"]
     assert names(files.list_files(spark, str(tree), "*/*.jpg"), tree) == [
         "dir.jpg/inner.jpg", "x/a.jpg", "x/d.jpg", "y/e f+g%h#i.jpg"
     ]
@@ -40,7 +40,7 @@ def test_flat_and_one_level_patterns(spark, tree):
 
 def test_any_depth_pattern_is_case_sensitive(spark, tree):
     found = names(files.list_files(spark, str(tree), "*.jpg", any_depth=True), tree)
-    assert found == ["a.jpg", "dir.jpg/inner.jpg", "x/a.jpg", "x/d.jpg", "y/e f+g%h#i.jpg", "y/z/deep.jpg"]
+    assert found == ["_hidden.jpg", "a.jpg", "dir.jpg/inner.jpg", "x/a.jpg", "x/d.jpg", "y/e f+g%h#i.jpg", "y/z/deep.jpg"]
     assert names(files.list_files(spark, str(tree), "*.JPG", any_depth=True), tree) == ["b.JPG"]
 
 
@@ -75,7 +75,7 @@ def test_example_input(spark, tree):
 def test_tasks_read_the_same_bytes(spark, tree):
     listed = files.list_files(spark, str(tree), "*", any_depth=True).select("path")
     rows = files.read_bytes(listed.repartition(3)).collect()
-    assert len(rows) == 8
+    assert len(rows) == 9
     for r in rows:
         with open(r.path.removeprefix("file:"), "rb") as f:
             assert hashlib.md5(r.content).digest() == hashlib.md5(f.read()).digest()
@@ -90,12 +90,25 @@ def test_read_bytes_splits_batches_by_size(spark, tmp_path, monkeypatch):
     assert got == {f"{i:02d}.bin": i * 1000 for i in range(1, 20)}
 
 
-def test_empty_files_are_listed_by_the_tree_only(spark, tmp_path):
-    """Spark's file sources leave out files without content; the listing in tasks does not."""
-    (tmp_path / "0.bin").write_bytes(b"")
-    (tmp_path / "1.bin").write_bytes(b"1")
-    assert names(files.list_files(spark, str(tmp_path), "*.bin"), tmp_path) == ["1.bin"]
-    assert names(files.list_tree(spark, str(tmp_path)), tmp_path) == ["0.bin", "1.bin"]
+def test_one_rule_in_all_readers(spark, tmp_path):
+    """Empty files, names with an underscore and patterns with several endings, listed, scanned and read alike."""
+    for name, body in (("0.jpg", b""), ("1.png", b"1"), ("_2.jpg", b"22"), ("3.gif", b"333"), (".4.jpg", b"4")):
+        (tmp_path / name).write_bytes(body)
+    want = ["0.jpg", "1.png", "_2.jpg"]
+    for listed in (files.list_files, files.list_tree, files.binary_scan):
+        assert names(listed(spark, str(tmp_path), "*.{jpg,png}"), tmp_path) == want
+    assert names(files.list_files(spark, str(tmp_path), "*.{jpg,png}", any_depth=True), tmp_path) == want
+    assert {bytes(r.content) for r in files.binary_scan(spark, str(tmp_path), "*.{jpg,png}").collect()} == {b"", b"1", b"22"}
+    assert files.list_files(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_patterns():
+    import re
+
+    cases = {"*.jpg": ["a.jpg", "_a.jpg"], "a?c": ["abc"], "[a-c]x": ["ax", "cx"], "[^a-c]x": ["dx"], "{ab,c*}.x": ["ab.x", "cde.x"], "a\\*": ["a*"], "x/*": ["x/y"]}
+    every = sorted({n for found in cases.values() for n in found})
+    for glob_, found in cases.items():
+        assert [n for n in every if re.fullmatch(files.glob_pattern(glob_), n)] == sorted(found), glob_
 
 
 def test_listing_opens_no_file(spark, tree):

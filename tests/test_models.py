@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scoreloom.sources import models
 from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, label_map, stage_model
@@ -108,8 +109,25 @@ def test_centroids_and_average(spark):
 
 
 def test_label_map_and_inverse(spark):
-    codes = spark.createDataFrame([(["n3", "n1", "n2"],)], "codes array<string>")
+    codes = spark.createDataFrame([(0, "n3"), (1, "n1"), (2, "n2")], "class_id int, code string")
     names = spark.createDataFrame([("n1", "church"), ("n3", "tench")], "code string, label string")
     rows = label_map(codes, names).orderBy("class_id").collect()
     assert [(r.class_id, r.code, r.label) for r in rows] == [(0, "n3", "tench"), (1, "n1", "church"), (2, "n2", "2")]
     assert {r.label: r.class_id for r in rows} == {"tench": 0, "church": 1, "2": 2}
+
+
+def test_a_failed_registration_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    store = ModelStore(spark, str(tmp_path / "store"))
+    weights = spark.createDataFrame([(3, [1.0, 2.0], 0.5), (7, [3.0, 4.0], 1.5)], "class_id int, weights array<double>, bias double")
+    with monkeypatch.context() as m:
+        m.setattr(ModelStore, "_append_row", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.register("odd", weights)
+    assert store.register("odd", weights) == "1"
+    model = store.load("models:/odd/1")
+    assert model.weights.shape == (2, 2) and model.classes == (3, 7)
+    both = weights.withColumn("version", F.lit(1))
+    for _ in range(2):
+        store.register_all("many", both)
+    assert store.weights().where("name = 'many'").count() == 2
+    assert store.load_versions("many").classes == (3, 7)

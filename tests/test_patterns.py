@@ -184,7 +184,7 @@ def test_clashing_names_write_nothing(spark, data, folder):
 def test_tasks_by_bytes(spark, data, folder, monkeypatch):
     monkeypatch.setattr(files, "TASK_BYTES", 3000)
     size = sum(p.stat().st_size for p in folder.rglob("*.ppm"))
-    for n, wanted, tasks in ((None, None, -(-size // 3000)), (None, 2, -(-size // 3000)), (None, 40, 40), (100, 2, 2)):
+    for n, wanted, tasks in ((None, None, -(-size // 3000)), (None, 2, -(-size // 3000)), (None, 40, 40), (100, 40, 40)):
         params = data.params(image_dir=str(folder), image_glob="*/*.ppm", n_images=n, num_partitions=wanted)
         run = patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "a"), form="netpbm"))
         assert run.summary["num_partitions"] == tasks and run.summary["num_images"] == 12

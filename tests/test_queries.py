@@ -6,15 +6,18 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import duck_rows, spark_rows
-
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from scoreloom.catalogue import QUERIES
+from scoreloom.oracles import ORACLES
 
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["vec_id", "pred", "score"]

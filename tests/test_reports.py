@@ -21,7 +21,10 @@ def test_phases(spark):
     assert rows(reports.phase_breakdown(df, "run", "phase", "s")) == [
         ("p1", "infer", 105.0, 0.141892), ("p1", "write", 635.0, 0.858108), ("p5", "idle", 0.0, None)
     ]
-    assert rows(reports.phase_columns(df, "run", "phase", "s", ["write", "infer"])) == [("p1", 635.0, 105.0), ("p5", 0.0, 0.0)]
+    assert rows(reports.phase_columns(df, "run", "phase", "s", ["write", "infer"])) == [("p1", 635.0, 105.0, 0.0, 740.0), ("p5", 0.0, 0.0, 0.0, 0.0)]
+    assert rows(reports.phase_columns(df, "run", "phase", "s", ["write"])) == [("p1", 635.0, 105.0, 740.0), ("p5", 0.0, 0.0, 0.0)]
+    short = df.withColumn("s", F.col("s") * 1e-6)
+    assert rows(reports.phase_breakdown(short, "run", "phase", "s"))[:2] == [("p1", "infer", 0.000105, 0.141892), ("p1", "write", 0.000635, 0.858108)]
     assert rows(reports.throughput(df, "run", "s")) == [("p1", 3, 740.0, 0.0), ("p5", 1, 0.0, 1e9)]
 
 

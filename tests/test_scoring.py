@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scoreloom.functions import tensors
 from scoreloom.operators import compare, scoring
-from scoreloom.sources.models import Checkpoints, LinearModel, OnnxModel, Preprocess
+from scoreloom.sources.models import Checkpoints, LinearModel, Preprocess
 from scoreloom.sources.storage import write_file
 
 
@@ -88,106 +88,62 @@ def test_served_in_sql(spark, rows, model):
     assert got == {i: (model.label(c), s) for i, (c, s) in want.items()}
 
 
-def flaky(model, refusals):
-    """A served model that throttles a number of times per batch; a negative number never stops."""
+def test_null_input_gives_null_in_every_scorer(spark, model):
+    """One rule: no vector, no prediction, and a completeness check finds the row."""
+    rows = spark.createDataFrame([(0, [0.5] * 6), (1, None), (2, [1.0] * 6)], "i int, x array<double>").coalesce(1)
+    scoring.register_served(spark, "served_null", scoring.ServedVectors(model))
+    scoring.register_served(spark, "served_why", scoring.ServedVectors(model), errors=True)
+    served = rows.selectExpr("i", "served_null(named_struct('features', x)) AS p").selectExpr("i", "p.label", "p.score")
+    why = rows.selectExpr("i", "served_why(named_struct('features', x)) AS p").select("i", "p.*").orderBy("i").collect()
+    assert [r.error for r in why] == [None, "no vector", None] and [r.class_id is None for r in why] == [False, True, False]
+    batches = scoring.score_batches(rows, "x", model, 6)
+    for scored in (served, batches, scoring.score_arrow(rows, "x", model), scoring.score_native(rows, "x", model)):
+        assert [r.score is None for r in scored.orderBy("i").collect()] == [False, True, False]
+    for labelled in (served, batches):
+        assert [r.i for r in compare.missing(rows.select("i"), labelled, "i").collect()] == [1]
+    parts = Checkpoints(model.weights[None], model.bias[None], tuple(range(len(model.bias))))
+    assert [r.logits is None for r in scoring.ensemble_logits(rows, "x", parts).orderBy("i").collect()] == [False, True, False]
 
-    class Flaky(scoring.ServedVectors):  # local, so that workers get it by value
-        left = refusals
 
-        def predict(self, frame):
-            if self.left:
-                self.left -= 1
-                raise scoring.Throttled("later")
-            self.left = refusals
-            return scoring.ServedVectors.predict(self, frame)
+def test_failed_rows_are_not_scored(spark):
+    inputs = spark.createDataFrame([(i, "g") for i in range(3)], "path int, g string")
+    predictions = spark.createDataFrame([(0, "a"), (1, None)], "path int, label string")
+    assert tuple(compare.completeness(inputs, predictions, "g").first()) == ("g", 3, 1, 2)
+    assert sorted(r.path for r in compare.missing(inputs, predictions).collect()) == [1, 2]
 
-    return Flaky(model)
 
+def test_classes_that_are_not_consecutive(spark, rows, model):
+    """Class ids are those of the model, not positions of its rows."""
+    from dataclasses import replace
 
-def test_retry(model):
-    frame = pd.DataFrame({"features": [np.zeros(6)]})
-    assert len(scoring.call_with_retry(flaky(model, 3).predict, frame, attempts=4, wait=0.001)) == 1
-    with pytest.raises(scoring.Throttled):
-        scoring.call_with_retry(flaky(model, 4).predict, frame, attempts=4, wait=0.001)
-    with pytest.raises(ZeroDivisionError):
-        scoring.call_with_retry(lambda _: 1 / 0, frame)
-
-
-def test_throttled_rows_are_found_by_completeness(spark, rows, model):
-    served = flaky(model, 2)
-    scoring.register_served(spark, "served_flaky", served, attempts=3, wait=0.001)
-    scoring.register_served(spark, "served_dead", flaky(model, -1), attempts=2, wait=0.001)
-    scoring.register_served(spark, "served_why", flaky(model, -1), attempts=2, wait=0.001, batch_size=7, errors=True)
-    why = rows.selectExpr("served_why(named_struct('features', x)) AS p").select("p.*").distinct().collect()
-    assert [tuple(r) for r in why] == [(None, None, "throttled: later")]
-    for name, lost in (("served_flaky", 0), ("served_dead", 300)):
-        flat = rows.selectExpr("i", f"{name}(named_struct('features', x)) AS p").selectExpr("i", "p.label", "p.score")
-        assert compare.missing(rows.select("i"), flat, "i").count() == lost
+    ids = tuple(10 * i + 3 for i in range(len(model.bias)))
+    odd = replace(model, classes=ids, labels={ids[0]: "first"})
+    want = {i: ids[c] for i, (c, _) in brute(model, rows).items()}
+    for scored in (scoring.score_arrow(rows, "x", odd), scoring.score_native(rows, "x", odd), scoring.score_batches(rows, "x", odd, 6)):
+        assert {r.i: r.class_id for r in scored.collect()} == want
+    labels = {r.label for r in scoring.score_batches(rows, "x", odd, 6).collect()}
+    assert labels <= {"first", *map(str, ids)}
 
 
 def test_soup_equals_ensemble_for_a_linear_model(spark, rows):
     rng = np.random.default_rng(8)
-    parts = Checkpoints(rng.normal(size=(5, 3, 6)), rng.normal(size=(5, 3)))
+    parts = Checkpoints(rng.normal(size=(5, 3, 6)), rng.normal(size=(5, 3)), (0, 1, 2))
     soup = LinearModel(parts.weights.mean(axis=0), parts.bias.mean(axis=0))
     x = np.array([r.x for r in rows.orderBy("i").collect()])
-    ensemble = np.array([r.logits for r in scoring.ensemble_logits(rows, "x", parts).orderBy("i").collect()])
+    ensemble = np.array([[p.z for p in r.logits] for r in scoring.ensemble_logits(rows, "x", parts).orderBy("i").collect()])
     assert np.allclose(ensemble, soup.logits(x), atol=1e-9)
 
 
 def test_ensemble_skips_unknown_classes():
-    parts = Checkpoints(np.array([[[1.0], [2.0]], [[3.0], [np.nan]]]), np.array([[0.0, 0.0], [0.0, np.nan]]))
+    parts = Checkpoints(np.array([[[1.0], [2.0]], [[3.0], [np.nan]]]), np.array([[0.0, 0.0], [0.0, np.nan]]), (0, 1))
     assert parts.mean_logits(np.array([[1.0]])).tolist() == [[2.0, 2.0]]
 
 
 def test_agreement_counts_nulls_as_equal(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, None)], "path int, label string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, "w")], "path int, label string")
-    assert tuple(compare.agreement(a, b).first()) == (4, 2, 2, 0.5)
-
-
-# A tiny exported network, written as protocol-buffer fields: y = x . W + b.
-
-
-def _field(number, payload):
-    if isinstance(payload, int):
-        return _varint(number << 3) + _varint(payload)
-    body = payload.encode() if isinstance(payload, str) else payload
-    return _varint(number << 3 | 2) + _varint(len(body)) + body
-
-
-def _varint(n):
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
-
-
-def _linear_network(weights, bias):
-    def tensor(name, array):
-        dims = b"".join(_field(1, d) for d in array.shape)
-        return dims + _field(2, 1) + _field(8, name) + _field(9, struct.pack(f"<{array.size}f", *array.ravel()))
-
-    def value(name, width):
-        dims = _field(1, _field(2, "n")) + _field(1, _field(1, width))
-        return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, dims)))
-
-    node = lambda op, a, b, out: _field(1, a) + _field(1, b) + _field(2, out) + _field(4, op)
-    graph = (
-        _field(1, node("MatMul", "x", "w", "h")) + _field(1, node("Add", "h", "b", "y")) + _field(2, "g")
-        + _field(5, tensor("w", weights)) + _field(5, tensor("b", bias))
-        + _field(11, value("x", weights.shape[0])) + _field(12, value("y", weights.shape[1]))
-    )
-    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
-
-
-def test_exported_network(spark, rows, model, tmp_path):
-    uri = f"file://{tmp_path}/net.onnx"
-    write_file(uri, _linear_network(model.weights.T.astype(np.float32), model.bias.astype(np.float32)))
-    network = OnnxModel(uri, model.labels, Preprocess())
-    got = {r.i: (r.class_id, r.score) for r in scoring.score_arrow(rows, "x", network).collect()}
-    want = brute(model, rows)
-    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
-    assert max(abs(got[i][1] - want[i][1]) for i in want) < 1e-5
+    assert tuple(compare.agreement(a, b).first()) == (4, 2, 2, 0.5, 0, 0)
+    assert tuple(compare.agreement(a.where("path > 1"), b.where("path < 4")).first()) == (2, 1, 1, 0.5, 1, 1)
 
 
 def test_map_rows_keeps_columns_and_batches(spark):

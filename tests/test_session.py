@@ -12,7 +12,7 @@ BASE = {"catalog": "c", "schema": "s", "dataset": "coco", "image_dir": "/d"}
 def test_parameters_are_cast_once():
     p = RunParams.from_text(BASE | {"n_images": "12", "num_partitions": "3", "micro_batch": "4"})
     assert (p.n_images, p.num_partitions, p.micro_batch, p.write_workers) == (12, 3, 4, 32)
-    assert RunParams.from_text(BASE).n_images == 3925
+    assert RunParams.from_text(BASE).n_images is None
     assert RunParams.from_text(BASE | {"n_images": ""}).n_images is None
     assert p.model_uri == "models:/classifier@prod"
     for bad in ({"n_images": "many"}, {"num_partitions": "1.5"}, {"unknown": "1"}):

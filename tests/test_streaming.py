@@ -27,13 +27,13 @@ def test_each_file_lands_once(spark, place):
         put(folder, f"d{i % 3}/{i}.jpg", bytes([i]))
     put(folder, "other.txt", b"x")
     for expected in (15, 15):
-        S.ingest(spark, str(folder), table, checkpoint, "*.jpg", files_per_batch=4)
+        S.ingest(spark, str(folder), table, checkpoint, "*.jpg", files_per_manifest=4)
         assert spark.table(table).count() == expected
     put(folder, "late/16.jpg", b"new")
-    S.ingest(spark, str(folder), table, checkpoint, "*.jpg", files_per_batch=4)
+    S.ingest(spark, str(folder), table, checkpoint, "*.jpg", files_per_manifest=4)
     rows = spark.table(table).collect()
     assert len(rows) == len({r.path for r in rows}) == 16
-    assert spark.table(table).columns == ["path", "modificationTime", "length", "content"]
+    assert spark.table(table).columns == ["path", "length", "content"]
 
 
 def test_a_second_checkpoint_is_refused(spark, place, tmp_path):
@@ -58,13 +58,51 @@ def test_manifests_name_the_files(spark, place, tmp_path):
         assert got == {str(i): (i + 1, bytes([i]) * (i + 1)) for i in range(expected)}
 
 
-def test_listing_setting_is_put_back(spark, place):
+def test_old_and_empty_files_are_not_lost(spark, place):
+    """Copies that keep their times arrive with old ones; empty files and names with an underscore are files too."""
+    import os
+    import time
+
+    folder, table, checkpoint = place
+    put(folder, "1.jpg", b"1")
+    S.ingest(spark, str(folder), table, checkpoint)
+    for name, body in (("old.jpg", b"old"), ("empty.jpg", b""), ("_x.jpg", b"x")):
+        put(folder, name, body)
+        month_ago = time.time() - 30 * 86400
+        os.utime(folder / name, (month_ago, month_ago))
+    for _ in range(2):
+        S.ingest(spark, str(folder), table, checkpoint)
+        got = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in spark.table(table).collect()}
+        assert got == {"1.jpg": b"1", "old.jpg": b"old", "empty.jpg": b"", "_x.jpg": b"x"}
+
+
+def test_nothing_there_makes_an_empty_table(spark, place):
+    folder, table, checkpoint = place
+    S.ingest(spark, str(folder), table, checkpoint)
+    assert spark.table(table).count() == 0
+    put(folder, "1.jpg", b"1")
+    S.ingest(spark, str(folder), table, checkpoint)
+    assert spark.table(table).count() == 1
+
+
+def test_a_crash_before_the_first_batch_leaves_the_table_bound(spark, place, tmp_path, monkeypatch):
     folder, table, checkpoint = place
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key, None)
     put(folder, "1.jpg", b"1")
+    bind = S._bind
+
+    def lost(*given):
+        bind(*given)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "_bind", lost)
+        with pytest.raises(RuntimeError):
+            S.ingest(spark, str(folder), table, checkpoint)
+    with pytest.raises(ValueError, match="is fed by the checkpoint"):
+        S.ingest(spark, str(folder), table, str(tmp_path / "another"))
+    put(folder, "2.jpg", b"2")
     S.ingest(spark, str(folder), table, checkpoint)
-    assert spark.conf.get(key, None) == before
+    assert spark.table(table).count() == 2
 
 
 def test_bad_rows_are_not_tried_again(spark, place):

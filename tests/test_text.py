@@ -30,7 +30,7 @@ def test_base64_has_no_line_breaks(spark):
 @pytest.mark.parametrize(
     "path, bare",
     [
-        ("dbfs:/vol/a.jpg", "/vol/a.jpg"), ("file:/a/b.jpg", "/a/b.jpg"), ("file:///a/b.jpg", "/a/b.jpg"),
+        ("file:/a/b.jpg", "/a/b.jpg"), ("file:///a/b.jpg", "/a/b.jpg"),
         ("/a/file:/b.jpg", "/a/file:/b.jpg"), ("s3://bucket/a.jpg", "s3://bucket/a.jpg"),
     ],
 )
