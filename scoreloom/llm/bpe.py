@@ -14,8 +14,8 @@ import codecs
 import functools
 import json
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse, islice
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +35,8 @@ BEYOND_QUICK = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\
 CHUNK_CHARS = 1 << 16
 CHUNK_BYTES = 256  # what a run takes in at a time, beyond the lookahead
 RUN_CHARS = 256  # a longer run of one kind of character goes through the transducer
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
+PART_BYTES = 4 << 20  # of texts (or ids) that are worked on at a time
 BATCH_CHARS = 2 << 20  # new words of so much text are merged together
 _EXACT = regex.compile(PATTERN)
 _SPREAD = 0x9E3779B97F4A7C15
@@ -69,7 +70,7 @@ class BytePairs:
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.lookahead = self._lookahead()
         self._table = self._hashed()
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, bytes] = {}  # tokens as four bytes each
         self._cuts = _EXACT.finditer
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -122,7 +123,7 @@ class BytePairs:
             at[open_] = (at[open_] + 1) % len(keys)
         return out
 
-    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """Tokens of many short non-empty pieces at once: in each turn, every piece makes its earliest merge everywhere."""
         of_byte = np.zeros(256, dtype=np.int64)
         of_byte[list(self.of_byte)] = list(self.of_byte.values())
@@ -152,30 +153,27 @@ class BytePairs:
         if not done:
             return []
         order = np.argsort(np.concatenate([p for p, _ in done]), kind="stable")
-        flat = np.concatenate([t for _, t in done])[order].tolist()
-        ends = np.cumsum(np.bincount(np.concatenate([p for p, _ in done]), minlength=len(pieces))).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+        flat = np.concatenate([t for _, t in done])[order].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.concatenate([p for p, _ in done]), minlength=len(pieces)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Put the tokens of short pieces into the cache, all new ones together."""
-        if len(self._words) >= CACHE_WORDS:
-            self._words.clear()
-        fresh = [p for p in {*pieces}.difference(self._words) if len(p) <= RUN_CHARS]
+        fresh = [p for p in set(filterfalse(self._words.__contains__, pieces)) if len(p) <= RUN_CHARS]
         self._words.update(zip(fresh, self.merge_many([p.encode() for p in fresh])))
 
-    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Tokens of many texts; those that fit into a batch share the merging of new words."""
         some: list[list[str] | str] = []
         size = 0
-        for text in [*texts, None]:
+        for text in chain(texts, [None]):
             if text is None or size >= BATCH_CHARS:
+                if len(self._words) >= CACHE_WORDS:  # what this batch has again is likely to come again
+                    now = {p for x in some if not isinstance(x, str) for p in x}
+                    self._words = {p: t for p, t in self._words.items() if p in now}
                 self.learn(chain.from_iterable(x for x in some if not isinstance(x, str)))
-                known = self._words.__getitem__
                 for x in some:
-                    try:
-                        yield list(self.encode(x)) if isinstance(x, str) else list(chain.from_iterable(map(known, x)))
-                    except KeyError:  # a long run
-                        yield list(chain.from_iterable(map(self.word, x)))
+                    yield np.frombuffer(b"".join(self._blocks(x)) if isinstance(x, str) else self._joined(x), dtype="<i4")
                 some, size = [], 0
             if text is not None:
                 plain = len(text) <= CHUNK_CHARS and not (self._special and self._special.search(text))
@@ -219,37 +217,37 @@ class BytePairs:
                 held = held[end:]
         yield from self.merge(held)
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        found = self._words.get(piece)
-        if found is None:
-            if len(piece) > RUN_CHARS:
-                return tuple(self.stream([piece.encode()]))
-            if len(self._words) >= CACHE_WORDS:
-                self._words.clear()
-            found = self._words[piece] = tuple(self.merge(piece.encode()))
-        return found
+    def _tokens(self, pieces: list[str]) -> bytes:
+        """Tokens of whole pieces, four bytes each; new short ones are merged together."""
+        self.learn(pieces)
+        return self._joined(pieces)
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        known = self._words
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:  # a long run
+            return b"".join(known[p] if p in known else np.fromiter(self.stream([p.encode()]), "<i4").tobytes() for p in pieces)
 
     def encode(self, text: str | Iterable[str]) -> Iterator[int]:
-        """Tokens of a text, given whole or in chunks, as its pieces become certain."""
-        if isinstance(text, str):
-            if self._special is None:
-                yield from self._plain(text)
-                return
-            for i, part in enumerate(self._special.split(text)):
-                if i % 2:
-                    yield self.special[part]
-                else:
-                    yield from self._plain(part)
+        """Tokens of a text, given whole or in chunks, as its pieces become certain. Special strings are looked for in
+        texts given whole."""
+        for block in self._blocks(text):
+            yield from np.frombuffer(block, "<i4").tolist()
+
+    def _blocks(self, text: str | Iterable[str]) -> Iterator[bytes]:
+        if not isinstance(text, str):
+            yield from self._chunks(text)
             return
-        yield from self._chunks(text)
-
-    def _plain(self, text: str) -> Iterator[int]:
-        if len(text) <= CHUNK_CHARS:
-            yield from chain.from_iterable(map(self.word, self._cut(text)))
-        else:
-            yield from self._chunks(text[i : i + CHUNK_CHARS] for i in range(0, len(text), CHUNK_CHARS))
-
-    def _chunks(self, chunks: Iterable[str]) -> Iterator[int]:
+        for i, part in enumerate(self._special.split(text) if self._special else [text]):
+            if i % 2:
+                yield np.array([self.special[part]], "<i4").tobytes()
+            elif len(part) <= CHUNK_CHARS:
+                yield self._tokens(self._cut(part))
+            else:
+                yield from self._chunks(part[i : i + CHUNK_CHARS] for i in range(0, len(part), CHUNK_CHARS))
+
+    def _chunks(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Pieces of a text without special strings. A piece is certain three characters after its end (contractions
         look that far) and once another follows; a run longer than RUN_CHARS is streamed while it goes on."""
         source, held, more = iter(chunks), "", True
@@ -259,14 +257,12 @@ class BytePairs:
             held += chunk or ""
             pieces = [m.span() for m in self._cuts(held)]
             keep = 0 if not more else max(1, sum(end > len(held) - 3 for _, end in pieces[-4:]))
-            for start, end in pieces[: len(pieces) - keep]:
-                yield from self.word(held[start:end])
+            yield self._tokens([held[start:end] for start, end in pieces[: len(pieces) - keep]])
             held = held[pieces[-keep][0] :] if keep and pieces else ""
             if more and keep == 1 and len(held) > RUN_CHARS:
                 rest: list[str] = []
-                yield from self.stream(self._run(held, source, rest))
+                yield np.fromiter(self.stream(self._run(held, source, rest)), "<i4").tobytes()
                 held = rest[0]
-        # ``held`` is empty here: the last turn of the loop keeps nothing back
 
     @staticmethod
     def _run(held: str, source: Iterator[str], rest: list[str]) -> Iterator[bytes]:
@@ -310,46 +306,64 @@ def _shipped(df: DataFrame, tokenizer: str):
     return df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, kind)])
+def _parts(batches, column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut by bytes of one column, so that what a task holds besides a batch stays small."""
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        while at < n:
+            step = max(1, min(n - at, n * PART_BYTES // max(1, batch.column(column).nbytes)))
+            yield batch.slice(at, step)
+            at += step
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the token ids of every whole text as an array ``out`` (replaced if it exists); null and empty give an empty array."""
+def _ids(pairs: BytePairs, batch: pa.RecordBatch, text: str) -> pa.ListArray:
+    flat = list(pairs.encode_many(t.as_py() or "" for t in batch.column(text)))
+    ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)]), pa.int32()))
+
+
+def _texts(pairs: BytePairs, ids: pa.ListArray) -> pa.Array:
+    return pa.array([None if v.values is None else "".join(pairs.decode(v.values.to_numpy().tolist())) for v in ids], pa.string())
+
+
+def _coded(df: DataFrame, tokenizer: str, column: str, make: dict[str, Callable], kinds: list[T.DataType]) -> DataFrame:
     shipped = _shipped(df, tokenizer)
+    fields = [f for f in df.schema.fields if f.name not in make]
 
     def run(batches):
         pairs = parsed(shipped.value)
-        for batch in batches:
-            flat, ends = [], [0]
-            for tokens in pairs.encode_many([t or "" for t in batch.column(text).to_pylist()]):
-                flat.append(np.array(tokens, dtype=np.int32))
-                ends.append(ends[-1] + len(tokens))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)]), pa.int32()))
-            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != out]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), ids], [*(n for n, _ in rest), out])
+        for batch in _parts(batches, column):
+            made: dict[str, pa.Array] = {}
+            for name, call in make.items():
+                made[name] = call(pairs, batch, made)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *made.values()], [*(f.name for f in fields), *made])
+
+    return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(make, kinds))]))
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
 
-    return df.mapInArrow(run, _with_column(df, out, T.ArrayType(T.IntegerType())))
+def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add the token ids of every whole text as an array ``out`` (replaced if it exists); null and empty give an empty array."""
+    return _coded(df, tokenizer, text, {out: lambda pairs, batch, _: _ids(pairs, batch, text)}, [_IDS])
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of the token ids as ``out`` (replaced if it exists); null gives null."""
-    shipped = _shipped(df, tokenizer)
+    return _coded(df, tokenizer, ids, {out: lambda pairs, batch, _: _texts(pairs, batch.column(ids))}, [T.StringType()])
 
-    def run(batches):
-        pairs = parsed(shipped.value)
-        for batch in batches:
-            made = [None if v is None else "".join(pairs.decode(v)) for v in batch.column(ids).to_pylist()]
-            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != out]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(made, pa.string())], [*(n for n, _ in rest), out])
 
-    return df.mapInArrow(run, _with_column(df, out, T.StringType()))
+def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Both in one pass over the rows: the ids, and the text that they decode to."""
+    make = {ids: lambda pairs, batch, _: _ids(pairs, batch, text), out: lambda pairs, batch, made: _texts(pairs, made[ids])}
+    return _coded(df, tokenizer, text, make, [_IDS, T.StringType()])
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows with ``ids`` and ``decoded``."""
+def digests(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows with ``ids`` and ``decoded``, beside the columns ``keep``."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return df.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *keep,
     )

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every text, decode it again; counts and digests of both."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER))
+    return bpe.digests(bpe.encode_and_decode(docs, TOKENIZER))
 
 
 def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
