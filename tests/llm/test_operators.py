@@ -1,0 +1,377 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from scoreloom.llm import chat, components, decontaminate, dedup, jaccard, passages, pii, shards, toxicity, trie, warc
+from scoreloom.llm.words import ALPHANUMERIC, words
+
+SPACES = re.compile(r"[\x20\x09-\x0D]")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+VOCABULARY = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "il", "or", "us")]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n))
+
+
+def edited(text, at, word="zzz"):
+    parts = text.split(" ")
+    for i in at:
+        parts[i] = f"{word}{i}"
+    return " ".join(parts)
+
+
+# ---- exact duplicates -----------------------------------------------------------------------------------
+
+ROWS = [(1, "a b"), (2, "ab "), (3, None), (4, ""), (5, " \n"), (6, "ab"), (6, "ab"), (7, "AB"), (None, "a b"), (8, "x" * 50_000), (9, "x" * 50_000), (10, "\xa0ab")]
+
+
+@pytest.mark.parametrize("digest", [dedup.sha256, lambda c: F.substring(F.md5(c), 1, 1), lambda c: F.lit("all")])
+def test_exact_groups(docs, digest):
+    """Also when digests of different texts are equal."""
+    got = dedup.exact_groups(docs(ROWS), digest).collect()
+    norm = lambda t: SPACES.sub("", t or "")
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(norm(t), []).append((i, len(t or "")))
+    keep = {k: max(v, key=lambda x: (x[1], x[0] is not None, -(x[0] or 0)))[0] for k, v in groups.items()}
+    want = Counter((i, keep[norm(t)], len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in ROWS)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups)
+
+
+def test_exact_dedup_keeps_columns(docs):
+    df = docs(ROWS)
+    out = dedup.exact_dedup(df)
+    assert out.schema == df.schema and out.count() == len({SPACES.sub("", t or "") for _, t in ROWS})
+    assert {(r.digest, r._place, r.words) for r in out.collect()} == {("d", "p", "w")}
+    assert dedup.exact_dedup(docs([])).count() == 0 and dedup.exact_groups(docs([])).count() == 0
+
+
+def test_the_state_goes_on(spark, tmp_path):
+    """New keys in a second start meet the state of the first."""
+    schema = "digest string, text_sha256 string, doc_id long, place struct<file:string,row:long>, points long, part string"
+    keys, checkpoint = str(tmp_path / "keys"), str(tmp_path / "state")
+    for batch, size in (([("d", "d", 5, ("", 1), 3, "")], 1), ([("d", "d", 2, ("", 2), 3, ""), ("e", "e", 9, ("", 3), 1, "")], 2)):
+        frame = spark.createDataFrame(batch, schema)
+        frame.write.mode("append").parquet(keys)
+        got = {r.digest: r for r in dedup.state_of(spark, keys, frame.schema, checkpoint).collect()}
+        assert got["d"].size == size and -got["d"].best.minus_id == (5 if size == 1 else 2)
+
+
+# ---- sharding -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 1024, 99_991])
+def test_permutation_and_inverse(n):
+    p = shards.permute(np.arange(n), n, 42)
+    assert sorted(p.tolist()) == list(range(n)) and (shards.permute(p, n, 42, inverse=True) == np.arange(n)).all()
+    assert n < 1000 or abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.1
+
+
+def test_shards(docs):
+    rows = [(i, "ü" * (i % 7)) for i in range(100)] + [(3, None), (None, "x"), (3, None)]
+    got = shards.shard_documents(docs(rows)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    again = shards.shard_documents(docs(list(reversed(rows)))).collect()
+    assert {(r.doc_id, r.text_crc32): r.shard for r in got if r.doc_id not in (3, None)} == {(r.doc_id, r.text_crc32): r.shard for r in again if r.doc_id not in (3, None)}
+    assert shards.shard_documents(docs([])).count() == 0
+
+
+# ---- personal data --------------------------------------------------------------------------------------
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PLAIN_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_quick_patterns_find_what_the_plain_ones_find():
+    rng = random.Random(2)
+    for _ in range(5000):
+        text = "".join(rng.choice(["a", "b.", "@", "@", "-", "_", "%", ".", "c.d", " ", "é", "1", "12", "255."]) for _ in range(rng.randint(0, 25)))
+        assert [m.span() for m in EMAIL.finditer(text)] == list(pii.emails(text)), text
+        assert [m.span() for m in PLAIN_IP.finditer(text)] == [m.span() for m in pii.IP.finditer(text)], text
+
+
+def test_checks():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("DE89 3704 0044 0532 0130 00") and not pii.mod97("DE89 3704 0044 0532 0130 01")
+
+
+def test_spans_and_scores(docs):
+    text = "é call +49 (30) 123-4567 or mail a.b@c.de, ip 1.2.3.4, not 1.2.3.444; card 4111 1111 1111 1111 iban DE89 3704 0044 0532 0130 00"
+    rows = [(1, text), (2, None), (3, ""), (4, "9" * 100_000), (5, "1.2.3.4 and 1.2.3.4"), (5, "order 4111111111111111")]
+    found = {r.text: r.spans for r in pii.find_personal_data(docs(rows)).collect()}
+    assert [(s.kind, text[s.start : s.end]) for s in found[text]][:4] == [("phone", "+49 (30) 123-4567"), ("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111")]
+    assert "iban" in {s.kind for s in found[text]} and found[None] == [] and found["9" * 100_000] == []
+    card = next(s.score for s in found[text] if s.kind == "card")
+    assert card > found["order 4111111111111111"][0].score
+    redacted = pii.redact(pii.find_personal_data(docs([(1, "mail a.b@c.de or c@d.ee!"), (2, "x")]))).collect()
+    assert {r.text for r in redacted} == {"mail [email] or [email]!", "x"}
+    assert pii.report(docs([])).count() == 0
+    total = pii.report(docs(rows)).agg(F.sum("n_ip"), F.sum("n_card"), F.sum("n_phone"), F.sum("n_email")).first()
+    assert tuple(total) == (3, 2, 1, 1)
+
+
+# ---- Jaccard join ---------------------------------------------------------------------------------------
+
+
+def brute_components(rows, n, percent):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    union = trie.Union(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                union.join(i, j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(union.find(i), []).append(d)
+    return Counter((d, len(sets[i]), min((x for x in least[union.find(i)] if x is not None), default=d) if sets[i] else d) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 2048), (3, 90, 3), (5, 80, 2048), (5, 80, 2)])
+def test_components(docs, monkeypatch, n, percent, block):
+    """Also with blocks so small that components are cut into many."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, base = random.Random(7), [prose(s, 80) for s in range(4)]
+    rows = [(i, edited(rng.choice(base), rng.sample(range(80), rng.randint(0, 4)))) for i in range(70)]
+    rows += [(70, None), (71, ""), (72, "  "), (73, "one two"), (74, "One\tTWO"), (75, "two one"), (76, base[0]), (76, base[0]), (None, base[0]), (77, prose(9, 12_000))]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(docs(rows), n, percent).collect())
+    assert got == brute_components(rows, n, percent)
+
+
+def test_first_of_components(docs):
+    base = prose(1, 200)
+    df = docs([(5, base), (3, edited(base, [10])), (9, prose(2, 100)), (8, ""), (7, ""), (None, None)])
+    out = jaccard.first_of_components(df)
+    assert out.schema == df.schema and {r.digest for r in out.collect()} == {"d"} and sorted((r.doc_id or -1) for r in out.collect()) == [-1, 3, 7, 8, 9]
+    assert jaccard.first_of_components(docs([])).count() == 0 and jaccard.jaccard_components(docs([])).count() == 0
+
+
+def test_tree_join_against_all_pairs():
+    rng = random.Random(3)
+    for _ in range(150):
+        base = [rng.sample(range(200), rng.randint(1, 60)) for _ in range(4)]
+        sets = []
+        for _ in range(rng.randint(1, 25)):
+            s = set(rng.choice(base))
+            for _ in range(rng.randint(0, 4)):
+                s ^= {rng.randint(0, 400)}
+            sets += [s] if s else []
+        percent, n, k = rng.choice([50, 80, 90]), len(sets), len(sets) // 2
+        arrays = [np.array(sorted(s), dtype=np.int64) for s in sets]
+        alike = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        for queries, indexed in ((range(n), range(n)), (range(k), range(k, n))):
+            one, two = trie.Union(n), trie.Union(n)
+            for i, j in alike:
+                if i in queries and j in indexed or j in queries and i in indexed:
+                    one.join(i, j)
+            for i, j in trie.links(arrays, list(range(n)), list(queries), list(indexed), percent):
+                two.join(i, j)
+            assert [one.find(i) for i in range(n)] == [two.find(i) for i in range(n)]
+
+
+def test_connected_components(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
+    union = trie.Union(2000)
+    for a, b in pairs:
+        union.join(a, b)
+    got = {r.a: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: union.find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+# ---- benchmark leaks ------------------------------------------------------------------------------------
+
+
+def smith_waterman(a, b):
+    best, above = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, now[j] - 1))
+        best, above = max(best, *now), now
+    return best / (2 * len(a))
+
+
+def test_alignment():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(1, 20))] for _ in range(2))
+        score, start, end = decontaminate.align(np.array(a), np.array(b))
+        assert score == smith_waterman(a, b) and 0 <= start <= end <= len(b)
+        assert score == 0 or smith_waterman(a, b[start:end]) == score
+
+
+def test_leaks(spark, docs):
+    items = [(i, prose(100 + i, 30 + i)) for i in range(8)] + [(90, None), (91, ""), (92, "two words"), (None, prose(300, 30)), (93, prose(100, 30))]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
+    rng, rows = random.Random(6), [(0, None), (1, ""), (2, prose(300, 30))]
+    for d in range(40):
+        text = prose(d, 200)
+        if d % 2:
+            item = dict(items)[d % 8].split(" ")
+            if d % 3 == 0:  # edited
+                item = [w if rng.random() > 0.15 else "changed" for w in item]
+            text = " ".join([prose(d, 100), *item, prose(d + 50, 60)]).upper() if d % 5 == 0 else " ".join([prose(d, 100), *item, prose(d + 50, 60)])
+        rows.append((10 + d, text))
+    rows += [rows[-1], (None, dict(items)[1]), (99, prose(400, 30_000) + " " + dict(items)[2])]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    split = lambda t: [w.hash[w.first[0] : w.first[1]].tolist() for w in words(pa.array([t or ""]), ALPHANUMERIC)][0]
+    want = {}
+    for d, t in rows:
+        if d == 99:
+            want[(99, 2)] = 1.0
+            continue
+        for i, s in items:
+            if i is not None and len(split(s)) >= decontaminate.GRAM and (score := smith_waterman(split(s), split(t))) >= decontaminate.LEAST:
+                want[(d, i)] = max(score, want.get((d, i), 0))
+    assert got == want
+    df = docs(rows)
+    kept = decontaminate.without_leaks(df, bench)
+    assert kept.schema == df.schema and {r.digest for r in kept.collect()} == {"d"} and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if d not in {x for x, _ in want})
+    assert decontaminate.contaminated(docs([]), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(rows)
+
+
+# ---- repeated passages ----------------------------------------------------------------------------------
+
+
+def test_minima():
+    h = passages.mix(np.arange(300, dtype=np.uint64))
+    for least in (1, 2, 3, 7, 8, 46, 64, 100, 300):
+        assert (passages.minima(h, least) == np.lib.stride_tricks.sliding_window_view(h, least).min(axis=1)).all()
+
+
+def test_passages(docs):
+    shared, other = prose(1000, 60), prose(1001, 55)
+    near = edited(prose(1002, 120), [60])
+    rows = [(i, f"{prose(i, 70)} {shared} {prose(i + 100, 30)}") for i in range(12)]
+    rows += [(20, f"{other} {prose(20, 40)}"), (21, f"{prose(21, 90)} {other}"), (30, prose(1002, 120)), (31, near), (40, prose(40, 300)), (41, None), (42, ""), (43, prose(43, 40))]
+    rows += [(50, prose(50, 400)), (51, prose(50, 400)), (51, prose(50, 400)), (None, prose(50, 400)), (60, prose(60, 20_000))]
+    got = passages.repeated_passages(docs(rows)).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert classes == {0: set(range(12)), 20: {20, 21}, 30: {30, 31}, 50: {50, 51, None}}
+    text = dict(rows)
+    for r in got:
+        if r.class_id == 0:
+            assert " ".join(text[r.doc_id].split(" ")[r.start_word : r.end_word]) == shared
+        assert r.similarity >= 0.8
+    assert passages.repeated_passages(docs([])).count() == 0
+
+
+def test_passages_that_differ_too_much_are_left(docs):
+    base = prose(7, 60)
+    assert passages.repeated_passages(docs([(1, base), (2, edited(base, [10, 30, 50]))])).count() == 0
+
+
+# ---- chat -----------------------------------------------------------------------------------------------
+
+
+def test_escape_and_back():
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(["<", "[", "\\", "s>", "/s>", "INST]", "|im_end|>", "a", "\n", "<s>"]) for _ in range(8))
+        assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROL)
+        assert chat.parse_turn(chat.format_turn(text, text[::-1])[0]) == (text, text[::-1])
+
+
+def test_prefix_tree(spark):
+    said = ["abc", "abde", "a", "xy", "abc", "az", "abdf", "xyz"]
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", x, "extra") for c, s in enumerate(said) for t, x in enumerate(s)]
+    nodes, _ = chat.pack(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, node string"))
+    rows = nodes.orderBy("offset").collect()
+    assert "".join(chat.parse_turn(r.formatted)[1] for r in rows) == "abcdefzxyz"  # depth first, each once
+    by, packed = {r.node: r for r in rows}, "".join(r.formatted for r in rows)
+    for r in rows:
+        path, at = [], r
+        while at.parent:
+            at = by[at.parent]
+            path.append(at.formatted)
+        seen = "".join(packed[i.start : i.end] for i in r.ancestors)
+        assert seen == "".join(reversed(path)) and r.position == len(seen) and packed[r.offset : r.offset + r.length] == r.formatted
+
+
+def test_read_back(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "x </s> y"), (2, 0, None, "hi"), (2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (None, 1, "assistant", "é" * 100_000), (3, None, "system", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(*chat.pack(frame)).collect()}
+    for c in (1, 2, None, 3):
+        mine = sorted(((t if t is not None else -1, r or "", x or "") for i, t, r, x in rows if i == c))
+        said = "".join(x for _, r, x in mine if r == "assistant")
+        assert got[c].n_turns == len(mine) and got[c].loss_chars == len(said)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert chat.read_back(*chat.pack(frame.limit(0))).count() == 0
+
+
+# ---- web captures ---------------------------------------------------------------------------------------
+
+
+def test_derived_records(spark, tmp_path):
+    html = '<html><head><title>T &amp; t</title><style>x</style></head><body><!-- no --><p>One&nbsp;&#8364;<script>var a="</p>";</script><A class="b" href="/u">two</a></p><br>3 &lt; 4</body></html>'
+    pages = spark.createDataFrame([(1, "http://a/", html, "x"), (2, None, None, "x"), (None, "http://b/", "", "x"), (1, "http://a/", html, "x"), (4, "u", "w " * 100_000, "x")], "page_id long, url string, html string, block string")
+    out = warc.derive(warc.responses(pages), keep=("page_id",)).collect()
+    assert len(out) == 10
+    text = next(r for r in out if r.page_id == 1 and r.record_type == "conversion")
+    meta = next(r for r in out if r.page_id == 1 and r.record_type == "metadata")
+    assert text.block == "One €\\n two\\n3 < 4".replace("\\n", "\n") or text.block.split() == ["One", "€", "two", "3", "<", "4"]
+    assert meta.title == "T & t" and meta.n_links == 1 and "outlink: /u\r\n" in meta.block and "http-status: 200\r\n" in meta.block
+    assert text.refers_to == meta.refers_to == meta.source_headers["WARC-Record-ID"] and text.concurrent_to == meta.record_id
+    assert meta.payload_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest() == meta.source_headers["WARC-Payload-Digest"]
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+    warc.write_records(warc.derive(warc.responses(pages)).coalesce(1), str(tmp_path / "w"))
+    data = next((tmp_path / "w").glob("part-*")).read_bytes()
+    n = 0
+    while data:  # an independent reader
+        head, _, data = data.partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        size = int(fields["Content-Length"])
+        assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(data[:size]).hexdigest() and data[size : size + 4] == b"\r\n\r\n"
+        data, n = data[size + 4 :], n + 1
+    assert n == 10
+
+
+# ---- toxicity -------------------------------------------------------------------------------------------
+
+
+def test_toxicity(spark, docs, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir.replace('sf0.01', 'sf0.1')}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir.replace('sf0.01', 'sf0.1')}/labels.parquet")
+    held = toxicity.report(rows, labels).join(labels, "doc_id").where("held_out").select("score", "toxic").toPandas()
+    hot, cold = (held[held.toxic == t].score.to_numpy() for t in (1, 0))
+    area = np.mean([(x > cold).mean() + 0.5 * (x == cold).mean() for x in hot])
+    assert area > 0.95 and ((held.score >= 0.5) == (held.toxic == 1)).mean() > 0.95 and held.score.between(0, 1).all()
+
+
+def test_toxicity_of_odd_rows(spark, docs):
+    rows = [(i, f"you idiot {prose(i, 30)}" if i % 3 == 0 else prose(i, 30)) for i in range(300)] + [(900, None), (901, ""), (None, "x"), (902, "w " * 100_000), (902, "a")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    got = toxicity.report(docs(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    df = docs(rows)
+    kept = toxicity.clean(df, labels)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {i for i in range(300) if i % 3} | {900, 901}
+    assert {r.score for r in toxicity.report(docs(rows), labels.limit(0)).collect()} == {0.0}
+    assert toxicity.report(docs([]), labels).count() == 0
