@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.dedup import with_marks
+from scoreloom.llm.dedup import whole, with_marks
 from scoreloom.llm.words import ALPHANUMERIC, words
 from scoreloom.session import materialise, ship_package
 
@@ -154,7 +154,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Da
     """The rows of documents that hold no item, with all their columns. Rows without ``doc_id`` are judged together."""
     gone = contaminated(docs, items, least).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("digest")).distinct()
     gone = materialise(gone, "leak-gone")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = with_marks(docs.withColumn("digest", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), gone)
-    alone = marked.where("NOT _maybe").select(columns)
-    return alone.unionByName(marked.where("_maybe").join(gone, "digest", "left_anti").select(columns))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    marked = with_marks(docs.select(whole(docs), key.alias("digest")), gone)
+    rest = marked.where("_maybe").join(gone, "digest", "left_anti")
+    return marked.where("NOT _maybe").select("_row.*").unionByName(rest.select("_row.*"))

@@ -8,8 +8,6 @@ texts that differ under one digest are told apart. Only DataFrame operations run
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +36,20 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, ``_row``, so that none clashes with those added beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """Add ``_place``: file and row number where the source tells, else a number of the row."""
+    """Rows as ``_row, _place, text, doc_id``: whole, and the file and row number they lie at. A table that was computed has
+    no such places, and a second run might number its rows otherwise: it is written first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place")
+    pick = lambda df: df.select(whole(df), place, "text", "doc_id")
     try:
-        return docs.withColumn("_place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        return pick(docs)
     except AnalysisException:
-        return docs.withColumn("_place", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
+        return pick(materialise(docs, "dedup-input"))
 
 
 def state_of(spark: SparkSession, keys: str, schema, checkpoint: str) -> DataFrame:
@@ -100,8 +106,11 @@ def exact_groups(docs: DataFrame, digest=sha256, checkpoint: str | None = None)
     code points stays, then the one with the smallest ``doc_id`` (null after all others), then the last in place; of rows
     alike in all of these exactly one is ``kept``. ``digest`` is a parameter so that tests can make digests collide.
     """
+    return _groups(located(docs), digest, checkpoint)
+
+
+def _groups(docs: DataFrame, digest=sha256, checkpoint: str | None = None) -> DataFrame:
     spark = docs.sparkSession
-    docs = located(docs)
     norm = normalised()
     rows = docs.select(
         digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), "doc_id", F.col("_place").alias("place"),
@@ -135,15 +144,13 @@ def exact_groups(docs: DataFrame, digest=sha256, checkpoint: str | None = None)
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns. Rows whose digest was met once pass without a shuffle."""
-    groups = materialise(exact_groups(docs).where("group_size > 1").select("text_sha256", "kept", "_place"), "dedup-hits")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    docs = located(docs)
+    groups = materialise(_groups(docs).where("group_size > 1").select("text_sha256", "kept", "_place"), "dedup-hits")
     hits = groups.select(F.col("text_sha256").alias("digest"))
-    source = located(docs).withColumn("digest", sha256(normalised()))
-    marked = with_marks(source, hits)
-    alone = marked.where("NOT _maybe").select(columns)
+    marked = with_marks(docs.withColumn("digest", sha256(normalised())), hits)
     dropped = groups.where("NOT kept").select(F.col("_place").alias("_gone"))
     rest = marked.where("_maybe").join(dropped, F.col("_place") == F.col("_gone"), "left_anti")
-    return reduce(DataFrame.unionByName, [alone, rest.select(columns)])
+    return marked.where("NOT _maybe").select("_row.*").unionByName(rest.select("_row.*"))
 
 
 ORACLE = """
