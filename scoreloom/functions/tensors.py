@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,13 +13,9 @@ def scale_and_normalise(values: Column | str, mean: float, std: float, top: floa
     return F.transform(_col(values), lambda v: (v.cast("double") / F.lit(top) - F.lit(mean)) / F.lit(std))
 
 
-def linear_logits(features: Column | str, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
-    """One logit per class: ``w . x + b``. The weights are literals, so nothing is joined or shuffled."""
+def linear_logits(features: Column | str, rows: Column) -> Column:
+    """One logit per class: ``w . x + b``. ``rows`` is an array of ``w, b``, one value for the whole table."""
     x = _col(features)
-    rows = F.array(*[
-        F.struct(F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b"))
-        for w, b in zip(weights, bias)
-    ])
     dot = lambda w: F.aggregate(
         F.zip_with(w, x, lambda a, v: a * v.cast("double")), F.lit(0.0), lambda acc, v: acc + v
     )

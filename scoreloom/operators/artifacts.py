@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.resource import ResourceProfile
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,12 +88,37 @@ def _write(picture, label: str, score: float, target: str, form: str) -> None:
     write_file(target, pixels.encode_image(pixels.annotate(picture, text), text, form))
 
 
+class StepTimes:
+    """Seconds that tasks spent per step: loading the model, decoding and inference, annotating and writing.
+
+    Sums over all tasks, so they add up to more than the run took. A task that is repeated counts again.
+    """
+
+    STEPS = ("model", "inference", "write")
+
+    def __init__(self, spark: SparkSession | None = None):
+        self.sums = {} if spark is None else {s: spark.sparkContext.accumulator(0.0) for s in self.STEPS}
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        begin = time.perf_counter()
+        yield
+        if name in self.sums:
+            self.sums[name].add(time.perf_counter() - begin)
+
+    def summary(self) -> dict[str, float]:
+        return {f"task_{name}_s": round(total.value, 3) for name, total in self.sums.items()}
+
+
 def score_and_write(
     df: DataFrame, model: Scorer, batch_size: int = DEFAULT_MICRO_BATCH, mode: str = "FAILFAST",
     form: str = "auto", content: str | None = None, decoded: bool = False, profile: ResourceProfile | None = None,
+    spent: StepTimes | None = None,
 ) -> DataFrame:
     """Decode, score, annotate and write in one pass over ``path, output_path``.
 
+    ``spent`` adds up the tasks' seconds per step.
+
     Each picture is decoded once. With ``content`` the bytes come from that column; without, the task opens
     ``path`` itself and the bytes never leave it. ``decoded`` rows come from ``spark_images`` instead. The
     output adds ``class_id, label, score, error``; rows that could not be decoded have no artifact and a null
@@ -103,25 +130,29 @@ def score_and_write(
     base = shared_uri(df.sparkSession, "/")
 
     def make() -> Callable:
-        ready = model.load()
+        clock = spent or StepTimes()
+        with clock.step("model"):
+            ready = model.load()
 
         def run(part: pa.RecordBatch, bodies: list | None = None) -> list:
-            targets = part.column("_target").to_pylist()
+            with clock.step("inference"):
+                pictures, rows = classify(part, bodies)
+            with clock.step("write"):
+                targets = part.column("_target").to_pylist()
+                return [*zip(*rows), io_map(write, pictures, rows, targets)]
+
+        def classify(part: pa.RecordBatch, bodies: list | None) -> tuple[list, list[tuple]]:
             if decoded:
                 found = [_from_struct(*row) for row in zip(*[part.column(c).to_pylist() for c in _DECODED])]
-                pictures, rows = classify_decoded(found, ready, prep)
-            else:
-                bodies = part.column(content).to_pylist() if content else bodies
-                pictures, rows = classify_pictures(bodies, ready, prep, mode)
-
-            def write(picture, row: tuple, target: str) -> str | None:
-                _, label, score, error = row
-                if error is not None:
-                    return None
-                _write(picture, label, score, _with_scheme(target, base), form)
-                return target
-
-            return [*zip(*rows), io_map(write, pictures, rows, targets)]
+                return classify_decoded(found, ready, prep)
+            return classify_pictures(part.column(content).to_pylist() if content else bodies, ready, prep, mode)
+
+        def write(picture, row: tuple, target: str) -> str | None:
+            _, label, score, error = row
+            if error is not None:
+                return None
+            _write(picture, label, score, _with_scheme(target, base), form)
+            return target
 
         return run
 

@@ -53,13 +53,18 @@ def with_label(df: DataFrame, labels: dict[int, str], class_column: str = "class
 
 
 def score_native(df: DataFrame, features: str, model: LinearModel) -> DataFrame:
-    """Linear model as built-in expressions only: adds ``class_id`` and ``score``."""
+    """Linear model as built-in expressions only: adds ``class_id`` and ``score``.
+
+    The weights are one row of arrays, fetched once as a scalar; a model that was loaded has a bounded size.
+    """
     kept = df.columns
+    parts = [(w.tolist(), float(b)) for w, b in zip(np.asarray(model.weights, dtype=np.float64), model.bias)]
+    rows = df.sparkSession.createDataFrame([(parts,)], "m array<struct<w:array<double>,b:double>>").scalar()
     place = best_class("_logits")
     if model.classes is not None:
         place = F.get(F.array(*[F.lit(int(c)) for c in model.classes]), place)
     return (
-        df.withColumn("_logits", linear_logits(features, model.weights, model.bias))
+        df.withColumn("_rows", rows).withColumn("_logits", linear_logits(features, F.col("_rows")))
         .select(*kept, place.alias("class_id"), confidence("_logits").alias("score"))
     )
 

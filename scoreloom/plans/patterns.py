@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.paths import normalise_path
 from scoreloom.functions.pixels import EXTENSIONS, settle_form
 from scoreloom.functions.text import base64_bytes, base64_text
-from scoreloom.operators.artifacts import annotate_and_write, require_unique, score_and_write, with_output_path
+from scoreloom.operators.artifacts import StepTimes, annotate_and_write, require_unique, score_and_write, with_output_path
 from scoreloom.operators.compare import join_payload
 from scoreloom.operators.scoring import picture_tensors, score_batches
 from scoreloom.plans.runlog import Clock, rate
@@ -120,14 +120,15 @@ def direct(
             rows_in = _wanted(images, files.select(normalise_path("path").alias("path")), params, output)
         else:
             rows_in = output.name(files, params.image_dir).drop("length").repartition(width)
+    spent = StepTimes(spark)
     with clock.phase("inference_write"):
         scored = score_and_write(
-            rows_in, model, params.micro_batch, output.mode, output.form, decoded=jvm_decode, profile=profile
+            rows_in, model, params.micro_batch, output.mode, output.form, decoded=jvm_decode, profile=profile, spent=spent
         )
         table = output_table(params, pattern, "predictions")
         rows = save_table(scored.withColumn("path", normalise_path("path")), table)
     summary = {"pattern": pattern, "dataset": params.dataset, "num_partitions": width, "num_images": rows}
-    return Run(spark.table(table), summary | clock.summary(rows))
+    return Run(spark.table(table), summary | clock.summary(rows) | spent.summary())
 
 
 def ingest_then_score(
@@ -152,17 +153,20 @@ def ingest_then_score(
         else:
             ingest_manifests(spark, manifests, binary, checkpoint, location=location)
     ingested = spark.table(binary).count()
+    spent = StepTimes(spark)
     with clock.phase("inference"):
         files = spark.table(binary).select("path", "content")
         rows_in = _wanted(files, files.select("path"), params, output)
-        scored = score_and_write(rows_in, model, params.micro_batch, output.mode, output.form, content="content")
+        scored = score_and_write(
+            rows_in, model, params.micro_batch, output.mode, output.form, content="content", spent=spent
+        )
         table = output_table(params, pattern, "predictions")
         rows = save_table(scored.withColumn("path", normalise_path("path")), table)
     summary = {
         "pattern": pattern, "dataset": params.dataset, "num_partitions": params.num_partitions,
         "num_ingested": ingested, "num_images": rows,
     }
-    return Run(spark.table(table), summary | clock.summary(rows))
+    return Run(spark.table(table), summary | clock.summary(rows) | spent.summary())
 
 
 def staged(

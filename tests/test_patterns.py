@@ -212,3 +212,10 @@ def test_summary_is_logged_and_exported(spark, tmp_path):
     assert re.search(r"/results_2024-01-31T21-59-58\.json$", target)
     with open(target.removeprefix("file://")) as f:
         assert json.load(f) == [summary]
+
+
+def test_steps_are_timed_in_the_tasks(spark, data, folder):
+    params = data.params(image_dir=str(folder), image_glob="*/*.ppm")
+    run = patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "a"), form="netpbm"))
+    assert run.summary["task_inference_s"] > 0 and run.summary["task_write_s"] > 0 and run.summary["task_model_s"] >= 0
+    assert run.table.count() == 12
