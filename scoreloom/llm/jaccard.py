@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.components import components
-from scoreloom.llm.dedup import with_marks
+from scoreloom.llm.dedup import whole, with_marks
 from scoreloom.llm.trie import Union, links, needed
 from scoreloom.llm.words import NOT_SPACE, Words, mix, words
 from scoreloom.session import materialise, ship_package
@@ -87,16 +87,20 @@ _BOOK_ARROW = pa.schema([("segment", pa.int32()), ("blob", pa.binary()), ("doc_i
 def _census(n: int):
     """First pass: a row per document (size, digest, histogram), then the task's counters in segments."""
     def run(batches):
-        counters = np.zeros(COUNTERS, dtype=np.uint32)
+        counters, held = np.zeros(COUNTERS, dtype=np.uint32), []
         for batch in batches:
             ids = batch.column("doc_id")
             for w in words(batch.column("text"), NOT_SPACE):
                 value, first = gram_sets(w, n)
-                counters += np.bincount(_slot(value), minlength=COUNTERS).astype(np.uint32)
+                held.append(_slot(value).astype(np.int32))
+                if len(held) == 16:
+                    counters += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
+                    held = []
                 rows = len(w.rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(rows, -1, dtype=np.int32)), pa.array(histograms(value, first), pa.binary()), ids[w.rows.start : w.rows.stop],
                     pa.array(np.diff(first).astype(np.int64)), pa.array(set_ids(value, first))], schema=_BOOK_ARROW)
+        counters += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=COUNTERS).astype(np.uint32)
         width = COUNTERS // SEGMENTS
         parts = counters.reshape(SEGMENTS, width)
         blobs = []
@@ -355,9 +359,8 @@ def first_of_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
     component are not shuffled."""
     found = jaccard_components(docs, n, percent)
     gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = with_marks(docs.withColumn("digest", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), gone.select(F.col("_gone").cast("string").alias("digest")))
-    marked = marked.withColumn("_id", F.col("doc_id").cast("long"))
-    alone = marked.where("NOT _maybe").select(columns)
-    rest = marked.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti").select(columns)
-    return alone.unionByName(rest)
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(whole(docs), key.alias("_id"), F.coalesce(key.cast("string"), F.lit("")).alias("digest"))
+    marked = with_marks(rows, gone.select(F.col("_gone").cast("string").alias("digest")))
+    rest = marked.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return marked.where("NOT _maybe").select("_row.*").unionByName(rest.select("_row.*"))

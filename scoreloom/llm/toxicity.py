@@ -107,21 +107,23 @@ def _offsets(w: Words, column: pa.Array) -> np.ndarray:
 
 
 def with_features(df: DataFrame, lexicon: dict[int, float], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``features`` (array of doubles) of every row; null and empty texts have zeros."""
+    """The columns ``keep`` and ``features`` (array of doubles) of every row; null and empty texts have zeros. ``text`` is
+    passed on only where it is one of ``keep``."""
     ship_package(df.sparkSession)
     order = sorted(lexicon)
     hashes, weights = np.array(order, dtype=np.uint64), np.array([lexicon[h] for h in order])
-    df = df.select(*keep, F.col(text).alias("_text"))
+    df = df.select(*keep, *([] if text in keep else [text]))
+    fields = [f for f in df.schema.fields if f.name in keep]
 
     def run(batches):
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column(text)
             made = [features(w, _offsets(w, column), hashes, weights) for w in words(column, TABLE, FOLD)]
             flat = np.concatenate([*made, np.zeros((0, len(FEATURES)))]).ravel()
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(flat))], [*keep, "features"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.ListArray.from_arrays(ends, pa.array(flat))], [*keep, "features"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 def learn_lexicon(train: DataFrame, evidence: float = EVIDENCE) -> dict[int, float]:
@@ -164,12 +166,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return train.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).alias("part"))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN_ROWS, text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row and ``score`` (0 to 1). Null text counts as empty; empty texts are scored too.
     Labels without a row, null labels and null identifiers teach nothing; without enough labels every score is the
     share of label 1 among those known (0 without any)."""
     ship_package(docs.sparkSession)
-    train = materialise(training_rows(docs, labels, rows), "toxicity-train")
+    train = materialise(training_rows(docs.select("doc_id", F.col(text).alias("text")), labels, rows), "toxicity-train")
     per = {(r["p"], r["label"]): r["n"] for r in train.groupBy(F.expr("CASE WHEN part < 5 THEN 0 WHEN part < 8 THEN 1 ELSE 2 END").alias("p"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(per.get((p, label), 0) < LEAST_OF_A_CLASS for p in range(3) for label in (0.0, 1.0)):
         known = sum(per.values())
@@ -183,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN
     chance = vector_to_array("probability")[1]
     judged = model.transform(made.where("part >= 8")).select("label", chance.alias("chance"))
     curve = IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="calibrated").fit(judged)
-    found = with_features(docs, lexicon, keep).withColumn("features", array_to_vector("features"))
+    found = with_features(docs, lexicon, keep, text).withColumn("features", array_to_vector("features"))
     found = model.transform(found).withColumn("chance", chance)
     # the calibrated curve has flat steps; a hundredth of the uncalibrated chance keeps the order within them
     blend = 0.99 * F.col("calibrated") + 0.01 * F.col("chance")
@@ -198,6 +200,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows scored below ``limit``, with all their columns; the text is read once and never shuffled."""
-    keep = docs.columns
-    marked = score(docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], "doc_id", "text"), labels, [f"_c{i}" for i in range(len(keep))])
-    return marked.where(F.col("score") < limit).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)])
+    # by number, so that no column clashes with those of the model
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns)], "doc_id")
+    marked = score(numbered, labels, names, text=names[docs.columns.index("text")])
+    return marked.where(F.col("score") < limit).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -1,7 +1,7 @@
 """Words of whole Arrow batches as numpy arrays, without a Python object per word.
 
 A word is a maximal run of bytes for which ``table`` is true; words never cross rows. Word and n-gram hashes are 64 bits,
-the same in every task. Work goes through slices of a few megabytes, so memory does not follow the batch.
+the same in every task. Work goes through slices of a megabyte, so memory does not follow the batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 LOWER = np.arange(256, dtype=np.uint8)
