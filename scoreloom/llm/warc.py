@@ -19,10 +19,10 @@ CRLF = "\r\n"
 _GAP = r"[ \t\r\n\f/]"
 _BLOCKS = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|article|section|aside|main|nav|footer|header|table|tr|td|th|blockquote|pre|hr|form|title"
 #: From markup to text: patterns that both engines read alike, in order.
+_SILENT = "script|style|noscript|template"
 STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{tag}({_GAP}[^>]*)?>.*?</{tag}[ \t\r\n\f]*>", " ") for tag in ("script", "style", "noscript", "template", "head")),
-    (r"[ \t\r\n\f]+", " "),
+    (rf"(?is)<!--.*?-->|<head({_GAP}[^>]*)?>.*?</head[ \t\r\n\f]*>|<({_SILENT})({_GAP}[^>]*)?>.*?</({_SILENT})[ \t\r\n\f]*>", ""),
+    (r"[\t\r\n\f]+", " "),
     (rf"(?i)</?({_BLOCKS})({_GAP}[^>]*)?>", "\n"),
     (r"<[!/?a-zA-Z][^>]*>", ""),
 )
@@ -31,23 +31,28 @@ NAMED = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"),
 )
-TIDY = ((r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
+TIDY = ((r"[ \t\r\f]*\n[ \t\r\f\n]*", "\n"), (r"[ \t\r\f]{2,}|[\t\r\f]", " "))
+EDGE = " \n"  # trimmed at the ends
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r'(?i)<a[ \t\r\n\f][^>]*href="([^"]*)"'
 NUMBERED = r"&#([0-9]{2,6});"
 
 
 def plain_text(html: Column) -> Column:
-    out = reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), STEPS, html)
-    return _unescaped(out)
+    return _unescaped(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), STEPS, html))
 
 
 def _unescaped(text: Column) -> Column:
+    """References decoded, blanks tidied. As a lambda's argument, what ``text`` stands for is computed once."""
+    return F.transform(F.array(text), _decoded)[0]
+
+
+def _decoded(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)))
     letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
     out = F.aggregate(found, text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), letter(n)))
     out = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), (*NAMED, ("&amp;", "&")), out)
-    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), TIDY, out)
+    return F.btrim(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), TIDY, out), F.lit(EDGE))
 
 
 def _digest(text: Column) -> Column:
@@ -145,7 +150,7 @@ def _oracle() -> str:
     def unescaped(text: str) -> str:
         out = f"list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '{NUMBERED}', 1))), lambda t, n: replace(t, '&#' || n || ';', chr(CAST(n AS INT))))"
         out = reduce(lambda c, s: f"replace({c}, {_quoted(s[0])}, {_quoted(s[1])})", (*NAMED, ("&amp;", "&")), out)
-        return reduce(sub, TIDY, out)
+        return f"trim({reduce(sub, TIDY, out)}, {_quoted(EDGE)})"
 
     uuid = lambda e: f"'<urn:uuid:' || regexp_replace(md5({e}), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.*)', '\\1-\\2-\\3-\\4-\\5') || '>'"
     return f"""WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
