@@ -1,10 +1,10 @@
 """Benchmark decontamination: which documents hold a benchmark item, whole, edited or paraphrased.
 
-Every run of ``GRAM`` words of an item may be a seed. One pass over the corpus finds where item runs occur, through a bitmap of
-fixed size, and keeps those neighbourhoods as *passages*; nothing else of the corpus travels. Their counts over the whole
-corpus tell how rare each run is. An item's seeds are the rarest run of every ``WINDOW`` neighbouring ones that occur at all,
-so any copied stretch of ``GRAM + WINDOW - 1`` words holds a seed. Passages and items that share a seed are joined and
-aligned word by word (Smith-Waterman); the score is the alignment's share of what the whole item would reach.
+Every run of ``GRAM`` words of an item is a seed, however often it occurs. One pass over the corpus finds where item runs occur,
+through a bitmap of fixed size, and keeps those neighbourhoods as *passages*; nothing else of the corpus travels. Passages
+and items that share a run are joined and, unless they have too few words in common, aligned word by word (Smith-Waterman);
+the score is the alignment's share of what the whole item would reach. A copy whose unedited stretches are all shorter than
+``GRAM`` words isn't found. Frequent runs cost joined rows, one for each item and passage that have them, never results.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from scoreloom.llm.words import ALPHANUMERIC, words
 from scoreloom.session import materialise, ship_package
 
 GRAM = 4
-WINDOW = 4
 LEAST = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
 BUCKETS, BITS = 1024, 32768  # of the bitmap: 4 MB, whatever the items
@@ -58,8 +57,7 @@ def _item_grams(batches):
             gram, whole = w.grams(GRAM)
             at = np.flatnonzero(whole)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[at].view(np.int64)), pa.array(ids[w.row[at]].astype(np.int64)), pa.array((at - w.first[w.row[at] - w.rows.start]).astype(np.int32))],
-                ["gram", "item_id", "pos"])
+                [pa.array(gram[at].view(np.int64)), pa.array(ids[w.row[at]].astype(np.int64))], ["gram", "item_id"])
 
 
 def _item_words(batches):
@@ -104,7 +102,10 @@ def _aligned(least: float):
             out = []
             columns = [batch.column(c) for c in ("doc_id", "item_id", "start", "words", "item_words")]
             for doc, item, start, passage, said in zip(*columns):
-                score, begin, end = align(said.values.to_numpy(), passage.values.to_numpy())
+                a, b = said.values.to_numpy(), passage.values.to_numpy()
+                if np.isin(a, b).sum() < least * len(a):  # even if all words in common matched
+                    continue
+                score, begin, end = align(a, b)
                 if score >= least:
                     out.append((doc.as_py(), item.as_py(), score, start.as_py() + begin, start.as_py() + end))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -124,7 +125,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     spark = docs.sparkSession
     ship_package(spark)
     items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    grams = materialise(items.mapInArrow(_item_grams, "gram long, item_id long, pos int"), "leak-grams")
+    grams = materialise(items.mapInArrow(_item_grams, "gram long, item_id long").distinct(), "leak-grams")
     said = materialise(items.mapInArrow(_item_words, "item_id long, item_words array<long>"), "leak-items")
     at = F.col("gram").bitwiseAND(F.lit(BUCKETS * BITS - 1))
     bits = grams.select(F.floor(at / BITS).cast("int").alias("bucket"), (at % BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
@@ -137,12 +138,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
         _passages(shipped, pad), "doc_id long, start long, words array<long>, grams array<long>")
     passages = materialise(found.withColumn("passage", F.monotonically_increasing_id()), "leak-passages")
 
-    hits = passages.select("passage", F.explode("grams").alias("gram"))
-    count = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    known = grams.join(count, "gram")
-    rarest = F.expr(f"min(struct(n, gram)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)")
-    seeds = known.select("item_id", rarest.alias("s")).select("item_id", F.col("s.gram").alias("gram")).distinct()
-    pairs = hits.distinct().join(seeds, "gram").select("passage", "item_id").distinct()
+    hits = passages.select("passage", F.explode(F.array_distinct("grams")).alias("gram"))
+    pairs = hits.join(grams, "gram").select("passage", "item_id").distinct()
     rows = passages.select("passage", "doc_id", "start", "words").join(pairs, "passage").join(said, "item_id")
     scored = rows.select("doc_id", "item_id", "start", "words", "item_words").mapInArrow(
         _aligned(least), "doc_id long, item_id long, score double, start_word long, end_word long")

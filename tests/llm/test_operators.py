@@ -252,6 +252,18 @@ def test_leaks(spark, docs):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(rows)
 
 
+def test_edited_leaks_of_items_that_occur_whole_too(spark, docs):
+    """Unedited stretches of four words count, though the runs around them are rarer."""
+    item = prose(700, 41)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    fifth = edited(item, range(4, 41, 5))
+    rows = [(i, f"{prose(i, 60)} {t} {prose(i + 50, 60)}") for i, t in enumerate([item, item, item, fifth])]
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    split = lambda t: [w.hash.tolist() for w in words(pa.array([t]), ALPHANUMERIC)][0]
+    want = {i: s for i, t in rows if (s := smith_waterman(split(item), split(t))) >= decontaminate.LEAST}
+    assert got == want and 3 in got
+
+
 # ---- repeated passages ----------------------------------------------------------------------------------
 
 
