@@ -292,6 +292,16 @@ def test_passages(docs):
     assert passages.repeated_passages(docs([])).count() == 0
 
 
+def test_repeats_of_shared_passages(docs):
+    """Every place of a passage that others have too, and the whole of a stretch of repeated lines."""
+    shared, line = prose(1100, 60), prose(1101, 12)
+    block = " ".join([line] * 40)
+    rows = [(1, f"{prose(1, 70)} {shared} {prose(2, 200)} {shared} {prose(3, 30)}"), (2, f"{prose(4, 20)} {shared} {prose(5, 40)}"),
+            (3, f"{prose(6, 30)} {block} {prose(7, 30)}"), (4, f"{block} {prose(8, 80)}")]
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(docs(rows)).collect())
+    assert got == [(1, 70, 130), (1, 330, 390), (2, 20, 80), (3, 30, 510), (4, 0, 480)]
+
+
 def test_passages_that_differ_too_much_are_left(docs):
     base = prose(7, 60)
     assert passages.repeated_passages(docs([(1, base), (2, edited(base, [10, 30, 50]))])).count() == 0
