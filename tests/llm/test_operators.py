@@ -302,6 +302,26 @@ def test_repeats_of_shared_passages(docs):
     assert got == [(1, 70, 130), (1, 330, 390), (2, 20, 80), (3, 30, 510), (4, 0, 480)]
 
 
+def test_variants_that_a_star_tears_apart(docs):
+    """Variants of one passage, far from most others but close to one: the classes of all pairs."""
+    rng, base = random.Random(21), prose(1200, 60)
+    texts = {}
+    for i in range(60):
+        text = edited(base, sorted(rng.sample(range(60), rng.choice([0, 2, 3, 5]))), f"v{i}x")
+        for j in range(2):  # a close copy of each variant
+            texts[2 * i + j] = text if j == 0 else edited(text, [59], f"w{i}x")
+    grams = {i: passages._grams(next(words(pa.array([t]), passages.NOT_SPACE)))[0] for i, t in texts.items()}
+    pairs = [(i, j) for i in texts for j in texts if i < j and passages.verified(grams[i], grams[j])]
+    label = {i: i for i in texts}
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {i: c for i, c in label.items() if sum(x == c for x in label.values()) > 1}
+    rows = [(i, f"{prose(2000 + i, 20)} {t} {prose(3000 + i, 20)}") for i, t in texts.items()]
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs(rows)).collect()}
+    assert got == want
+
+
 def test_passages_that_differ_too_much_are_left(docs):
     base = prose(7, 60)
     assert passages.repeated_passages(docs([(1, base), (2, edited(base, [10, 30, 50]))])).count() == 0
