@@ -294,9 +294,10 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     size = maybe.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     maybe = maybe.join(size, "part").withColumn("block", F.pmod(F.xxhash64("set"), F.ceil(F.col("size") / BLOCK)).cast("int"))
     chosen = materialise(maybe.join(one.select("set", "doc_id"), "set"), "jaccard-chosen")
-    marked = with_marks(texts.withColumn("digest", F.col("doc_id").cast("string")), chosen.select(F.col("doc_id").cast("string").alias("digest")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("digest")  # a set may have rows without identifier only
+    marked = with_marks(texts.withColumn("digest", name), chosen.select(name))
     content = marked.where("_maybe").select("doc_id", "text").mapInArrow(_contents(n, levels), "doc_id long, set long, grams array<long>")
-    content = content.join(chosen.select("set", "doc_id", "part", "block", "size"), ["set", "doc_id"])
+    content = content.drop("doc_id").join(chosen.select("set", "part", "block", "size"), "set").dropDuplicates(["set"])
     content = materialise(content, "jaccard-content")
 
     flag = lambda name, value: F.lit(value).alias(name)

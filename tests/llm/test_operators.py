@@ -158,6 +158,14 @@ def test_components(docs, monkeypatch, n, percent, block):
     assert got == brute_components(rows, n, percent)
 
 
+def test_components_through_rows_without_identifier(docs):
+    """A set that only rows without identifier have links others, and is linked."""
+    base = prose(41, 120)
+    rows = [(1, edited(base, [10])), (None, base), (None, base), (2, edited(base, [60])), (3, prose(42, 50)), (None, edited(prose(43, 120), [5])), (4, prose(43, 120))]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(docs(rows), 3, 95).collect())
+    assert got == brute_components(rows, 3, 95) and (2, 118, 1) in got
+
+
 def test_first_of_components(docs):
     base = prose(1, 200)
     df = docs([(5, base), (3, edited(base, [10])), (9, prose(2, 100)), (8, ""), (7, ""), (None, None)])
