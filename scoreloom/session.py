@@ -14,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.sources.storage import write_file
+from scoreloom.sources.storage import delete_folder, write_file
 
 # The defaults every run starts from.
 DEFAULT_PARTITIONS = 128
@@ -167,4 +167,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path  # type: ignore[attr-defined]
+    return written
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Give back a folder of this application's scratch space that no later step reads."""
+    if not path.startswith(scratch_path(spark, "", unique=False)):
+        raise ValueError(f"{path} is no scratch folder of this application")
+    delete_folder(shared_uri(spark, path))
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """The same for tables that ``materialise`` wrote, once what was made of them is written too."""
+    for df in tables:
+        drop_scratch(df.sparkSession, df._written_to)  # type: ignore[attr-defined]

@@ -84,6 +84,13 @@ def write_file(uri: str, content: bytes) -> None:
         store.move(temp, path)
 
 
+def delete_folder(uri: str) -> None:
+    """Delete a folder and what lies in it; one that is not there is no error."""
+    store, path = open_store(uri)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def list_folder(uri: str) -> Iterator[tuple[str, bool, int]]:
     """Entries directly below ``uri``: path, is-folder, bytes; none where there is no such folder. Local and mounted
     folders are streamed."""
