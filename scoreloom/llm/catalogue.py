@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, chat, decontaminate, dedup, jaccard, passages, pii, shards, toxicity, warc
+from scoreloom.llm import (
+    bpe, chat, codes, decontaminate, dedup, divergence, jaccard, passages, pii, shards, simhash, toxicity, warc,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,6 +62,18 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(_table(spark, folder, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(_table(spark, folder, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, folder, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -71,10 +85,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_simhash": op12_simhash,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
     "op4_warc": warc.ORACLE,
     "op9_exact_dedup": dedup.ORACLE,
+    "op11_vector_codes": codes.oracle(),
+    "op13_source_divergence": divergence.ORACLE,
 }
