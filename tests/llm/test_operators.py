@@ -419,6 +419,42 @@ def test_derived_records(spark, tmp_path):
     assert n == 10
 
 
+MARKUP = [
+    ('One<script>var s="</style>"; leak();</script>two', "One two"),
+    ("<noscript><style>x</style>hidden</noscript>seen", "seen"),
+    ("One<script>x</script>two", "One two"),
+    ("<SCRIPT src=a>x</script >a<!-- b --><b>c</b>", "ac"),
+    ("&#38;lt; &#x27;&rsquo; &#9;&#0008364;&#X20AC; &#55296; &amp;amp;", "&lt; '’ €€ � &amp;"),
+    ("<style>unclosed", "unclosed"),
+    ("a<p>b</p>c<hr/>d &nbsp; e\n\tf", "a\nb\nc\nd e f"),
+    ("1 < 2 <3", "1 < 2 <3"),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize(("markup", "text"), MARKUP)
+def test_text_of_markup(markup, text):
+    assert warc.scan(markup)[2] == text
+
+
+def test_links_of_markup():
+    html = """<a data-href="no" href='one'>x</a><A HREF=two>y</A><a class="c"href="three">z</a><!-- <a href="no"> --><script>'<a href="no">'</script><a name=href>n</a><abbr href="no">"""
+    assert warc.scan(html)[1] == ["one", "two", "three"]
+
+
+def test_records_keep_columns_and_headers(spark):
+    """Kept columns survive names that records use; headers of the source come through, also where there are none."""
+    rows = [("r1", "http://a/", None, {"WARC-Date": "d", "X": None}, "HTTP/1.1 200 OK\r\n\r\n<title>A&#38;B</title>t", "mine", "h", 5), ("r2", None, None, None, None, "m", None, 6)]
+    schema = "record_id string, target_uri string, date string, headers map<string,string>, block string, title string, head string, n_links int"
+    out = warc.derive(spark.createDataFrame(rows, schema), keep=("title", "head", "n_links"))
+    assert out.columns == ["kept_title", "head", "kept_n_links", *warc.RECORD]
+    got = {(r.kept_title, r.record_type): r for r in out.collect()}
+    assert got["mine", "conversion"].title == "A&B" and got["mine", "metadata"].head == "h" and got["m", "conversion"].block == ""
+    assert got["mine", "conversion"].source_headers == {"WARC-Date": "d", "X": None} and got["m", "metadata"].source_headers is None
+    text = {r.record for r in warc.serialised(out).collect()}
+    assert sum("\r\nX-Source-WARC-Date: d\r\nX-Source-X: \r\n\r\n" in t for t in text) == 2 and len(text) == 4
+
+
 # ---- toxicity -------------------------------------------------------------------------------------------
 
 
