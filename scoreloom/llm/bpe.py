@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreloom.llm.words import give_back
 from scoreloom.session import ship_package
 
 # Fixed value: the split into pieces that byte-level vocabularies of this kind are made for.
@@ -162,6 +163,10 @@ class BytePairs:
         fresh = [p for p in set(filterfalse(self._words.__contains__, pieces)) if len(p) <= RUN_CHARS]
         self._words.update(zip(fresh, self.merge_many([p.encode() for p in fresh])))
 
+    def forget(self) -> None:
+        """Drop the words that are cached; a worker may wait long for its next task."""
+        self._words = {}
+
     def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Tokens of many texts; those that fit into a batch share the merging of new words."""
         some: list[list[str] | str] = []
@@ -294,7 +299,7 @@ class BytePairs:
         yield machine.decode(b"", True)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def parsed(text: str) -> BytePairs:
     """One vocabulary per Python worker."""
     return BytePairs.parse(text)
@@ -337,8 +342,9 @@ def _coded(df: DataFrame, tokenizer: str, column: str, make: dict[str, Callable]
             for name, call in make.items():
                 made[name] = call(pairs, batch, made)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *made.values()], [*(f.name for f in fields), *made])
+        pairs.forget()
 
-    return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(make, kinds))]))
+    return df.mapInArrow(give_back(run), T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(make, kinds))]))
 
 
 _IDS = T.ArrayType(T.IntegerType())

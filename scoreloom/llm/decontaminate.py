@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.dedup import whole, with_marks
-from scoreloom.llm.words import ALPHANUMERIC, words
+from scoreloom.llm.words import ALPHANUMERIC, give_back, words
 from scoreloom.session import materialise, ship_package
 
 GRAM = 4
@@ -71,12 +71,13 @@ def _item_words(batches):
 def _passages(bitmap, pad: int):
     """Neighbourhoods of item runs: ``pad`` words before and after, overlapping ones as one."""
     def run(batches):
-        marked = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8), bitorder="little").view(bool)
+        marked = np.frombuffer(bitmap.value, dtype=np.uint8)
         for batch in batches:
             ids = batch.column("doc_id")
             for w in words(batch.column("text"), ALPHANUMERIC):
                 gram, whole = w.grams(GRAM)
-                at = np.flatnonzero(whole & marked[(gram & np.uint64(BUCKETS * BITS - 1)).astype(np.int64)])
+                slot = (gram & np.uint64(BUCKETS * BITS - 1)).astype(np.int64)
+                at = np.flatnonzero(whole & (marked[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool))
                 if not len(at):
                     continue
                 row = w.row[at] - w.rows.start
@@ -135,14 +136,15 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     pad = said.agg(F.max(F.size("item_words"))).first()[0] or 0
     shipped = spark.sparkContext.broadcast(bytes(bitmap))
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _passages(shipped, pad), "doc_id long, start long, words array<long>, grams array<long>")
+        give_back(_passages(shipped, pad)), "doc_id long, start long, words array<long>, grams array<long>")
     passages = materialise(found.withColumn("passage", F.monotonically_increasing_id()), "leak-passages")
+    shipped.destroy()  # the passages are written, nothing reads it again
 
     hits = passages.select("passage", F.explode(F.array_distinct("grams")).alias("gram"))
     pairs = hits.join(grams, "gram").select("passage", "item_id").distinct()
     rows = passages.select("passage", "doc_id", "start", "words").join(pairs, "passage").join(said, "item_id")
     scored = rows.select("doc_id", "item_id", "start", "words", "item_words").mapInArrow(
-        _aligned(least), "doc_id long, item_id long, score double, start_word long, end_word long")
+        give_back(_aligned(least)), "doc_id long, item_id long, score double, start_word long, end_word long")
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", (-F.col("start_word")).alias("s"), "end_word"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import ALPHANUMERIC, LOWER, Words, word_hashes, words
+from scoreloom.llm.words import ALPHANUMERIC, LOWER, Words, give_back, word_hashes, words
 from scoreloom.session import materialise, ship_package
 
 TRAIN_ROWS = 12_000
@@ -123,7 +123,7 @@ def with_features(df: DataFrame, lexicon: dict[int, float], keep: list[str], tex
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.ListArray.from_arrays(ends, pa.array(flat))], [*keep, "features"])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(give_back(run), T.StructType([*fields, T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 def learn_lexicon(train: DataFrame, evidence: float = EVIDENCE) -> dict[int, float]:
@@ -142,7 +142,7 @@ def learn_lexicon(train: DataFrame, evidence: float = EVIDENCE) -> dict[int, flo
                     ["term", "n", "toxic"])
 
     totals = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
-    counted = train.select("text", "label").mapInArrow(run, "term long, n long, toxic long")
+    counted = train.select("text", "label").mapInArrow(give_back(run), "term long, n long, toxic long")
     counted = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("toxic > 0")
     share = F.lit(totals["toxic"] / totals["n"])
     part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)

@@ -6,13 +6,39 @@ the same in every task. Work goes through slices of a megabyte, so memory does n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+
+
+def _trimmer() -> Callable[[], object]:
+    try:
+        trim = ctypes.CDLL(None).malloc_trim  # the C library that has it
+    except (OSError, AttributeError):
+        return lambda: None
+    return lambda: trim(0)
+
+
+_trim = _trimmer()
+
+
+def give_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A pass over batches after which the worker keeps no freed memory: workers are used again by other steps, or wait."""
+    def passed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return passed
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 LOWER = np.arange(256, dtype=np.uint8)
