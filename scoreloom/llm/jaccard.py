@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from scoreloom.llm.components import components
 from scoreloom.llm.dedup import whole, with_marks
 from scoreloom.llm.trie import Union, links, needed
-from scoreloom.llm.words import NOT_SPACE, Words, mix, words
+from scoreloom.llm.words import NOT_SPACE, Words, give_back, mix, words
 from scoreloom.session import materialise, ship_package
 
 COUNTERS = 1 << 21
@@ -255,7 +255,7 @@ def _tree_join(percent: int):
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """Links of rows ``task, set, label, query, indexed, grams``."""
     rows = rows.select("task", "set", "label", "query", "indexed", "grams").repartition("task").sortWithinPartitions("task")
-    return rows.mapInArrow(_tree_join(percent), "a long, b long")
+    return rows.mapInArrow(give_back(_tree_join(percent)), "a long, b long")
 
 
 def _relabelled(links_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    book = materialise(texts.mapInArrow(_census(n), _BOOK), "jaccard-book")
+    book = materialise(texts.mapInArrow(give_back(_census(n)), _BOOK), "jaccard-book")
     rows = book.where("segment < 0").select("doc_id", "n", "set")
     counted = book.where("segment >= 0").select("segment", "blob").repartition(SEGMENTS, "segment")
     # SEGMENTS rows, COUNTERS bytes in all, whatever the corpus
@@ -277,7 +277,7 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     empty = bytes(COUNTERS // SEGMENTS)
     levels = spark.sparkContext.broadcast(b"".join(parts.get(i, empty) for i in range(SEGMENTS)))
 
-    prefixes = texts.mapInArrow(_prefixes(n, percent, levels), "token long, set long, size int, pos int")
+    prefixes = texts.mapInArrow(give_back(_prefixes(n, percent, levels)), "token long, set long, size int, pos int")
     # sets that meet another one of fitting size; repeats of a set lie side by side
     by = "PARTITION BY token ORDER BY size, set"
     once = prefixes.withColumn("_again", F.expr(f"lag(set) OVER ({by})")).where("_again IS NULL OR _again <> set")
@@ -288,7 +288,7 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     one = materialise(one.join(met.select("set").distinct(), "set", "left_semi"), "jaccard-one")
     groups = met.join(one.select("set", "bins"), "set").select("token", "set", "size", "pos", "bins")
     groups = groups.repartition("token").sortWithinPartitions("token", "size", "set")
-    maybe = components(groups.mapInArrow(_meetings(percent), "a long, b long"), "jaccard-maybe")
+    maybe = components(groups.mapInArrow(give_back(_meetings(percent)), "a long, b long"), "jaccard-maybe")
     maybe = maybe.withColumnRenamed("a", "set").withColumnRenamed("label", "part")
 
     size = maybe.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
@@ -296,9 +296,10 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     chosen = materialise(maybe.join(one.select("set", "doc_id"), "set"), "jaccard-chosen")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("digest")  # a set may have rows without identifier only
     marked = with_marks(texts.withColumn("digest", name), chosen.select(name))
-    content = marked.where("_maybe").select("doc_id", "text").mapInArrow(_contents(n, levels), "doc_id long, set long, grams array<long>")
+    content = marked.where("_maybe").select("doc_id", "text").mapInArrow(give_back(_contents(n, levels)), "doc_id long, set long, grams array<long>")
     content = content.drop("doc_id").join(chosen.select("set", "part", "block", "size"), "set").dropDuplicates(["set"])
     content = materialise(content, "jaccard-content")
+    levels.destroy()  # all passes over the texts are written
 
     flag = lambda name, value: F.lit(value).alias(name)
     label = F.col("set").alias("label")
@@ -349,7 +350,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     rows, labels = similar_sets(docs, n, percent)
     found = rows.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     found = materialise(found.select("doc_id", "n", "label"), "jaccard-rows")
-    least = found.where("label <> 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least"))
+    # written, so that the join meets plain tables, whose crowded labels Spark can split
+    least = materialise(found.where("label <> 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = found.join(least, F.col("label") == F.col("_label"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
