@@ -329,6 +329,19 @@ def score_batches(x: Inputs) -> DataFrame:
     return _scored(scoring.score_batches(rows, "embedding", x.vector_model, SIDE * SIDE))
 
 
+@query
+def score_blocks(x: Inputs) -> DataFrame:
+    """The model staged in blocks that tasks wrote and workers map, without its weights on the driver."""
+    model = x.store.stage("models:/vectors@prod", scratch_path(x.spark, "blocks"))
+    return _scored(scoring.score_arrow(x.table("embeddings").select("vec_id", "embedding"), "embedding", model))
+
+
+@query
+def softmax(x: Inputs) -> DataFrame:
+    shares = tensors.softmax(F.transform("embedding", lambda v: v.cast("double")))
+    return x.table("embeddings").select("vec_id", F.posexplode(shares).alias("pos", "p")).withColumn("p", rounded("p"))
+
+
 @query
 def served_score(x: Inputs) -> DataFrame:
     """The model called from SQL, struct in and struct out, then flattened."""
@@ -532,14 +545,14 @@ def ingest_manifest(x: Inputs) -> DataFrame:
 
 @query
 def incremental_score(x: Inputs) -> DataFrame:
-    """Files arrive twice; each time they are ingested and scored, and what is scored already is left alone."""
+    """Files arrive twice; each time they are ingested, and a second stream scores what came into the byte table."""
     params, folder, checkpoint = x.params(), scratch_path(x.spark, "arrivals"), scratch_path(x.spark, "checkpoint")
     binary, predictions = (quote_name(params.schema, t) for t in ("bench_pictures_binary", "predictions"))
     early = F.coalesce(F.col("label") < 5, F.lit(False))
     for arrived in (early, ~early):
         x.write_files(x.pictures().where(arrived), folder)
         streaming.ingest(x.spark, folder, binary, checkpoint, "*.pgm")
-        streaming.score_new(x.spark, binary, predictions, x.picture_model)
+        streaming.score_arrivals(x.spark, binary, predictions, x.picture_model, f"{checkpoint}-scoring")
     return _relative(x.spark.table(predictions), folder, "label", _score())
 
 
@@ -563,6 +576,40 @@ def run_log(x: Inputs) -> DataFrame:
     )
 
 
+class _Ticks:
+    """A clock on which a second passes between any two looks at it."""
+
+    def __init__(self):
+        self.seconds = 0
+
+    def __call__(self) -> int:
+        self.seconds += 1
+        return self.seconds
+
+
+@query
+def run_phases(x: Inputs) -> DataFrame:
+    """All six patterns run and logged, by a fixed clock, and their phases read back with their shares of the wall."""
+    log, n = runlog.RunLog(x.spark, scratch_path(x.spark, "runs")), x.spark.sparkContext.defaultParallelism
+    scoring.register_served(x.spark, "phases_query", scoring.ServedImages(x.picture_model, 64))
+    folder = lambda name: scratch_path(x.spark, name)
+    runs = {
+        "p1": lambda p, o, c: patterns.direct(x.spark, p, x.picture_model, o, "p1", clock=c),
+        "p2": lambda p, o, c: patterns.direct(x.spark, p, x.picture_model, o, "p2", clock=c),
+        "p3": lambda p, o, c: patterns.direct(x.spark, p, x.staged_picture_model, o, "p3", clock=c),
+        "p4": lambda p, o, c: patterns.ingest_then_score(x.spark, p, x.picture_model, o, folder("ingest"), clock=c),
+        "p5": lambda p, o, c: patterns.staged(x.spark, p, x.picture_model, o, folder("staged"), clock=c),
+        "p6": lambda p, o, c: patterns.served(x.spark, p, "phases_query", o, clock=c),
+    }
+    for pattern, run in runs.items():
+        done = run(x.params(), x.output("ordinal" if pattern in ("p1", "p2") else "basename"), runlog.Clock(_Ticks()))
+        log.log(done.summary, {"pattern": pattern, "num_partitions": n}, done.steps)
+    images = log.walls().select("run_id", F.col("num_images").cast("bigint").alias("num_images"))
+    # what the tasks wrote, added up from their own rows
+    written = log.steps().where("step = 'write'").select("run_id", F.col("rows").alias("num_written"))
+    return log.shares().join(images, "run_id").join(written, "run_id").select("pattern", "phase", "seconds", "share", "num_images", "num_written")
+
+
 @query
 def run_name(x: Inputs) -> DataFrame:
     return x.table("events").select("event_id", text.results_name("ts").alias("name"))
@@ -645,6 +692,14 @@ def scorer_agreement(x: Inputs) -> DataFrame:
     return compare.agreement(*both, key="vec_id", column="class_id")
 
 
+@query
+def half_agreement(x: Inputs) -> DataFrame:
+    """Full against half-precision weights; both models see each row in the same pass, and nothing is joined."""
+    rows = x.table("embeddings").select("vec_id", "embedding")
+    both = scoring.score_models(rows, "embedding", {"full": x.vector_model, "half": x.vector_model.half()})
+    return both.select(F.col("full").eqNullSafe(F.col("half")).alias("same")).agg(*compare.agreement_columns("same"))
+
+
 @query
 def completeness(x: Inputs) -> DataFrame:
     return compare.completeness(x.table("documents"), x.table("labels").select("doc_id"), "lang", "doc_id")
@@ -660,9 +715,8 @@ def failed_predictions(x: Inputs) -> DataFrame:
 @query
 def partial_agreement(x: Inputs) -> DataFrame:
     """Two sets of predictions, with nulls, of which each lacks rows of the other."""
-    rows = x.table("labels")
-    a = rows.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("quality") == 1, F.lit("good")).alias("label"))
-    b = rows.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("toxic") == 0, F.lit("good")).alias("label"))
+    a = x.table("labels").select("doc_id", F.when(F.col("quality") == 1, F.lit("good")).alias("label"))
+    b = x.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, F.lit("good")).alias("label"))
     return compare.agreement(a, b, key="doc_id")
 
 

@@ -100,8 +100,12 @@ def resize(picture: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def to_tensor(picture: np.ndarray, size: int, mean: tuple, std: tuple) -> np.ndarray:
     """Resize, scale to 0-1, normalise per channel; channels first."""
-    small = resize(picture, size, size).astype(np.float64) / 255.0
-    return ((small - np.asarray(mean)) / np.asarray(std)).transpose(2, 0, 1)
+    return normalised(resize(picture, size, size), mean, std)
+
+
+def normalised(small: np.ndarray, mean: tuple, std: tuple) -> np.ndarray:
+    """The same for a picture that has the model's size."""
+    return ((small.astype(np.float64) / 255.0 - np.asarray(mean)) / np.asarray(std)).transpose(2, 0, 1)
 
 
 def annotate(picture: np.ndarray, text: str) -> np.ndarray:

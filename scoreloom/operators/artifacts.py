@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +15,7 @@ from scoreloom.functions import pixels
 from scoreloom.functions.paths import base_name, join_path, normalise_path, ordinal_name, relative_path
 from scoreloom.operators.ordinals import with_ordinal
 from scoreloom.operators.scoring import check_mode, classify_decoded, classify_pictures, file_reader, map_rows
+from scoreloom.operators.steps import StepTimes
 from scoreloom.session import DEFAULT_MICRO_BATCH, shared_uri
 from scoreloom.sources.models import Scorer
 from scoreloom.sources.storage import io_map, write_file
@@ -88,28 +88,6 @@ def _write(picture, label: str, score: float, target: str, form: str) -> None:
     write_file(target, pixels.encode_image(pixels.annotate(picture, text), text, form))
 
 
-class StepTimes:
-    """Seconds that tasks spent per step: loading the model, decoding and inference, annotating and writing.
-
-    Sums over all tasks, so they add up to more than the run took. A task that is repeated counts again.
-    """
-
-    STEPS = ("model", "inference", "write")
-
-    def __init__(self, spark: SparkSession | None = None):
-        self.sums = {} if spark is None else {s: spark.sparkContext.accumulator(0.0) for s in self.STEPS}
-
-    @contextmanager
-    def step(self, name: str) -> Iterator[None]:
-        begin = time.perf_counter()
-        yield
-        if name in self.sums:
-            self.sums[name].add(time.perf_counter() - begin)
-
-    def summary(self) -> dict[str, float]:
-        return {f"task_{name}_s": round(total.value, 3) for name, total in self.sums.items()}
-
-
 def score_and_write(
     df: DataFrame, model: Scorer, batch_size: int = DEFAULT_MICRO_BATCH, mode: str = "FAILFAST",
     form: str = "auto", content: str | None = None, decoded: bool = False, profile: ResourceProfile | None = None,
@@ -135,9 +113,9 @@ def score_and_write(
             ready = model.load()
 
         def run(part: pa.RecordBatch, bodies: list | None = None) -> list:
-            with clock.step("inference"):
+            with clock.step("inference", part.num_rows):
                 pictures, rows = classify(part, bodies)
-            with clock.step("write"):
+            with clock.step("write", part.num_rows):
                 targets = part.column("_target").to_pylist()
                 return [*zip(*rows), io_map(write, pictures, rows, targets)]
 
@@ -164,7 +142,7 @@ def score_and_write(
 
 def annotate_and_write(
     df: DataFrame, content: str | None = "content", batch_size: int = DEFAULT_MICRO_BATCH, form: str = "auto",
-    mode: str = "FAILFAST",
+    mode: str = "FAILFAST", spent: StepTimes | None = None,
 ) -> DataFrame:
     """Write the artifact of rows that are already scored (``label, score, output_path`` and the bytes).
 
@@ -174,6 +152,8 @@ def annotate_and_write(
     base = shared_uri(df.sparkSession, "/")
 
     def make() -> Callable:
+        clock = spent or StepTimes()
+
         def write(body: bytes | None, label: str | None, score: float | None, target: str) -> str | None:
             if label is None or body is None:
                 return None
@@ -182,7 +162,8 @@ def annotate_and_write(
 
         def run(part: pa.RecordBatch, bodies: list | None = None) -> list:
             bodies = part.column(content).to_pylist() if content else bodies
-            return [io_map(write, bodies, *[part.column(c).to_pylist() for c in ("label", "score", "_target")])]
+            with clock.step("write", part.num_rows):
+                return [io_map(write, bodies, *[part.column(c).to_pylist() for c in ("label", "score", "_target")])]
 
         return run
 
@@ -192,6 +173,32 @@ def annotate_and_write(
     return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop, fetch)
 
 
+def write_pictures(df: DataFrame, batch_size: int = DEFAULT_MICRO_BATCH, form: str = "auto", spent: StepTimes | None = None) -> DataFrame:
+    """The same for rows that carry their picture decoded (``height, width, data``), as ``decode_pictures`` leaves it."""
+    form = pixels.settle_form(form)
+    base = shared_uri(df.sparkSession, "/")
+    held = ("height", "width", "data", "label", "score", "_target")
+
+    def make() -> Callable:
+        clock = spent or StepTimes()
+
+        def write(height: int, width: int, data: bytes | None, label: str | None, score: float | None, target: str) -> str | None:
+            if label is None or data is None:
+                return None
+            picture = np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3)
+            _write(picture, label, score, _with_scheme(target, base), form)
+            return target
+
+        def run(part: pa.RecordBatch) -> list:
+            with clock.step("write", part.num_rows):
+                return [io_map(write, *[part.column(c).to_pylist() for c in held])]
+
+        return run
+
+    added = T.StructType([T.StructField("output_path", T.StringType())])
+    return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, ["_target", "height", "width", "data"])
+
+
 def _with_scheme(path: str, base: str) -> str:
     """Put back the scheme of the shared store where a path was normalised."""
     return base.rstrip("/") + path if path.startswith("/") else path

@@ -17,6 +17,14 @@ def join_payload(predictions: DataFrame, payload: DataFrame, key: str = "path")
     return predictions.join(payload, key)
 
 
+def join_bucketed(predictions: DataFrame, payload: DataFrame, key: str = "path") -> DataFrame:
+    """The same where the payload is a table that ``save_bucketed`` dealt by ``key``: only the predictions move.
+
+    They are dealt as the payload lies and held by each task as a hash table, through which the payload passes unsorted.
+    """
+    return predictions.hint("shuffle_hash").join(payload, key)
+
+
 def scored(predictions: DataFrame, key: str) -> DataFrame:
     """Keys that have a prediction: a row whose label is null (the call failed) is none."""
     done = predictions.where(F.col("label").isNotNull()) if "label" in predictions.columns else predictions

@@ -46,12 +46,26 @@ def with_ordinal(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
 
 
 def with_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
-    """SQL ``rank() over (order by key)``: equal keys share a rank, the next rank counts them all.
+    """SQL ``rank() over (order by key)``: equal keys share a rank, the next rank counts them all; nulls come first.
 
-    Rows are counted per key first, so a key that holds a third of the table is one row in the sort.
-    ``df`` is read twice: pass a written table when its keys are computed.
+    Rows are range-sorted by key and a hash beside it, so a key that holds a third of the table is spread over as many ranges as
+    it fills. Each range ranks for itself. Only its first key can begin in an earlier range; where such keys begin is
+    settled over two rows per range, so nothing is joined on the key.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_total(counts, key, "_n", "_before")
-    ranks = ranks.select(F.col(key).alias("_key"), (F.col("_before") + 1).alias(out))
-    return df.join(ranks, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    mixed = df.withColumn("_mix", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = mixed.orderBy(key, "_mix").withColumn("_range", F.shiftright(F.monotonically_increasing_id(), _ROW_BITS)).drop("_mix")
+    ranged = materialise(ranged, "ranked")
+    inside = Window.partitionBy("_range").orderBy(key)
+    local = ranged.withColumn("_local", F.rank().over(inside) - 1)
+    whole = F.struct(F.col(key).alias("k"))  # compares nulls too
+    heads = local.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(whole).alias("_first"), F.max(whole).alias("_last"), F.max("_local").alias("_last_local"),
+    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ends = F.explode(F.array(F.struct(F.col("_first").alias("k"), F.col("_start").alias("at")), F.struct(F.col("_last").alias("k"), (F.col("_start") + F.col("_last_local")).alias("at"))))
+    begins = heads.select(ends.alias("e")).groupBy("e.k").agg(F.min("e.at").alias("_begin"))
+    ranges = heads.join(begins, F.col("_first").eqNullSafe(F.col("k"))).select("_range", "_first", "_start", "_begin")
+    place = F.when(whole.eqNullSafe(F.col("_first")), F.col("_begin")).otherwise(F.col("_start") + F.col("_local"))
+    joined = local.join(F.broadcast(ranges), "_range")  # one row per range
+    return joined.withColumn(out, (place + 1).cast("bigint")).drop("_range", "_first", "_start", "_begin", "_local")

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scoreloom.functions import pixels
 from scoreloom.functions.tensors import best_class, confidence, linear_logits
+from scoreloom.operators.steps import StepTimes
 from scoreloom.session import DEFAULT_MICRO_BATCH, DEFAULT_MODEL_BATCH
 from scoreloom.sources.models import Checkpoints, LinearModel, Preprocess, Scorer
 from scoreloom.sources.storage import io_start, read_file
@@ -91,6 +92,24 @@ def score_arrow(df: DataFrame, features: str, model: Scorer) -> DataFrame:
     return df.withColumn("_p", predict(features)).select(*kept, "_p.class_id", "_p.score")
 
 
+def score_models(df: DataFrame, features: str, models: dict[str, Scorer]) -> DataFrame:
+    """Several models in one pass over the rows: adds the class each chooses, in a column of its name. Null vectors give nulls."""
+    names = list(models)
+
+    @F.arrow_udf(f"struct<{','.join(f'`{n}`:int' for n in names)}>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ready = [m.load() for m in models.values()]
+        for column in batches:
+            found = column.is_valid()
+            given = column.filter(found)
+            chosen = [choose(m, _matrix(given))[0] if len(given) else np.empty(0, np.int32) for m in ready]
+            rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in chosen], names)
+            yield rows if len(given) == len(column) else _spread(rows, found)
+
+    kept = df.columns
+    return df.withColumn("_p", predict(features)).select(*kept, *(F.col("_p").getField(n).alias(n) for n in names))
+
+
 def _spread(rows: pa.Array, found: pa.Array) -> pa.Array:
     """Put ``rows`` back at the places where ``found`` is true; the others become null."""
     mask = found.to_numpy(zero_copy_only=False)
@@ -307,6 +326,66 @@ def picture_tensors(
     return map_rows(df, added, make, batch_size, fetch=file_reader("path", mode))
 
 
+def decode_pictures(
+    df: DataFrame, prep: Preprocess, batch_size: int = DEFAULT_MICRO_BATCH, mode: str = "FAILFAST", spent: StepTimes | None = None
+) -> DataFrame:
+    """Open and decode the files of ``path``, once: adds ``height, width, data`` (RGB bytes), ``small`` (the picture at the
+    model's size) and ``error``. What cannot be decoded has nulls and an error, or stops the job."""
+    check_mode(mode)
+
+    def make() -> Callable:
+        clock = spent or StepTimes()
+
+        def run(part: pa.RecordBatch, bodies: list) -> list:
+            with clock.step("decode", part.num_rows):
+                decoded = [_decode(c, mode) for c in bodies]
+                shape = lambda axis: [None if p is None else p.shape[axis] for p, _ in decoded]
+                body = lambda p: np.ascontiguousarray(p).tobytes()
+                whole = [None if p is None else body(p) for p, _ in decoded]
+                small = [None if p is None else body(pixels.resize(p, prep.size, prep.size)) for p, _ in decoded]
+                return [shape(0), shape(1), whole, small, [error for _, error in decoded]]
+
+        return run
+
+    added = T._parse_datatype_string("height int, width int, data binary, small binary, error string")
+    return map_rows(df, added, make, batch_size, fetch=file_reader("path", mode))
+
+
+def score_decoded(
+    df: DataFrame, model: Scorer, batch_size: int = DEFAULT_MODEL_BATCH, precision: str = "double",
+    profile: ResourceProfile | None = None, spent: StepTimes | None = None,
+) -> DataFrame:
+    """Replace ``small`` by ``class_id, label, score``; rows with an error get nulls.
+
+    Fixed batches go through the model, loaded once per task. A ``profile`` asks for executors of its own for this step.
+    """
+    kind = {"double": np.float64, "float": np.float32}[precision]
+    prep = model.prep
+
+    def make() -> Callable:
+        clock = spent or StepTimes()
+        with clock.step("model"):
+            ready = model.load()
+
+        def run(part: pa.RecordBatch) -> list:
+            rows = [(None, None, None)] * part.num_rows
+            with clock.step("inference", part.num_rows):
+                bodies = part.column("small").to_pylist()
+                good = [i for i, body in enumerate(bodies) if body is not None]
+                if good:
+                    shape = prep.size, prep.size, 3
+                    batch = np.stack([pixels.normalised(np.frombuffer(bodies[i], dtype=np.uint8).reshape(shape), prep.mean, prep.std) for i in good])
+                    classes, scores = choose(ready, batch.astype(kind, copy=False))
+                    for i, c, s in zip(good, classes.tolist(), scores.tolist()):
+                        rows[i] = c, ready.label(c), s
+            return [*zip(*rows)] if rows else [[], [], []]
+
+        return run
+
+    added = T._parse_datatype_string("class_id int, label string, score double")
+    return map_rows(df, added, make, batch_size, ["small"], profile=profile)
+
+
 def picture_bytes(
     df: DataFrame, size: int | None = None, content: str = "content", batch_size: int = DEFAULT_MICRO_BATCH
 ) -> DataFrame:

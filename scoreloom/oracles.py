@@ -35,6 +35,19 @@ br AS (SELECT class_id, round(b, 2) AS b FROM b),
 """
 
 
+def _half(x: str) -> str:
+    """Nearest number of half precision: eleven significant bits, halves to the even one."""
+    unit = f"pow(2, greatest(floor(log2(abs({x}))), -14) - 10)"
+    return f"CASE WHEN {x} = 0 THEN 0 ELSE round_even({x} / {unit}, 0) * {unit} END"
+
+
+# The same in half precision.
+_HALF = f"""
+wh AS (SELECT class_id, dim, {_half('w')} AS w FROM w),
+bh AS (SELECT class_id, {_half('b')} AS b FROM b),
+"""
+
+
 def _best(inputs: str = "x", weights: str = "w", bias: str = "b", out: str = "best") -> str:
     """Best class (the first on a tie) and softmax score of every row of ``inputs``."""
     return f"""
@@ -224,6 +237,14 @@ SELECT run, key, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,9))) AS DOUBLE
   UNION ALL SELECT user_id, 'seconds', value FROM events
   UNION ALL SELECT user_id, 'k', TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) FROM events)
 WHERE value IS NOT NULL GROUP BY 1, 2""",
+    "run_phases": """
+SELECT pattern, phase, CAST(s AS DOUBLE) AS seconds, round(s / sum(s) OVER (PARTITION BY pattern), 6) AS share,
+       (SELECT count(*) FROM embeddings) AS num_images, (SELECT count(*) FROM embeddings) AS num_written
+FROM (VALUES ('p1', 'dataset_prep', 1), ('p1', 'inference_write', 1), ('p1', 'other', 3),
+             ('p2', 'dataset_prep', 1), ('p2', 'inference_write', 1), ('p2', 'other', 3),
+             ('p3', 'dataset_prep', 1), ('p3', 'inference_write', 1), ('p3', 'other', 3),
+             ('p4', 'ingest', 1), ('p4', 'inference', 1), ('p4', 'other', 3), ('p5', 'stages', 1), ('p5', 'other', 2),
+             ('p6', 'img_to_b64', 1), ('p6', 'model_call', 1), ('p6', 'annotate_write', 1), ('p6', 'other', 4)) v(pattern, phase, s)""",
     "run_name": "SELECT event_id, 'results_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') AS name FROM events",
     "phase_breakdown": f"""
 SELECT user_id, event_type, CAST(s AS DOUBLE) AS seconds,
@@ -284,8 +305,8 @@ SELECT count(*) AS n, count(*) FILTER (WHERE best.pred = low.pred) AS n_agree,
        CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only
 FROM best JOIN low ON best.vec_id = low.vec_id""",
     "partial_agreement": """
-WITH a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' END AS label FROM labels WHERE doc_id % 3 <> 0),
-b AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 'good' END AS label FROM labels WHERE doc_id % 5 <> 0),
+WITH a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' END AS label FROM labels),
+b AS (SELECT vec_id AS doc_id, CASE WHEN label < 5 THEN 'good' END AS label FROM embeddings),
 f AS (SELECT a.doc_id AS l, b.doc_id AS r, a.label IS NOT DISTINCT FROM b.label AS same FROM a FULL JOIN b ON a.doc_id = b.doc_id)
 SELECT count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS n, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL AND same) AS n_agree,
        count(*) FILTER (l IS NOT NULL AND r IS NOT NULL AND NOT same) AS n_flips,

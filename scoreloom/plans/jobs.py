@@ -80,7 +80,7 @@ def run_job(
             "pattern": pattern, "dataset": params.dataset, "model_uri": params.model_uri,
             "num_partitions": params.num_partitions,
         }
-        RunLog(spark, f"{root.rstrip('/')}/runs").log(run.summary, used)
+        RunLog(spark, f"{root.rstrip('/')}/runs").log(run.summary, used, run.steps)
         export_summary(spark, run.summary, f"{folder}/results")
     return run
 

@@ -3,7 +3,7 @@
 ==================  =====================================================================
 direct              list paths, cut, spread the paths; one pass reads, scores and writes
 ingest_then_score   stream files into a byte table, then score the first N rows of it
-staged              decode, score and write as three steps, predictions in a Parquet folder
+staged              decode once, score and write as three steps, predictions in a Parquet folder
 served              base64 table, model called from SQL, join back, write
 ==================  =====================================================================
 """
@@ -19,24 +19,27 @@ from pyspark.sql import functions as F
 from scoreloom.functions.paths import normalise_path
 from scoreloom.functions.pixels import EXTENSIONS, settle_form
 from scoreloom.functions.text import base64_bytes, base64_text
-from scoreloom.operators.artifacts import StepTimes, annotate_and_write, require_unique, score_and_write, with_output_path
-from scoreloom.operators.compare import join_payload
-from scoreloom.operators.scoring import picture_tensors, score_batches
+from scoreloom.operators.artifacts import annotate_and_write, require_unique, score_and_write, with_output_path, write_pictures
+from scoreloom.operators.compare import join_bucketed
+from scoreloom.operators.scoring import decode_pictures, score_decoded
+from scoreloom.operators.steps import StepRow, StepTimes
 from scoreloom.plans.runlog import Clock, rate
-from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, materialise, output_table, quote_name
+from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, materialise, output_table, quote_name, shared_uri
 from scoreloom.sources.files import (
-    at_depth, first_n, list_files, read_bytes, spark_images, tasks_for,
+    at_depth, first_n, list_files, read_bytes, spark_images, tasks_for, tasks_for_bytes,
 )
 from scoreloom.sources.models import Scorer
+from scoreloom.sources.storage import delete_folder
 from scoreloom.streaming.ingest import ingest, ingest_manifests
 
 
 @dataclass(frozen=True)
 class Run:
-    """What a pattern leaves behind: its table, and the summary to log."""
+    """What a pattern leaves behind: its table, the summary to log, and what its tasks spent on each step."""
 
     table: DataFrame
     summary: dict
+    steps: tuple[StepRow, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -69,13 +72,22 @@ def save_table(df: DataFrame, table: str) -> int:
     return seen.get["n"]
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, location: str | None = None) -> int:
+    """Overwrite a table whose rows are dealt to ``buckets`` files by ``key``, so that a join on it need not move them.
+
+    Rows that were dealt by ``repartition(buckets, key)`` while they were narrow are written where they are, one file per task.
+    """
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").bucketBy(buckets, key)
+    (writer.option("path", location) if location else writer).saveAsTable(table)
+    return seen.get["n"]
+
+
 def _listed(spark: SparkSession, params: RunParams, any_depth: bool = False, manifest: DataFrame | None = None) -> DataFrame:
-    """``path, length`` of the first N files, written once: sizes, names and reading all look at the same rows."""
-    if manifest is not None:
-        found = first_n(manifest.select("path", "length"), params.n_images)
-    else:
-        found = list_files(spark, params.image_dir, params.file_glob if any_depth else params.image_glob, params.n_images, any_depth)
-    return materialise(found, "paths")
+    """``path, length`` of the first N files; all readers see the same rows."""
+    if manifest is not None:  # computed elsewhere, so written once here
+        return first_n(materialise(manifest.select("path", "length"), "paths"), params.n_images)
+    return list_files(spark, params.image_dir, params.file_glob if any_depth else params.image_glob, params.n_images, any_depth)
 
 
 def _width(files: DataFrame, wanted: int | None) -> int:
@@ -83,6 +95,19 @@ def _width(files: DataFrame, wanted: int | None) -> int:
     return tasks_for(files, wanted or 1)
 
 
+def _named(files: DataFrame, params: RunParams, output: Output, wanted: int | None) -> tuple[DataFrame, int]:
+    """Files with their output paths, and the tasks to spread them over. One pass over the paths adds up the bytes and
+    finds out whether two names may be the same, in which case nothing is written."""
+    named = output.name_only(files, params.image_dir)
+    if output.naming != "basename":
+        return named, _width(files, wanted)
+    by_name = named.groupBy(F.xxhash64("output_path").alias("_hash")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    found = by_name.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if (found["n"] or 0) > 1:
+        require_unique(named)
+    return named, tasks_for_bytes(found["bytes"], wanted or 1)
+
+
 def _wanted(rows: DataFrame, paths: DataFrame, params: RunParams, output: Output) -> DataFrame:
     """Rows with payload, cut to the first N by path, with output paths.
 
@@ -99,7 +124,7 @@ def _wanted(rows: DataFrame, paths: DataFrame, params: RunParams, output: Output
 
 def direct(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, pattern: str = "p3", tree: bool = False,
-    manifest: DataFrame | None = None, jvm_decode: bool = False, profile: ResourceProfile | None = None,
+    manifest: DataFrame | None = None, jvm_decode: bool = False, profile: ResourceProfile | None = None, clock: Clock | None = None,
 ) -> Run:
     """List, cut, spread the paths, then read, score and write each picture in one pass.
 
@@ -110,16 +135,18 @@ def direct(
     """
     if jvm_decode and manifest is not None:
         raise ValueError("Spark's image reader lists for itself: give either jvm_decode or a manifest")
-    clock = Clock()
+    clock = clock or Clock()
     with clock.phase("dataset_prep"):
         files = _listed(spark, params, tree, manifest)
-        width = _width(files, params.write_workers if output.naming == "ordinal" else params.num_partitions)
+        wanted = params.write_workers if output.naming == "ordinal" else params.num_partitions
         if jvm_decode:
+            width = _width(files, wanted)
             images = spark_images(spark, params.image_dir, output.mode, params.image_glob.rsplit("/", 1)[-1])
             images = at_depth(images, params.image_dir, params.image_glob)
             rows_in = _wanted(images, files.select(normalise_path("path").alias("path")), params, output)
         else:
-            rows_in = output.name(files, params.image_dir).drop("length").repartition(width)
+            named, width = _named(files, params, output, wanted)
+            rows_in = named.drop("length").repartition(width)
     spent = StepTimes(spark)
     with clock.phase("inference_write"):
         scored = score_and_write(
@@ -128,12 +155,12 @@ def direct(
         table = output_table(params, pattern, "predictions")
         rows = save_table(scored.withColumn("path", normalise_path("path")), table)
     summary = {"pattern": pattern, "dataset": params.dataset, "num_partitions": width, "num_images": rows}
-    return Run(spark.table(table), summary | clock.summary(rows) | spent.summary())
+    return Run(spark.table(table), summary | clock.summary(rows) | spent.summary(), tuple(spent.rows()))
 
 
 def ingest_then_score(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, checkpoint: str, pattern: str = "p4",
-    location: str | None = None, manifests: str | None = None,
+    location: str | None = None, manifests: str | None = None, clock: Clock | None = None,
 ) -> Run:
     """Stream every file into a byte table, then score the first N rows of the table by path.
 
@@ -145,7 +172,7 @@ def ingest_then_score(
     The cut looks at paths only. The chosen rows are joined back to their bytes, which are not sorted, and
     not shuffled while the chosen paths are few enough to broadcast.
     """
-    clock = Clock()
+    clock = clock or Clock()
     binary = output_table(params, "", "binary")
     with clock.phase("ingest"):
         if manifests is None:
@@ -166,68 +193,74 @@ def ingest_then_score(
         "pattern": pattern, "dataset": params.dataset, "num_partitions": params.num_partitions,
         "num_ingested": ingested, "num_images": rows,
     }
-    return Run(spark.table(table), summary | clock.summary(rows) | spent.summary())
+    return Run(spark.table(table), summary | clock.summary(rows) | spent.summary(), tuple(spent.rows()))
 
 
 def staged(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, folder: str,
     batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5", precision: str = "double", write_tasks: int | None = None,
-    manifest: DataFrame | None = None,
+    manifest: DataFrame | None = None, profile: ResourceProfile | None = None, clock: Clock | None = None,
 ) -> Run:
     """Decode, score and write as three steps; the result is a Parquet folder.
 
-    Tensors pass from the first step to the second inside one task. Predictions are written out before the
-    last step, so writing never holds up or repeats the model's work, and ``write_tasks`` can spread it over
-    another number of tasks; only narrow rows move for that.
+    Every file is opened and decoded once, by the first step, which leaves a table of pictures dealt by path. The model step
+    reads only their small form, and may run on executors of its own (``profile``): it is a stage between two written tables, so
+    the others never wait for its hardware, and what writing loses never brings its work back. The write step joins the narrow
+    predictions to the pictures where those lie. ``write_tasks`` is the number of files, and so of tasks that write; the pictures are
+    dropped at the end.
     """
-    clock = Clock()
+    clock, spent = clock or Clock(), StepTimes(spark)
     with clock.phase("stages"):
-        files = output.name(_listed(spark, params, manifest=manifest), params.image_dir)
-        paths = files.drop("length").repartition(_width(files, params.num_partitions))
-        tensors = picture_tensors(
-            paths, model.prep, content=None, batch_size=params.micro_batch, precision=precision, mode=output.mode
-        )
-        width = 3 * model.prep.size**2
-        scored = score_batches(tensors, "tensor", model, width, batch_size).drop("tensor")
-        for column in ("class_id", "label", "score"):
-            scored = scored.withColumn(column, F.when(F.col("error").isNull(), F.col(column)))
+        named, width = _named(_listed(spark, params, manifest=manifest), params, output, params.num_partitions)
+        width = write_tasks or width
+        spread = named.drop("length").repartition(width, "path")
+        pictures = decode_pictures(spread, model.prep, params.micro_batch, output.mode, spent)
+        table = output_table(params, pattern, "decoded")
+        save_bucketed(pictures, table, "path", width, f"{folder}/decoded")
+        held = spark.table(table)
+        scored = score_decoded(held.select("path", "small", "error"), model, batch_size, precision, profile, spent)
         scored.write.mode("overwrite").parquet(f"{folder}/scored")
         done = spark.read.schema(scored.schema).parquet(f"{folder}/scored")
-        if write_tasks is not None:
-            done = done.repartition(write_tasks)
-        written = annotate_and_write(done, None, params.micro_batch, output.form, output.mode)
+        joined = join_bucketed(done, held.drop("small", "error"))
+        written = write_pictures(joined, params.micro_batch, output.form, spent)
         seen = Observation()
         final = written.withColumn("path", normalise_path("path")).observe(seen, F.count(F.lit(1)).alias("n"))
         final.write.mode("overwrite").parquet(f"{folder}/predictions")
+        spark.sql(f"DROP TABLE {table}")
+        delete_folder(shared_uri(spark, f"{folder}/decoded"))
     rows = seen.get["n"]
     summary = {"pattern": pattern, "dataset": params.dataset, "num_images": rows}
     return Run(
         spark.read.schema(final.schema).parquet(f"{folder}/predictions"),
-        summary | clock.summary(rows, divisor=clock.phases["stages"]),
+        summary | clock.summary(rows, divisor=clock.phases["stages"]) | spent.summary(), tuple(spent.rows()),
     )
 
 
-def base64_rows(spark: SparkSession, params: RunParams, manifest: DataFrame | None = None) -> DataFrame:
-    """``path, image_b64`` of the first N files, read by the tasks that hold the paths."""
+def base64_rows(spark: SparkSession, params: RunParams, manifest: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``path, image_b64`` of the first N files, read by the tasks that hold the paths, and the number of tasks the paths are
+    dealt to."""
     listed = _listed(spark, params, manifest=manifest, any_depth=True)
-    files = read_bytes(listed.repartition(_width(listed, params.num_partitions)))
-    return files.select(normalise_path("path").alias("path"), base64_text("content").alias("image_b64"))
+    width = _width(listed, params.num_partitions)
+    spread = listed.select(normalise_path("path").alias("path"), F.col("path").alias("_uri")).repartition(width, "path")
+    return read_bytes(spread, "_uri").select("path", base64_text("content").alias("image_b64")), width
 
 
 def served(
     spark: SparkSession, params: RunParams, function: str, output: Output, pattern: str = "p6",
-    manifest: DataFrame | None = None,
+    manifest: DataFrame | None = None, clock: Clock | None = None,
 ) -> Run:
     """Base64 table, then the registered SQL ``function`` on it, then join back and write.
 
-    Each step is a table, so what a later step loses does not bring the model's work back.
+    Each step is a table, so what a later step loses does not bring the model's work back. The base64 table is dealt by path, so
+    the predictions come to its rows and no payload moves.
     """
-    clock = Clock()
+    clock, spent = clock or Clock(), StepTimes(spark)
     b64, pred, out = (
         output_table(params, p, k) for p, k in (("", "b64"), (pattern, "predictions"), (pattern, "written"))
     )
     with clock.phase("img_to_b64"):
-        save_table(base64_rows(spark, params, manifest), b64)
+        coded, width = base64_rows(spark, params, manifest)
+        save_bucketed(coded, b64, "path", width)
     with clock.phase("model_call"):
         called = spark.sql(
             f"SELECT path, {quote_name(function)}(named_struct('image', image_b64)) AS prediction FROM {b64}"
@@ -237,12 +270,12 @@ def served(
         # every field the function answers with: class and reason too, where it was registered with ``errors``
         flat = spark.table(pred).select("path", "prediction.*")
         named = output.name(flat, params.image_dir)
-        rows_in = join_payload(named, spark.table(b64))
+        rows_in = join_bucketed(named, spark.table(b64))
         with_bytes = rows_in.withColumn("content", base64_bytes("image_b64")).drop("image_b64")
-        rows = save_table(annotate_and_write(with_bytes, batch_size=params.micro_batch, form=output.form), out)
+        rows = save_table(annotate_and_write(with_bytes, batch_size=params.micro_batch, form=output.form, spent=spent), out)
     summary = {
         "pattern": pattern, "dataset": params.dataset, "num_partitions": params.num_partitions, "num_images": rows,
     }
     timing = clock.summary(rows)
     timing["call_images_per_sec"] = rate(n_pred, clock.phases["model_call"])
-    return Run(spark.table(out), summary | timing)
+    return Run(spark.table(out), summary | timing | spent.summary(), tuple(spent.rows()))

@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.session import shared_uri
-from scoreloom.sources.storage import read_file, write_file
+from scoreloom.operators.sums import array_means
+from scoreloom.session import materialise, shared_uri
+from scoreloom.sources.storage import map_file, read_file, write_file
 
 # A model is the one thing that goes to every task; this bounds what may be brought to the driver for it.
-MAX_MODEL_VALUES = 10_000_000
+MAX_MODEL_VALUES = 10_000_000  # beyond it, ``ModelStore.stage`` leaves the weights to the tasks
+BLOCK_VALUES = 8_000_000  # weights in one file of a staged model, or those of one class
 
 
 @dataclass(frozen=True)
@@ -106,6 +110,45 @@ class StagedModel:
         return _staged(self.uri)
 
 
+@dataclass(frozen=True)
+class MappedModel:
+    """A linear model whose weights lie in files of whole classes, mapped into memory where the shared folder is mounted: the
+    workers of a machine share its pages, and only those in use are in memory."""
+
+    blocks: tuple[np.ndarray, ...]  # class, dimension
+    bias: np.ndarray
+    classes: tuple[int, ...]
+    labels: dict[int, str]
+    prep: Preprocess
+
+    def logits(self, batch: np.ndarray) -> np.ndarray:
+        flat = batch.reshape(len(batch), -1).astype(np.float64, copy=False)
+        return np.concatenate([flat @ block.T for block in self.blocks], axis=1) + self.bias
+
+    def label(self, index: int) -> str:
+        return label_or_index(self.labels, index)
+
+
+@lru_cache(maxsize=4)
+def _mapped(uri: str) -> MappedModel:
+    head = json.loads(read_file(f"{uri}/model.json"))
+    blocks = tuple(map_file(f"{uri}/{name}", "<f8").reshape(-1, head["dims"]) for name in head["blocks"])
+    labels = dict(zip(head["label_ids"], head["label_texts"]))
+    prep = Preprocess(head["size"], tuple(head["mean"]), tuple(head["std"]))
+    return MappedModel(blocks, np.array(head["bias"]), tuple(head["classes"]), labels, prep)
+
+
+@dataclass(frozen=True)
+class BlockModel:
+    """A model in blocks below the shared folder (``ModelStore.stage``); only its address travels with the task."""
+
+    uri: str
+    prep: Preprocess = Preprocess()
+
+    def load(self) -> MappedModel:
+        return _mapped(self.uri)
+
+
 @dataclass(frozen=True)
 class Checkpoints:
     """N linear models over the same classes; a class unknown to a checkpoint is NaN there."""
@@ -298,20 +341,75 @@ class ModelStore:
             w[at], b[at] = r["weights"], r["bias"]
         return Checkpoints(w, b, tuple(classes))
 
-    def load(self, uri: str) -> LinearModel:
-        """The model behind an address. Only one model is brought to the driver, and its size is checked."""
+    def stage(self, uri: str, folder: str) -> BlockModel:
+        """The model behind an address, for workers to load from ``folder``, whatever its size.
+
+        Tasks write the weights, some classes to a file; the driver sees one row per class (its id, bias and label) and no
+        weights. The head is written last, and names the files that belong to it.
+        """
         name, version = self.resolve(uri)
         one = (F.col("name") == name) & (F.col("version") == version)
         weights = self.weights().where(one)
-        _check_size(f"{name} v{version}", weights)
-        rows = weights.orderBy("class_id").collect()
+        rows = weights.select("class_id", "bias", F.size("weights").alias("n")).orderBy("class_id").collect()
+        widths = {r["n"] for r in rows}
+        if len(widths) != 1 or not rows[0]["n"]:
+            raise ValueError(f"{name} v{version} has weights of lengths {sorted(widths)}")
+        dims, target = rows[0]["n"], f"{shared_uri(self.spark, folder).rstrip('/')}"
+        each = max(1, BLOCK_VALUES // dims)
+        attempt = uuid.uuid4().hex
+        places = self.spark.createDataFrame([(r["class_id"], i // each, i) for i, r in enumerate(rows)], "class_id int, block int, place int")
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, now = [], None
+
+            def written() -> pa.RecordBatch:
+                body = np.concatenate(held).astype("<f8").tobytes()
+                write_file(f"{target}/{attempt}-{now:06d}.f8", body)
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(body)], pa.int64())], ["block", "length"])
+
+            for batch in batches:
+                for block, row in zip(batch.column("block").to_pylist(), batch.column("weights")):
+                    if block != now and held:
+                        yield written()
+                        held = []
+                    now = block
+                    held.append(row.values.to_numpy())
+            if held:
+                yield written()
+
+        blocks = -(-len(rows) // each)
+        dealt = weights.select("class_id", "weights").join(F.broadcast(places), "class_id")  # a row of three numbers per class
+        dealt = dealt.repartitionById(blocks, "block").sortWithinPartitions("place").select("block", "weights")
+        done = materialise(dealt.mapInArrow(put, "block int, length long"), "model-blocks")
+        if done.agg(F.sum("length")).first()[0] != 8 * dims * len(rows):
+            raise RuntimeError(f"blocks of {name} v{version} are not whole")
+        prep, texts = self.prep(name, version), self._texts(one, weights)
+        head = {
+            "dims": dims, "blocks": [f"{attempt}-{b:06d}.f8" for b in range(blocks)], "bias": [r["bias"] for r in rows],
+            "classes": [r["class_id"] for r in rows], "label_ids": list(texts), "label_texts": list(texts.values()),
+            "size": prep.size, "mean": prep.mean, "std": prep.std,
+        }
+        write_file(f"{target}/model.json", json.dumps(head).encode())
+        return BlockModel(target, prep)
+
+    def _texts(self, one: Column, weights: DataFrame) -> dict[int, str]:
+        """Labels of the classes that have weights."""
         try:
             named = self.labels().where(one).join(weights.select("class_id"), "class_id", "left_semi")
-            texts = {r["class_id"]: r["label"] for r in named.collect()}  # as many as there are classes
+            return {r["class_id"]: r["label"] for r in named.collect()}  # as many as there are classes
         except Exception as err:  # no model of this store has labels
             if "PATH_NOT_FOUND" not in str(err):
                 raise
-            texts = {}
+            return {}
+
+    def load(self, uri: str) -> LinearModel:
+        """The model behind an address. Only one model is brought to the driver, and its size is checked."""
+        name, version = self.resolve(uri)
+        one = (F.col("name") == name) & (F.col("version") == version)
+        weights = self.weights().where(one)
+        _check_size(f"{name} v{version}", weights)
+        rows = weights.orderBy("class_id").collect()
+        texts = self._texts(one, weights)
         prep = self.prep(name, version)
         classes = tuple(r["class_id"] for r in rows)
         weights_, bias = (np.array([r[c] for r in rows]) for c in ("weights", "bias"))
@@ -321,34 +419,21 @@ class ModelStore:
 def _check_size(what: str, weights: DataFrame) -> None:
     size = weights.agg(F.sum(F.size("weights")).alias("n")).first()["n"] or 0
     if not 0 < size <= MAX_MODEL_VALUES:
-        raise ValueError(f"{what} holds {size} values; between 1 and {MAX_MODEL_VALUES} can be loaded")
+        raise ValueError(f"{what} holds {size} values; between 1 and {MAX_MODEL_VALUES} can be loaded here, more by stage()")
 
 
 def centroid_weights(df: DataFrame, features: str, label: str, *by: str) -> DataFrame:
     """A linear classifier from class means: ``w = mean``, ``b = -|w|^2 / 2`` (nearest centroid).
 
-    Sums are combined before the shuffle, so it moves one row per class and dimension and input partition.
+    Tasks add up whole arrays, so the shuffle moves one row per class and input partition.
     """
-    keys = [*by, label]
-    means = (
-        df.select(*keys, F.posexplode(features).alias("dim", "v"))
-        .groupBy(*keys, "dim").agg(F.avg(F.col("v").cast("double")).alias("w"))
-    )
-    parts = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "w"))).alias("parts"))
-    ws = F.transform("parts", lambda p: p["w"])
-    return parts.select(
-        *by, F.col(label).cast("int").alias("class_id"), ws.alias("weights"),
-        (F.aggregate(ws, F.lit(0.0), lambda acc, v: acc + v * v) * -0.5).alias("bias"),
-    )
+    means = array_means(df.select(*by, label, F.col(features).cast("array<double>").alias(features)), [*by, label], features, "weights")
+    squares = F.aggregate("weights", F.lit(0.0), lambda acc, v: acc + v * v)
+    return means.select(*by, F.col(label).cast("int").alias("class_id"), "weights", (squares * -0.5).alias("bias"))
 
 
 def average_weights(weights: DataFrame) -> DataFrame:
-    """One model from many checkpoints: the mean of every weight and of every bias."""
-    means = (
-        weights.select("class_id", "bias", F.posexplode("weights").alias("dim", "w"))
-        .groupBy("class_id", "dim").agg(F.avg("w").alias("w"), F.avg("bias").alias("b"))
-    )
-    return means.groupBy("class_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "w"))), lambda p: p["w"]).alias("weights"),
-        F.first("b").alias("bias"),
-    )
+    """One model from many checkpoints: the mean of every weight and of every bias, which travels as the last place of its row."""
+    rows = weights.select("class_id", F.concat("weights", F.array("bias")).alias("weights"))
+    means = array_means(rows, ["class_id"], "weights", "weights")
+    return means.select("class_id", F.slice("weights", 1, F.size("weights") - 1).alias("weights"), F.element_at("weights", -1).alias("bias"))

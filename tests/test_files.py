@@ -4,8 +4,10 @@ import base64
 import glob
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scoreloom.functions.paths import normalise_path
 from scoreloom.operators.artifacts import NameClash, require_unique, with_output_path
@@ -102,6 +104,79 @@ def test_one_rule_in_all_readers(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_only_named_folders_are_listed(spark, tree, monkeypatch):
+    """A flat pattern looks into one folder, a part of a pattern into the folders it names."""
+    asked = []
+    inner = storage.list_folder
+    monkeypatch.setattr(files, "list_folder", lambda uri, *more: asked.append(uri.rsplit("/", 1)[1]) or inner(uri, *more))
+    assert names(files.list_files(spark, str(tree), "*.jpg"), tree) == ["_hidden.jpg", "a.jpg"]
+    assert asked == [tree.name]
+    asked.clear()
+    assert names(files.list_files(spark, str(tree), "[xw]/*"), tree) == ["x/a.jpg", "x/d.jpg"]
+    assert sorted(asked) == sorted([tree.name, "x"])
+    assert names(files.list_files(spark, str(tree), "{x,y/z}/*.jpg"), tree) == ["x/a.jpg", "x/d.jpg", "y/z/deep.jpg"]
+
+
+@pytest.fixture(params=["driver", "tasks"])
+def lister(request, monkeypatch):
+    if request.param == "tasks":
+        monkeypatch.setattr(files, "DRIVER_ENTRIES", 0)
+    return request.param
+
+
+def test_links(spark, tree, lister):
+    """A link to a folder above, two that lead to each other, one to itself, and one to nothing."""
+    (tree / "x" / "up").symlink_to(tree)
+    (tree / "x" / "y").symlink_to(tree / "y")
+    (tree / "y" / "x").symlink_to(tree / "x")
+    (tree / "self.jpg").symlink_to(tree / "self.jpg")
+    (tree / "gone.jpg").symlink_to(tree / "nowhere")
+    (tree / "linked.jpg").symlink_to(tree / "a.jpg")
+    assert names(files.list_files(spark, str(tree), "*.jpg"), tree) == ["_hidden.jpg", "a.jpg", "linked.jpg"]
+    assert names(files.list_files(spark, str(tree), "*/a*"), tree) == ["x/a.jpg"]
+    deep = names(files.list_tree(spark, str(tree), "[dl]*.jpg"), tree)
+    assert deep == ["linked.jpg", "x/d.jpg", "x/y/z/deep.jpg", "y/x/d.jpg", "y/z/deep.jpg"]
+
+
+def test_both_ways_of_listing_agree(spark, tree, lister):
+    test_flat_and_one_level_patterns(spark, tree)
+    test_any_depth_pattern_is_case_sensitive(spark, tree)
+    test_nothing_matches(spark, tree)
+
+
+def test_tasks_share_a_folder(spark, tmp_path, monkeypatch):
+    for i in range(500):
+        (tmp_path / f"{i * 7919 % 500:03d}.{'ab'[i % 2]}").write_bytes(b"x" * i)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "x.a").write_bytes(b"")
+    monkeypatch.setattr(files, "DRIVER_ENTRIES", 0)
+    monkeypatch.setattr(files, "SPLIT", 60)
+    want = sorted(p.name for p in tmp_path.glob("*.a"))
+    assert names(files.list_files(spark, str(tmp_path), "*.a"), tmp_path) == want
+    assert names(files.list_tree(spark, str(tmp_path), "*.a"), tmp_path) == sorted([*want, "sub/x.a"])
+    lister = files._lister("[^/]*", "files")
+    piece = pa.RecordBatch.from_pylist([{"path": str(tmp_path), "trail": [], "after": None, "until": None}], to_arrow_schema(files._PIECE))
+    pieces = [r for b in lister([piece]) for r in b.to_pylist()]
+    assert {r["kind"] for r in pieces} == {"range"} and len(pieces) >= 8  # each for a task of its own
+    shared = [r["path"] for p in pieces for b in lister([pa.RecordBatch.from_pylist([{k: p[k] for k in files._PIECE.names}], piece.schema)]) for r in b.to_pylist() if r["kind"] == "file"]
+    assert len(shared) == len(set(shared)) <= 500
+
+
+@pytest.mark.parametrize("n", [1, 40, 41, 250, 999, 1000])
+def test_the_nth_key_is_found_by_counting(spark, n):
+    df = spark.createDataFrame([(f"k{i * 7919 % 1000:04d}",) for i in range(1000)], "path string").repartition(4)
+    assert files.nth_key(df, n, "path", rows=20, cuts=5) == (None if n == 1000 else f"k{n - 1:04d}")
+
+
+def test_a_large_cut_moves_no_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i * 7919 % 1000:04d}", i) for i in range(1000)], "path string, length long").repartition(4)
+    monkeypatch.setattr(files, "TOP_ROWS", 50)
+    first = files.first_n(df, 700)
+    assert sorted(r.path for r in first.collect()) == [f"k{i:04d}" for i in range(700)]
+    assert "rangepartitioning" not in first._jdf.queryExecution().executedPlan().toString()
+    assert files.first_n(df, 5000).count() == 1000 and files.first_n(df, 1000).count() == 1000
+
+
 def test_patterns():
     import re
 
@@ -192,7 +267,7 @@ def test_remote_listing_keeps_the_address(monkeypatch, tmp_path):
     (tmp_path / "bucket" / "d" / "a b.jpg").write_bytes(b"123")
     shared = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
     monkeypatch.setattr(storage, "_store", lambda u: (shared, "bucket"))
-    assert sorted(storage.list_folder("s3://bucket/d/")) == [("s3://bucket/d/a b.jpg", False, 3), ("s3://bucket/d/e", True, 0)]
+    assert sorted(storage.list_folder("s3://bucket/d/")) == [("s3://bucket/d/a b.jpg", False, 3, ()), ("s3://bucket/d/e", True, 0, ())]
     monkeypatch.setattr(storage, "OBJECT_STORES", (shared.type_name,))
     write_file("s3://bucket/d/new.jpg", b"4567")
     assert read_file("s3://bucket/d/new.jpg") == b"4567"

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.operators import scoring
+from scoreloom.session import session_conf
 from scoreloom.sources import models
 from scoreloom.sources.models import ModelStore, Preprocess, average_weights, centroid_weights, label_map, stage_model
 
@@ -131,3 +133,36 @@ def test_a_failed_registration_leaves_nothing_behind(spark, tmp_path, monkeypatc
         store.register_all("many", both)
     assert store.weights().where("name = 'many'").count() == 2
     assert store.load_versions("many").classes == (3, 7)
+
+
+@pytest.mark.parametrize("values", [8_000_000, 30])
+def test_staged_blocks_are_the_same_model(spark, tmp_path, monkeypatch, values):
+    """Also where each class has a file of its own; class ids with gaps keep their names."""
+    monkeypatch.setattr(models, "BLOCK_VALUES", values)
+    rng = np.random.default_rng(5)
+    rows = [(c, rng.normal(size=12).tolist(), float(rng.normal())) for c in (0, 2, 3, 7, 9)]
+    store = ModelStore(spark, f"{tmp_path}/models")
+    labels = spark.createDataFrame([(0, "a"), (7, "h"), (8, "none")], "class_id int, label string")
+    weights = spark.createDataFrame(rows, "class_id int, weights array<double>, bias double").repartition(3)
+    store.register("m", weights, labels, prep=Preprocess(2, (0.1, 0.2, 0.3), (1.0, 2.0, 3.0)))
+    staged, whole = store.stage("models:/m/1", f"{tmp_path}/blocks"), store.load("models:/m/1")
+    ready, x = staged.load(), rng.normal(size=(20, 12))
+    assert np.allclose(ready.logits(x), whole.logits(x)) and ready.classes == whole.classes
+    assert [ready.label(c) for c in ready.classes] == [whole.label(c) for c in whole.classes] and staged.prep == whole.prep
+    assert len(ready.blocks) == (1 if values > 30 else 3) and isinstance(ready.blocks[0], np.memmap)
+
+
+def test_a_model_of_any_size_scores(spark, tmp_path):
+    """More values than the driver would take."""
+    width, classes = 75_264, 134
+    assert width * classes > models.MAX_MODEL_VALUES
+    store = ModelStore(spark, f"{tmp_path}/models")
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == F.col("id"), 1.0).otherwise(0.0))
+    store.register("big", spark.range(0, classes, 1, 8).select(F.col("id").cast("int").alias("class_id"), one_hot.alias("weights"), F.lit(0.0).alias("bias")))
+    with pytest.raises(ValueError, match="values"):
+        store.load("models:/big/1")
+    model = store.stage("models:/big/1", f"{tmp_path}/blocks")
+    rows = spark.range(0, 20, 1, 2).select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == F.col("id") * 5, 9.0).otherwise(0.0)).alias("v"))
+    with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": 10}):
+        got = {r.id: (r.class_id, round(r.score, 6)) for r in scoring.score_arrow(rows, "v", model).drop("v").collect()}
+    assert got == {i: (5 * i, round(float(1 / (1 + (classes - 1) * np.exp(-9.0))), 6)) for i in range(20)}

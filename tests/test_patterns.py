@@ -219,3 +219,73 @@ def test_steps_are_timed_in_the_tasks(spark, data, folder):
     run = patterns.direct(spark, params, MODEL, patterns.Output(scratch_path(spark, "a"), form="netpbm"))
     assert run.summary["task_inference_s"] > 0 and run.summary["task_write_s"] > 0 and run.summary["task_model_s"] >= 0
     assert run.table.count() == 12
+
+
+def test_steps_are_rows_by_stage_partition_and_attempt(spark, data, folder):
+    """Every pattern reports what its tasks did; each picture counts once per step."""
+    for name, run in run_all(spark, data, folder, None).items():
+        assert sum(r.rows for r in run.steps if r.step == "write") == 12, name
+        assert len({(r.step, r.stage, r.partition) for r in run.steps}) == len(run.steps)
+        assert run.summary["task_write_s"] == round(sum(r.seconds for r in run.steps if r.step == "write"), 3)
+
+
+def test_repeated_attempts_count_once(spark, tmp_path):
+    from scoreloom.operators.steps import StepRow, StepTimes, _Sums
+    from scoreloom.plans.runlog import Clock, RunLog
+
+    steps = StepTimes()
+    steps.sums = type("Held", (), {"value": {}})()
+    for key, value in ((("write", 3, 0, 7), (2.0, 4)), (("write", 3, 0, 9), (5.0, 4)), (("write", 3, 1, 8), (1.0, 2)), (("write", 3, 1, 8), (1.0, 1))):
+        _Sums().addInPlace(steps.sums.value, {key: value})
+    assert steps.rows() == [StepRow("write", 3, 0, 9, 5.0, 4), StepRow("write", 3, 1, 8, 2.0, 3)]
+    assert steps.summary() == {"task_write_s": 7.0}
+
+    ticks = iter(range(0, 100, 5))
+    clock = Clock(lambda: next(ticks))
+    with clock.phase("inference_write"):
+        pass
+    summary = {"pattern": "p3", "dataset": "d", "num_images": 7} | clock.summary(7) | {"task_write_s": 700.0}
+    log = RunLog(spark, str(tmp_path / "runs"))
+    log.log(summary, {}, [*steps.rows(), StepRow("write", 3, 0, 7, 2.0, 4)])  # also where a log holds both attempts
+    assert [(r.phase, r.seconds) for r in log.phases().collect()] == [("inference_write", 5.0)]
+    assert {(r.phase, r.seconds, r.share) for r in log.shares().collect()} == {("inference_write", 5.0, 0.333333), ("other", 10.0, 0.666667)}
+    assert [(r.step, r.n_tasks, r.seconds, r["rows"]) for r in log.steps().collect()] == [("write", 2, 7.0, 7)]
+
+
+def test_staged_opens_and_decodes_each_file_once(spark, data, folder):
+    """The model takes the files away before it answers, so that no later step can open them again."""
+    import os
+    from pathlib import Path
+
+    inner = MODEL
+
+    class Mover:
+        prep = inner.prep
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def load(self):
+            return self
+
+        def logits(self, batch):
+            for path in Path(self.folder).rglob("*.ppm"):
+                path.unlink(missing_ok=True)
+            return inner.logits(batch)
+
+        def label(self, index):
+            return inner.label(index)
+
+    want = truth(folder)
+    before = {p: pixels.decode_image(open(p, "rb").read()) for p in want}
+    params = data.params(image_dir=str(folder), image_glob="*/*.ppm", num_partitions=3, micro_batch=5)
+    work = scratch_path(spark, "s")
+    run = patterns.staged(spark, params, Mover(str(folder)), patterns.Output(scratch_path(spark, "a"), form="netpbm"), work, batch_size=4)
+    assert not list(folder.rglob("*.ppm"))
+    rows = run.table.collect()
+    assert {r.path: (r.label, round(r.score, 9)) for r in rows} == want
+    for r in rows:
+        written = pixels.decode_image(open(r.output_path, "rb").read())
+        assert (written[:2] == before[r.path][:2]).all()  # above the box
+    assert sum(r.rows for r in run.steps if r.step == "decode") == 12
+    assert not os.path.exists(f"{work}/decoded") and os.path.exists(f"{work}/scored")

@@ -124,3 +124,29 @@ def test_ordinals_keep_one_row_per_range_in_one_task(spark):
 
 def test_sizes_need_no_content(data):
     assert "text" not in plan(reports.size_profile(data.table("documents"), "lang", "n_chars"))
+
+
+def test_pictures_stay_where_they_are(spark, data, no_broadcast):
+    """Predictions come to a table dealt by path: nothing moves or sorts above its scan."""
+    rows = spark.range(40).select(F.concat(F.lit("/p/"), "id").alias("path"), F.lit(b"x").alias("content"))
+    table = f"{data.params().schema}.payload"
+    assert patterns.save_bucketed(rows.repartition(12, "path"), table, "path", 12) == 40
+    predictions = materialise(rows.select("path", F.lit(1).alias("class_id")), "p")
+    joined = compare.join_bucketed(predictions, spark.table(table))
+    text = plan(joined)
+    payload = text[text.index("ShuffledHashJoin") :]
+    scan = next(line for line in payload.splitlines() if "content" in line and "Scan parquet" in line)
+    assert exchanges(joined) == 1 and "Bucketed: true" in text and "SelectedBucketsCount: 12 out of 12" in scan
+    assert not [line for line in payload.splitlines() if ("Exchange" in line or "Sort " in line) and "content" in line]
+    assert joined.count() == 40
+
+
+def test_the_model_step_may_ask_for_its_own_executors(spark):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    model = LinearModel(np.zeros((2, 12)), np.zeros(2), {})
+    pictures = spark.createDataFrame([], "path string, small binary, error string")
+    plain, asked = (scoring.score_decoded(pictures, model, profile=p) for p in (None, profile))
+    node = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "task resources: cpus -> name: cpus, amount: 2.0" in node(asked) and "task resources" not in node(plain)

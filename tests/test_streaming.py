@@ -136,3 +136,95 @@ def test_only_new_rows_are_scored(spark, place):
         assert len(rows) == len({r.path for r in rows}) == expected
         assert {r.label for r in rows} <= {"a", "b"}
     assert S.prediction_rows(spark.table(predictions)).columns == ["path", "label", "confidence"]
+
+
+def test_a_batch_stays_within_its_bytes(spark, place):
+    """Small files share batches, larger ones have their own; what the stream takes in shows in its progress."""
+    folder, table, checkpoint = place
+    sizes = [7, 50, 50, 1, 0, 99, 100, 101, 400, 30, 30, 30, 30, 20, 45, 3]
+    for i, size in enumerate(sizes):
+        put(folder, f"{i:02}.jpg", b"x" * size)
+    progress = S.ingest(spark, str(folder), table, checkpoint, batch_bytes=100)
+    manifests = spark.read.schema(S.MANIFEST).option("recursiveFileLookup", "true").parquet(S._manifests(checkpoint))
+    named = manifests.selectExpr("_metadata.file_path f", "length").groupBy("f").agg({"length": "sum", "*": "count"}).collect()
+    assert sorted(b for b in (r["sum(length)"] for r in named) if b > 100) == [101, 400]
+    taken = [p["numInputRows"] for p in progress if p["numInputRows"]]
+    assert sorted(taken) == sorted(r["count(1)"] for r in named) and 6 < len(taken) < len(sizes)
+    assert sorted(r.length for r in spark.table(table).collect()) == sorted(sizes)
+
+
+def test_many_files_are_laid_out_by_tasks(spark, place, monkeypatch):
+    folder, table, checkpoint = place
+    monkeypatch.setattr(S, "DRIVER_ENTRIES", 3)
+    for i in range(40):
+        put(folder, f"{i:02}.jpg", b"x" * i)
+    S.ingest(spark, str(folder), table, checkpoint, batch_bytes=120)
+    manifests = spark.read.schema(S.MANIFEST).option("recursiveFileLookup", "true").parquet(S._manifests(checkpoint))
+    named = manifests.selectExpr("_metadata.file_path f", "length", "slot").groupBy("f").agg({"length": "sum", "slot": "max"}).collect()
+    assert 7 <= len(named) <= 20 and max(r["sum(length)"] for r in named) <= 120
+    assert sorted(r.length for r in spark.table(table).collect()) == list(range(40))
+
+
+def test_tasks_follow_bytes(spark, tmp_path):
+    """Shares are cut by bytes: a task has no more than half a share beside one file."""
+    rows = [(f"/p/{i:03}", 1 << 20 if i % 10 else 5 << 20) for i in range(100)]
+    S.admit(spark.createDataFrame(rows, "path string, length long"), str(tmp_path / "m"), batch_bytes=1 << 30)
+    named = spark.read.schema(S.MANIFEST).option("recursiveFileLookup", "true").parquet(str(tmp_path / "m"))
+    shares = [r["sum(length)"] for r in named.groupBy("slot").agg({"length": "sum"}).collect()]
+    half = -(-(1 << 30) // spark.sparkContext.defaultParallelism) // 2
+    assert len(shares) == -(-140 * (1 << 20) // half) and max(shares) <= half + (5 << 20)
+
+
+def test_manifests_with_lengths_are_cut_too(spark, place, tmp_path):
+    folder, table, checkpoint = place
+    for i in range(6):
+        put(folder, f"{i}.jpg", bytes([i]) * 10)
+    manifests = str(tmp_path / "named")
+    rows = [(f"file:{folder}/{i}.jpg", 10 if i % 2 else None) for i in range(6)]
+    spark.createDataFrame(rows, "path string, length long").coalesce(1).write.parquet(manifests)
+    progress = S.ingest_manifests(spark, manifests, table, checkpoint, batch_bytes=20)
+    assert [p["numInputRows"] for p in progress if p["numInputRows"]] and max(p["numInputRows"] for p in progress) <= 2
+    assert spark.table(table).count() == 6
+
+
+def arrivals(folder, spark, table, checkpoint, rng, names):
+    for name in names:
+        put(folder, name, pixels.encode_image(rng.integers(0, 256, (3, 3, 3), dtype=np.uint8), "", "netpbm"))
+    S.ingest(spark, str(folder), table, checkpoint)
+
+
+def test_a_restart_between_score_and_ledger(spark, place, monkeypatch):
+    folder, table, checkpoint = place
+    predictions, rng = table + "_predictions", np.random.default_rng(2)
+    model = LinearModel(rng.normal(size=(2, 12)), np.zeros(2), {0: "a", 1: "b"}, Preprocess(2))
+    arrivals(folder, spark, table, checkpoint, rng, ("0.ppm", "1.ppm", "2.ppm"))
+
+    def lost(*given):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "write_file", lost)
+        with pytest.raises(Exception, match="lost"):
+            S.score_arrivals(spark, table, predictions, model, f"{checkpoint}-scoring")
+    assert spark.table(predictions).count() == 3  # scored, not in the ledger
+    for names, expected in (((), 3), (("3.ppm",), 4), ((), 4)):
+        arrivals(folder, spark, table, checkpoint, rng, names)
+        S.score_arrivals(spark, table, predictions, model, f"{checkpoint}-scoring")
+        rows = spark.table(predictions).collect()
+        assert len(rows) == len({r.path for r in rows}) == expected and {r.batch for r in rows} <= {0, 1}
+
+
+def test_a_batch_in_the_ledger_is_not_scored_again(spark, place):
+    """The stream forgets its last batch, as after a crash before its commit."""
+    from pathlib import Path
+
+    folder, table, checkpoint = place
+    predictions, rng = table + "_predictions", np.random.default_rng(2)
+    model = LinearModel(rng.normal(size=(2, 12)), np.zeros(2), {0: "a", 1: "b"}, Preprocess(2))
+    arrivals(folder, spark, table, checkpoint, rng, ("0.ppm", "1.ppm"))
+    S.score_arrivals(spark, table, predictions, model, f"{checkpoint}-scoring")
+    for commit in Path(f"{checkpoint}-scoring/commits").glob("*0*"):
+        commit.unlink()
+    broken = LinearModel(np.zeros((1, 99)), np.zeros(1), {}, Preprocess(2))  # would fail if it were asked
+    S.score_arrivals(spark, table, predictions, broken, f"{checkpoint}-scoring")
+    assert spark.table(predictions).count() == 2
