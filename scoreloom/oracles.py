@@ -178,6 +178,15 @@ SELECT class_id, CAST(dim AS INT) AS dim, round(avg(w), 6) AS w FROM w GROUP BY
     "score_native": "WITH " + _VECTORS + _best() + "\nSELECT vec_id, pred, round(score, 6) AS score FROM best",
     "score_arrow": "WITH " + _VECTORS + _best() + "\nSELECT vec_id, pred, round(score, 6) AS score FROM best",
     "score_batches": "WITH " + _VECTORS + _best() + "\nSELECT vec_id, pred, round(score, 6) AS score FROM best",
+    "score_blocks": "WITH " + _VECTORS + _best() + "\nSELECT vec_id, pred, round(score, 6) AS score FROM best",
+    "softmax": """
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+e AS (SELECT vec_id, pos, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x)
+SELECT vec_id, CAST(pos AS INT) AS pos, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e""",
+    "half_agreement": "WITH " + _VECTORS + _HALF + _best() + "," + _best("x", "wh", "bh", "low") + """
+SELECT count(*) AS n, count(*) FILTER (WHERE best.pred = low.pred) AS n_agree, count(*) FILTER (WHERE best.pred <> low.pred) AS n_flips,
+       round(count(*) FILTER (WHERE best.pred = low.pred) / CAST(count(*) AS DOUBLE), 6) AS agreement
+FROM best JOIN low ON best.vec_id = low.vec_id""",
     "served_score": "WITH " + _VECTORS + _best() + "\nSELECT vec_id, 'class_' || pred AS label, round(score, 6) AS score FROM best",
     "classify_pictures": _PICTURES + "\nSELECT vec_id, pred, 'class_' || pred AS label, round(score, 6) AS score FROM best",
     "label_lookup": "WITH " + _VECTORS + _best() + """,
