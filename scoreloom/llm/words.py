@@ -27,14 +27,19 @@ def _trimmer() -> Callable[[], object]:
 _trim = _trimmer()
 
 
+def release() -> None:
+    """Give freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def give_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A pass over batches after which the worker keeps no freed memory: workers are used again by other steps, or wait."""
     def passed(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            _trim()
+            release()
 
     return passed
 
