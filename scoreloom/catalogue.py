@@ -430,9 +430,9 @@ def name_clashes(x: Inputs) -> DataFrame:
 
 @query
 def written_artifacts(x: Inputs) -> DataFrame:
-    """The files a run leaves behind, read back from its folder."""
+    """The files a run leaves behind, written as a whole set and read back from its folder."""
     output = x.output("relative")
-    patterns.direct(x.spark, x.params(), x.picture_model, output)
+    patterns.staged(x.spark, x.params(), x.picture_model, output, scratch_path(x.spark, "staged"), whole_set=True)
     written = files.binary_scan(x.spark, output.folder, "*.pgm")
     note = F.regexp_extract(F.decode(F.substring("content", 1, 200), "ISO-8859-1"), "# ([^\n]*)\n", 1)
     return _relative(written, output.folder, "length", note.alias("caption"))

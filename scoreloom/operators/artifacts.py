@@ -83,9 +83,13 @@ def _from_struct(height: int, width: int, channels: int, data: bytes | None, err
     return pixels.bgr_rows_to_rgb(data, height, width, channels), None
 
 
-def _write(picture, label: str, score: float, target: str, form: str) -> None:
+def _body(picture, label: str, score: float, form: str) -> bytes:
     text = f"{label} ({score:.1%})"
-    write_file(target, pixels.encode_image(pixels.annotate(picture, text), text, form))
+    return pixels.encode_image(pixels.annotate(picture, text), text, form)
+
+
+def _write(picture, label: str, score: float, target: str, form: str) -> None:
+    write_file(target, _body(picture, label, score, form))
 
 
 def score_and_write(
@@ -173,25 +177,35 @@ def annotate_and_write(
     return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, drop, fetch)
 
 
+_HELD = ("height", "width", "data", "label", "score")  # a decoded picture (``decode_pictures``) and its prediction
+
+
+def _held(part: pa.RecordBatch) -> list[tuple]:
+    """Pictures with label and score; None where one is missing."""
+    rows = zip(*(part.column(c).to_pylist() for c in _HELD))
+    return [
+        None if data is None or label is None else (np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3), label, score)
+        for height, width, data, label, score in rows
+    ]
+
+
 def write_pictures(df: DataFrame, batch_size: int = DEFAULT_MICRO_BATCH, form: str = "auto", spent: StepTimes | None = None) -> DataFrame:
     """The same for rows that carry their picture decoded (``height, width, data``), as ``decode_pictures`` leaves it."""
     form = pixels.settle_form(form)
     base = shared_uri(df.sparkSession, "/")
-    held = ("height", "width", "data", "label", "score", "_target")
 
     def make() -> Callable:
         clock = spent or StepTimes()
 
-        def write(height: int, width: int, data: bytes | None, label: str | None, score: float | None, target: str) -> str | None:
-            if label is None or data is None:
+        def write(held: tuple | None, target: str) -> str | None:
+            if held is None:
                 return None
-            picture = np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3)
-            _write(picture, label, score, _with_scheme(target, base), form)
+            _write(*held, _with_scheme(target, base), form)
             return target
 
         def run(part: pa.RecordBatch) -> list:
             with clock.step("write", part.num_rows):
-                return [io_map(write, *[part.column(c).to_pylist() for c in held])]
+                return [io_map(write, _held(part), part.column("_target").to_pylist())]
 
         return run
 
@@ -199,6 +213,23 @@ def write_pictures(df: DataFrame, batch_size: int = DEFAULT_MICRO_BATCH, form: s
     return map_rows(df.withColumnRenamed("output_path", "_target"), added, make, batch_size, ["_target", "height", "width", "data"])
 
 
+def picture_bodies(df: DataFrame, batch_size: int = DEFAULT_MICRO_BATCH, form: str = "auto", spent: StepTimes | None = None) -> DataFrame:
+    """Replace the decoded picture by the ``body`` of its artifact, for a sink that writes whole sets; null without a label."""
+    form = pixels.settle_form(form)
+
+    def make() -> Callable:
+        clock = spent or StepTimes()
+
+        def run(part: pa.RecordBatch) -> list:
+            with clock.step("write", part.num_rows):
+                return [[None if held is None else _body(*held, form) for held in _held(part)]]
+
+        return run
+
+    added = T.StructType([T.StructField("body", T.BinaryType())])
+    return map_rows(df, added, make, batch_size, ["height", "width", "data"])
+
+
 def _with_scheme(path: str, base: str) -> str:
     """Put back the scheme of the shared store where a path was normalised."""
     return base.rstrip("/") + path if path.startswith("/") else path

@@ -16,15 +16,18 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.functions.paths import normalise_path
+from scoreloom.functions.paths import normalise_path, relative_path
 from scoreloom.functions.pixels import EXTENSIONS, settle_form
 from scoreloom.functions.text import base64_bytes, base64_text
-from scoreloom.operators.artifacts import annotate_and_write, require_unique, score_and_write, with_output_path, write_pictures
+from scoreloom.operators.artifacts import (
+    annotate_and_write, picture_bodies, require_unique, score_and_write, with_output_path, write_pictures,
+)
 from scoreloom.operators.compare import join_bucketed
 from scoreloom.operators.scoring import decode_pictures, score_decoded
 from scoreloom.operators.steps import StepRow, StepTimes
 from scoreloom.plans.runlog import Clock, rate
-from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, materialise, output_table, quote_name, shared_uri
+from scoreloom.session import DEFAULT_MODEL_BATCH, RunParams, materialise, output_table, payload_batches, quote_name, shared_uri
+from scoreloom.sources.artifact_set import save_set
 from scoreloom.sources.files import (
     at_depth, first_n, list_files, read_bytes, spark_images, tasks_for, tasks_for_bytes,
 )
@@ -188,7 +191,8 @@ def ingest_then_score(
             rows_in, model, params.micro_batch, output.mode, output.form, content="content", spent=spent
         )
         table = output_table(params, pattern, "predictions")
-        rows = save_table(scored.withColumn("path", normalise_path("path")), table)
+        with payload_batches(spark, params.micro_batch):
+            rows = save_table(scored.withColumn("path", normalise_path("path")), table)
     summary = {
         "pattern": pattern, "dataset": params.dataset, "num_partitions": params.num_partitions,
         "num_ingested": ingested, "num_images": rows,
@@ -199,7 +203,7 @@ def ingest_then_score(
 def staged(
     spark: SparkSession, params: RunParams, model: Scorer, output: Output, folder: str,
     batch_size: int = DEFAULT_MODEL_BATCH, pattern: str = "p5", precision: str = "double", write_tasks: int | None = None,
-    manifest: DataFrame | None = None, profile: ResourceProfile | None = None, clock: Clock | None = None,
+    manifest: DataFrame | None = None, profile: ResourceProfile | None = None, clock: Clock | None = None, whole_set: bool = False,
 ) -> Run:
     """Decode, score and write as three steps; the result is a Parquet folder.
 
@@ -207,7 +211,7 @@ def staged(
     reads only their small form, and may run on executors of its own (``profile``): it is a stage between two written tables, so
     the others never wait for its hardware, and what writing loses never brings its work back. The write step joins the narrow
     predictions to the pictures where those lie. ``write_tasks`` is the number of files, and so of tasks that write; the pictures are
-    dropped at the end.
+    dropped at the end. With ``whole_set`` the artifacts replace those of an earlier run together, or not at all.
     """
     clock, spent = clock or Clock(), StepTimes(spark)
     with clock.phase("stages"):
@@ -219,13 +223,21 @@ def staged(
         save_bucketed(pictures, table, "path", width, f"{folder}/decoded")
         held = spark.table(table)
         scored = score_decoded(held.select("path", "small", "error"), model, batch_size, precision, profile, spent)
-        scored.write.mode("overwrite").parquet(f"{folder}/scored")
+        with payload_batches(spark, batch_size):
+            scored.write.mode("overwrite").parquet(f"{folder}/scored")
         done = spark.read.schema(scored.schema).parquet(f"{folder}/scored")
-        joined = join_bucketed(done, held.drop("small", "error"))
-        written = write_pictures(joined, params.micro_batch, output.form, spent)
+        if whole_set:
+            pictures = picture_bodies(join_bucketed(done, held.drop("small", "error")), params.micro_batch, output.form, spent)
+            name = relative_path("output_path", output.folder).alias("name")
+            save_set(pictures.where("body is not null").select(name, "body"), output.folder, params.micro_batch)
+            target = F.when(F.col("label").isNotNull(), F.col("output_path")).alias("output_path")
+            written = join_bucketed(done, held.select("path", "output_path")).select(*done.columns, target)
+        else:
+            written = write_pictures(join_bucketed(done, held.drop("small", "error")), params.micro_batch, output.form, spent)
         seen = Observation()
         final = written.withColumn("path", normalise_path("path")).observe(seen, F.count(F.lit(1)).alias("n"))
-        final.write.mode("overwrite").parquet(f"{folder}/predictions")
+        with payload_batches(spark, params.micro_batch):
+            final.write.mode("overwrite").parquet(f"{folder}/predictions")
         spark.sql(f"DROP TABLE {table}")
         delete_folder(shared_uri(spark, f"{folder}/decoded"))
     rows = seen.get["n"]
@@ -265,14 +277,16 @@ def served(
         called = spark.sql(
             f"SELECT path, {quote_name(function)}(named_struct('image', image_b64)) AS prediction FROM {b64}"
         )
-        n_pred = save_table(called, pred)
+        with payload_batches(spark, DEFAULT_MODEL_BATCH):
+            n_pred = save_table(called, pred)
     with clock.phase("annotate_write"):
         # every field the function answers with: class and reason too, where it was registered with ``errors``
         flat = spark.table(pred).select("path", "prediction.*")
         named = output.name(flat, params.image_dir)
         rows_in = join_bucketed(named, spark.table(b64))
         with_bytes = rows_in.withColumn("content", base64_bytes("image_b64")).drop("image_b64")
-        rows = save_table(annotate_and_write(with_bytes, batch_size=params.micro_batch, form=output.form, spent=spent), out)
+        with payload_batches(spark, params.micro_batch):
+            rows = save_table(annotate_and_write(with_bytes, batch_size=params.micro_batch, form=output.form, spent=spent), out)
     summary = {
         "pattern": pattern, "dataset": params.dataset, "num_partitions": params.num_partitions, "num_images": rows,
     }

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -100,6 +100,11 @@ def session_conf(spark: SparkSession, values: Mapping[str, object]) -> Iterator[
                 spark.conf.set(key, value)
 
 
+def payload_batches(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Hand payloads to Python a few at a time: Spark counts rows per batch, not bytes."""
+    return session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows})
+
+
 _OWN_SCRATCH: dict[str, str] = {}
 
 

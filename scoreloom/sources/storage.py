@@ -107,6 +107,17 @@ def file_size(uri: str) -> int:
     return store.get_file_info(path).size or 0
 
 
+def make_folder(uri: str) -> None:
+    store, path = open_store(uri)
+    store.create_dir(path, recursive=True)
+
+
+def move_folder(uri: str, target: str) -> None:
+    """Rename a folder within one file system."""
+    store, path = open_store(uri)
+    store.move(path, open_store(target)[1])
+
+
 def delete_folder(uri: str) -> None:
     """Delete a folder and what lies in it; one that is not there is no error."""
     store, path = open_store(uri)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from scoreloom.operators.compare import missing
 from scoreloom.operators.ordinals import running_total
 from scoreloom.operators.scoring import classify_content
-from scoreloom.session import materialise, quote_name, shared_uri
+from scoreloom.session import DEFAULT_MODEL_BATCH, materialise, payload_batches, quote_name, shared_uri
 from scoreloom.sources.files import DRIVER_ENTRIES, TASK_BYTES, list_tree, read_bytes, with_lengths
 from scoreloom.sources.models import Scorer
 from scoreloom.sources.storage import delete_folder, exists, write_file
@@ -209,7 +209,9 @@ def score_arrivals(
 
     run = arrived.select("path", "content").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(score)
     try:
-        run.start().awaitTermination()
+        with payload_batches(spark, DEFAULT_MODEL_BATCH):  # the stream takes the setting with it
+            query = run.start()
+        query.awaitTermination()
     finally:
         spark.catalog.refreshTable(predictions_table)  # the stream wrote it in a session of its own
 
