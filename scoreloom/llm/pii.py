@@ -6,7 +6,9 @@ tried again. Every confirmed span is returned; ``score`` tells how sure it is, a
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +29,14 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 BASE = ("email", "ip", "card", "phone")
 # Added kinds, in capitals: an account number of a bank with its country's letters and check digits.
 IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-KINDS = (*BASE, "iban")
+# What programs call their secrets, then the value; national numbers of Spain and France with their check characters.
+SECRET = re.compile(r"""(?i:(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|token|secret|passwd|password)["']?[\x20\t]*[=:][\x20\t]*["']?)([A-Za-z0-9+/=_.~-]{16,})""")
+DNI = re.compile(r"(?<![A-Za-z0-9])[0-9]{8}[A-Z](?![A-Za-z0-9])")
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+NIR = re.compile(r"(?<![A-Za-z0-9])[12][0-9]{2}(?:0[1-9]|1[0-2])[0-9]{10}(?![A-Za-z0-9])")
+KINDS = (*BASE, "iban", "secret", "dni", "nir")
+
+LEAST_BITS = 3.0  # entropy of a secret's characters; words and repeated characters have less
 
 NEAR = 40  # code points on each side in which a context word counts
 HINTS = {
@@ -36,9 +45,12 @@ HINTS = {
     "card": "card credit visa mastercard payment karte tarjeta carte",
     "phone": "phone call tel mobile fax telefon téléphone teléfono",
     "iban": "iban account bank konto cuenta compte",
+    "secret": "key token secret password passwd api auth bearer credentials",
+    "dni": "dni nif identidad documento",
+    "nir": "nir sécu sécurité sociale social insee",
 }
 AGAINST = "order invoice version serial isbn article item"
-START = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9}
+START = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9, "secret": 0.8, "dni": 0.5, "nir": 0.6}
 MAILBOX_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TEN = "0123456789"
 
@@ -55,6 +67,27 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def entropy(text: str) -> float:
+    """Bits per character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values()) if text else 0.0
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values given to names of secrets that look drawn at random: letters and digits, and enough entropy."""
+    for found in SECRET.finditer(text):
+        value = found[1]
+        if any(c in _TEN for c in value) and any(c.isalpha() for c in value) and entropy(value) >= LEAST_BITS:
+            yield found.span(1)
+
+
+def dni(code: str) -> bool:
+    return code[8] == DNI_LETTERS[int(code[:8]) % 23]
+
+
+def nir(code: str) -> bool:
+    return int(code[13:]) == 97 - int(code[:13]) % 97
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of mailbox and domain, leftmost first, found from the rare @ rather than from every letter."""
     done = 0
@@ -94,6 +127,7 @@ def _checked(pattern: re.Pattern, holds: Callable[[str], bool]) -> Callable[[str
 #: The whole mechanism: kind, and what finds its confirmed spans.
 FINDERS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
     "email": emails, "ip": _checked(IP, _ip), "card": _checked(CARD, _card), "phone": _checked(PHONE, _phone), "iban": _checked(IBAN, mod97),
+    "secret": secrets, "dni": _checked(DNI, dni), "nir": _checked(NIR, nir),
 }
 
 
@@ -153,9 +187,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+SURE = 0.5  # score from which ``report`` counts a span as personal data
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` (and ``n_iban``) of every row."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, a count of each added kind, ``n_sure`` (spans of any kind
+    scored ``SURE`` or more) and ``top_score`` (null without spans) of every row.
+
+    Null and empty texts have no spans; long texts are searched whole; repeated rows are reported each, rows without ``doc_id`` too.
+    An empty table gives no rows; other columns are not read.
+    """
     found = find_personal_data(docs.select("doc_id", "text"), out="found").select("doc_id", "found")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    scores = F.transform("found", lambda s: s["score"])
+    return found.select(
+        "doc_id", *map(count, KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"),
+        F.size(F.filter(scores, lambda x: x >= SURE)).cast("long").alias("n_sure"), F.array_max(scores).alias("top_score"),
+    )

@@ -478,3 +478,61 @@ def test_toxicity_of_odd_rows(spark, docs):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {i for i in range(300) if i % 3} | {900, 901}
     assert {r.score for r in toxicity.report(docs(rows), labels.limit(0)).collect()} == {0.0}
     assert toxicity.report(docs([]), labels).count() == 0
+
+
+# ---- the whole report of personal data --------------------------------------------------------------------
+
+BASE_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    """The base kinds as their definition has them."""
+    def holds(kind, found):
+        digits = re.sub(r"[^0-9]", "", found)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in found.split("."))
+        if kind == "card":
+            doubled = [int(d) if i % 2 == 0 else (2 * int(d) - 9 if int(d) > 4 else 2 * int(d)) for i, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+    out = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(BASE_PATTERNS.items()) for m in re.finditer(p, text) if holds(k, m.group())]
+    return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+def test_whole_report_of_personal_data(spark, docs, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(None, None), (-1, ""), (-2, "mail a.b@c.d é 1.2.3.4 4111 1111 1111 1111, +49 (30) 123-4567 and 1.2.3.256 a@b"), (-2, "x" * 200_000 + " a@b.c")]
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.report(docs(rows)).collect())
+    want = Counter()
+    for i, text in rows:
+        found = base_spans(text or "")
+        of = Counter(k for k, _, _ in found)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        want[(i, of["email"], of["ip"], of["card"], of["phone"], hashlib.sha256(listed.encode()).hexdigest())] += 1
+    assert got == want and sum(k[1] for k in got) > 10
+
+
+SECRETS = [
+    ('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "secret:11:51"),
+    ("API_KEY: sk-abC123xyz789QwErTy", "secret:9:30"),
+    ("token = aaaaaaaaaaaaaaaaaaaaaaaa1", ""),
+    ("the token is lost, password: correcthorsebattery", ""),
+    ("tokens of thanks: 1234567890123456", ""),
+    ("DNI 12345678Z y 12345678A", "dni:4:13"),
+    ("NIR 255081416802538 ou 255081416802539", "nir:4:19"),
+]
+
+
+@pytest.mark.parametrize(("text", "found"), SECRETS)
+def test_secrets_and_national_numbers(text, found):
+    added = [f"{k}:{a}:{b}" for k, a, b, _ in pii.spans(text, pii.Context()) if k not in pii.BASE]
+    assert ",".join(added) == found
+
+
+def test_sure_spans_are_counted(spark, docs):
+    rows = [(1, "order item 1.2.3.4"), (2, "server ip 1.2.3.4 and me@you.org"), (3, "none")]
+    got = {r.doc_id: (r.n_sure, r.top_score) for r in pii.report(docs(rows)).collect()}
+    assert got[1] == (0, pytest.approx(0.2)) and got[2][0] == 2 and got[2][1] > 0.7 and got[3] == (0, None)
