@@ -1,28 +1,31 @@
 """Benchmark decontamination: which documents hold a benchmark item, whole, edited or paraphrased.
 
-Every run of ``GRAM`` words of an item is a seed, however often it occurs. One pass over the corpus finds where item runs occur,
-through a bitmap of fixed size, and keeps those neighbourhoods as *passages*; nothing else of the corpus travels. Passages
-and items that share a run are joined and, unless they have too few words in common, aligned word by word (Smith-Waterman);
-the score is the alignment's share of what the whole item would reach. A copy whose unedited stretches are all shorter than
-``GRAM`` words isn't found. Frequent runs cost joined rows, one for each item and passage that have them, never results.
+Seeds are runs of ``GRAM`` words of an item that few items have (``RARE``). Where an item has none within ``GRAM`` - 1 places, its
+frequent runs are seeds as well, so an item that is all template has seeds too; items of fewer words are a seed as a whole.
+One pass over the corpus finds where seeds occur, through a bitmap of fixed size, and keeps those neighbourhoods as *passages*,
+as wide as the seed's own items may reach; nothing else of the corpus travels. Passages and items that share a seed are joined and,
+unless they have too few words in common, aligned word by word (Smith-Waterman); the score is the alignment's share of what
+the whole item would reach. A copy whose unedited stretches are all shorter than ``GRAM`` words isn't found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.dedup import whole, with_marks
-from scoreloom.llm.words import ALPHANUMERIC, give_back, words
+from scoreloom.llm.words import ALPHANUMERIC, Words, give_back, words
 from scoreloom.session import materialise, ship_package
 
 GRAM = 4
 LEAST = 0.5
 MATCH, OTHER, GAP = 2, -1, -1
+RARE = 32  # items that may share a run for it to be a seed anywhere
 BUCKETS, BITS = 1024, 32768  # of the bitmap: 4 MB, whatever the items
+LEVELS = 1 << 16  # slots of the table that says how long the items of a seed may be
 
 
 def _rows(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -51,13 +54,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 def _item_grams(batches):
+    """Runs of items by place; an item of fewer than GRAM words is one run."""
     for batch in batches:
         ids = batch.column("item_id").to_numpy(zero_copy_only=False)
         for w in words(batch.column("text"), ALPHANUMERIC):
-            gram, whole = w.grams(GRAM)
-            at = np.flatnonzero(whole)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[at].view(np.int64)), pa.array(ids[w.row[at]].astype(np.int64))], ["gram", "item_id"])
+            size = np.diff(w.first)
+            for n in range(1, GRAM + 1):
+                gram, whole = w.grams(n)
+                length = size[w.row - w.rows.start]
+                at = np.flatnonzero(whole & ((length >= n) if n == GRAM else (length == n)))
+                row = w.row[at] - w.rows.start
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(gram[at].view(np.int64)), pa.array(ids[w.row[at]].astype(np.int64)), pa.array((at - w.first[row]).astype(np.int32)),
+                    pa.array(length[at].astype(np.int32))], ["gram", "item_id", "at", "size"])
 
 
 def _item_words(batches):
@@ -68,31 +77,51 @@ def _item_words(batches):
             yield pa.RecordBatch.from_arrays([ids[w.rows.start : w.rows.stop], said], ["item_id", "item_words"])
 
 
-def _passages(bitmap, pad: int):
-    """Neighbourhoods of item runs: ``pad`` words before and after, overlapping ones as one."""
+def _slots(gram: np.ndarray) -> np.ndarray:
+    return (gram & np.uint64(BUCKETS * BITS - 1)).astype(np.int64)
+
+
+def _level(gram: np.ndarray) -> np.ndarray:
+    """Another part of the hash."""
+    return (gram >> np.uint64(40) & np.uint64(LEVELS - 1)).astype(np.int64)
+
+
+def _passages(shipped, sizes: tuple[int, ...]):
+    """Neighbourhoods of seeds, of ``sizes`` words: twice as many words as their items may have before and after, since an
+    alignment has no more gaps than that; overlapping ones as one."""
+    def seeds(w: Words, marked: np.ndarray, levels: np.ndarray):
+        found = []
+        for n in sizes:
+            gram, whole = w.grams(n)
+            slot = _slots(gram)
+            at = np.flatnonzero(whole & (marked[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool))
+            found.append((at, np.full(len(at), n), gram[at]))
+        at, size, gram = (np.concatenate(x) for x in zip(*found))
+        return at, size, gram, np.int64(2) << levels[_level(gram)].astype(np.int64)
+
     def run(batches):
-        marked = np.frombuffer(bitmap.value, dtype=np.uint8)
+        marked = np.frombuffer(shipped.value, dtype=np.uint8)
+        marked, levels = marked[: BUCKETS * BITS // 8], marked[BUCKETS * BITS // 8 :]
         for batch in batches:
             ids = batch.column("doc_id")
             for w in words(batch.column("text"), ALPHANUMERIC):
-                gram, whole = w.grams(GRAM)
-                slot = (gram & np.uint64(BUCKETS * BITS - 1)).astype(np.int64)
-                at = np.flatnonzero(whole & (marked[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool))
+                at, size, gram, pad = seeds(w, marked, levels)
                 if not len(at):
                     continue
                 row = w.row[at] - w.rows.start
-                new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * pad + GRAM)])
-                begin = np.flatnonzero(new)
-                last = np.concatenate([begin[1:], [len(at)]]) - 1
-                start = np.maximum(at[begin] - pad, w.first[row[begin]])
-                end = np.minimum(at[last] + GRAM + pad, w.first[row[begin] + 1])
+                start, end = np.maximum(at - pad, w.first[row]), np.minimum(at + size + pad, w.first[row + 1])
+                order = np.lexsort((start, row))
+                row, start, end, gram = row[order], start[order], end[order], gram[order]
+                reached = np.maximum.accumulate(end)  # rows lie one after the other
+                begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > reached[:-1])))
+                start, end = start[begin], np.maximum.reduceat(end, begin)
                 size = end - start
                 cuts = np.concatenate([[0], np.cumsum(size)])
                 said = w.hash[np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])]
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(row[begin] + w.rows.start)), pa.array((start - w.first[row[begin]]).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(said.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(gram[at].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.append(begin, len(gram)).astype(np.int32)), pa.array(gram.view(np.int64))),
                 ], ["doc_id", "start", "words", "grams"])
     return run
 
@@ -115,28 +144,43 @@ def _aligned(least: float):
     return run
 
 
+def _seeds(items: DataFrame) -> tuple[DataFrame, bytes, tuple[int, ...]]:
+    """``gram, item_id`` of the seeds; how long (as a power of two) the items of a seed may be, by slot; and the seeds' sizes."""
+    runs = materialise(items.mapInArrow(_item_grams, "gram long, item_id long, at int, size int"), "leak-runs")
+    shared = runs.groupBy("gram").agg(F.count_distinct("item_id").alias("items"))
+    near = Window.partitionBy("item_id").orderBy("at").rowsBetween(1 - GRAM, GRAM - 1)
+    kept = runs.join(shared, "gram").withColumn("rarest", F.min("items").over(near)).where((F.col("items") <= RARE) | (F.col("rarest") > RARE))
+    seeds = materialise(kept.groupBy("gram", "item_id").agg(F.max("size").alias("size")), "leak-seeds")
+    slot = F.shiftrightunsigned("gram", 40).bitwiseAND(F.lit(LEVELS - 1))
+    levels = bytearray(LEVELS)
+    for r in seeds.groupBy(slot.alias("slot")).agg(F.max("size").alias("size")).collect():  # at most LEVELS rows of two numbers
+        levels[r["slot"]] = (r["size"] - 1).bit_length()
+    sizes = [r["n"] for r in seeds.select(F.least("size", F.lit(GRAM)).alias("n")).distinct().collect()]  # at most GRAM
+    return seeds.select("gram", "item_id"), bytes(levels), tuple(sorted({GRAM, *sizes}))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word`` for every document and item aligned with a score of ``least`` or more:
     the best alignment, and the document's words it covers (counted from 0, end exclusive).
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lowered. Null and empty texts hold nothing;
-    items of fewer than ``GRAM`` words are not looked for, nor items without ``item_id``. Rows that share a ``doc_id`` count as
-    one document; of equal scores the first place counts. Empty tables give an empty result.
+    items of fewer than ``GRAM`` words are found where they occur whole, items without ``item_id`` are not looked for. Rows that
+    share a ``doc_id`` count as one document, items that share an ``item_id`` as one with the better score; of equal scores
+    the first place counts. Long texts are read whole. Empty tables give an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     ship_package(spark)
     items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    grams = materialise(items.mapInArrow(_item_grams, "gram long, item_id long").distinct(), "leak-grams")
     said = materialise(items.mapInArrow(_item_words, "item_id long, item_words array<long>"), "leak-items")
+    grams, levels, sizes = _seeds(items)
     at = F.col("gram").bitwiseAND(F.lit(BUCKETS * BITS - 1))
     bits = grams.select(F.floor(at / BITS).cast("int").alias("bucket"), (at % BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bitmap = bytearray(BUCKETS * BITS // 8)
     for r in bits.collect():  # at most BUCKETS rows of BITS bits
         bitmap[r["bucket"] * BITS // 8 : (r["bucket"] + 1) * BITS // 8] = r["bits"]
-    pad = said.agg(F.max(F.size("item_words"))).first()[0] or 0
-    shipped = spark.sparkContext.broadcast(bytes(bitmap))
+    shipped = spark.sparkContext.broadcast(bytes(bitmap) + levels)
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        give_back(_passages(shipped, pad)), "doc_id long, start long, words array<long>, grams array<long>")
+        give_back(_passages(shipped, sizes)), "doc_id long, start long, words array<long>, grams array<long>")
     passages = materialise(found.withColumn("passage", F.monotonically_increasing_id()), "leak-passages")
     shipped.destroy()  # the passages are written, nothing reads it again
 

@@ -272,6 +272,65 @@ def test_edited_leaks_of_items_that_occur_whole_too(spark, docs):
     assert got == want and 3 in got
 
 
+def test_items_of_few_words_are_found_whole(spark, docs):
+    bench = spark.createDataFrame([(1, "Zyx"), (2, "qq ww"), (3, "qq ww ee"), (4, "aa bb cc dd")], "item_id long, text string")
+    rows = [(1, "so zyx it is"), (2, "qq, ww"), (3, "ww qq"), (4, "x qq ww ee y"), (5, "zyxx"), (6, None), (7, "aa bb cc")]
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 1.0), (4, 2, 1.0), (4, 3, 1.0)}
+
+
+def test_a_run_that_a_third_of_all_have(spark, docs, monkeypatch):
+    """Documents and items that share a run, and are alike in nothing else, cost no alignment; items that are all template,
+    and copies of any, are found as before."""
+    monkeypatch.setattr(decontaminate, "RARE", 3)
+    template = "what is the name of the city where"
+    items = [(i, f"{template} {prose(900 + i, 22)}" if i % 3 == 0 else prose(900 + i, 30)) for i in range(60)] + [(100 + i, template) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(d, f"{prose(d, 40)} {template} {prose(d + 500, 40)}" if d % 3 == 0 else prose(d, 80)) for d in range(90)]
+    rows += [(200, f"{prose(1, 50)} {dict(items)[3]} {prose(2, 50)}"), (201, f"{prose(3, 50)} {edited(dict(items)[6], (9, 17, 25))} {prose(4, 50)}")]
+    seeds = decontaminate._seeds(bench)[0].join(bench, "item_id").groupBy("item_id").count().collect()
+    assert {r.item_id for r in seeds} == {i for i, _ in items}  # every item has some
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    split = lambda t: [w.hash.tolist() for w in words(pa.array([t]), ALPHANUMERIC)][0]
+    want = {(d, i): s for d, t in rows for i, x in items if (s := smith_waterman(split(x), split(t))) >= decontaminate.LEAST}
+    assert got == want and (200, 3) in got and (201, 6) in got and (0, 100) in got
+
+
+def test_passages_are_as_wide_as_their_items(spark):
+    """One long item does not widen the passages of others."""
+    bench = spark.createDataFrame([(1, prose(1, 8)), (2, prose(2, 3000))], "item_id long, text string")
+    seeds, levels, sizes = decontaminate._seeds(bench)
+    bitmap = bytearray(decontaminate.BUCKETS * decontaminate.BITS // 8)
+    for r in seeds.collect():
+        slot = r.gram & (decontaminate.BUCKETS * decontaminate.BITS - 1)
+        bitmap[slot >> 3] |= 1 << (slot & 7)
+    shipped = type("Shipped", (), {"value": bytes(bitmap) + levels})()
+    batch = pa.record_batch({"doc_id": [7], "text": [f"{prose(5, 2000)} {prose(1, 8)} {prose(6, 2000)}"]})
+    found = [r for b in decontaminate._passages(shipped, sizes)([batch]) for r in b.to_pylist() if len(r["grams"]) >= 5]
+    assert [len(r["words"]) for r in found] == [8 + 32] and found[0]["start"] == 2000 - 16
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 1.0), (0.15, 1.0), (0.25, 0.95), (0.33, 0.9)])
+def test_recall_of_edited_and_paraphrased_copies(spark, docs, share, least):
+    """Of copies in which so many words are replaced, dropped or put in, and that still align, this many are found."""
+    rng = random.Random(int(share * 100))
+    items = [(i, prose(2000 + i, 20 + i % 40)) for i in range(60)]
+    rows = []
+    for i, text in items:
+        for k in range(4):
+            copy = []
+            for w in text.split(" "):
+                how = rng.random()
+                copy += [w] if how > share else [[f"n{k}{i}"], [], [w, f"m{k}{i}"]][rng.randrange(3)]
+            rows.append((i * 10 + k, f"{prose(i, 30)} {' '.join(copy)} {prose(i + 500, 30)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    split = lambda t: [w.hash.tolist() for w in words(pa.array([t]), ALPHANUMERIC)][0]
+    want = {(d, d // 10) for d, t in rows if smith_waterman(split(dict(items)[d // 10]), split(t)) >= decontaminate.LEAST}
+    assert len(want) > 100 and len(got & want) >= least * len(want) and got <= want
+    print(f"recall at {share:.0%} of words changed: {len(got & want)} of {len(want)}")
+
+
 # ---- repeated passages ----------------------------------------------------------------------------------
 
 
