@@ -74,6 +74,25 @@ def _chained(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def _paths(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``conv, depth, node, owner, start, end, head`` of every turn: where it lies in its conversation, and whether another
+    conversation owns the turn before.
+
+    Positions are a distributed running sum over all turns in the order of conversation and depth, less what it is at the
+    conversation's first turn, so a conversation may have any number of turns and no task holds one.
+    """
+    rows = turns.join(nodes, "node").withColumn("key", F.struct("conv", "depth"))
+    summed = materialise(running_total(rows, "key", "length", "before").drop("key"), "chat-summed")
+    begins = materialise(summed.where("depth = 1").select("conv", F.col("before").alias("base")), "chat-begins")
+    previous = summed.select("conv", (F.col("depth") + 1).alias("depth"), F.col("owner").alias("previous"))
+    start = F.col("before") - F.col("base")
+    path = summed.join(previous, ["conv", "depth"], "left").join(begins, "conv").select(
+        "conv", "depth", "node", "owner", start.alias("start"), (start + F.col("length")).alias("end"),
+        F.coalesce(F.col("previous") != F.col("owner"), F.lit(True)).alias("head"),
+    )
+    return materialise(path, "chat-paths")
+
+
 def pack(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (node, parent, conv, depth, offset, length, position, ancestors, formatted, loss_start, loss_end), in
     depth-first order, and ``turns`` (conv, depth, node), which says what nodes a conversation consists of.
@@ -90,43 +109,36 @@ def pack(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = ("parent", "depth", "formatted", "loss_start", "loss_end", "length")  # functions of the node
     nodes = turns.groupBy("node").agg(F.min("conv").alias("owner"), *(F.first(c).alias(c) for c in same))
     nodes = materialise(nodes, "chat-nodes")
-    narrow = turns.select("conv", "depth", "node").join(nodes.select("node", "owner", "length"), "node")
-    paths = narrow.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("depth", "owner", "length", "node"))).alias("path"))
-
-    # the chain of segments a conversation passes through, with the positions it has in each
-    step = lambda a, x: F.concat(a, F.array(F.struct(
-        x["depth"].alias("depth"), x["owner"].alias("owner"), x["node"].alias("node"),
-        F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(F.element_at(a, -1)["end"]).alias("start"),
-        (F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(F.element_at(a, -1)["end"]) + x["length"]).alias("end"))))
-    empty = F.expr("cast(array() as array<struct<depth:int,owner:struct<id:bigint>,node:string,start:bigint,end:bigint>>)")
-    paths = paths.withColumn("path", F.aggregate("path", empty, step))
-    heads = F.filter("path", lambda x, i: (i == 0) | (F.get("path", i - 1)["owner"] != x["owner"]))
-    own = F.filter("path", lambda x: x["owner"] == F.col("conv"))
-    paths = materialise(paths.select("conv", own.alias("own"), heads.alias("heads"), F.element_at("path", -1).alias("leaf")), "chat-paths")
+    path = _paths(turns.select("conv", "depth", "node"), nodes.select("node", "owner", "length"))
+
+    # a conversation's own segment, and the segments it passes through on the way there: heads, not turns
+    own = path.where(F.col("owner") == F.col("conv"))
+    heads = path.where("head").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("depth", "owner", "start"))).alias("heads"))
+    owned = own.groupBy("conv").agg(F.min("start").alias("start"), F.max("end").alias("end")).join(heads, "conv")
+    owned = materialise(owned, "chat-owned")
 
     # segments in depth-first order: by tree, then branches from deeper nodes first, then by conversation
-    owned = paths.where(F.size("own") > 0)
     branch = F.transform(F.slice("heads", 2, F.size("heads")), lambda h: F.struct((-h["depth"]).alias("up"), h["owner"].alias("owner")))
     segments = owned.select(
-        "conv", F.struct(F.col("heads")[0]["owner"].alias("tree"), branch.alias("branch")).alias("key"),
-        F.col("own")[0]["start"].alias("start"), (F.element_at("own", -1)["end"] - F.col("own")[0]["start"]).alias("size"),
+        "conv", F.struct(F.col("heads")[0]["owner"].alias("tree"), branch.alias("branch")).alias("key"), "start", (F.col("end") - F.col("start")).alias("size"),
     )
     segments = running_total(segments, "key", "size", "offset").select("conv", (F.col("offset") - F.col("start")).alias("shift"))
     segments = materialise(segments, "chat-segments")
 
     # each segment's ancestors: where the path runs through other segments, in packed coordinates
     through = F.transform("heads", lambda h, i: F.struct(
-        h["owner"].alias("owner"), h["start"].alias("start"),
-        F.coalesce(F.get("heads", i + 1)["start"], F.col("leaf")["end"]).alias("end")))
+        h["owner"].alias("owner"), h["start"].alias("start"), F.coalesce(F.get("heads", i + 1)["start"], F.col("end")).alias("end")))
     above = owned.select("conv", F.explode(through).alias("t")).select("conv", "t.*").join(segments.withColumnRenamed("conv", "owner"), "owner")
     above = above.groupBy("conv").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "shift"))).alias("through"), F.max_by("shift", "start").alias("shift"))
-    placed = owned.select("conv", F.explode("own").alias("n")).join(above, "conv")
+    # written, so that the join meets plain tables, and Spark can split a conversation of very many turns
+    above = materialise(above, "chat-above")
+    placed = own.select("conv", "node", F.col("start").alias("at")).join(above, "conv")
     # the part of the last interval that lies before the node itself
-    to = lambda x: F.least(x["end"], F.col("n.start"))
-    ancestors = F.transform(F.filter("through", lambda x: x["start"] < F.col("n.start")), lambda x: F.struct(
+    to = lambda x: F.least(x["end"], F.col("at"))
+    ancestors = F.transform(F.filter("through", lambda x: x["start"] < F.col("at")), lambda x: F.struct(
         (x["start"] + x["shift"]).alias("start"), (to(x) + x["shift"]).alias("end")))
-    placed = placed.select(F.col("n.node").alias("node"), "conv", (F.col("n.start") + F.col("shift")).alias("offset"), F.col("n.start").alias("position"), ancestors.alias("ancestors"))
+    placed = placed.select("node", "conv", (F.col("at") + F.col("shift")).alias("offset"), F.col("at").alias("position"), ancestors.alias("ancestors"))
     packed = nodes.drop("owner").join(placed, "node").orderBy("offset")
     packed = packed.select("node", "parent", "conv", "depth", "offset", "length", "position", "ancestors", "formatted", "loss_start", "loss_end")
     return materialise(packed, "chat-packed"), turns.select("conv", "depth", "node")

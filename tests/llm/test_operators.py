@@ -514,6 +514,39 @@ def test_records_keep_columns_and_headers(spark):
     assert sum("\r\nX-Source-WARC-Date: d\r\nX-Source-X: \r\n\r\n" in t for t in text) == 2 and len(text) == 4
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    """A third of all turns in one conversation, many that begin alike, and every place and interval checked against a walk."""
+    rng = random.Random(8)
+    rows = [(7, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)]
+    for c in range(100, 700):
+        shared = rng.choice([0, 1, 5, 40])
+        rows += [(c, i, r, t) for _, i, r, t in rows[:shared]] + [(c, shared + k, "user", f"c{c} {k}") for k in range(rng.randrange(1, 6))]
+    rows += [(None, i, "user", f"n{i}") for i in range(500)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    nodes, turns = chat.pack(frame)
+    held = {r.node: r for r in nodes.collect()}
+    at = 0
+    for r in sorted(held.values(), key=lambda r: r.offset):
+        assert r.offset == at
+        at += r.length
+    by_conv = {}
+    for r in turns.collect():
+        by_conv.setdefault(r.conv.id, []).append((r.depth, r.node))
+    for conv, steps in by_conv.items():
+        position, seen = 0, []
+        for depth, node in sorted(steps):
+            r = held[node]
+            assert r.position == position and r.depth == depth
+            seen_places = {p for a in r.ancestors for p in (a.start, a.end)}
+            assert sum(a.end - a.start for a in r.ancestors) == position, (conv, depth)
+            if seen:
+                assert r.parent == seen[-1].node and seen[-1].offset + seen[-1].length in seen_places
+            position += r.length
+            seen.append(r)
+    got = {r.conv_id: r.n_turns for r in chat.read_back(nodes, turns).collect()}
+    assert got == {c: sum(1 for x in rows if x[0] == c) for c in {x[0] for x in rows}}
+
+
 # ---- toxicity -------------------------------------------------------------------------------------------
 
 
