@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import give_back
+from scoreloom.llm.words import give_back, small_batches
 from scoreloom.session import ship_package
 
 # Fixed value: the split into pieces that byte-level vocabularies of this kind are made for.
@@ -308,6 +308,7 @@ def parsed(text: str) -> BytePairs:
 def _shipped(df: DataFrame, tokenizer: str):
     """The vocabulary file, read once here: a few megabytes, fixed by the vocabulary."""
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.dedup import whole, with_marks
-from scoreloom.llm.words import ALPHANUMERIC, Words, give_back, words
+from scoreloom.llm.words import ALPHANUMERIC, Words, give_back, small_batches, words
 from scoreloom.session import materialise, ship_package
 
 GRAM = 4
@@ -170,6 +170,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     """
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     said = materialise(items.mapInArrow(_item_words, "item_id long, item_words array<long>"), "leak-items")
     grams, levels, sizes = _seeds(items)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from scoreloom.llm.components import components
 from scoreloom.llm.dedup import whole, with_marks
 from scoreloom.llm.trie import Union, links, needed
-from scoreloom.llm.words import NOT_SPACE, Words, give_back, mix, words
+from scoreloom.llm.words import NOT_SPACE, Words, give_back, mix, small_batches, words
 from scoreloom.session import materialise, ship_package
 
 COUNTERS = 1 << 21
@@ -268,6 +268,7 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     """``doc_id, n, set`` of every document, and ``set, label`` of the sets that are similar to others."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     book = materialise(texts.mapInArrow(give_back(_census(n)), _BOOK), "jaccard-book")
     rows = book.where("segment < 0").select("doc_id", "n", "set")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import ALPHANUMERIC, LOWER, Words, give_back, word_hashes, words
+from scoreloom.llm.words import ALPHANUMERIC, LOWER, Words, give_back, small_batches, word_hashes, words
 from scoreloom.session import materialise, ship_package
 
 TRAIN_ROWS = 12_000
@@ -162,7 +162,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` rows of 16 bytes
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    train = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = train.groupBy("doc_id", "label").agg(F.max("text").alias("text"))  # of rows that share an identifier the greatest text
     return train.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).alias("part"))
 
 
@@ -171,6 +172,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN
     Labels without a row, null labels and null identifiers teach nothing; without enough labels every score is the
     share of label 1 among those known (0 without any)."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     train = materialise(training_rows(docs.select("doc_id", F.col(text).alias("text")), labels, rows), "toxicity-train")
     per = {(r["p"], r["label"]): r["n"] for r in train.groupBy(F.expr("CASE WHEN part < 5 THEN 0 WHEN part < 8 THEN 1 ELSE 2 END").alias("p"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(per.get((p, label), 0) < LEAST_OF_A_CLASS for p in range(3) for label in (0.0, 1.0)):
@@ -193,7 +195,11 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row; a null ``doc_id`` counts as held out."""
+    """``doc_id, held_out, score, predicted`` of every row; a null ``doc_id`` counts as held out.
+
+    Repeated rows are scored each, and alike; rows that share a ``doc_id`` teach once. Long texts are read whole. An empty table gives
+    no rows; columns other than ``doc_id`` and ``text`` are not read.
+    """
     out = score(docs, labels, ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 
@@ -27,6 +28,17 @@ def _trimmer() -> Callable[[], object]:
 _trim = _trimmer()
 
 
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a thousand rows at a time, where the session has Spark's own number of ten thousand: batches are counted
+    in rows, and buffers on both sides of the pipe grow with their bytes. Stays set, since results are computed later."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Give freed memory back to the machine."""
     pa.default_memory_pool().release_unused()
