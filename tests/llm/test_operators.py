@@ -25,6 +25,11 @@ def prose(seed, n):
     return " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n))
 
 
+def split_words(text):
+    """Words as the set operators take them."""
+    return WORD.findall((text or "").translate(LOWER))
+
+
 def edited(text, at, word="zzz"):
     parts = text.split(" ")
     for i in at:
@@ -628,3 +633,48 @@ def test_sure_spans_are_counted(spark, docs):
     rows = [(1, "order item 1.2.3.4"), (2, "server ip 1.2.3.4 and me@you.org"), (3, "none")]
     got = {r.doc_id: (r.n_sure, r.top_score) for r in pii.report(docs(rows)).collect()}
     assert got[1] == (0, pytest.approx(0.2)) and got[2][0] == 2 and got[2][1] > 0.7 and got[3] == (0, None)
+
+
+# ---- features of toxicity scores, counted word by word ------------------------------------------------------
+
+
+def plain_features(text, lexicon):
+    """The sixteen features by their names, from the text's words one at a time."""
+    raw = text.encode()
+    spans, at = [], 0
+    while at < len(raw):
+        end = at
+        while end < len(raw) and toxicity.TABLE[raw[end]]:
+            end += 1
+        if end > at:
+            spans.append(raw[at:end])
+        at = max(end, at + 1)
+    folded = [bytes(toxicity.FOLD[list(w)].tolist()) for w in spans]
+    insult, second = ({bytes(toxicity.FOLD[list(x.encode())].tolist()) for x in names.split()} for names in (toxicity.INSULTS, toxicity.SECOND))
+    weight = [max([lexicon.get(w, 0.0)] + [lexicon.get(w[:n], 0.0) for n in toxicity.STEMS if len(w) > n]) for w in folded]
+    is_second, is_insult = [w in second for w in folded], [w in insult for w in folded]
+    near = [any(is_second[j] for j in range(max(0, i - toxicity.NEAR), min(len(spans), i + toxicity.NEAR + 1)) if j != i) for i in range(len(spans))]
+    hit = [a or b > 0 for a, b in zip(is_insult, weight)]
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    upper = [len(w) > 1 and all(65 <= c <= 90 for c in w) for w in spans]
+    disguised = [any(map(letter, w)) and not all(map(letter, w)) for w in spans]
+    n, size = max(len(spans), 1), max(len(raw), 1)
+    marks = {*range(34, 48), *range(58, 63), 64, *range(91, 97), *range(123, 127)}
+    return [
+        sum(is_insult) / n, np.log1p(sum(is_insult)), sum(w > 0 for w in weight) / n, sum(weight) / n, max(weight, default=0.0), np.log1p(sum(w > 0 for w in weight)),
+        sum(is_second) / n, sum(a and b for a, b in zip(hit, near)) / n, np.log1p(sum(a and b for a, b in zip(hit, near))), sum(upper) / n,
+        sum(65 <= c <= 90 for c in raw) / size, sum(c in (33, 63) for c in raw) / size, sum(c in marks for c in raw) / size,
+        sum(disguised) / n, sum(a and b for a, b in zip(disguised, hit)) / n, np.log1p(len(spans)),
+    ]
+
+
+def test_features_of_toxicity(spark, docs):
+    rng = random.Random(12)
+    pieces = ["You", "IDIOT", "1d10t", "tr@sh", "hello", "scummy", "Été!", "?!", "du", "x", "AB", "c4t", "--", "no.way", "été", "A", "\n", "wonderful"]
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 40)))) for i in range(150)] + [(900, None), (901, ""), (902, "you " * 3000)]
+    known = {b"scum": 1.5, b"wonde": 0.25, b"hello": 2.0}
+    hashed = {int(toxicity.word_hashes([w.decode()], toxicity.TABLE, toxicity.FOLD)[0]): v for w, v in known.items()}
+    got = {r.doc_id: r.features for r in toxicity.with_features(docs(rows), hashed, ["doc_id"]).collect()}
+    assert len(toxicity.FEATURES) == len(got[0])
+    for i, text in rows:
+        assert np.allclose(got[i], plain_features(text or "", known)), (i, text)
