@@ -19,7 +19,7 @@ from scoreloom.functions.numbers import rounded
 from scoreloom.operators import artifacts, compare, scoring
 from scoreloom.operators.ordinals import with_ordinal
 from scoreloom.plans import patterns, reports, runlog
-from scoreloom.plans.jobs import register_bench_models
+from scoreloom.plans.jobs import register_for_scoring_and_serving
 from scoreloom.session import (
     RunParams, make_namespace, quote_name, scratch_path, shared_uri, ship_package,
 )
@@ -98,7 +98,7 @@ class Inputs:
         tensors_ = scoring.picture_tensors(self.pictures(), PICTURE_PREP, batch_size=64)
         weights = centroid_weights(tensors_, "tensor", "label")
         store.register("picture_centroids", weights, prep=PICTURE_PREP)
-        register_bench_models(store, "picture_centroids", names, "pictures", "pictures_serving")
+        register_for_scoring_and_serving(store, "picture_centroids", names, "pictures", "pictures_serving")
         return store
 
     @cached_property

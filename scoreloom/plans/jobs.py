@@ -18,7 +18,7 @@ PATTERNS = ("p1", "p2", "p3", "p4", "p5", "p6")
 SERVED_FUNCTION = "model_query"
 
 
-def register_bench_models(
+def register_for_scoring_and_serving(
     store: ModelStore, source: str, labels: DataFrame, bench: str, serving: str, alias: str = "prod"
 ) -> tuple[str, str]:
     """Take the newest version of ``source``, stamp readable labels on it, and register it twice.

@@ -10,7 +10,7 @@ import pytest
 
 from scoreloom.functions import pixels
 from scoreloom.plans import reports
-from scoreloom.plans.jobs import PATTERNS, register_bench_models, run_job
+from scoreloom.plans.jobs import PATTERNS, register_for_scoring_and_serving, run_job
 from scoreloom.plans.runlog import RunLog
 from scoreloom.sources.models import ModelStore, Preprocess
 
@@ -29,7 +29,7 @@ def root(spark, tmp_path_factory):
     labels = spark.createDataFrame([(0, "tench"), (1, "church"), (2, "gas pump")], "class_id int, label string")
     for _ in range(2):
         store.register("soup", weights, prep=Preprocess(2))
-    assert register_bench_models(store, "soup", labels, "classifier", "classifier_serving") == ("1", "1")
+    assert register_for_scoring_and_serving(store, "soup", labels, "classifier", "classifier_serving") == ("1", "1")
     return base
 
 
