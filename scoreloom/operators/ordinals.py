@@ -11,22 +11,26 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partitio
 
 
 def running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all rows with a smaller ``key``; ``key`` is unique.
+    """Add ``out``: the sum of ``amount`` over all rows with a smaller ``key``; ``key`` is unique."""
+    return running_totals(df, key, {out: amount})
+
+
+def running_totals(df: DataFrame, key: str, amounts: dict[str, str]) -> DataFrame:
+    """The same for several amounts, ``{out: amount}``, in one pass.
 
     The table is range-sorted and written once, so sampled range limits cannot differ between two readings.
-    Each range then sums for itself, and only one subtotal per range goes through a single task.
+    Each range then sums for itself, and only one row of subtotals per range goes through a single task.
     """
     ranged = df.orderBy(key).withColumn("_id", F.monotonically_increasing_id())
     ranged = materialise(ranged.withColumn("_range", F.shiftright("_id", _ROW_BITS)), "ranged")
-    subtotal = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))
+    subtotals = ranged.groupBy("_range").agg(*(F.sum(amount).alias(f"_sum_{out}") for out, amount in amounts.items()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = subtotal.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = subtotals.select("_range", *(F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_start_{out}") for out in amounts))
     inside = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(F.broadcast(starts), "_range")  # one row per range
-        .withColumn(out, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_range", "_id", "_start", "_inside")
+    kept = [c for c in ranged.columns if c not in ("_range", "_id")]
+    summed = ranged.select("*", *(F.coalesce(F.sum(amount).over(inside), F.lit(0)).alias(f"_inside_{out}") for out, amount in amounts.items()))
+    return summed.join(F.broadcast(starts), "_range").select(  # one row per range
+        *kept, *((F.col(f"_start_{out}") + F.col(f"_inside_{out}")).cast("bigint").alias(out) for out in amounts)
     )
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.operators.compare import missing
-from scoreloom.operators.ordinals import running_total
+from scoreloom.operators.ordinals import running_totals
 from scoreloom.operators.scoring import classify_content
 from scoreloom.session import DEFAULT_MODEL_BATCH, materialise, payload_batches, quote_name, shared_uri
 from scoreloom.sources.files import DRIVER_ENTRIES, TASK_BYTES, list_tree, read_bytes, with_lengths
@@ -22,6 +21,7 @@ FILES_PER_MANIFEST = 100_000
 MANIFESTS_PER_BATCH = 1000
 BATCH_BYTES = 64 << 30  # most input bytes of one micro-batch, unless a single file is larger
 _LEAST_SHARE = 1 << 20  # bytes that are worth a task of their own
+_OPEN_BYTES = 256 << 10  # bytes that are read in the time it takes to open a file and to write its row
 _CHECKPOINT = "scoreloom.checkpoint"
 INGESTED = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("slot", T.IntegerType())])
@@ -33,29 +33,38 @@ def _manifests(checkpoint: str) -> str:
 
 def admit(files: DataFrame, folder: str, batch_bytes: int = BATCH_BYTES, files_per_manifest: int = FILES_PER_MANIFEST) -> bool:
     """Write ``path, length`` files as manifests below ``folder``, each of which names at most ``batch_bytes`` of them, or one
-    larger file; false if there is no file.
+    larger file, and no more than ``files_per_manifest``; false if there is no file.
 
     Files are laid end to end in path order and cut by where they begin: those of up to half the budget at every half of it, so
     none crosses a budget by more than it leaves free; larger ones are manifests of their own. ``slot`` cuts each manifest in the
-    same way into the shares of its tasks. A few files are laid out by the driver, more by a distributed running total.
+    same way into the shares of its tasks, where a file counts at least as much as opening it costs: tasks are as many
+    for a million small files as for their time in large ones. A few files are laid out by the driver, more by distributed running totals.
     """
     spark, half = files.sparkSession, max(batch_bytes // 2, 1)
+    share = max(min(TASK_BYTES, -(-batch_bytes // spark.sparkContext.defaultParallelism)) // 2, min(_LEAST_SHARE, half))
+    least = min(_OPEN_BYTES, max(share // 16, 1))
     few = sorted(files.select("path", "length").limit(DRIVER_ENTRIES + 1).collect())
     if not few:
         return False
     if len(few) <= DRIVER_ENTRIES:
-        begin = [0, *accumulate(r["length"] for r in few)]
-        laid = spark.createDataFrame([(r["path"], r["length"], at) for r, at in zip(few, begin)], "path string, length long, begin long").coalesce(1)
+        rows, begin, cost = [], 0, 0
+        for number, (path, length) in enumerate(few):
+            rows.append((path, length, begin, number, cost))
+            begin, cost = begin + length, cost + (max(length, least) if length <= half else 0)
+        laid = spark.createDataFrame(rows, "path string, length long, begin long, number long, cost long").coalesce(1)
     else:
-        laid = running_total(files.select("path", "length"), "path", "length", "begin")
-    small = F.col("length") <= half
-    share = max(min(TASK_BYTES, -(-batch_bytes // spark.sparkContext.defaultParallelism)) // 2, min(_LEAST_SHARE, half))
-    cut = laid.select(
-        "path", "length", F.when(small, F.call_function("div", F.col("begin"), F.lit(half))).otherwise(-1 - F.col("begin")).alias("manifest"),
-        F.when(small, F.call_function("div", F.col("begin") % half, F.lit(share))).otherwise(0).cast("int").alias("slot"),
-    )
+        cost = F.when(F.col("length") <= half, F.greatest("length", F.lit(least))).otherwise(0)
+        costs = files.select("path", "length", F.lit(1).alias("_one"), cost.alias("_cost"))
+        laid = running_totals(costs, "path", {"begin": "length", "number": "_one", "cost": "_cost"})
+    small, div = F.col("length") <= half, lambda x, y: F.call_function("div", F.col(x), F.lit(y))
+    whole = F.concat_ws("-", div("begin", half), div("number", files_per_manifest))
+    cut = laid.withColumn("manifest", F.when(small, whole).otherwise(F.concat(F.lit("large-"), F.col("begin"))))
+    cut = cut.repartition("manifest")
+    first = F.min("cost").over(Window.partitionBy("manifest"))
+    slot = F.when(small, F.call_function("div", F.col("cost") - first, F.lit(share))).otherwise(0)
     # a folder of its own: a start that is lost leaves whole manifests or none that count
-    cut.repartition("manifest").write.partitionBy("manifest").option("maxRecordsPerFile", files_per_manifest).parquet(f"{folder}/{uuid.uuid4().hex}")
+    named = cut.select("path", "length", "manifest", slot.cast("int").alias("slot"))
+    named.write.partitionBy("manifest").option("maxRecordsPerFile", files_per_manifest).parquet(f"{folder}/{uuid.uuid4().hex}")
     return True
 
 
@@ -114,7 +123,8 @@ def ingest_manifests(
     def take(rows: DataFrame, number: int) -> None:
         mine = f"{manifests}/arrived-{number}"
         delete_folder(shared_uri(spark, mine))
-        admit(with_lengths(materialise(rows, "arrived")), mine, batch_bytes)
+        spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # one small manifest would be one task
+        admit(materialise(with_lengths(spread), "arrived"), mine, batch_bytes)
 
     run = arrived.writeStream.option("checkpointLocation", f"{checkpoint.rstrip('/')}-arrivals").trigger(availableNow=True).foreachBatch(take)
     run.start().awaitTermination()

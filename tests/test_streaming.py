@@ -175,6 +175,35 @@ def test_tasks_follow_bytes(spark, tmp_path):
     assert len(shares) == -(-140 * (1 << 20) // half) and max(shares) <= half + (5 << 20)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_tasks_follow_the_number_of_small_files(spark, tmp_path, monkeypatch, few):
+    """Opening a file has its cost: tens of thousands of tiny files are the work of many tasks, and of manifests of a bounded length."""
+    if not few:
+        monkeypatch.setattr(S, "DRIVER_ENTRIES", 100)
+    rows = spark.range(9000).selectExpr("concat('/p/', lpad(id, 6, '0')) path", "77L length")
+    S.admit(rows, str(tmp_path / "m"), files_per_manifest=4000)
+    named = spark.read.schema(S.MANIFEST).option("recursiveFileLookup", "true").parquet(str(tmp_path / "m")).selectExpr("path", "slot", "_metadata.file_path f")
+    files = [r["count"] for r in named.groupBy("f").count().collect()]
+    tasks = [r["count"] for r in named.groupBy("f", "slot").count().collect()]
+    assert sorted(files) == [1000, 4000, 4000]
+    assert max(tasks) <= S.TASK_BYTES // 2 // S._OPEN_BYTES and len(tasks) >= 9
+    assert named.select("path").distinct().count() == 9000
+
+
+def test_a_manifest_is_read_by_several_tasks(spark, place, tmp_path, monkeypatch):
+    """Files named by one small manifest are looked up once, and read and stored by several tasks."""
+    folder, table, checkpoint = place
+    monkeypatch.setattr(S, "_OPEN_BYTES", S.TASK_BYTES)  # capped at a sixteenth of a share
+    for i in range(64):
+        put(folder, f"{i:02}.jpg", bytes([i]))
+    manifests = str(tmp_path / "named")
+    spark.createDataFrame([(f"file:{folder}/{i:02}.jpg",) for i in range(64)], "path string").coalesce(1).write.parquet(manifests)
+    S.ingest_manifests(spark, manifests, table, checkpoint)
+    rows = spark.table(table).selectExpr("path", "content", "_metadata.file_path f").collect()
+    assert sorted(bytes(r.content) for r in rows) == [bytes([i]) for i in range(64)]
+    assert len({r.f for r in rows}) >= 4
+
+
 def test_manifests_with_lengths_are_cut_too(spark, place, tmp_path):
     folder, table, checkpoint = place
     for i in range(6):
