@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import nsmallest
 from itertools import islice
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scoreloom.functions.paths import normalise_path, origin_path, relative_path
 from scoreloom.functions.text import base64_text
-from scoreloom.session import materialise, shared_uri, ship_package
+from scoreloom.session import DEFAULT_MODEL_BATCH, materialise, payload_batches, shared_uri, ship_package
 from scoreloom.sources.storage import IO_THREADS, file_size, io_map, list_folder, list_names, read_file, write_file
 
 PATH_SCHEMA = T.StructType([T.StructField("path", T.StringType())])
@@ -34,7 +35,7 @@ _PIECE = T.StructType([
 ])
 _FOUND = T.StructType([*_PIECE.fields, T.StructField("kind", T.StringType()), T.StructField("length", T.LongType())])
 _LISTED_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType())])
-_BATCH_BYTES = 32 << 20
+_BATCH_BYTES = 4 << 20  # of payload that a task holds at once, unless its files are larger
 
 
 def binary_scan(spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -243,12 +244,18 @@ def _lister(name: str | None, want: str) -> Callable[[Iterator[pa.RecordBatch]],
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    def listed(folder: str, trail: list[str], after: str | None, until: str | None) -> list[tuple]:
+    def listed(folder: str, trail: list[str], after: str | None, until: str | None) -> Iterator[tuple]:
         entries = list_folder(folder, wanted, want, trail, after, until)
-        rows = [(e.path, list(e.trail), None, None, "folder" if e.is_folder else "file", e.length) for e in islice(entries, split)]
-        if len(rows) < split or next(entries, None) is None:
-            return rows
+        base, names, sizes, trails = folder.rstrip("/") + "/", [], array("q"), {}  # held as narrow as may be, until it is known to be no range
+        for e in islice(entries, split):
+            names.append(e.path.removeprefix(base))
+            sizes.append(e.length)
+            if e.is_folder:
+                trails[len(names) - 1] = e.trail
+        if len(names) < split or next(entries, None) is None:
+            return ((base + n, list(trails.get(i, ())), None, None, "folder" if i in trails else "file", size) for i, (n, size) in enumerate(zip(names, sizes)))
         entries.close()
+        del names, sizes, trails
         total = 0
 
         def counted() -> Iterator[str]:
@@ -261,14 +268,14 @@ def _lister(name: str | None, want: str) -> Callable[[Iterator[pa.RecordBatch]],
         names = sorted(nsmallest(_SAMPLED, counted(), key=lambda e: crc32(e.encode("utf-8", "surrogateescape"))))
         pieces = min(max(2, -(-total // split)), len(names))
         edges = [after, *(names[len(names) * k // pieces] for k in range(1, pieces)), until]
-        return [(folder, trail, low, high, "range", 0) for low, high in zip(edges, edges[1:])]
+        return iter([(folder, trail, low, high, "range", 0) for low, high in zip(edges, edges[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in batches:
             for piece in zip(*(pieces.column(c).to_pylist() for c in _PIECE.names)):
                 rows = listed(*piece)
-                for at in range(0, len(rows), 10_000):
-                    yield batch(rows[at : at + 10_000])
+                while some := list(islice(rows, 10_000)):
+                    yield batch(some)
 
     return run
 
@@ -303,14 +310,16 @@ def read_bytes(paths: DataFrame, column: str = "path") -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, held = 0, []
+            start, held, size = 0, [], 0
             for i in range(0, batch.num_rows, IO_THREADS):
-                held += io_map(read_file, batch.column(column).slice(i, IO_THREADS).to_pylist())
-                if sum(map(len, held)) >= _BATCH_BYTES or start + len(held) == batch.num_rows:
+                read = io_map(read_file, batch.column(column).slice(i, IO_THREADS).to_pylist())
+                held += read
+                size += sum(map(len, read))
+                if size >= _BATCH_BYTES or start + len(held) == batch.num_rows:
                     part = batch.slice(start, len(held))
                     arrays = [*part.columns, pa.array(held, pa.binary())]
+                    start, held, size, read = start + len(held), [], 0, []
                     yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "content"])
-                    start, held = start + len(held), []
 
     return paths.mapInArrow(fill, out)
 
@@ -320,13 +329,16 @@ def write_bytes(files: DataFrame) -> DataFrame:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column("content").to_pylist()
-            io_map(write_file, batch.column("path").to_pylist(), bodies)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), pa.array([len(b) for b in bodies], pa.int64())], ["path", "length"]
-            )
-
-    return materialise(files.select("path", "content").mapInArrow(put, _LISTED_FILES), "written")
+            sizes = []
+            for i in range(0, batch.num_rows, IO_THREADS):
+                part = batch.slice(i, IO_THREADS)
+                bodies = part.column("content").to_pylist()
+                io_map(write_file, part.column("path").to_pylist(), bodies)
+                sizes += map(len, bodies)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "length"])
+
+    with payload_batches(files.sparkSession, DEFAULT_MODEL_BATCH):
+        return materialise(files.select("path", "content").mapInArrow(put, _LISTED_FILES), "written")
 
 
 def spark_images(

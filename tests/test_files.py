@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+from contextlib import nullcontext
 
 import pyarrow as pa
 import pytest
@@ -92,6 +93,42 @@ def test_read_bytes_splits_batches_by_size(spark, tmp_path, monkeypatch):
     assert got == {f"{i:02d}.bin": i * 1000 for i in range(1, 20)}
 
 
+class Rows:
+    """A frame that passes one batch through a task's function, without Spark."""
+
+    sparkSession = None
+
+    def __init__(self, rows, schema=None):
+        self.batch, self.schema = pa.RecordBatch.from_pylist(rows), schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, out):
+        return list(run(iter([self.batch])))
+
+
+def test_payloads_are_written_a_few_at_a_time(tmp_path, monkeypatch):
+    """No task turns more bodies into Python objects than it has requests open, however many rows a batch has."""
+    held = []
+    monkeypatch.setattr(files, "materialise", lambda df, name: df)
+    monkeypatch.setattr(files, "payload_batches", lambda spark, rows: nullcontext(), raising=False)
+    monkeypatch.setattr(files, "io_map", lambda call, paths, bodies: held.append(len(bodies)) or storage.io_map(call, paths, bodies))
+    out = files.write_bytes(Rows([{"path": f"file:{tmp_path}/out/{i}", "content": bytes([i]) * i} for i in range(203)]))
+    assert [r for b in out for r in b.to_pylist()] == [{"path": f"file:{tmp_path}/out/{i}", "length": i} for i in range(203)]
+    assert max(held) <= files.IO_THREADS
+    assert all((tmp_path / "out" / str(i)).read_bytes() == bytes([i]) * i for i in range(203))
+
+
+def test_payloads_are_read_a_few_megabytes_at_a_time(spark, tmp_path):
+    """Batches that leave a task are cut soon after they reach their size."""
+    for i in range(48):
+        (tmp_path / f"{i:02d}.bin").write_bytes(bytes([i]) * (1 << 18))
+    taken = files.read_bytes(Rows([{"path": f"file:{tmp_path}/{i:02d}.bin"} for i in range(48)], files.PATH_SCHEMA))
+    assert [len(x) for b in taken for x in b.column("content").to_pylist()] == [1 << 18] * 48
+    assert max(b.nbytes for b in taken) <= files._BATCH_BYTES + files.IO_THREADS * (1 << 18) <= 8 << 20
+
+
 def test_one_rule_in_all_readers(spark, tmp_path):
     """Empty files, names with an underscore and patterns with several endings, listed, scanned and read alike."""
     for name, body in (("0.jpg", b""), ("1.png", b"1"), ("_2.jpg", b"22"), ("3.gif", b"333"), (".4.jpg", b"4")):
