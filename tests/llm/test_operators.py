@@ -411,6 +411,27 @@ def test_variants_that_a_star_tears_apart(docs):
     assert got == want
 
 
+def test_rounds_give_back_what_they_wrote(docs, spark):
+    """Only links and passages found, which every round reads, and the nodes of the answer stay in the scratch folder."""
+    from collections import Counter
+    from pathlib import Path
+
+    from scoreloom.session import scratch_path
+
+    folder = Path(scratch_path(spark, "", unique=False))
+    kept = lambda: Counter(p.name[:-13] for p in folder.iterdir() if p.name.startswith("passage-"))
+    before, base, rng = kept(), prose(1200, 60), random.Random(21)
+    rows = []
+    for i in range(20):
+        variant = edited(base, sorted(rng.sample(range(60), rng.choice([0, 2, 3, 5]))), f"v{i}x")
+        rows += [(2 * i, f"{prose(2000 + i, 20)} {variant}"), (2 * i + 1, f"{prose(3000 + i, 20)} {variant} {prose(4000 + i, 20)}")]
+    got = passages.repeated_passages(docs(rows))
+    assert {r.doc_id for r in got.collect()} == set(range(40))
+    left = kept() - before
+    assert set(left) <= {"passage-links", "passage-found", "passage-more", "passage-nodes"}
+    assert left["passage-nodes"] == left["passage-links"] == 1 and left["passage-found"] == left["passage-more"] + 1
+
+
 def test_passages_that_differ_too_much_are_left(docs):
     base = prose(7, 60)
     assert passages.repeated_passages(docs([(1, base), (2, edited(base, [10, 30, 50]))])).count() == 0
