@@ -36,9 +36,9 @@ BEYOND_QUICK = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\
 CHUNK_CHARS = 1 << 16
 CHUNK_BYTES = 256  # what a run takes in at a time, beyond the lookahead
 RUN_CHARS = 256  # a longer run of one kind of character goes through the transducer
-CACHE_WORDS = 1 << 17
-PART_BYTES = 4 << 20  # of texts (or ids) that are worked on at a time
-BATCH_CHARS = 2 << 20  # new words of so much text are merged together
+CACHE_WORDS = 1 << 16
+PART_BYTES = 1 << 20  # of texts (or ids) that are worked on at a time
+BATCH_CHARS = 1 << 19  # new words of so much text are merged together
 _EXACT = regex.compile(PATTERN)
 _SPREAD = 0x9E3779B97F4A7C15
 _U64 = (1 << 64) - 1

@@ -87,20 +87,16 @@ _BOOK_ARROW = pa.schema([("segment", pa.int32()), ("blob", pa.binary()), ("doc_i
 def _census(n: int):
     """First pass: a row per document (size, digest, histogram), then the task's counters in segments."""
     def run(batches):
-        counters, held = np.zeros(COUNTERS, dtype=np.uint32), []
+        counters = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
             ids = batch.column("doc_id")
             for w in words(batch.column("text"), NOT_SPACE):
                 value, first = gram_sets(w, n)
-                held.append(_slot(value).astype(np.int32))
-                if len(held) == 16:
-                    counters += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-                    held = []
+                np.add.at(counters, _slot(value), np.uint32(1))
                 rows = len(w.rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(rows, -1, dtype=np.int32)), pa.array(histograms(value, first), pa.binary()), ids[w.rows.start : w.rows.stop],
                     pa.array(np.diff(first).astype(np.int64)), pa.array(set_ids(value, first))], schema=_BOOK_ARROW)
-        counters += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=COUNTERS).astype(np.uint32)
         width = COUNTERS // SEGMENTS
         parts = counters.reshape(SEGMENTS, width)
         blobs = []

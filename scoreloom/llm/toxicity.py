@@ -28,6 +28,7 @@ DEPTH = 3
 STEMS = (4, 5, 6)  # bytes
 EVIDENCE = 20.0  # least log-likelihood ratio of a lexicon entry
 NEAR = 5  # words
+SCORED_BYTES = 1 << 20  # slices of scored texts: running sums of weights round by what lies in one
 LEAST_OF_A_CLASS = 3  # fewer labelled rows of a class in any part: every score is the share of label 1
 
 INSULTS = "idiot stupid moron loser trash scum pathetic worthless disgusting clown dumb fool jerk hate kill shut ugly liar"
@@ -118,7 +119,7 @@ def with_features(df: DataFrame, lexicon: dict[int, float], keep: list[str], tex
     def run(batches):
         for batch in batches:
             column = batch.column(text)
-            made = [features(w, _offsets(w, column), hashes, weights) for w in words(column, TABLE, FOLD)]
+            made = [features(w, _offsets(w, column), hashes, weights) for w in words(column, TABLE, FOLD, SCORED_BYTES)]
             flat = np.concatenate([*made, np.zeros((0, len(FEATURES)))]).ravel()
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.ListArray.from_arrays(ends, pa.array(flat))], [*keep, "features"])
