@@ -432,6 +432,43 @@ def test_rounds_give_back_what_they_wrote(docs, spark):
     assert left["passage-nodes"] == left["passage-links"] == 1 and left["passage-found"] == left["passage-more"] + 1
 
 
+def test_two_documents_are_compared_once(docs, monkeypatch):
+    """Variants of a passage share many keys; a stretch that one key had compared as a whole isn't compared for others again."""
+    rng, base, compared = random.Random(21), prose(1200, 60), []
+    written = passages.materialise
+
+    def noted(df, name):
+        out = written(df, name)
+        if name == "passage-runs":
+            compared.extend((r.a, r.b) for r in out.select("a", "b").collect())
+        return out
+
+    monkeypatch.setattr(passages, "materialise", noted)
+    variants = [edited(base, sorted(rng.sample(range(60), rng.choice([0, 2, 3, 5]))), f"v{i}x") for i in range(80)]
+    rows = [(i, f"{prose(2000 + i, 60)} {t} {prose(3000 + i, 60)}") for i, t in enumerate(variants)]
+    assert passages.repeated_passages(docs(rows)).count() > 10
+    assert len(compared) <= 1.5 * len(set(compared))
+
+
+def test_exact_check_against_plain_sets():
+    """What is turned down early isn't similar: stretches that share few n-grams, repeat lines or are as good as equal."""
+    rng = np.random.default_rng(5)
+    for trial in range(400):
+        a = rng.integers(0, rng.choice([6, 40, 10**9]), 120)
+        b = a.copy()
+        at = rng.choice(120, rng.integers(0, 60), replace=False)
+        b[at] = rng.integers(0, 10**9, len(at))
+        got = passages.verified(a, b)
+        for x, y, u, v, s in got:
+            one, two = set(a[x:y].tolist()), set(b[u:v].tolist())
+            assert s == len(one & two) / len(one | two) >= 0.8 and min(y - x, v - u) >= passages.LEAST
+        common, there = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+        if len(common) and not got:
+            x, y, u, v = common[0], common[-1] + 1, there[0], there[-1] + 1
+            one, two = set(a[x:y].tolist()), set(b[u:v].tolist())
+            assert min(y - x, v - u) < passages.LEAST or len(one & two) < 0.8 * len(one | two)
+
+
 def test_passages_that_differ_too_much_are_left(docs):
     base = prose(7, 60)
     assert passages.repeated_passages(docs([(1, base), (2, edited(base, [10, 30, 50]))])).count() == 0
