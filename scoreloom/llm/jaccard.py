@@ -9,10 +9,14 @@
    shared beginnings once and leaves a subtree when the remaining lengths can't reach the similarity. A component of more
    than ``BLOCK`` sets is cut into blocks: blocks join within themselves, their largest parts with each other, and then
    only what is still apart from the largest part is compared with every block.
+
+Prefixes that meet and whole sets travel in turns, each a share of the corpus's n-grams at most, so disk follows the input and not how
+many documents have copies. A turn looks only at n-grams whose sets the turns before it have left apart.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
 
@@ -26,12 +30,18 @@ from scoreloom.llm.components import components
 from scoreloom.llm.dedup import whole, with_marks
 from scoreloom.llm.trie import Union, links, needed
 from scoreloom.llm.words import NOT_SPACE, Words, give_back, mix, small_batches, words
-from scoreloom.session import materialise, ship_package
+from scoreloom.session import drop_shuffles, drop_written, materialise, ship_package
 
 COUNTERS = 1 << 21
 SEGMENTS = 8
 BINS = 64
+#: Counts as one byte: exact up to 191, then the next step upwards, so that a bound made of them never falls short.
+STEPS = np.concatenate([np.arange(192), np.ceil(191 * 1.12 ** np.arange(1, 64)), [2**32]]).astype(np.int64)
 BLOCK = 2048
+MET_BYTES = 100  # of a prefix row on its way to the others of its n-gram, with its set's histogram; packed, about
+TURN_BYTES = 4  # for each n-gram of the corpus, what prefixes of a turn may take
+TURN_GRAMS = 4  # a turn's whole sets have about one in so many of the corpus's n-grams
+TURN_LEAST = 1 << 28  # bytes that are not worth more than one turn
 _ONE = np.uint64(1)
 
 
@@ -66,10 +76,11 @@ def set_ids(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def histograms(value: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """How many of a set's n-grams fall into each of BINS bins."""
+    """How many of a set's n-grams fall into each of BINS bins, as places in STEPS."""
     rows = len(first) - 1
     bins = (mix(value) >> np.uint64(58)).astype(np.int64) + BINS * np.repeat(np.arange(rows), np.diff(first))
-    table = np.bincount(bins, minlength=BINS * rows).reshape(rows, BINS).astype("<u4")
+    table = np.bincount(bins, minlength=BINS * rows).reshape(rows, BINS)
+    table = np.searchsorted(STEPS, table).astype(np.uint8)
     return [line.tobytes() for line in table]
 
 
@@ -165,7 +176,7 @@ def _meetings(percent: int):
     BLOCK sets of fitting sizes is chained without a look, which only adds to what the join decides later."""
     def edges(group):
         size, pos = (np.array([g[k] for g in group], dtype=np.int64) for k in (1, 2))
-        bins = np.frombuffer(b"".join(g[3] for g in group), dtype="<u4").reshape(-1, BINS).astype(np.int64)
+        bins = STEPS[np.frombuffer(b"".join(g[3] for g in group), dtype=np.uint8).reshape(-1, BINS)]
         union = Union(len(group))
         for j in range(1, len(group)):
             i = np.arange(int(np.searchsorted(size, -(-percent * size[j] // 100))), j)
@@ -254,10 +265,41 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(give_back(_tree_join(percent)), "a long, b long")
 
 
+def _turns(size: float, most: float) -> int:
+    """In how many turns ``size`` bytes go, of about ``most`` each."""
+    return max(1, min(math.ceil(size / max(most, 1)), math.ceil(size / TURN_LEAST)))
+
+
+def _turn(key: str, turns: int, turn: int):
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(turns)) == turn
+
+
+def _maybe(met: DataFrame, one: DataFrame, percent: int, total: int) -> DataFrame:
+    """``a, label`` of sets that may be similar to others, given all their meetings: by turns of n-grams."""
+    turns = _turns(MET_BYTES * met.count(), TURN_BYTES * total)
+    found = None
+    for turn in range(turns):
+        now = met if turns == 1 else met.where(_turn("token", turns, turn))
+        if found is not None:  # where all sets of an n-gram hang together, it has nothing to add
+            label = F.coalesce("label", "set")
+            apart = now.join(found, F.col("set") == F.col("a"), "left").groupBy("token").agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
+            now = now.join(apart.where("lo <> hi").select("token"), "token", "left_semi")
+        groups = now.join(one.select("set", "bins"), "set").select("token", "set", "size", "pos", "bins")
+        groups = groups.repartition("token").sortWithinPartitions("token", "size", "set")
+        edges = groups.mapInArrow(give_back(_meetings(percent)), "a long, b long")
+        last, found = found, components(edges if found is None else edges.unionByName(found.withColumnRenamed("label", "b")), "jaccard-maybe")
+        if last is not None:
+            drop_written(last)
+        drop_shuffles(met.sparkSession)
+    return found
+
+
 def _relabelled(links_: DataFrame, sets: DataFrame) -> DataFrame:
     """``set, label`` after links between sets."""
     found = components(links_, "jaccard-links")
-    return sets.select("set").join(found, F.col("set") == F.col("a"), "left").select("set", F.coalesce("label", "set").alias("label"))
+    out = sets.select("set").join(found, F.col("set") == F.col("a"), "left").select("set", F.coalesce("label", "set").alias("label"))
+    out._written_to = found._written_to  # type: ignore[attr-defined]
+    return out
 
 
 def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -281,22 +323,40 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     fits = f"100 * lag(size) OVER ({by}) >= {percent} * size OR {percent} * lead(size) OVER ({by}) <= 100 * size"
     met = once.withColumn("_meets", F.expr(fits)).where("_meets").select("token", "set", "size", "pos")
     met = materialise(met, "jaccard-met")
-    one = book.where("segment < 0 AND set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("blob").alias("bins"))
+    drop_shuffles(spark)
+    one = book.where("segment < 0 AND set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("blob").alias("bins"), F.first("n").alias("n"))
     one = materialise(one.join(met.select("set").distinct(), "set", "left_semi"), "jaccard-one")
-    groups = met.join(one.select("set", "bins"), "set").select("token", "set", "size", "pos", "bins")
-    groups = groups.repartition("token").sortWithinPartitions("token", "size", "set")
-    maybe = components(groups.mapInArrow(give_back(_meetings(percent)), "a long, b long"), "jaccard-maybe")
-    maybe = maybe.withColumnRenamed("a", "set").withColumnRenamed("label", "part")
+    drop_shuffles(spark)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    labels = _maybe(met, one, percent, total)
+    maybe = labels.withColumnRenamed("a", "set").withColumnRenamed("label", "part")
 
     size = maybe.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     maybe = maybe.join(size, "part").withColumn("block", F.pmod(F.xxhash64("set"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    chosen = materialise(maybe.join(one.select("set", "doc_id"), "set"), "jaccard-chosen")
+    chosen = materialise(maybe.join(one.select("set", "doc_id", "n"), "set"), "jaccard-chosen")
+    drop_written(met, one, labels)
+    grams = chosen.agg(F.sum("n")).first()[0] or 0
+    turns, found = _turns(8 * grams, 8 * total / TURN_GRAMS), []
+    for turn in range(turns):
+        now = chosen if turns == 1 else chosen.where(_turn("part", turns, turn))
+        found += _links(texts, now, n, percent, levels, total)
+        drop_shuffles(spark)
+    levels.destroy()  # all passes over the texts are written
+    labels = components(reduce(DataFrame.unionByName, found), "jaccard-links")
+    drop_written(chosen, *found)
+    out = labels.withColumnRenamed("a", "set")
+    rows._written_to, out._written_to = book._written_to, labels._written_to  # type: ignore[attr-defined]
+    return rows, out
+
+
+def _links(texts: DataFrame, chosen: DataFrame, n: int, percent: int, levels, total: int) -> list[DataFrame]:
+    """Links between the chosen sets, of which no part is chosen in part."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("digest")  # a set may have rows without identifier only
     marked = with_marks(texts.withColumn("digest", name), chosen.select(name))
     content = marked.where("_maybe").select("doc_id", "text").mapInArrow(give_back(_contents(n, levels)), "doc_id long, set long, grams array<long>")
     content = content.drop("doc_id").join(chosen.select("set", "part", "block", "size"), "set").dropDuplicates(["set"])
     content = materialise(content, "jaccard-content")
-    levels.destroy()  # all passes over the texts are written
+    drop_shuffles(texts.sparkSession)
 
     flag = lambda name, value: F.lit(value).alias(name)
     label = F.col("set").alias("label")
@@ -304,36 +364,49 @@ def similar_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     found = [materialise(within, "jaccard-links")]
     big = content.where(f"size > {BLOCK}")
     if not big.isEmpty():
-        found += _across(big, found[0], percent)
-    return rows, components(reduce(DataFrame.unionByName, found), "jaccard-links").withColumnRenamed("a", "set")
+        drop_shuffles(texts.sparkSession)
+        found += _across(big, found[0], percent, total)
+    drop_written(content)
+    return found
 
 
-def _across(big: DataFrame, within: DataFrame, percent: int) -> list[DataFrame]:
+def _across(big: DataFrame, within: DataFrame, percent: int, total: int) -> list[DataFrame]:
     """Links between the blocks of large parts: first of one set for each block's largest component with those of other
-    blocks, then of all that is not in the part's largest component with every block."""
+    blocks, then of all that is not in the part's largest component with every block, by turns."""
+    spark = big.sparkSession
     now = _relabelled(within, big)
-    held = materialise(big.join(now, "set"), "jaccard-held")
-    count = held.groupBy("part", "block", "label").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("set"))
+    known = materialise(big.join(now, "set").select("set", "part", "block", "label", F.size("grams").alias("n")), "jaccard-known")
+    drop_written(now)
+    count = known.groupBy("part", "block", "label").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("set"))
     lead = count.groupBy("part", "block").agg(F.max_by("set", "c").alias("set"))
     flags = [F.lit(True).alias("query"), F.lit(True).alias("indexed")]
-    leaders = held.join(lead.select("set"), "set", "left_semi").select(
+    leaders = big.select("set", "grams").join(known.join(lead.select("set"), "set", "left_semi"), "set").select(
         F.struct("part", F.lit(-1).alias("block")).alias("task"), "set", "label", *flags, "grams")
     between = materialise(_joined(leaders, percent), "jaccard-between")
-    now = materialise(_relabelled(within.unionByName(between), big).withColumnRenamed("label", "now"), "jaccard-now")
-    held = held.drop("label").join(now, "set").withColumnRenamed("now", "label")
+    now = _relabelled(within.unionByName(between), big)
+    held = materialise(known.drop("label").join(now, "set"), "jaccard-now")
+    drop_written(known, now)
     count = held.groupBy("part", "label").agg(F.count(F.lit(1)).alias("c"))
     main = count.groupBy("part").agg(F.max_by("label", "c").alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
-    held = held.join(main, "part").where("most < all")
-    indexed = held.select("part", F.struct("part", "block", F.lit(0).alias("chunk")).alias("task"), "set", "label", F.lit(False).alias("query"), F.lit(True).alias("indexed"), "grams", "all", "most", "main")
+    rest = held.join(main, "part").where("most < all")
     blocks, chunks = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-    each = lambda n: F.sequence(F.lit(0), n - 1)
-    chunk = F.pmod(F.xxhash64("set", F.lit(1)), chunks).cast("int")
-    rest = indexed.where("label <> main").withColumn("block", F.explode(each(blocks)))
-    rest = rest.withColumn("task", F.struct("part", "block", chunk.alias("chunk"))).withColumn("query", F.lit(True)).withColumn("indexed", F.lit(False))
-    every = indexed.withColumn("chunk", F.explode(each(chunks))).withColumn("task", F.struct(F.col("task.part").alias("part"), F.col("task.block").alias("block"), F.col("chunk").alias("chunk")))
-    columns = ["task", "set", "label", "query", "indexed", "grams"]
-    tasks = rest.select(columns).unionByName(every.select(columns))
-    return [between, materialise(_joined(tasks, percent), "jaccard-across")]
+    rest = materialise(rest.withColumn("blocks", blocks).withColumn("chunks", chunks), "jaccard-rest")
+    times = F.when(F.col("label") != F.col("main"), F.col("blocks")).otherwise(0) + F.col("chunks")
+    turns = _turns(8 * (rest.agg(F.sum(F.col("n") * times)).first()[0] or 0), 8 * total / TURN_GRAMS)
+    spread = rest.join(big.select("set", "grams"), "set")
+    chunk = F.pmod(F.xxhash64("set", F.lit(1)), F.col("chunks")).cast("int")
+    found = [between]
+    for turn in range(turns):
+        mine = lambda block, chunk: F.pmod(F.xxhash64("part", block, chunk), F.lit(turns)) == turn  # noqa: B023, E731
+        each = lambda n, keep: F.explode(F.filter(F.sequence(F.lit(0), n - 1), keep))
+        asks = spread.where("label <> main").withColumn("chunk", chunk)
+        asks = asks.withColumn("block", each(F.col("blocks"), lambda b: mine(b, F.col("chunk")))).withColumn("query", F.lit(True))  # noqa: B023
+        every = spread.withColumn("chunk", each(F.col("chunks"), lambda c: mine(F.col("block"), c))).withColumn("query", F.lit(False))  # noqa: B023
+        tasks = [x.select(F.struct("part", "block", "chunk").alias("task"), "set", "label", "query", (~F.col("query")).alias("indexed"), "grams") for x in (asks, every)]
+        found.append(materialise(_joined(tasks[0].unionByName(tasks[1]), percent), "jaccard-across"))
+        drop_shuffles(spark)
+    drop_written(held, rest)
+    return found
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -347,6 +420,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     rows, labels = similar_sets(docs, n, percent)
     found = rows.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     found = materialise(found.select("doc_id", "n", "label"), "jaccard-rows")
+    drop_written(rows, labels)
     # written, so that the join meets plain tables, whose crowded labels Spark can split
     least = materialise(found.where("label <> 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = found.join(least, F.col("label") == F.col("_label"), "left")
